@@ -29,6 +29,7 @@ from lauda.session import reliable
 PLACEHOLDER = {"name": "[NAME]", "email": "[EMAIL]", "phone": "[PHONE]", "identity_number": "[ID]", "street_address": "[ADDRESS]"}
 BUCKETS = 4096
 ROUNDS = 30
+PRIOR_SHARE = 0.3
 
 # Common given names (accents and case folded).
 GIVEN = frozenset(
@@ -45,7 +46,7 @@ PARTICLES = frozenset("de da do das dos e".split())
 NO_NAME = frozenset(
     "amostra exame laudo material lesao biopsia novo nova o a os as um uma em no na nos nas por para com sem que se ao este esta seu sua paciente pacientes medico medica "
     "mesmo mesma retorno rotina acordo interno interna fragmento fragmentos hospital clinica laboratorio instituto maternidade unidade servico equipe familia cpf rg cns cnpj "
-    "telefone celular endereco nome mae pai filho filha data".split()
+    "telefone celular endereco nome mae pai filho filha data removido removidos removida removidas".split()
 )
 STREET = r"(?:rua|r\.|avenida|av\.?|travessa|trav\.|tv\.?|praca|pca\.|pc\.|alameda|al\.|rodovia|rod\.|estrada|estr\.|largo|beco|viela|ladeira)"
 _L = r"(?:[^\W\d_]|�)"
@@ -57,6 +58,7 @@ NAME_CUE = re.compile(
     r"orientacoes dadas a[o]?|encaminhad[oa] (?:por|pel[oa])|assinado|ciencia d[eao]|contato com|revisado por|liberado por|digitado por|coletado por)\s*[:\-]?\s+|\ba/c:?\s+|\b(?=(?:dr|dra|sr|sra|srta|prof|profa)\b\.?\s))"
     rf"({_TITLE}?)"
 )
+WEAK_CUE = re.compile(r"\s*(?:paciente|nome|mae|pai|medic[oa]|residente|responsavel|acompanhante|patologista|solicitante)\s+")
 NAME_RUN = re.compile(rf"{_W}(?:(?:,\s?|\s+)(?:(?:de|da|do|das|dos|e)\s+)?{_W})*")
 _AT = r"(?:@|\(\s*(?:arroba|at)\s*\)|\[\s*(?:arroba|at)\s*\]|\barroba\b)"
 _DOT = r"(?:\.|\s+(?:ponto|dot)\s+|\s*[\[(](?:ponto|dot)[\])]\s*)"
@@ -77,6 +79,7 @@ NUM_SHAPES = {
 TAX_FORMAT = re.compile(r"\d{3}\.\d{3}\.\d{3}-\d{2}|\d{9}[-/]\d{2}|\d{2}\.\d{3}\.\d{3}-[\dx]|\d{3}\.\d{4}\.\d{4}\.\d{4}")
 AFTER_NAME = re.compile(r"\s*(?:\(mae\)|\(pai\)|\(filh|em sessao|em \d+ (?:dias|meses|semanas)|no dia|na alta|ciente|refere|, (?:por|encaminhad|amostra|em|de \d)|encaminhad|por telefone|[.;\-]|$|\n|\|)")
 ORG = re.compile(r"(?:hospital|clinica|laboratorio|instituto|maternidade|santa casa|unidade|posto|escola|universidade|fundacao|vila|rua|avenida|praca|travessa|alameda|rodovia|coronel|marechal|professora?|santa|santo|sao|nossa senhora)\s+(?:d[aeo]s?\s+)?$")
+NO_PERSON = re.compile(r"(?:dados|identificacao|historia|queixa|ficha|prontuario|estado) d[oa] (?:paciente|pcte)\s+$")
 EPONYM = re.compile(r"(?:escore|escala|classificacao|sistema|metodo|coloracao|criterios?|sindrome|doenca|esofago|teste|grau|indice|categoria)\s+d[aeo]s?\s+$")
 
 _FOLD = {}
@@ -250,11 +253,11 @@ def candidates(a: Aligned) -> list[tuple[str, int, int, dict, str, str]]:
             continue
         given = sum(map(is_given, words))
         votes = {
-            "cue": "name" if starts[i] else None,
+            "cue": "name" if starts[i] and not WEAK_CUE.fullmatch(starts[i]) else None,
             "gaz": "name" if given else None,
             "shape": "name" if 2 <= len(words) <= 5 and all(x[:1].isupper() for x in re.findall(_W, raw) if x.lower() not in PARTICLES) else "none" if not given and raw.islower() else None,
             "after": "name" if AFTER_NAME.match(t, j) else None,
-            "neg": "none" if ORG.search(left) or EPONYM.search(left) or words[0] in NO_NAME else None,
+            "neg": "none" if ORG.search(left) or EPONYM.search(left) or NO_PERSON.search(left) or words[0] in NO_NAME else None,
             "form": "none" if not given and re.search(r"(?:[ai]d[oa]s?|mente|cao|coes)$", words[0]) else None,
         }
         out.append(("name", i, j, votes, left, t[j : j + 16]))
@@ -324,8 +327,10 @@ def reliabilities(patterns: list) -> dict[tuple[str, str], dict[str, float]]:
             prior /= prior.sum()
             log = np.tile(np.log(prior), (len(rows), 1))
             for k in labelers:
-                # a vote is twice as likely from its own class at the start: keeps classes from swapping
-                table = {(c, x): 0.5 + 1.5 * (c == x) for c in classes for x in classes}
+                # Dirichlet prior of a sound labeler, in proportion to its votes: a class that is voted for
+                # only by small groups can't be explained away as errors of the labelers
+                weight = max(4.0, PRIOR_SHARE * sum(n[i] for i, v in enumerate(votes) if k in v))
+                table = {(c, x): weight * (0.9 if c == x else 0.1 / (len(classes) - 1)) for c in classes for x in classes}
                 for i, v in enumerate(votes):
                     if k in v:
                         for j, c in enumerate(classes):
