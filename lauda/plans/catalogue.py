@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lauda.plans import quality_queries
+from lauda.plans import quality_queries, text_queries
 
-_MODULES = (quality_queries,)
+_MODULES = (quality_queries, text_queries)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: q for m in _MODULES for k, q in m.ORACLE.items()}
