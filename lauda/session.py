@@ -28,7 +28,7 @@ def reliable(df: DataFrame) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of df."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
