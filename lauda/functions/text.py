@@ -44,6 +44,11 @@ def _fold_table() -> tuple[str, str]:
 FOLD_FROM, FOLD_TO = _fold_table()
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also where the body uses it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_accents(c: Column) -> Column:
     """Compatibility decomposition of the Latin blocks without combining marks."""
     return F.regexp_replace(F.translate(c, FOLD_FROM, FOLD_TO), r"\p{M}+", "")
@@ -116,7 +121,7 @@ def sentence(t: Column, start: Column, length: Column) -> Column:
 def all_starts(t: Column, needle: Column) -> Column:
     """Starts of every (also overlapping) occurrence of a literal."""
     n = F.length(needle)
-    return F.when(n > 0, F.filter(F.sequence(F.lit(0), F.greatest(F.length(t) - n, F.lit(0))), lambda i: F.substring(t, i + 1, n) == needle))
+    return let(t, lambda t: F.when(n > 0, F.filter(F.sequence(F.lit(0), F.greatest(F.length(t) - n, F.lit(0))), lambda i: F.substring(t, i + 1, n) == needle)))
 
 
 def collapse(c: Column) -> Column:
@@ -135,24 +140,27 @@ def sections(t: Column) -> Column:
     Text before the first header is `inicio`; a text without headers is one block `corpo`.
     """
     header = "|".join(p for _, p in SECTIONS)
-    heads = F.regexp_extract_all(t, F.lit(f"({header})"), F.lit(1))
-    parts = F.split(t, header, -1)
     name = lambda h: F.coalesce(*[F.when(h.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in SECTIONS])
-    n = F.size(heads)
     empty = F.array().cast("array<struct<section:string,start:int,end:int>>")
 
-    def step(acc, i):
-        # acc.at: end of the block before; the header i stands there, its block follows
-        start = acc["at"] + F.length(F.element_at(heads, i))
-        end = start + F.length(F.element_at(parts, i + 1))
-        block = F.struct(name(F.element_at(heads, i)).alias("section"), start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(acc["blocks"], F.array(block)).alias("blocks"))
+    def walk(x):
+        heads, parts, n = x["heads"], x["parts"], F.size(x["heads"])
+
+        def step(acc, i):
+            # acc.at: end of the block before; the header i stands there, its block follows
+            start = acc["at"] + F.length(F.element_at(heads, i))
+            end = start + F.length(F.element_at(parts, i + 1))
+            block = F.struct(name(F.element_at(heads, i)).alias("section"), start.alias("start"), end.alias("end"))
+            return F.struct(end.alias("at"), F.concat(acc["blocks"], F.array(block)).alias("blocks"))
+
+        first = F.length(F.element_at(parts, 1))
+        opening = F.when(first > 0, F.array(F.struct(F.lit(START).alias("section"), F.lit(0).alias("start"), first.alias("end")))).otherwise(empty)
+        walked = F.aggregate(F.sequence(F.lit(1), n), F.struct(first.alias("at"), opening.alias("blocks")), step)["blocks"]
+        whole = F.array(F.struct(F.lit(FALLBACK).alias("section"), F.lit(0).alias("start"), x["n"].alias("end")))
+        return F.when(n > 0, walked).otherwise(whole)
 
-    first = F.length(F.element_at(parts, 1))
-    opening = F.when(first > 0, F.array(F.struct(F.lit(START).alias("section"), F.lit(0).alias("start"), first.alias("end")))).otherwise(empty)
-    walked = F.aggregate(F.sequence(F.lit(1), n), F.struct(first.alias("at"), opening.alias("blocks")), step)["blocks"]
-    whole = F.array(F.struct(F.lit(FALLBACK).alias("section"), F.lit(0).alias("start"), F.length(t).alias("end")))
-    return F.when(n > 0, walked).otherwise(whole)
+    cut = F.struct(F.regexp_extract_all(t, F.lit(f"({header})"), F.lit(1)).alias("heads"), F.split(t, header, -1).alias("parts"), F.length(t).alias("n"))
+    return let(cut, walk)
 
 
 def in_priority(blocks: Column, order: tuple[str, ...]) -> Column:
@@ -164,9 +172,9 @@ def in_priority(blocks: Column, order: tuple[str, ...]) -> Column:
 
 def shingles(t: Column, k: int) -> Column:
     """Distinct runs of k words of a folded text; texts of fewer words have none."""
-    w = F.regexp_extract_all(t, F.lit("([a-z0-9]+)"), F.lit(1))
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(k)), " "))
-    return F.when(F.size(w) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(k)), " "))
+    cut = lambda w: F.when(F.size(w) >= k, F.array_distinct(runs(w))).otherwise(F.array().cast("array<string>"))
+    return let(F.regexp_extract_all(t, F.lit("([a-z0-9]+)"), F.lit(1)), cut)
 
 
 # Numbers in words, longest phrase first.
