@@ -64,7 +64,7 @@ _AT = r"(?:@|\(\s*(?:arroba|at)\s*\)|\[\s*(?:arroba|at)\s*\]|\barroba\b)"
 _DOT = r"(?:\.|\s+(?:ponto|dot)\s+|\s*[\[(](?:ponto|dot)[\])]\s*)"
 EMAIL = re.compile(rf"[\w+%-]+(?:{_DOT}[\w+%-]+)*\s*{_AT}\s*[\w-]+(?:{_DOT}[\w-]+)*")
 NUMBER = re.compile(r"(?<![\w.,/-])(?:\+\s?)?(?:\(\s?)?\d+(?:(?:xx|[ .\-/]|\)\s?)\d+)*(?:-?x\b)?(?![\w])")
-ADDRESS = re.compile(rf"(?<![\w.-]){STREET}\s+{_W}(?:\s+{_W}){{0,6}}?(?:\s*,?\s*(?:n[o.]?\.?\s*)?\d{{1,5}}\b|\s*,?\s*s/n\b|\s*,?\s*km\s*\d+)(?:\s*,?\s*(?:ap\.?|apto\.?|casa|bloco|bl\.?|sala)\s*\d+)?(?:\s*-\s*(?:vila|jardim|bairro|centro|parque)(?:\s+{_W})?|,\s*zona\s+{_W})?")
+ADDRESS = re.compile(rf"(?<![\w.-]){STREET}\s+{_W}(?:\s+{_W}){{0,6}}?(?:\s*,?\s*(?:n[o.�]?\.?\s*)?\d{{1,5}}\b|\s*,?\s*s/n\b|\s*,?\s*km\s*\d+)(?:\s*,?\s*(?:ap\.?|apto\.?|casa|bloco|bl\.?|sala)\s*\d+)?(?:\s*-\s*(?:vila|jardim|bairro|centro|parque)(?:\s+{_W})?|,\s*zona\s+{_W})?")
 CUES = {
     "phone": re.compile(r"(?:tel(?:efone)?|fone|cel(?:ular)?|whats\s?app|zap|ligac(?:ao|oes)|ligar|contato|recado|avisar|familia|ramal)\b[^\d\n;]{0,14}$"),
     "identity_number": re.compile(r"(?:\bc\.?\s?p\.?\s?f\b|\brg|\br\.g\b|\bcns|\bc\.n\.s\b|\bsus|identidade|cartao nacional de saude|documento|cic)\b[^\d\n;]{0,8}$"),
