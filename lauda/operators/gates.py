@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lauda.session import maybe_broadcast
 from lauda.operators.policy import clean_value
 from lauda.operators.topk import top_per_group
 
@@ -48,7 +49,7 @@ def adjudicate(items: DataFrame, members: DataFrame, taxonomy: DataFrame, shares
     greatest stratum share of every pair.
     """
     c = F.col
-    x = items.join(F.broadcast(members), "variable", "left").join(F.broadcast(taxonomy), "variable", "left").join(shares, ["variable", "l1", "l2"], "left")
+    x = items.join(maybe_broadcast(members), "variable", "left").join(maybe_broadcast(taxonomy), "variable", "left").join(shares, ["variable", "l1", "l2"], "left")
     vals = F.coalesce("vals", F.array().cast("array<string>"))
     reason = (
         F.when(c("n") < MIN_COUNT, "count_below_threshold").when(F.array_contains(vals, c("l1")) & F.array_contains(vals, c("l2")), "canonical_value_inversion")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lauda.operators.range_scan import partition_id, range_sorted, summaries
-from lauda.session import reliable
+from lauda.session import maybe_broadcast, reliable
 
 QUANTILES = (0.25, 0.5, 0.75)
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -175,7 +175,7 @@ def profile_columns(counts: DataFrame) -> DataFrame:
         F.max("ks").alias("ks"), *[F.max(q).alias(q) for q in ("q25", "q50", "q75", "q25s", "q50s", "q75s")]
     )
     first = counts.sparkSession.createDataFrame(sorted(firsts) or [("", "", "")], "tbl string, col string, load string").withColumn("is_first", F.lit(True))
-    part = part.join(F.broadcast(first), ["tbl", "col", "load"], "left")
+    part = part.join(maybe_broadcast(first), ["tbl", "col", "load"], "left")
     joined = base.withColumn("load", F.coalesce("load", F.lit(""))).join(part, ["tbl", "col", "load"], "left")
     return joined.select(
         "tbl", "col", "load", "n", "nulls", F.round(F.col("nulls") / F.col("n"), 6).alias("null_rate"), "n_distinct",

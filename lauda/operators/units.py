@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lauda.operators.range_scan import partition_id, summaries
-from lauda.session import reliable
+from lauda.session import maybe_broadcast, reliable
 
 # Spellings of units (accents and case folded) with dimension and size in mm, g or mL.
 UNITS = {
@@ -109,7 +109,7 @@ def parse_cases(cases: DataFrame, specs: DataFrame) -> DataFrame:
     """Records with their number, stated factor and value in thousandths of the common unit."""
     units = specs.where(F.col("unit").isNotNull()).groupBy("variable").agg(F.min("unit").alias("unit"))
     long = cases.select("case_no", "source", "variable", F.unix_micros("added_at").alias("t"), "expected_value", "text").join(
-        F.broadcast(units), "variable"
+        maybe_broadcast(units), "variable"
     )
 
     def parse(batches):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lauda.session import maybe_broadcast
 from lauda.functions.text import normalize, shingles, sql_normalize
 from lauda.operators import cascade as C
 from lauda.operators import gates as G
@@ -59,7 +60,7 @@ def gate_pairs(spark, d):
     """Top disagreement pairs with examples."""
     keys = ["variable", "l1", "l2"]
     top = G.pair_items(_ev(spark, d))
-    ex = G.with_examples(G.disagreements(_ev(spark, d)).join(F.broadcast(top.select(*keys)), keys, "left_semi"), keys)
+    ex = G.with_examples(G.disagreements(_ev(spark, d)).join(maybe_broadcast(top.select(*keys)), keys, "left_semi"), keys)
     return top.join(ex, keys).select(*keys, "n", F.col("rank").cast("int").alias("rank"), "examples")
 
 
@@ -80,7 +81,7 @@ def auto_adjudicate(spark, d):
 def alias_patch_rerun(spark, d):
     """Disagreements left in each variable once the safe aliases are applied."""
     new = G.new_aliases(auto_adjudicate(spark, d), table(spark, d, "policy_alias"))
-    x = G.disagreements(_ev(spark, d)).join(F.broadcast(new.select("variable", F.col("alias").alias("l2"), "canonical")), ["variable", "l2"], "left")
+    x = G.disagreements(_ev(spark, d)).join(maybe_broadcast(new.select("variable", F.col("alias").alias("l2"), "canonical")), ["variable", "l2"], "left")
     return x.groupBy("variable").agg(F.count("*").alias("before"), F.count_if(F.coalesce("canonical", "l2") != F.col("l1")).alias("after"))
 
 
@@ -139,12 +140,12 @@ def disagreement_sample(spark, d):
 def proportional_sample(spark, d):
     p = table(spark, d, "run_pilot").select("pilot_id", "conjunto", "clinica")
     alloc = S.proportional(p.groupBy("conjunto").agg(F.count("*").alias("n")), 100)
-    return S.stratified(p.join(F.broadcast(alloc.select("conjunto", "alloc")), "conjunto"), ["conjunto"], "pilot_id", F.col("alloc")).select("pilot_id", "conjunto")
+    return S.stratified(p.join(maybe_broadcast(alloc.select("conjunto", "alloc")), "conjunto"), ["conjunto"], "pilot_id", F.col("alloc")).select("pilot_id", "conjunto")
 
 
 def fixed_sample(spark, d):
     alloc = spark.createDataFrame([("cervical", 40), ("tireoide", 30), ("mama_ihq", 20)], "conjunto string, alloc int")
-    p = table(spark, d, "run_pilot").select("pilot_id", "conjunto").join(F.broadcast(alloc), "conjunto")
+    p = table(spark, d, "run_pilot").select("pilot_id", "conjunto").join(maybe_broadcast(alloc), "conjunto")
     return S.stratified(p, ["conjunto"], "pilot_id", F.col("alloc"), seed=7).select("pilot_id", "conjunto")
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,22 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, so that they needn't have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lauda_shipped", False):
+        return
+    root, buf = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    # the driver's own file, served by Spark; nothing is read from a local folder on the executors
+    path = Path(tempfile.mkdtemp(prefix="lauda-")) / "lauda_package.zip"
+    path.write_bytes(buf.getvalue())
+    sc.addPyFile(str(path))
+    sc._lauda_shipped = True
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of df."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
