@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lauda.operators.range_scan import partition_id, range_sorted, summaries
-from lauda.session import maybe_broadcast, reliable
+from lauda.operators.range_scan import numbered, range_sorted, summaries
+from lauda.session import maybe_broadcast
 
 QUANTILES = (0.25, 0.5, 0.75)
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -106,15 +106,16 @@ def profile_columns(counts: DataFrame) -> DataFrame:
         F.sum(F.when(null, 0).otherwise(1)).alias("n_distinct"),
         F.min("num").alias("min_num"), F.max("num").alias("max_num"), F.min("txt").alias("min_txt"), F.max("txt").alias("max_txt"),
     )
-    values = range_sorted(counts.where(~null).withColumn("load", F.coalesce("load", F.lit(""))), ["tbl", "col", "num", "txt", "load"])
+    values = range_sorted(counts.where(~null).withColumn("load", F.coalesce("load", F.lit(""))), ["tbl", "col", "num", "txt"], ["load"])
 
     def summarise(batches):
         total: dict = defaultdict(lambda: [0, 0])
+        pid, batches = numbered(batches)
         for b in batches:
             for key, n in b.groupby(["tbl", "col", "load"]).n.agg(["sum", "count"]).iterrows():
                 total[key][0] += int(n["sum"])
                 total[key][1] += int(n["count"])
-        yield pd.DataFrame([(partition_id(), *k, *v) for k, v in total.items()], columns=["pid", "tbl", "col", "load", "n", "d"])
+        yield pd.DataFrame([(pid, *k, *v) for k, v in total.items()], columns=["pid", "tbl", "col", "load", "n", "d"])
 
     rows = summaries(values, summarise, SUMMARY)
     whole: dict = defaultdict(lambda: defaultdict(int))
@@ -134,13 +135,14 @@ def profile_columns(counts: DataFrame) -> DataFrame:
     def curves(batches):
         out: dict = {}
         cum: dict = {}
+        pid, batches = numbered(batches)
         for tbl, col, g in _runs(batches):
             key = (tbl, col)
             loads = sorted(whole[key])
             at = {x: i for i, x in enumerate(loads)}
             total = np.array([whole[key][x] for x in loads], float)
             if key not in cum:
-                cum[key] = np.array([starts[partition_id()][key][x] for x in loads], float)
+                cum[key] = np.array([starts[pid][key][x] for x in loads], float)
             texts = g.num.isna().to_numpy()
             vals = g.txt.where(texts, g.num).to_numpy()
             new = np.r_[True, vals[1:] != vals[:-1]]
@@ -228,16 +230,14 @@ def faulty_measures(runs: DataFrame) -> DataFrame:
     rates = cells.where((~F.col("fault")) & (F.col("field") != "n_filled")).dropna(subset=["contract_id", "variable", "started_at"])
     rates = rates.withColumn("t", F.unix_micros("started_at")).select("field", "contract_id", "variable", "t", "manifest_row_id", "v")
     keys = ["field", "contract_id", "variable"]
-    # ties of t must stay together: the row id only orders them inside a partition
-    n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = reliable(rates.repartitionByRange(n, *keys, "t").sortWithinPartitions(*keys, "t", "manifest_row_id"))
+    ordered = range_sorted(rates, [*keys, "t"], ["manifest_row_id"])
 
     def tail(batches):
         last = None
+        pid, batches = numbered(batches)
         for b in batches:
-            if len(b):
-                last = b.iloc[-1]
-        rows = [] if last is None else [(partition_id(), last.field, last.contract_id, last.variable, float(last.v))]
+            last = b.iloc[-1]
+        rows = [] if last is None else [(pid, last.field, last.contract_id, last.variable, float(last.v))]
         yield pd.DataFrame(rows, columns=["pid", "field", "contract_id", "variable", "v"])
 
     carry, ends = {}, summaries(ordered, tail, "pid int, field string, contract_id string, variable string, v double")
@@ -246,8 +246,9 @@ def faulty_measures(runs: DataFrame) -> DataFrame:
 
     def jumps(batches):
         key, before, now, t = None, None, None, None
-        if partition_id() in carry:
-            key, now = carry[partition_id()]
+        pid, batches = numbered(batches)
+        if pid in carry:
+            key, now = carry[pid]
         for b in batches:
             hit = []
             for f, c, var, bt, i, v in b[[*keys, "t", "manifest_row_id", "v"]].itertuples(index=False, name=None):

@@ -9,23 +9,37 @@ and the second pass starts every partition from its folded carry.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lauda.session import reliable
 
 
-def range_sorted(df: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
-    """df range-partitioned and sorted by keys, materialised. Equal keys share a partition."""
+#: Column with the number of a row's partition, stored with the row: a task's own number is another
+#: one where the result is part of a union.
+PID = "_pid"
+
+
+def range_sorted(df: DataFrame, keys: list[str], then: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """df range-partitioned by keys, sorted by keys and `then`, materialised, with its partition numbers.
+
+    Rows with equal keys share a partition; `then` only orders them inside it.
+    """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return reliable(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys))
+    return reliable(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys, *(then or [])).withColumn(PID, F.spark_partition_id()))
 
 
-def partition_id() -> int:
-    return TaskContext.get().partitionId()
+def numbered(batches: Iterator[pd.DataFrame]) -> tuple[int | None, Iterator[pd.DataFrame]]:
+    """(partition number, non-empty batches) of a range-sorted partition; no number for an empty one."""
+    batches = iter(batches)
+    first = next((b for b in batches if len(b)), None)
+    if first is None:
+        return None, iter(())
+    return int(first[PID].iloc[0]), chain([first], (b for b in batches if len(b)))
 
 
 def summaries(

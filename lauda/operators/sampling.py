@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lauda.operators.range_scan import partition_id, range_sorted, summaries
+from lauda.operators.range_scan import PID, numbered, range_sorted, summaries
 from lauda.operators.topk import hash_order, top_per_group
 
 
@@ -32,7 +32,9 @@ def split(df: DataFrame, key: str, ratio: float, seed: int = 42) -> DataFrame:
     def count(batches):
         import pandas as pd
 
-        yield pd.DataFrame({"pid": [partition_id()], "n": [sum(map(len, batches))]})
+        pid, batches = numbered(batches)
+        if pid is not None:
+            yield pd.DataFrame({"pid": [pid], "n": [sum(map(len, batches))]})
 
     before, total = {}, 0
     for r in summaries(rows, count, "pid int, n long"):
@@ -40,9 +42,10 @@ def split(df: DataFrame, key: str, ratio: float, seed: int = 42) -> DataFrame:
     cut = int(total * ratio)
 
     def mark(batches):
-        at = before.get(partition_id(), 0)
+        pid, batches = numbered(batches)
+        at = before.get(pid, 0)
         for b in batches:
-            b = b.drop(columns=["_h"])
+            b = b.drop(columns=["_h", PID])
             b["part"] = ["discovery" if at + i < cut else "evaluation" for i in range(len(b))]
             at += len(b)
             yield b

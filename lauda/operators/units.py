@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lauda.operators.range_scan import partition_id, summaries
+from lauda.operators.range_scan import numbered, range_sorted, summaries
 from lauda.session import maybe_broadcast, reliable
 
 # Spellings of units (accents and case folded) with dimension and size in mm, g or mL.
@@ -148,9 +148,7 @@ def unit_history(cases: DataFrame, specs: DataFrame) -> DataFrame:
     logs = F.log10(F.col("milli") / 1000)
     usual = parsed.where("milli > 0").groupBy("variable").agg(F.avg(logs).alias("mu"), F.stddev(logs).alias("sd"))
     stats = {r["variable"]: (r["mu"], max(r["sd"] or 0.0, 0.15)) for r in usual.collect()}  # one row per variable
-    n = int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["source", "variable"]
-    ordered = reliable(parsed.repartitionByRange(n, *keys, "t", "case_no").sortWithinPartitions(*keys, "t", "case_no"))
+    ordered = range_sorted(parsed, ["source", "variable", "t", "case_no"])
 
     def costs(variable, num, factor):
         fs = np.array(factors[variable])
@@ -194,8 +192,9 @@ def unit_history(cases: DataFrame, specs: DataFrame) -> DataFrame:
         return m
 
     def summarise(batches):
+        pid, batches = numbered(batches)
         gs = list(_ends(groups(batches)))
-        yield pd.DataFrame([(partition_id(), i, k[0], k[1], product(k, g).ravel().tolist()) for i, k, g in gs], columns=["pid", "pos", "source", "variable", "m"])
+        yield pd.DataFrame([(pid, i, k[0], k[1], product(k, g).ravel().tolist()) for i, k, g in gs], columns=["pid", "pos", "source", "variable", "m"])
 
     def _ends(it):
         """The first and the last history of a partition; only these can go on in another one."""
@@ -233,7 +232,7 @@ def unit_history(cases: DataFrame, specs: DataFrame) -> DataFrame:
     out_schema = "case_no long, source string, variable string, num double, factor double, stated string, milli long, level_factor double, segment_change boolean"
 
     def trace(batches):
-        pid, prev = partition_id(), None
+        pid, batches = numbered(batches)
         it = iter(groups(batches))
         i, cur = 0, next(it, None)
         while cur is not None:
