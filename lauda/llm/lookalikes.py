@@ -15,6 +15,8 @@ _HAS = re.compile("[" + "".join(LOOKALIKES) + "]")
 _WORD = re.compile(r"\S+")
 #: log cost of a change of script between neighbouring letters.
 MIXED = 6.0
+#: Lead of a Greek letter that stands alone before a hyphen (a name such as α-actin), against few counts.
+SYMBOL = 8.0
 
 
 def _script(c: str) -> str:
@@ -28,7 +30,8 @@ def best_reading(left: str, word: str, right: str, lm: CharModel) -> str:
     character trigrams with the neighbours in view and a cost for each change of script.
     """
     beams = {left[-2:].rjust(2): (0.0, "")}
-    for c in word + right[:2].ljust(2):
+    for at, c in enumerate(word + right[:2].ljust(2)):
+        symbol = "α" <= c <= "ω" and word[at + 1 : at + 2] == "-" and not word[at - 1 : at].isalpha()
         options = [c, LOOKALIKES[c]] + ([SECOND[c]] if c in SECOND else []) if c in LOOKALIKES else [c]
         nxt: dict = {}
         for ctx, (score, path) in beams.items():
@@ -38,6 +41,8 @@ def best_reading(left: str, word: str, right: str, lm: CharModel) -> str:
                 a, b = _script(ctx[1]), _script(o)
                 if a and b and a != b:
                     s -= MIXED
+                if symbol and o == c:
+                    s += SYMBOL
                 state = ctx[1] + o
                 if state not in nxt or s > nxt[state][0]:
                     nxt[state] = (s, path + o)

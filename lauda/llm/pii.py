@@ -249,7 +249,8 @@ def candidates(a: Aligned) -> list[tuple[str, int, int, dict, str, str]]:
             continue
         words = [w for w in re.findall(_W, t[i:j]) if w not in PARTICLES]
         left, raw = t[max(0, i - 26) : i], a.raw(i, j)
-        if not starts[i] and re.search(r"[\w@._-]$", left):
+        # a given name inside a word, an address or the name of an institution or a street is no candidate
+        if not starts[i] and (re.search(r"[\w@._-]$", left) or ORG.search(left) or EPONYM.search(left)):
             continue
         given = sum(map(is_given, words))
         votes = {
