@@ -115,24 +115,30 @@ def measures(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInPandas(apply, MEASURES)
 
 
-def _terms() -> list:
+def _terms(lists: tuple[int, ...] = LISTS) -> list:
     """The formula's terms: logarithm of the average sentence length, its square, shares outside the lists."""
-    s, u = F.log(F.col("asl") + 1), [F.col("unfamiliar")[i] for i in range(len(LISTS))]
+    s, u = F.log(F.col("asl") + 1), [F.col("unfamiliar")[LISTS.index(n)] for n in lists]
     return [F.lit(1.0), s, s * s, *u, *(x * s for x in u)]
 
 
-def fit(measured: DataFrame, labels: DataFrame) -> np.ndarray | None:
-    """Weights by least squares from the normal equations, summed over all labelled rows; None without labels."""
+def fit(measured: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list] | None:
+    """(weights, terms) by least squares from the normal equations, summed over all labelled rows.
+
+    Fewer than ten labels a term leave only the main list; fewer than that give no formula (None).
+    """
     rows = measured.where("n_words > 0").join(labels.where("nivel IS NOT NULL").select("doc_id", F.col("nivel").cast("double").alias("y")), "doc_id")
     x = _terms()
+    n = len(x)
     sums = [F.sum(a * b).alias(f"a{i}_{j}") for i, a in enumerate(x) for j, b in enumerate(x) if j >= i] + [F.sum(a * F.col("y")).alias(f"b{i}") for i, a in enumerate(x)]
     r = rows.agg(*sums).first()
-    if r["a0_0"] is None or r["a0_0"] < 10 * len(x):
+    count = r["a0_0"] or 0
+    k = LISTS.index(MAIN)
+    keep = list(range(n)) if count >= 10 * n else [0, 1, 2, 3 + k, 3 + len(LISTS) + k] if count >= 50 else []
+    if not keep:
         return None
-    n = len(x)
-    a = np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)], float)
-    b = np.array([r[f"b{i}"] for i in range(n)], float)
-    return np.linalg.solve(a + 1e-2 * np.eye(n), b)
+    a = np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in keep] for i in keep], float)
+    b = np.array([r[f"b{i}"] for i in keep], float)
+    return np.linalg.solve(a + 1e-2 * np.eye(len(keep)), b), [x[i] for i in keep]
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -148,6 +154,6 @@ def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     grade = 100 * BASE[0] * u + BASE[1] * F.col("asl") + F.when(u > 0.05, BASE[2]).otherwise(0.0)
     level = F.lit(None).cast("double")
     if w is not None:
-        level = sum((F.lit(float(c)) * t for c, t in zip(w, _terms())), F.lit(0.0))
+        level = sum((F.lit(float(c)) * t for c, t in zip(*w)), F.lit(0.0))
         level = F.when(F.col("n_words") > 0, F.least(F.lit(5.0), F.greatest(F.lit(1.0), level)))
     return m.select("doc_id", "language", "n_words", F.round(u, 6).alias("unfamiliar"), F.round("asl", 4).alias("asl"), F.round(grade, 4).alias("grade"), F.round(level, 3).alias("level"))
