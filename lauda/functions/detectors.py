@@ -96,7 +96,7 @@ PROCEDIMENTO = Cascade("procedimento", (
     R(r"setorectomia|resseccao\s+segmentar|tumorectomia|nodulectomia|excisional", "excisional"), R("mamotomia", "mamotomia"), R(r"(?:biopsia|bx)\s+(?:por\s+)?agulha|core\s+biopsy", "biopsia_agulha"),
 ))
 GRAU_NOTT = Cascade("grau_nott", tuple(R(rf"(?:nottingham|grau histologico|grau combinado).{{0,30}}?(?:grau\s+)?\b(?:{i}|{c})\b", str(i)) for i, c in ((3, "iii"), (2, "ii"), (1, "i"))))
-INV_LINFOV = Cascade("inv_linfov", (R(rf"{NEG}\s+(?:\w+\s+){{0,3}}inva(?:sao|soes)\s+(?:angio)?linfo|invasao\s+(?:angio)?linfo\w*\s*:?\s*(?:ausente|nao)", "nao"), R(r"invasao\s+(?:angio)?linfo", "sim")))
+INV_LINFOV = Cascade("inv_linfov", (R(rf"{NEG}\s+(?:\w+\s+){{0,3}}inva(?:sao|soes)\s+(?:angio)?linf|invasao\s+(?:angio)?linf\w*\s*:?\s*(?:ausente|nao)", "nao"), R(r"invasao\s+(?:angio)?linf", "sim")))
 INV_PERIN = Cascade("inv_perin", (R(rf"{NEG}\s+(?:\w+\s+){{0,3}}invasao\s+perineural|invasao\s+perineural\s*:?\s*(?:ausente|nao)", "nao"), R(r"invasao\s+perineural", "sim")))
 NECROSE = Cascade("necrose", (R(r"(?:sem|ausencia de) necrose|necrose\s*:?\s*(?:ausente|nao)", "nao"), R("necrose", "sim")))
 MULTIFOCAL = Cascade("multifocalidade", (R(r"unifocal|(?:sem|ausencia de) multifocal", "nao"), R("multifocal|multicentric", "sim")))
