@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lauda.functions.text import let
+from lauda.operators.range_scan import with_last_before
 
 
 def nearest_before(df: DataFrame, keys: list[str], order: list[str], mark: Column, what: list[str], prefix: str = "near_") -> DataFrame:
-    """Each row beside the last earlier row of its group that `mark` holds for (an as-of join by one window)."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    near = F.last(F.when(mark, F.struct(*what)), ignorenulls=True).over(w)
-    return df.withColumn("_n", near).select(*df.columns, *[F.col("_n")[c].alias(prefix + c) for c in what])
+    """Each row beside the last earlier row of its group that `mark` holds for (an as-of join in one scan)."""
+    x = with_last_before(df, keys, order, what, mark, "_n")
+    return x.select(*df.columns, *[F.col("_n")[c].alias(prefix + c) for c in what])
 
 
 def spans_of(t: Column, pattern: str) -> Column:

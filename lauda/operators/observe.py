@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lauda.operators.policy import drift_alert
+from lauda.operators.range_scan import with_last_before
+from lauda.operators.topk import top_per_group
 
 
 def one_row_per_run(runs: DataFrame) -> DataFrame:
@@ -16,43 +18,36 @@ def one_row_per_run(runs: DataFrame) -> DataFrame:
 
 
 def drift(runs: DataFrame) -> DataFrame:
-    """Change of the rates against the run before of the same contract and variable, and its alert.
-
-    The history of one contract and variable is one row per run: a window over run history is bounded
-    by the number of runs, not of records.
-    """
-    w = Window.partitionBy("contract_id", "variable").orderBy("started_at", "run_id")
+    """Change of the rates against the run before of the same contract and variable, and its alert."""
     ok = lambda c: F.when(~F.isnan(c), F.col(c))
-    r = one_row_per_run(runs).withColumn("fill", ok("fill_rate")).withColumn("agree", ok("agreement_surface"))
-    r = r.withColumn("df", F.round(F.col("fill") - F.lag("fill").over(w), 4)).withColumn("da", F.round(F.col("agree") - F.lag("agree").over(w), 4))
+    r = one_row_per_run(runs).select("contract_id", "variable", "started_at", "run_id", ok("fill_rate").alias("fill"), ok("agreement_surface").alias("agree"))
+    r = with_last_before(r, ["contract_id", "variable"], ["started_at", "run_id"], ["fill", "agree"])
+    r = r.withColumn("df", F.round(F.col("fill") - F.col("prev.fill"), 4)).withColumn("da", F.round(F.col("agree") - F.col("prev.agree"), 4))
     worst = F.greatest(*[F.when(drift_alert(F.coalesce(c, F.lit(0.0))) == "RED", 2).when(drift_alert(F.coalesce(c, F.lit(0.0))) == "YELLOW", 1).otherwise(0) for c in (F.col("df"), F.col("da"))])
     return r.select("run_id", "variable", "df", "da", F.element_at(F.array(F.lit("GREEN"), F.lit("YELLOW"), F.lit("RED")), worst + 1).alias("alert"))
 
 
 def new_statuses(runs: DataFrame) -> DataFrame:
     """Statuses of a run that the run before didn't have: (run_id, variable, status, n)."""
-    w = Window.partitionBy("contract_id", "variable").orderBy("started_at", "run_id")
-    r = one_row_per_run(runs).withColumn("before", F.lag("status_distribution").over(w)).where("before IS NOT NULL")
-    fresh = F.map_filter("status_distribution", lambda k, _: ~F.array_contains(F.map_keys("before"), k))
+    r = one_row_per_run(runs).select("contract_id", "variable", "started_at", "run_id", "status_distribution")
+    r = with_last_before(r, ["contract_id", "variable"], ["started_at", "run_id"], ["status_distribution"]).where("prev.status_distribution IS NOT NULL")
+    fresh = F.map_filter("status_distribution", lambda k, _: ~F.array_contains(F.map_keys("prev.status_distribution"), k))
     return r.select("run_id", "variable", F.explode(fresh).alias("status", "n"))
 
 
 def latest_runs(runs: DataFrame, k: int = 2) -> DataFrame:
     """The last k runs of every contract."""
-    w = Window.partitionBy("contract_id").orderBy(F.desc("started_at"), F.desc("run_id"))
     heads = runs.select("contract_id", "run_id", "started_at").distinct()
-    return heads.withColumn("age", F.row_number().over(w)).where(F.col("age") <= k).select("contract_id", "run_id", "age")
+    return top_per_group(heads, ["contract_id"], [F.desc("started_at"), F.desc("run_id")], k, "run_id", "age").select("contract_id", "run_id", "age")
 
 
 def timeline(runs: DataFrame) -> DataFrame:
-    """Series per contract and variable, aligned over the contract's runs, with gaps where a run lacks it."""
+    """Points per contract, variable and run, aligned over the contract's runs: NULL where a run lacks the variable."""
     r = one_row_per_run(runs)
     at = r.select("contract_id", "run_id", "started_at").distinct()
     wanted = r.select("contract_id", "variable").distinct()
-    grid = wanted.join(at, "contract_id").join(r.select("contract_id", "variable", "run_id", "fill_rate"), ["contract_id", "variable", "run_id"], "left")
-    pts = F.array_sort(F.collect_list(F.struct("started_at", "run_id", F.round("fill_rate", 4).alias("v"))))
-    return grid.groupBy("contract_id", "variable").agg(F.count("*").alias("n_runs"), F.count("fill_rate").alias("n_points"), pts.alias("pts")).select(
-        "contract_id", "variable", "n_runs", "n_points", F.array_join(F.transform("pts", lambda p: F.when(p["v"].isNull(), "-").otherwise(F.format_string("%.4f", p["v"]))), ",").alias("series"))
+    points = r.select("contract_id", "variable", "run_id", F.round("fill_rate", 4).alias("fill_rate"))
+    return wanted.join(at, "contract_id").join(points, ["contract_id", "variable", "run_id"], "left").select("contract_id", "variable", "run_id", "started_at", "fill_rate")
 
 
 def last_known(runs: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lauda.session import maybe_broadcast
@@ -13,6 +12,7 @@ from lauda.operators import joins as J
 from lauda.operators import observe as O
 from lauda.operators import sampling as S
 from lauda.operators.policy import clean_value
+from lauda.operators.range_scan import prefix_sums
 from lauda.plans.policy_queries import reader_cells
 from lauda.sources.tables import table
 
@@ -44,8 +44,8 @@ def numeric_ranges(spark, d):
     """Range, upper median and distinct values of numeric variables."""
     e = _ev(spark, d).where(F.col("value_num").isNotNull() & ~F.isnan("value_num"))
     c = e.groupBy("variable", "value_num").agg(F.count("*").alias("m"))
-    w = Window.partitionBy("variable").orderBy("value_num")  # over the distinct values of a bounded measure
-    r = c.withColumn("cum", F.sum("m").over(w)).withColumn("total", F.sum("m").over(Window.partitionBy("variable")))
+    total = c.groupBy("variable").agg(F.sum("m").alias("total"))
+    r = prefix_sums(c, ["variable"], ["value_num"], "m").join(maybe_broadcast(total), "variable")
     return r.groupBy("variable").agg(F.min("value_num").alias("lo"), F.max("value_num").alias("hi"), F.count("*").alias("n_distinct"), F.min(F.when(F.col("cum") > F.floor(F.col("total") / 2), F.col("value_num"))).alias("upper_median"))
 
 
@@ -166,7 +166,7 @@ def latest_runs(spark, d):
 
 
 def run_timeline(spark, d):
-    return O.timeline(table(spark, d, "run_variable"))
+    return O.timeline(table(spark, d, "run_variable")).select("contract_id", "variable", "run_id", F.unix_micros("started_at").alias("started_us"), "fill_rate")
 
 
 def last_known_fill(spark, d):
@@ -310,8 +310,8 @@ ORACLE = {
     "new_statuses": f"""WITH {_RUN}, x AS (SELECT run_id, variable, status_distribution AS s, LAG(status_distribution) {_W} AS b FROM rr), u AS (SELECT run_id, variable, b, unnest(map_entries(s)) AS e FROM x WHERE b IS NOT NULL)
       SELECT run_id, variable, e.key AS status, e.value AS n FROM u WHERE NOT list_contains(map_keys(b), e.key)""",
     "latest_runs": "SELECT contract_id, run_id, CAST(row_number() OVER (PARTITION BY contract_id ORDER BY started_at DESC, run_id DESC) AS INTEGER) AS age FROM (SELECT DISTINCT contract_id, run_id, started_at FROM run_variable) QUALIFY age <= 2",
-    "run_timeline": f"""WITH {_RUN}, a AS (SELECT DISTINCT contract_id, run_id, started_at FROM rr), v AS (SELECT DISTINCT contract_id, variable FROM rr), g AS (SELECT v.contract_id, v.variable, a.run_id, a.started_at, r.fill_rate FROM v JOIN a USING (contract_id) LEFT JOIN rr r ON r.contract_id = v.contract_id AND r.variable = v.variable AND r.run_id = a.run_id)
-      SELECT contract_id, variable, COUNT(*) AS n_runs, COUNT(fill_rate) AS n_points, string_agg(COALESCE(CASE WHEN isnan(fill_rate) THEN 'NaN' ELSE printf('%.4f', round(fill_rate, 4)) END, '-'), ',' ORDER BY started_at, run_id) AS series FROM g GROUP BY ALL""",
+    "run_timeline": f"""WITH {_RUN}, a AS (SELECT DISTINCT contract_id, run_id, started_at FROM rr), v AS (SELECT DISTINCT contract_id, variable FROM rr)
+      SELECT v.contract_id, v.variable, a.run_id, epoch_us(a.started_at) AS started_us, round(r.fill_rate, 4) AS fill_rate FROM v JOIN a USING (contract_id) LEFT JOIN rr r ON r.contract_id = v.contract_id AND r.variable = v.variable AND r.run_id = a.run_id""",
     "last_known_fill": f"WITH {_RUN} SELECT contract_id, variable, arg_max(fill_rate, (started_at, run_id)) AS fill_rate FROM rr WHERE fill_rate IS NOT NULL AND NOT isnan(fill_rate) GROUP BY ALL",
     "runs_by_prefix": "SELECT contract_id, variable, COUNT(*) AS n, CAST(SUM(n_total) AS BIGINT) AS n_total FROM run_variable WHERE contract_id LIKE 'mama_ihq%' GROUP BY ROLLUP (contract_id, variable)",
     "left_join_texts": "SELECT evidence_id, p.pilot_id, p.versions FROM evidence_record e LEFT JOIN (SELECT caso, max(pilot_id) AS pilot_id, COUNT(*) AS versions FROM run_pilot GROUP BY 1) p ON p.caso = e.id_registro",

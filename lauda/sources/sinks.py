@@ -90,11 +90,14 @@ def bars(labels: list[str], values: list[float], width: int = 400, height: int =
     return f'<svg width="{width}" height="{height}">' + "".join(f'<rect x="{i * step:.1f}" y="{height - v * height / top:.1f}" width="{step * 0.8:.1f}" height="{v * height / top:.1f}"><title>{html.escape(str(k))}: {v:g}</title></rect>' for i, (k, v) in enumerate(zip(labels, values))) + "</svg>"
 
 
-def dashboard(series: DataFrame, title: str) -> str:
-    """HTML of run timelines (the output of observe.timeline)."""
-    rows = series.orderBy("contract_id", "variable").collect()
-    cell = lambda s: [None if x in ("-", "NaN") else float(x) for x in s.split(",")]
-    body = "".join(f"<tr><td>{html.escape(r['contract_id'])}</td><td>{html.escape(r['variable'])}</td><td>{r['n_points']} of {r['n_runs']}</td><td>{sparkline(cell(r['series']))}</td></tr>" for r in rows)
+def dashboard(points: DataFrame, title: str, contract: str) -> str:
+    """HTML of the run timelines of one contract (points: the output of observe.timeline)."""
+    rows = points.where(F.col("contract_id") == contract).orderBy("variable", "started_at", "run_id").collect()
+    series: dict = {}
+    for r in rows:
+        v = r["fill_rate"]
+        series.setdefault(r["variable"], []).append(None if v is None or v != v else v)
+    body = "".join(f"<tr><td>{html.escape(k)}</td><td>{sum(x is not None for x in v)} of {len(v)}</td><td>{sparkline(v)}</td></tr>" for k, v in series.items())
     return f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table>{body}</table>"
 
 

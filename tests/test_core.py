@@ -18,6 +18,7 @@ from lauda.operators import policy as P
 from lauda.operators import review as V
 from lauda.operators import sampling as S
 from lauda.operators import sandbox as B
+from lauda.operators.range_scan import prefix_sums, with_last_before
 from lauda.operators.topk import top_per_group
 from lauda.plans import contract as K
 from lauda.sources import files, sinks
@@ -225,3 +226,31 @@ def test_review_log(spark):
     s = V.review_state(sample, log, "doc_id", "lab", ["at", "label_id"])
     assert {r["doc_id"]: (r["lab"], r["done"]) for r in s.collect()} == {10: (None, False), 11: ("c", True), 12: (None, False)}
     assert tuple(V.progress(s, "doc_id").first()) == (3, 1, 10)
+
+
+@pytest.mark.parametrize("parts", ["1", "3", "8"])
+def test_range_scans_equal_brute_force(spark, parts):
+    """Also inside a union, where a task's number isn't its partition's."""
+    rng = random.Random(11)
+    rows = [(i, rng.choice(["hot"] * 8 + ["a", None]), rng.randrange(200), rng.choice([0, 0, 0, 1])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g string, t int, m int")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    near = with_last_before(df, ["g"], ["t", "id"], ["id"], F.col("m") == 1).select("id", F.col("prev.id").alias("p"))
+    cum = prefix_sums(df, ["g"], ["t", "id"], "m").select("id", F.col("cum").alias("p"))
+    got = {(r["k"], r["id"]): r["p"] for r in near.withColumn("k", F.lit("near")).unionByName(cum.withColumn("k", F.lit("cum"))).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    last, total, want = {}, {}, {}
+    for i, g, t, m in sorted(rows, key=lambda r: (r[1] or "", r[2], r[0])):
+        want[("near", i)], total[g] = last.get(g), total.get(g, 0) + m
+        want[("cum", i)] = total[g]
+        if m:
+            last[g] = i
+    assert got == want
+    assert with_last_before(df.where("false"), ["g"], ["t", "id"], ["id"]).count() == 0
+
+
+def test_dashboard(spark):
+    t = dt.datetime(2024, 1, 1)
+    pts = spark.createDataFrame([("c", "v", "r1", t, 0.5), ("c", "v", "r2", t + dt.timedelta(1), None), ("d", "v", "r3", t, 0.1)], "contract_id string, variable string, run_id string, started_at timestamp, fill_rate double")
+    html = sinks.dashboard(pts, "T<", "c")
+    assert "1 of 2" in html and "T&lt;" in html
