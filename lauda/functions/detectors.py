@@ -15,7 +15,7 @@ BETHESDA = Cascade("bethesda", tuple(
     [R(rf"categoria\s+{c.lower()}\b(?:\s+(?:de|do sistema))?\s+bethesda", c) for c in ("VI", "IV", "III", "II", "V", "I")]
     + [R(rf"bethesda(?:\s+categoria)?\s+{c.lower()}\b", c) for c in ("VI", "IV", "III", "II", "V", "I")]
     + [R(rf"bethesda(?:\s+categoria)?\s+{i}\b", c) for i, c in enumerate(("I", "II", "III", "IV", "V", "VI"), 1)]
-))
+), anchors=("bethesda",))
 SUBTIPO = Cascade("subtipo", (
     R(r"n.dulo\s+hiperpl.sico|adenomat.ide", "nodulo_hiperplasico"), R(r"hashimoto|tireoidite\s+linfoc", "hashimoto"), R(r"papil[ai]r|papilifero", "papilar"),
     R("medular", "medular"), R("hurthle|oncocit", "hurthle"), R("folicular", "folicular"),
@@ -40,7 +40,7 @@ ORGANISMOS = MultiLabel("organismos", (
 ))
 HORMONAL = Cascade("hormonal", (R(r"hipotr.fico|atr.fico", "atrofico"), R("hipoestr", "hipoestrogenico"), R(r"\btr.fico", "trofico")))
 # Gastric
-OLGA = Cascade("olga", tuple([R(r"olga\s*(?:0|zero)\b", "0")] + [R(rf"olga\s+(?:estagio\s+)?(?:{c.lower()}|{i})\b", c) for i, c in ((4, "IV"), (3, "III"), (2, "II"), (1, "I"))]))
+OLGA = Cascade("olga", tuple([R(r"olga\s*(?:0|zero)\b", "0")] + [R(rf"olga\s+(?:estagio\s+)?(?:{c.lower()}|{i})\b", c) for i, c in ((4, "IV"), (3, "III"), (2, "II"), (1, "I"))]), anchors=("olga",))
 HP = Cascade("hp", (
     R(r"(?:ausencia|negativ[oa]|nao (?:se )?(?:observ|identific|detect)\w*).{0,40}(?:h\.?\s*pylori|helicobacter)", "negativo"),
     R(r"(?:h\.?\s*pylori|helicobacter(?:\s+pylori)?).{0,30}(?:negativ|ausente|nao\s+(?:identific|detect|observ))", "negativo"), R(r"h\.?\s*pylori|helicobacter", "positivo"),
@@ -79,10 +79,10 @@ RE, RP = receptor("re", RE_WORDS), receptor("rp", RP_WORDS)
 RE_PCT, RP_PCT = receptor_pct("re_pct", RE_WORDS), receptor_pct("rp_pct", RP_WORDS)
 RE_ALLRED = Number("re_allred", ((rf"(?:{RE_WORDS}).{{0,80}}allred\s*:\s*(\d{{1,2}})", "one"),), 0, 8)
 RP_ALLRED = Number("rp_allred", ((rf"(?:{RP_WORDS}).{{0,80}}allred\s*:\s*(\d{{1,2}})", "one"),), 0, 8)
-HER2_SCORE = Cascade("her2_score", tuple(R(rf"her-?2.{{0,25}}?(?:escore|score)?\s*\(?{p}", lab) for p, lab in ((r"3\s*\+", "3+"), (r"2\s*\+", "2+"), (r"1\s*\+", "1+"), (r"0\s*\+", "0+"), (r"0\b", "0"))))
+HER2_SCORE = Cascade("her2_score", tuple(R(rf"her-?2.{{0,25}}?(?:escore|score)?\s*\(?{p}", lab) for p, lab in ((r"3\s*\+", "3+"), (r"2\s*\+", "2+"), (r"1\s*\+", "1+"), (r"0\s*\+", "0+"), (r"0\b", "0"))), anchors=("her",))
 HER2_STATUS = Cascade("her2_status", (
     R(r"her-?2.{0,25}?3\s*\+", "positivo"), R(r"her-?2.{0,25}?2\s*\+", "equivoco"), R(r"her-?2.{0,25}?(?:[01]\s*\+|0\b)", "negativo"), R(r"her-?2.{0,15}positiv", "positivo"), R(r"her-?2.{0,15}negativ", "negativo"),
-))
+), anchors=("her",))
 KI67 = Number("ki67_pct", (
     (r"ki-?\s?67.{0,40}?(\d{1,3})\s*%?\s*(?:a|e|-)\s*(\d{1,3})\s*%", "mid"), (r"ki-?\s?67.{0,40}?(\d{1,3})\s*%", "one"), (r"(\d{1,3})\s*%\s+(?:para|de)\s+ki-?\s?67", "one"),
 ))
@@ -90,28 +90,28 @@ KI67 = Number("ki67_pct", (
 MARGENS = Cascade("margens", (
     R(r"margens?.{0,40}(?:comprometid|acometid|positiv)", "comprometidas", unless=r"nao\s+\w{0,12}\s*$"), R(r"margens?.{0,40}(?:exigu|proxim|tangenc)", "exiguas"),
     R(r"margens?.{0,40}(?:livres?|negativ|nao comprometid)|em margem \w+, nao se observa comprometimento", "livres"),
-))
+), anchors=("marge",))
 PROCEDIMENTO = Cascade("procedimento", (
     R(r"mastectomia\s+radical", "mastectomia_radical"), R("mastectomia", "mastectomia"), R("quadrantectomia", "quadrantectomia"),
     R(r"setorectomia|resseccao\s+segmentar|tumorectomia|nodulectomia|excisional", "excisional"), R("mamotomia", "mamotomia"), R(r"(?:biopsia|bx)\s+(?:por\s+)?agulha|core\s+biopsy", "biopsia_agulha"),
 ))
-GRAU_NOTT = Cascade("grau_nott", tuple(R(rf"(?:nottingham|grau histologico|grau combinado).{{0,30}}?(?:grau\s+)?\b(?:{i}|{c})\b", str(i)) for i, c in ((3, "iii"), (2, "ii"), (1, "i"))))
-INV_LINFOV = Cascade("inv_linfov", (R(rf"{NEG}\s+(?:\w+\s+){{0,3}}inva(?:sao|soes)\s+(?:angio)?linf|invasao\s+(?:angio)?linf\w*\s*:?\s*(?:ausente|nao)", "nao"), R(r"invasao\s+(?:angio)?linf", "sim")))
-INV_PERIN = Cascade("inv_perin", (R(rf"{NEG}\s+(?:\w+\s+){{0,3}}invasao\s+perineural|invasao\s+perineural\s*:?\s*(?:ausente|nao)", "nao"), R(r"invasao\s+perineural", "sim")))
-NECROSE = Cascade("necrose", (R(r"(?:sem|ausencia de) necrose|necrose\s*:?\s*(?:ausente|nao)", "nao"), R("necrose", "sim")))
-MULTIFOCAL = Cascade("multifocalidade", (R(r"unifocal|(?:sem|ausencia de) multifocal", "nao"), R("multifocal|multicentric", "sim")))
-MICROCALC = Cascade("microcalcificacoes", (R(r"(?:sem|ausencia de) (?:micro)?calcificac", "nao"), R("microcalcificac", "sim")))
-EXTRANODAL = Cascade("extensao_extranodal", (R(r"(?:sem|ausencia de) (?:extensao|extravasamento) (?:extra|capsular)", "nao"), R(r"(?:extensao|extravasamento) (?:extranodal|extracapsular|capsular)", "sim")))
-PELE = Cascade("pele", (R(r"(?:comprometimento|infiltracao) da pele|pele (?:comprometida|infiltrada)", "sim"), R(r"pele (?:livre|sem|nao)", "nao")))
+GRAU_NOTT = Cascade("grau_nott", tuple(R(rf"(?:nottingham|grau histologico|grau combinado).{{0,30}}?(?:grau\s+)?\b(?:{i}|{c})\b", str(i)) for i, c in ((3, "iii"), (2, "ii"), (1, "i"))), anchors=("nottingham", "grau histologico", "grau combinado"))
+INV_LINFOV = Cascade("inv_linfov", (R(rf"{NEG}\s+(?:\w+\s+){{0,3}}inva(?:sao|soes)\s+(?:angio)?linf|invasao\s+(?:angio)?linf\w*\s*:?\s*(?:ausente|nao)", "nao"), R(r"invasao\s+(?:angio)?linf", "sim")), anchors=("inva",))
+INV_PERIN = Cascade("inv_perin", (R(rf"{NEG}\s+(?:\w+\s+){{0,3}}invasao\s+perineural|invasao\s+perineural\s*:?\s*(?:ausente|nao)", "nao"), R(r"invasao\s+perineural", "sim")), anchors=("perineural",))
+NECROSE = Cascade("necrose", (R(r"(?:sem|ausencia de) necrose|necrose\s*:?\s*(?:ausente|nao)", "nao"), R("necrose", "sim")), anchors=("necrose",))
+MULTIFOCAL = Cascade("multifocalidade", (R(r"unifocal|(?:sem|ausencia de) multifocal", "nao"), R("multifocal|multicentric", "sim")), anchors=("focal", "multicentric"))
+MICROCALC = Cascade("microcalcificacoes", (R(r"(?:sem|ausencia de) (?:micro)?calcificac", "nao"), R("microcalcificac", "sim")), anchors=("calcificac",))
+EXTRANODAL = Cascade("extensao_extranodal", (R(r"(?:sem|ausencia de) (?:extensao|extravasamento) (?:extra|capsular)", "nao"), R(r"(?:extensao|extravasamento) (?:extranodal|extracapsular|capsular)", "sim")), anchors=("extensao", "extravasamento"))
+PELE = Cascade("pele", (R(r"(?:comprometimento|infiltracao) da pele|pele (?:comprometida|infiltrada)", "sim"), R(r"pele (?:livre|sem|nao)", "nao")), anchors=("pele",))
 REF_IHQ = Cascade("ref_ihq", (R(r"imuno-?histoquim|imunomarcac|ihq\b", "sim"),), default="nao")
-PT = Cascade("pT", tuple(R(rf"\by?pt\s*{x}\b", f"pT{x}") for x in ("1mi", "1a", "1b", "1c", "is", "4a", "4b", "4c", "4d", "0", "1", "2", "3", "4")))
-PN = Cascade("pN", tuple(R(rf"\by?pn\s*{x}\b", f"pN{x}") for x in ("1mi", "1a", "1b", "1c", "2a", "2b", "3a", "3b", "3c", "0", "1", "2", "3", "x")))
+PT = Cascade("pT", tuple(R(rf"\by?pt\s*{x}\b", f"pT{x}") for x in ("1mi", "1a", "1b", "1c", "is", "4a", "4b", "4c", "4d", "0", "1", "2", "3", "4")), anchors=("pt",))
+PN = Cascade("pN", tuple(R(rf"\by?pn\s*{x}\b", f"pN{x}") for x in ("1mi", "1a", "1b", "1c", "2a", "2b", "3a", "3b", "3c", "0", "1", "2", "3", "x")), anchors=("pn",))
 # Endoscopy
 BBPS = Number("bbps", ((r"(?:boston|bbps)\b[^.]{0,30}?[\s:=(-]0?(\d)\b", "one"), (r"\b(\d)\s*/\s*9\b", "one")), 0, 9)
 LA_GRAU = Cascade("la_grau", tuple(
     [R(r"(?:sem|ausencia de)\s+(?:sinais\s+de\s+)?esofagite|esofagite\s+nao[-\s]?erosiva|esofago\s+(?:de\s+aspecto\s+)?normal", "sem_esofagite")]
     + [R(rf"grau\s*{c}\b.{{0,12}}los\s+angeles|los\s+angeles\s*[-,:]?\s*(?:grau\s*)?{c}\b", c.upper()) for c in "dcba"]
-))
+), anchors=("esofag", "angeles"))
 HERNIA = Cascade("hernia_hiatal", (
     R(rf"{NEG}\s+(?:\w+\s+){{0,3}}hernia", "nao"), R(r"hernia\s+(?:hiatal|de\s+hiato|para(?:esofagica|diafragmatica))|\bhh\b", "sim", unless=r"antecedente|historia|controle"),
     R(r"pincamento.{0,30}(?:coincidente|ao nivel)|(?:coincidente|ao nivel).{0,12}pincamento", "nao"),

@@ -8,6 +8,8 @@ that both regex engines read them alike; guards look at a bounded prefix instead
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ class Cascade:
     name: str
     rules: tuple[Rule, ...]
     default: str | None = None
+    #: Literals of which every rule's match holds one: texts with none of them skip all patterns.
+    anchors: tuple[str, ...] = ()
 
     def _holds(self, t: Column, r: Rule) -> Column:
         hit = t.rlike(r.pattern)
@@ -43,11 +47,13 @@ class Cascade:
 
     def column(self, t: Column) -> Column:
         """(value, span_start, evidence) of a normalised text."""
-        out = F.struct(F.lit(self.default).cast("string").alias("value"), F.lit(None).cast("int").alias("span_start"), F.lit(None).cast("string").alias("evidence"))
+        none = out = F.struct(F.lit(self.default).cast("string").alias("value"), F.lit(None).cast("int").alias("span_start"), F.lit(None).cast("string").alias("evidence"))
         for r in reversed(self.rules):
             got = F.struct(F.lit(r.label).alias("value"), first_start(t, r.pattern).alias("span_start"), F.substring(F.regexp_extract(t, r.pattern, 0), 1, 80).alias("evidence"))
             out = F.when(self._holds(t, r), got).otherwise(out)
-        return out
+        if not self.anchors:
+            return out
+        return F.when(reduce(or_, [t.contains(a) for a in self.anchors]), out).otherwise(none)
 
     def sql(self, t: str) -> tuple[str, str]:
         """SQL of value and span_start."""
