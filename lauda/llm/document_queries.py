@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lauda.functions.text import FOLD_FROM, FOLD_TO
 from lauda.llm.leakage import leaks
-from lauda.llm.reading import familiar_words, reading_levels
+from lauda.llm.reading import FAMILIAR, FUNCTION_WORDS, familiar_words, reading_levels
 from lauda.llm.tokenizer import encoded
 from lauda.sources.tables import table
 
@@ -37,4 +38,16 @@ def p9_familiar(spark, d):
 
 
 QUERIES = {"p7_ids": p7_ids, "p7_offsets": p7_offsets, "p8_found": p8_found, "p8_items": p8_items, "p9_levels": p9_levels, "p9_familiar": p9_familiar}
-ORACLE: dict = {}
+
+_RUNS = """SELECT {k}, array_to_string(w[i:i + 11], ' ') AS r FROM (SELECT {k}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {k}, regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}]+') AS w FROM {t}) WHERE len(w) >= 12)"""
+_LEAKS = f"SELECT DISTINCT doc_id, item_id FROM ({_RUNS.format(k='doc_id', t='documents')}) JOIN (SELECT DISTINCT item_id, r FROM ({_RUNS.format(k='item_id', t='eval_item')})) USING (r)"
+_FOLDED = f"lower(regexp_replace(translate(text, '{FOLD_FROM}', '{FOLD_TO}'), '\\p{{M}}+', '', 'g'))"
+_COUNT = {k: f"len(list_filter(w, lambda x: list_contains({sorted(v)!r}, x)))" for k, v in FUNCTION_WORDS.items()}
+
+ORACLE = {
+    "p8_found": _LEAKS,
+    "p8_items": f"SELECT item_id, COUNT(*) AS n_documents FROM ({_LEAKS}) GROUP BY 1",
+    "p9_familiar": f"""WITH t AS (SELECT regexp_extract_all({_FOLDED}, '\\p{{L}}+(?:[''’-]\\p{{L}}+)*') AS w FROM documents), l AS (SELECT w, {_COUNT['pt']} AS pt, {_COUNT['es']} AS es, {_COUNT['en']} AS en FROM t WHERE len(w) > 0),
+      u AS (SELECT CASE WHEN pt >= es AND pt >= en THEN 'pt' WHEN es >= en THEN 'es' ELSE 'en' END AS language, unnest(list_distinct(w)) AS word FROM l), c AS (SELECT language, word, COUNT(*) AS df FROM u GROUP BY ALL)
+      SELECT language, word, df, CAST(row_number() OVER (PARTITION BY language ORDER BY df DESC, word) AS INTEGER) AS r FROM c QUALIFY r <= {FAMILIAR}""",
+}
