@@ -125,11 +125,55 @@ INTERVALO = Cascade("followup_interval", tuple(
     for p, lab in ((r"(?:3|tres)\s+meses", "3_meses"), (r"(?:6|seis)\s+meses", "6_meses"), (r"(?:12\s+meses|1\s+ano|um\s+ano)", "1_ano"), (r"(?:24\s+meses|2\s+anos|dois\s+anos)", "2_anos"), (r"(?:36\s+meses|3\s+anos|tres\s+anos)", "3_anos"), (r"(?:60\s+meses|5\s+anos|cinco\s+anos)", "5_anos"), (r"(?:10|dez)\s+anos", "10_anos"), (r"\d{1,2}\s+meses", "outro_meses"))
 ), default="nao_recomendado")
 
+# Breast: histological type and further structured fields
+TIPO_HIST = Cascade("tipo_hist", (
+    R(r"carcinoma\s+metaplasico", "metaplasico"), R(r"misto\s+(?:tipo\s+)?ductal\s+e\s+lobular|carcinoma\s+(?:invasivo|mamario).{0,30}misto", "misto"), R(r"carcinoma\s+(?:mamario\s+)?lobular\s+(?:invasiv|infiltrant)", "CLI"),
+    R(r"micropapilar", "micropapilar"), R(r"carcinoma\s+papilar\s+(?:encapsulado\s+)?invasiv", "papilar"), R(r"(?:carcinoma|tipo)\s+mucinos", "mucinoso"), R(r"carcinoma\s+tubular", "tubular"), R(r"carcinoma\s+medular", "medular"),
+    R(r"carcinoma\s+(?:mamario\s+)?(?:ductal\s+)?(?:microinvasiv|invasiv|infiltrant)|tipo\s+nao\s+especial", "CDI_SOE"), R(r"carcinoma\s+(?:ductal\s+)?.?in\s*situ|\bcdis\b|carcinoma\s+intraductal", "CDIS", unless=r"ausencia\s+de|sem\s|nao\s"),
+    R(r"carcinoma\s+lobular\s*.?in\s*situ|\bclis\b", "CLIS"), R("adenocarcinoma", "outro_maligno"), R(r"tumor\s+(?:phyllodes|filodes|filoide)|lipoma|papiloma\s+intraduct", "outro_benigno"), R("fibroadenoma", "fibroadenoma"), R(r"fibrocistic", "fibrocistico"),
+))
+TIPO_IHQ = Cascade("tipo_hist_ihq", (
+    R(r"lobular\s+(?:invasiv|infiltrant)", "CLI"), R(r"(?:carcinoma|ductal)\s+(?:invasiv|infiltrant)", "CDI_SOE", unless=r"ausencia\s+de|sem\s|nao\s"), R(r"ductal\s+.?in\s*situ|\bcdis\b", "CDIS"), R(r"lobular\s+.?in\s*situ|\bclis\b", "CLIS"),
+    R("micropapilar", "micropapilar"), R("mucinos", "mucinoso"), R(r"carcinoma\s+papil", "papilar"),
+))
+COMP_INSITU = Cascade("comp_insitu", (
+    R(r"(?:sem|ausencia\s+de)\s+(?:componente|carcinoma)\s+(?:ductal\s+)?.?(?:in\s*situ|intraduct)|componente\s*.?(?:in\s*situ|intraduct\w*).?\s*:?\s*(?:nao|ausente)", "nao"),
+    R(r"componente\s*.?(?:in\s*situ|intraduct)|carcinoma\s+(?:ductal\s+|lobular\s+)?.?in\s*situ|\bcdis\b|\bclis\b|carcinoma\s+intraduct", "sim"),
+))
+MAMILO = Cascade("mamilo", (R(r"mamilo\s+(?:comprometid|infiltrad)|doenca\s+de\s+paget|(?:comprometimento|infiltracao)\s+do\s+mamilo", "sim"), R(r"mamilo\s+(?:livre|sem|nao|preservad)", "nao")), anchors=("mamilo", "paget"))
+EFEITO = Cascade("efeito_terapeutico", (R(r"resposta\s+(?:patologica\s+)?completa", "completa"), R(r"resposta\s+(?:patologica\s+)?parcial", "parcial"), R(r"efeito\s+terapeutico", "sem_info")), anchors=("resposta", "efeito"))
+INFILTRADO = Cascade("infiltrado_linfocitico", (
+    R(r"infiltrado\s+(?:inflamatorio\s+)?linfocit\w*\s*:?\s*(?:ausente|nao)", "nao_evidenciado"), R(r"infiltrado\s+(?:inflamatorio\s+)?linfocit\w*\s*:?\s*(?:escasso|discreto|leve|raro)", "escasso"),
+    R(r"infiltrado\s+(?:inflamatorio\s+)?linfocit\w*\s*:?\s*moderad", "moderado"), R(r"infiltrado\s+(?:inflamatorio\s+)?linfocit\w*\s*:?\s*(?:intens|acentuad|proeminent|exuberant)", "intenso"), R(r"infiltrado\s+(?:inflamatorio\s+)?linfocit", "presente"),
+), anchors=("infiltrado",))
+LN_EXAM = Number("ln_exam", ((r"(\d{1,2})\s+linfonodos?\s+(?:examinad|dissecad|isolad|identificad|avaliad)", "one"), (r"linfonodos?\s*:?\s*\d{1,2}\s*/\s*(\d{1,2})\b", "one"), (r"\b\d{1,2}\s*/\s*(\d{1,2})\s+linfonodos?", "one")), 0, 60)
+LN_POS = Number("ln_pos", ((r"linfonodos?\s*:?\s*(\d{1,2})\s*/\s*\d{1,2}\b", "one"), (r"\b(\d{1,2})\s*/\s*\d{1,2}\s+linfonodos?", "one"), (r"metastases?\s+em\s+(\d{1,2})\b", "one"), (r"linfonodos?\s+(?:livres?|negativ|sem\s+metastase)|ausencia\s+de\s+metastases?", 0)), 0, 60)
+SCORES = tuple(Number(n, ((rf"{w}.{{0,60}}?(?:escore|grau)?\s*:?\s*([123])\b", "one"),), 1, 3) for n, w in (("esc_tubular", r"formacao\s+(?:de\s+)?tubul\w*"), ("esc_nuclear", r"(?:grau\s+nuclear|pleomorfismo\s+nuclear)"), ("esc_mitotico", r"(?:indice\s+mitotico|mitoses)")))
+# Behaviour of histological types; features of which two make a fibrocystic pattern.
+INVASIVE = ("CDI_SOE", "CLI", "misto", "mucinoso", "tubular", "medular", "micropapilar", "papilar", "metaplasico", "outro_maligno")
+IN_SITU, BENIGN = ("CDIS", "CLIS"), ("fibroadenoma", "fibrocistico", "outro_benigno")
+CYSTIC = (r"\b(?:micro)?cistos?\b", "adenose", r"hiperplasia\s+(?:ductal|lobular)", r"ectasia\s+ductal", r"metaplasia\s+apocrina", r"fibrose\b", r"celulas\s+colunares", r"alterac\w*\s+involutiv")
+# Polyp size: nouns that a measure may belong to, and guards around it
+POLYP = r"\bpolip(?:o|os|oide|oides)\b|\bles(?:ao|oes)\s+(?:plan\w+|superficial|polipoide|de\b)|\bcrescimento\s+lateral\b|\bporcao\s+cefalica\b"
+OTHER = r"\bulcer(?:a|as|ada|ado)\b|\bneoplasia\b|\btumor\w*\b|\blipoma\w*\b|\bsubepitelia\w+\b|\bdiverticul\w+\b|\bhemorroid\w+\b|\banastomose\b|\bfragmentos?\b|\bpeca\b|\bnodulo\b|\bextensao\s+de\b"
+SIZE = r"\b\d{1,3}(?:[.,]\d{1,2})?(?:\s*x\s*\d{1,3}(?:[.,]\d{1,2})?){0,2}\s*(?:mm|cm)\b"
+BOUND = r"(?:(?:menor|menores|inferior|inferiores)\s+(?:que|do\s+que|de|a)|(?:menos|abaixo)\s+de|a\s+partir\s+de|<)\s*$"
+NOISE = r"\b(?:boston|mayo|nice|paris|bbps|forrest|sakita)\b"
+DISTANCE = r"^\s*d[oa]\s+(?:borda\s+anal|anus|canal\s+anal|linha\s+pectinea)"
+
+# Why an interval is no surveillance of its own
+INTENT = Cascade("interval_intent", (
+    R(r"(?:completar|complementar|segunda\s+sessao|nova\s+sessao|retirada|resseccao)\s+(?:de\s+|da\s+)?(?:polipectomia|mucosectomia|lesao|resseccao)|para\s+(?:polipectomia|mucosectomia)", "excluded_therapeutic_session"),
+    R(r"preparo\s+(?:inadequado|insatisfatorio|ruim|pessimo)|exame\s+incompleto|repetir\s+(?:o\s+)?(?:exame\s+)?com\s+(?:novo|melhor)\s+preparo", "excluded_bad_prep_remake"),
+    R(r"complementacao\s+diagnostica|(?:aguardar|conforme)\s+(?:o\s+)?(?:resultado|anatomopatologico|histologia)", "excluded_diagnostic_completion"),
+), default="vigilancia")
+
 SETS = {
     "tireoide": (BETHESDA, SUBTIPO),
     "cervical": (ADEQUAB, ZT, RESULTADO, ORGANISMOS, HORMONAL),
     "gastrico": (OLGA, HP, METODO_HP, METAPLASIA, ATROFIA, DISPLASIA, ATIVIDADE, POLIPOS_FUNDICOS),
     "mama_ihq": (RE, RP, RE_PCT, RP_PCT, RE_ALLRED, RP_ALLRED, HER2_SCORE, HER2_STATUS, KI67),
     "mama_ap": (MARGENS, PROCEDIMENTO, GRAU_NOTT, INV_LINFOV, INV_PERIN, NECROSE, MULTIFOCAL, MICROCALC, EXTRANODAL, PELE, REF_IHQ, PT, PN),
-    "endoscopia": (BBPS, LA_GRAU, HERNIA, POLIPO, INTERVALO),
+    "mama_tipo": (TIPO_HIST, TIPO_IHQ, COMP_INSITU, MAMILO, EFEITO, INFILTRADO, LN_EXAM, LN_POS, *SCORES),
+    "endoscopia": (BBPS, LA_GRAU, HERNIA, POLIPO, INTERVALO, INTENT),
 }

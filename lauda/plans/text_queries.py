@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lauda.functions import derived as V
 from lauda.functions import detectors as D
 from lauda.functions import text as X
 from lauda.functions.rules import Cascade
@@ -114,6 +115,22 @@ def _detect(name):
     return run
 
 
+def breast_derived(spark, d):
+    """Behaviour of the histological type, features of a fibrocystic pattern and molecular subtype of breast reports."""
+    t, num = F.col("T"), F.regexp_extract("l1_ki67", r"^(\d{1,3})$", 1).try_cast("int")
+    r = table(spark, d, "run_pilot").select("pilot_id", X.normalize(F.col("laudo")).alias("T"), "l1_re", "l1_rp", V.her2_of_score(F.col("l1_her2")).alias("h"), num.alias("k"))
+    r = r.withColumn("tipo", X.let(t, lambda t: D.TIPO_HIST.column(t)["value"]))
+    tipo = F.col("tipo")
+    return r.select(
+        "pilot_id", "tipo", V.behavior_class(tipo).alias("behavior"), V.invasive_malignancy(tipo).alias("invasive"), V.malignancy_any(tipo).alias("malignant"), V.cystic_features(t).alias("cystic"),
+        V.molecular_subtype(F.col("l1_re"), F.col("l1_rp"), F.col("h"), F.col("k")).alias("subtype"),
+    )
+
+
+def polyp_sizes(spark, d):
+    return _reports(spark, d).select("pilot_id", V.polyp_size(F.col("T")).alias("mm"))
+
+
 def _detect_sql(name):
     parts = []
     for x in D.SETS[name]:
@@ -140,10 +157,15 @@ for _m in reversed(X.MARKERS):
 _T = "COALESCE(laudo, '')"
 _WORDS_CASE = "CASE " + " ".join(f"WHEN regexp_matches(w, '\\b{w}\\b') THEN {n}" for w, n in X.NUMBER_WORDS) + " END"
 
+_SPANS = lambda p: f"SELECT pilot_id, CAST(e - length(h) AS INTEGER) AS s, CAST(e AS INTEGER) AS e, h FROM (SELECT pilot_id, i, h, SUM(length(p) + length(h)) OVER (PARTITION BY pilot_id ORDER BY i) AS e FROM (SELECT pilot_id, unnest(hs) AS h, unnest(ps[1:len(hs)]) AS p, generate_subscripts(hs, 1) AS i FROM (SELECT pilot_id, regexp_extract_all(T, '{p}') AS hs, regexp_split_to_array(T, '{p}') AS ps FROM r)))"
+_MM = "list_max(list_transform(regexp_extract_all(h, '\\d+(?:[.,]\\d+)?'), lambda x: TRY_CAST(replace(x, ',', '.') AS DOUBLE))) * CASE WHEN contains(h, 'mm') THEN 1.0 ELSE 10.0 END"
+_NEAR = lambda k: f"(SELECT max({k}.s) FROM {k} WHERE {k}.pilot_id = m.pilot_id AND {k}.s < m.s AND {k}.s >= m.s - 200)"
+_IN = lambda xs: "(" + ", ".join(map(repr, xs)) + ")"
+
 QUERIES = {
     "normalize_text": normalize_text, "fold_variants": fold_variants, "cut_commentary": cut_commentary, "section_segments": section_segments, "section_pick": section_pick,
     "evidence_window": evidence_window, "sentence_negation": sentence_negation, "evidence_occurrences": evidence_occurrences, "document_profile": document_profile, "count_words": count_words,
-    **{f"detect_{k}": _detect(k) for k in D.SETS},
+    **{f"detect_{k}": _detect(k) for k in D.SETS}, "breast_derived": breast_derived, "polyp_sizes": polyp_sizes,
 }
 
 ORACLE = {
@@ -169,4 +191,15 @@ ORACLE = {
       CASE WHEN m <> '' THEN list_max(list_transform(regexp_extract_all(m, '\\d+(?:[.,]\\d+)?'), lambda x: TRY_CAST(replace(x, ',', '.') AS DOUBLE))) * CASE WHEN contains(m, 'mm') THEN 1.0 ELSE 10.0 END END AS mm,
       CASE WHEN u = 'semanas' THEN concat(i * 7, '_dias') WHEN u = 'dias' THEN concat(i, '_dias') WHEN u = 'meses' THEN concat(i, CASE WHEN i = 1 THEN '_mes' ELSE '_meses' END) WHEN u = 'anos' THEN concat(i, CASE WHEN i = 1 THEN '_ano' ELSE '_anos' END) END AS "interval" FROM r""",
     **{f"detect_{k}": _detect_sql(k) for k in D.SETS},
+    "breast_derived": f"""WITH r AS MATERIALIZED (SELECT pilot_id, {X.sql_normalize('laudo')} AS T, l1_re, l1_rp, CASE WHEN l1_her2 IN ('3', '3+') THEN 'positivo' WHEN l1_her2 IN ('2', '2+') THEN 'equivoco' WHEN l1_her2 IN ('0', '0+', '1', '1+') THEN 'negativo' END AS h,
+      TRY_CAST(NULLIF(regexp_extract(l1_ki67, '^(\\d{{1,3}})$', 1), '') AS INTEGER) AS k FROM run_pilot), x AS (SELECT *, {D.TIPO_HIST.sql('T')[0]} AS tipo, COALESCE(l1_re = 'positivo' OR l1_rp = 'positivo', FALSE) AS pos, COALESCE(l1_re = 'negativo' AND l1_rp = 'negativo', FALSE) AS neg FROM r)
+      SELECT pilot_id, tipo, CASE WHEN tipo IN {_IN(D.INVASIVE)} THEN 'invasivo' WHEN tipo IN {_IN(D.IN_SITU)} THEN 'in_situ' WHEN tipo IN {_IN(D.BENIGN)} THEN 'benigno' END AS behavior,
+      CASE WHEN tipo IS NOT NULL THEN CASE WHEN tipo IN {_IN(D.INVASIVE)} THEN 'sim' ELSE 'nao' END END AS invasive, CASE WHEN tipo IS NOT NULL THEN CASE WHEN tipo IN {_IN(D.INVASIVE + D.IN_SITU)} THEN 'sim' ELSE 'nao' END END AS malignant,
+      {' + '.join(f"CAST(regexp_matches(T, '{p}') AS INTEGER)" for p in D.CYSTIC)} AS cystic, CASE WHEN pos AND h = 'positivo' THEN 'luminal_b_her2pos' WHEN pos AND h = 'negativo' THEN CASE WHEN k < 20 THEN 'luminal_a' WHEN k >= 20 THEN 'luminal_b_her2neg' ELSE 'luminal' END
+      WHEN neg AND h = 'positivo' THEN 'her2_enriched' WHEN neg AND h = 'negativo' THEN 'triplo_negativo' END AS subtype FROM x""",
+    "polyp_sizes": f"""WITH r AS MATERIALIZED {SQL_REPORTS}, m AS MATERIALIZED ({_SPANS(D.SIZE)}), own AS MATERIALIZED ({_SPANS(D.POLYP)}), oth AS MATERIALIZED ({_SPANS(D.OTHER)}),
+      k AS (SELECT m.pilot_id, {_MM} AS mm, COALESCE({_NEAR('own')}, -1) AS a, COALESCE({_NEAR('oth')}, -1) AS b, EXISTS (SELECT 1 FROM own WHERE own.pilot_id = m.pilot_id AND own.s >= m.e AND own.e <= m.e + 100) AS f,
+        substring(T, greatest(m.s - 30, 0) + 1, least(m.s, 30)) AS l30, substring(T, greatest(m.s - 15, 0) + 1, least(m.s, 15)) AS l15, substring(T, m.e + 1, 30) AS r30 FROM m JOIN r USING (pilot_id)),
+      g AS (SELECT pilot_id, max(mm) AS mm FROM k WHERE CASE WHEN a >= 0 OR b >= 0 THEN a > b ELSE f END AND NOT regexp_matches(l30, '{D.BOUND}') AND NOT regexp_matches(l15, '{D.NOISE}') AND NOT regexp_matches(r30, '{D.DISTANCE}') AND mm BETWEEN 0.5 AND 200 GROUP BY 1)
+      SELECT pilot_id, mm FROM r LEFT JOIN g USING (pilot_id)""",
 }

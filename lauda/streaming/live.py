@@ -26,12 +26,13 @@ def run_to_end(stream: DataFrame, target: str, each, mode: str = "append") -> No
     q.awaitTermination()
 
 
-def resolve_stream(spark: SparkSession, path: str, policies: DataFrame) -> DataFrame:
-    """Evidence resolved as it arrives, written once per (evidence_id), then read back.
+def resolve_stream(spark: SparkSession, path: str, policies: DataFrame, target: str | None = None) -> DataFrame:
+    """Evidence resolved as it arrives, then read back.
 
-    A batch is keyed by its id, so that a batch run again after a failure replaces itself.
+    A batch is keyed by its id, so that a batch run again after a failure replaces itself. With the
+    target of an earlier run only what has arrived since is read.
     """
-    target = shared_folder(spark, "resolved")
+    target = target or shared_folder(spark, "resolved")
     s = stream_table(spark, path).select("evidence_id", "variable", clean_value(F.col("value")).alias("value"), "status").join(maybe_broadcast(policies), "variable", "left")
     s = s.select("evidence_id", "variable", apply_policy(F.col("value"), F.col("status")).alias("r")).select("evidence_id", "variable", "r.*")
     run_to_end(s, target, lambda b, i: b.write.mode("overwrite").parquet(f"{target}/batch={i}"))

@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lauda.functions import derived as V2
 from lauda.functions import detectors as D
 from lauda.functions import text as X
 from lauda.functions.rules import Cascade
@@ -254,3 +255,38 @@ def test_dashboard(spark):
     pts = spark.createDataFrame([("c", "v", "r1", t, 0.5), ("c", "v", "r2", t + dt.timedelta(1), None), ("d", "v", "r3", t, 0.1)], "contract_id string, variable string, run_id string, started_at timestamp, fill_rate double")
     html = sinks.dashboard(pts, "T<", "c")
     assert "1 of 2" in html and "T&lt;" in html
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("polipo sessil de 5 mm em reto", 5.0), ("polipo de 5 mm e outro polipo de 1,2 cm", 12.0), ("ulcera de 20 mm. polipo medindo 4 mm", 4.0), ("3 mm, polipo em ceco", 3.0), ("tumor de 30 mm", None), ("polipo menor que 5 mm", None),
+        ("polipo com 7 x 5 x 3 mm", 7.0), ("polipo a 15 cm da borda anal", None), ("polipo de 900 mm", None), ("", None), ("sem medidas", None), ("polipo " + "x" * 300 + " 8 mm", None),
+    ],
+)
+def test_polyp_size(spark, text, want):
+    assert one(spark, V2.polyp_size(F.col("t")), t=text) == want
+
+
+def test_molecular_table(spark):
+    rows = [("positivo", None, "negativo", 19, "luminal_a"), ("negativo", "positivo", "negativo", 20, "luminal_b_her2neg"), ("positivo", "positivo", "positivo", 1, "luminal_b_her2pos"), ("positivo", None, "negativo", None, "luminal"),
+            ("negativo", "negativo", "positivo", 1, "her2_enriched"), ("negativo", "negativo", "negativo", 1, "triplo_negativo"), (None, None, "negativo", 1, None), ("positivo", None, "equivoco", 1, None), ("negativo", None, "negativo", 1, None)]
+    df = spark.createDataFrame(rows, "a string, b string, h string, k int, want string")
+    assert df.where(~V2.molecular_subtype(F.col("a"), F.col("b"), F.col("h"), F.col("k")).eqNullSafe(F.col("want"))).count() == 0
+    t = spark.createDataFrame([("CDIS", "in_situ", "nao", "sim"), ("CLI", "invasivo", "sim", "sim"), ("fibroadenoma", "benigno", "nao", "nao"), (None, None, None, None)], "t string, b string, i string, m string")
+    c = F.col("t")
+    assert t.where(V2.behavior_class(c).eqNullSafe(F.col("b")) & V2.invasive_malignancy(c).eqNullSafe(F.col("i")) & V2.malignancy_any(c).eqNullSafe(F.col("m"))).count() == 4
+
+
+def test_stream_resumes_where_it_ended(spark, tmp_path):
+    from lauda.streaming.live import resolve_stream
+
+    pol = spark.createDataFrame([("v", "enum", ["a"], None, None, None, None, None, None)], "variable string, onto_type string, vals array<string>, lo double, hi double, aliases map<string,string>, default_if_silent string, implicit_negative boolean, abstention_statuses array<string>")
+    put = lambda ids: spark.createDataFrame([(i, "v", "a" if i % 2 else "z", None) for i in ids], "evidence_id long, variable string, value string, status string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put(range(5))
+    first = resolve_stream(spark, str(tmp_path / "in"), pol, str(tmp_path / "out")).count()
+    put(range(5, 9))
+    for _ in range(2):  # the second time nothing has arrived
+        rows = resolve_stream(spark, str(tmp_path / "in"), pol, str(tmp_path / "out")).collect()
+    assert first == 5 and sorted(r["evidence_id"] for r in rows) == list(range(9))
+    assert {r["evidence_id"]: r["resolution"] for r in rows}[7] == "accepted_exact" and {r["evidence_id"]: r["resolution"] for r in rows}[8] == "escalated_case"
