@@ -21,9 +21,8 @@ from pyspark.sql import DataFrame
 
 #: Folder of the public vocabularies; a parameter, never copied.
 TOKENIZERS = "/opt/tokenizers"
+#: Ids of an empty text and of a NULL text: none, as a list, so that every row has ids.
 EMPTY_IDS: list[int] = []
-#: Ids of a NULL text; the query keeps NULL apart from the empty text.
-NULL_IDS = None
 
 LETTER, NUMBER, SPACE, OTHER, END = 0, 1, 2, 3, 4
 _BLOCK = 1 << 16
@@ -157,7 +156,7 @@ def encode_batch(texts: list[str], merger: Merger) -> list[tuple[list[int], list
 def encoded(documents: DataFrame, path: str | None = None, offsets: bool = False) -> DataFrame:
     """(doc_id, ids[, offsets]): the whole text of every document as token ids, without special tokens.
 
-    An empty text has the empty list, a NULL text NULL. Strings of special tokens are ordinary text.
+    An empty text and a NULL text have the empty list. Strings of special tokens are ordinary text.
     Texts of any length are encoded whole; repeated rows each get their row; nothing is shuffled.
     """
     path = path or os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")
@@ -169,9 +168,9 @@ def encoded(documents: DataFrame, path: str | None = None, offsets: bool = False
                 part = b.iloc[lo : lo + 500]
                 texts = [t if isinstance(t, str) else None for t in part.text]
                 got = encode_batch([t or "" for t in texts], merger)
-                d = pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "ids": [NULL_IDS if t is None else g[0] for t, g in zip(texts, got)]})
+                d = pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "ids": [g[0] if t else EMPTY_IDS for t, g in zip(texts, got)]})
                 if offsets:
-                    d["offsets"] = [None if t is None else g[1] for t, g in zip(texts, got)]
+                    d["offsets"] = [g[1] if t else EMPTY_IDS for t, g in zip(texts, got)]
                 yield d
 
     return documents.select("doc_id", "text").mapInPandas(apply, "doc_id long, ids array<int>" + (", offsets array<int>" if offsets else ""))

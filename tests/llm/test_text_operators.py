@@ -207,7 +207,7 @@ def test_ids_equal_the_public_library(spark):
     assert [g[0] for g in got] == [enc.encode_ordinary(t) for t in texts]
     df = spark.createDataFrame([(1, BASE, [7]), (2, "", [7]), (3, None, [7]), (3, None, [7])], "doc_id long, text string, ids array<int>")
     rows = {r["doc_id"]: r for r in K.encoded(df, offsets=True).collect()}
-    assert rows[2]["ids"] == [] and rows[3]["ids"] is None and K.decode(rows[1]["ids"]) == BASE
+    assert rows[2]["ids"] == [] and rows[3]["ids"] == [] and rows[3]["offsets"] == [] and K.decode(rows[1]["ids"]) == BASE
     assert K.encoded(df).count() == 4 and K.encoded(df.where("false")).count() == 0
     assert rows[1]["offsets"] == sorted(rows[1]["offsets"]) and rows[1]["offsets"][0] == 0
 
