@@ -42,14 +42,20 @@ def stratum_shares(cells: DataFrame, keys: list[str], strata: list[str]) -> Data
     return counts.join(total, [*keys, "stratum"]).select(*keys, "stratum", "bucket", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
 
 
-def adjudicate(items: DataFrame, members: DataFrame, taxonomy: DataFrame, shares: DataFrame) -> DataFrame:
+def pairs_with_share(cells: DataFrame, stratum: str) -> DataFrame:
+    """(variable, l1, l2, n, share): disagreement pairs with the share of their leading bucket, in one aggregation tree."""
+    per = cells.groupBy("variable", "l1", "l2", F.coalesce(F.col(stratum).cast("string"), F.lit("__missing__")).alias("bucket")).agg(F.count("*").alias("m"))
+    return per.groupBy("variable", "l1", "l2").agg(F.sum("m").alias("n"), F.round(F.max("m") / F.sum("m"), 6).alias("share"))
+
+
+def adjudicate(items: DataFrame, members: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Which pairs may become aliases: guards in order, the first that holds sends the pair to review.
 
-    items: (variable, l1, l2, n); members: (variable, vals); taxonomy: (variable, tags); shares: the
-    greatest stratum share of every pair.
+    items: (variable, l1, l2, n, share of the leading stratum bucket); members: (variable, vals);
+    taxonomy: (variable, tags).
     """
     c = F.col
-    x = items.join(maybe_broadcast(members), "variable", "left").join(maybe_broadcast(taxonomy), "variable", "left").join(shares, ["variable", "l1", "l2"], "left")
+    x = items.join(maybe_broadcast(members), "variable", "left").join(maybe_broadcast(taxonomy), "variable", "left")
     vals = F.coalesce("vals", F.array().cast("array<string>"))
     reason = (
         F.when(c("n") < MIN_COUNT, "count_below_threshold").when(F.array_contains(vals, c("l1")) & F.array_contains(vals, c("l2")), "canonical_value_inversion")

@@ -68,14 +68,10 @@ def gate_strata(spark, d):
     return G.stratum_shares(G.disagreements(_ev(spark, d)), ["variable", "l1", "l2"], ["clinica"])
 
 
-def _shares(spark, d):
-    return gate_strata(spark, d).groupBy("variable", "l1", "l2").agg(F.max("share").alias("share"))
-
-
 def auto_adjudicate(spark, d):
-    items = G.disagreements(_ev(spark, d)).groupBy("variable", "l1", "l2").agg(F.count("*").alias("n"))
+    items = G.pairs_with_share(G.disagreements(_ev(spark, d)), "clinica")
     members = table(spark, d, "ontology_spec").where("onto_type = 'enum'").groupBy("variable").agg(F.collect_set("canonical").alias("vals"))
-    return G.adjudicate(items, members, spark.createDataFrame(TAXONOMY, "variable string, tags array<string>"), _shares(spark, d))
+    return G.adjudicate(items, members, spark.createDataFrame(TAXONOMY, "variable string, tags array<string>"))
 
 
 def alias_patch_rerun(spark, d):

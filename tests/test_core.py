@@ -152,11 +152,10 @@ def test_spans_and_nearest(spark):
 
 
 def test_guards_of_adjudication(spark):
-    items = spark.createDataFrame([("v", "a", "b", 20), ("v", "a", "x", 9), ("v", "a", "y", 20), ("polipo_presente", "p", "q", 50), ("n", "1", "2", 50), ("v", "a", "z", 40)], "variable string, l1 string, l2 string, n long")
+    items = spark.createDataFrame([("v", "a", "b", 20, 0.1), ("v", "a", "x", 9, 0.1), ("v", "a", "y", 20, 0.71), ("polipo_presente", "p", "q", 50, 0.1), ("n", "1", "2", 50, 0.1), ("v", "a", "z", 40, 0.3)], "variable string, l1 string, l2 string, n long, share double")
     members = spark.createDataFrame([("v", ["a", "b"])], "variable string, vals array<string>")
     tags = spark.createDataFrame([("n", ["NUM-C"])], "variable string, tags array<string>")
-    shares = spark.createDataFrame([("v", "a", "y", 0.71), ("v", "a", "z", 0.3)], "variable string, l1 string, l2 string, share double")
-    got = {(r["variable"], r["l2"]): r["reason"] for r in G.adjudicate(items, members, tags, shares).collect()}
+    got = {(r["variable"], r["l2"]): r["reason"] for r in G.adjudicate(items, members, tags).collect()}
     assert got == {("v", "b"): "canonical_value_inversion", ("v", "x"): "count_below_threshold", ("v", "y"): "skew", ("polipo_presente", "q"): "canonical_binary_inversion", ("n", "2"): "numeric_variable", ("v", "z"): None}
 
 
