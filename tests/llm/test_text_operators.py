@@ -100,6 +100,16 @@ def test_mapping_is_learned_beyond_the_code_pages(lm):
     assert X.learn(ctx, tables, lm)["s"]["¤"] == "ã"
 
 
+def test_weak_bigrams_dont_overrule_a_code_page(spark):
+    """Between spaces a dash is likelier than a Greek letter; the page's reading stands, however often it occurs."""
+    df = spark.createDataFrame([("alto – baixo – medio –",)] * 60 + [("cadeia κ normal",)] * 30, "text string")
+    lm = CharModel(collect_model(count_trigrams(df, "text")))
+    for n in (5, 60, 5000):
+        assert X.learn([{"swap": "s", "symbol": "Îº", "l": " ", "r": " ", "n": n}], {"s": {"Îº": "κ"}}, lm)["s"]["Îº"] == "κ"
+    wrong = [{"swap": "s", "symbol": "¤", "l": "e", "r": "i", "n": 300}, {"swap": "s", "symbol": "¤", "l": "a", "r": "i", "n": 300}]
+    assert X.learn(wrong, {"s": {"¤": "ß"}}, lm)["s"]["¤"] in X.LETTERS
+
+
 # --- personal items
 
 
