@@ -94,7 +94,8 @@ def results_by_variable(spark, d):
     """Tall results stored by variable; one variable is read back without touching the others."""
     folder = W.shared_folder(spark, "results")
     W.write_results(table(spark, d, "evidence_record").select("evidence_id", "variable", "value", "resolution"), folder)
-    return spark.read.parquet(folder).where("variable = 'bethesda'").select("evidence_id", "value", "resolution")
+    schema = "evidence_id long, value string, resolution string, variable string"  # also where no file was written
+    return spark.read.schema(schema).parquet(folder).where("variable = 'bethesda'").select("evidence_id", "value", "resolution")
 
 
 def exact_ci(spark, d):
