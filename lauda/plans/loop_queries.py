@@ -40,6 +40,12 @@ def status_by_clinic(spark, d):
     return e.groupBy("resolution").pivot("ano", ["2021", "2022", "2023"]).count().na.fill(0)
 
 
+def status_by_clinic_all(spark, d):
+    """Cross table of status by clinic over all rows, in long form; missing ones of either are a bucket of their own."""
+    named = lambda c: F.coalesce(clean_value(F.col(c)), F.lit("None")).alias(c)
+    return _ev(spark, d).select(named("status"), named("clinica")).groupBy("status", "clinica").agg(F.count("*").alias("n"))
+
+
 def numeric_ranges(spark, d):
     """Range, upper median and distinct values of numeric variables."""
     e = _ev(spark, d).where(F.col("value_num").isNotNull() & ~F.isnan("value_num"))
