@@ -158,6 +158,19 @@ def hard_negatives(spark, d):
     return x.select("evidence_id", "variable", "overlap")
 
 
+def hard_negatives_all(spark, d):
+    """As hard_negatives, with every word of the escalated evidence as seed; cells that share none are left out.
+
+    Words are runs of letters and digits of any length. Matches are joined on the word and summed, so
+    the words of a variable never stand in one row; an evidence text counts each word once.
+    """
+    words = F.array_distinct(F.regexp_extract_all(normalize(F.col("evidence")), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
+    e = table(spark, d, "evidence_record").select("evidence_id", "variable", "resolution", F.explode(words).alias("word"))
+    seed = e.where("resolution = 'escalated_case'").select("variable", "word").distinct()
+    x = e.where("resolution LIKE 'accepted%'").join(maybe_broadcast(seed), ["variable", "word"]).groupBy("evidence_id", "variable").agg(F.count("*").cast("int").alias("overlap"))
+    return top_per_group(x, ["variable"], [F.desc("overlap"), F.col("evidence_id")], 20, "evidence_id").select("evidence_id", "variable", "overlap")
+
+
 def cluster_tags(spark, d):
     """Support and grounding of the second reader's values that the first one missed, and whether the ontology knows them."""
     e = table(spark, d, "evidence_record").select("variable", clean_value(F.col("value")).alias("v"), clean_value(F.col("ia")).alias("ia"), F.lower(F.coalesce("evidence", F.lit(""))).alias("t")).where("v IS NULL AND ia IS NOT NULL")
@@ -202,7 +215,7 @@ def streaming_windows(spark, d):
 
 
 _FUNCS = (contract_bands, contract_check, corpus_scan, text_csv_nulls, lines_last_wins, regression_load, manifest_scan, results_by_variable, exact_ci, reader_answers, identifier_lock, regression_gate, rule_impact,
-          skeleton_families, hard_negatives, cluster_tags, annotation_state, annotation_progress, sanitized_rates, drift_alerts, streaming_resolution, streaming_windows)
+          skeleton_families, hard_negatives, hard_negatives_all, cluster_tags, annotation_state, annotation_progress, sanitized_rates, drift_alerts, streaming_resolution, streaming_windows)
 QUERIES = {f.__name__: f for f in _FUNCS}
 
 _VARS = "(VALUES " + ", ".join(f"('{v.name}', {v.criticality}, [{', '.join(map(repr, v.ontology))}]::VARCHAR[])" for v in K.load_contract(CONTRACT).variables) + ") v(variable, criticality, ontology)"

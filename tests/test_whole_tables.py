@@ -16,3 +16,11 @@ def test_status_by_clinic_counts_every_row(spark, tmp_path):
     rows = [("ok", "C1", {"ano": "2019"}), ("ok", "C1", {"ano": "2022"}), ("ok", "C2", {}), (None, "C2", None), ("ok", None, {"ano": "2025"}), ("ok", "", {"ano": None})]
     d = folder(spark, tmp_path, "evidence_record", rows, "status string, clinica string, stratum map<string,string>")
     assert rows_of(spark, "status_by_clinic_all", d) == [("None", "C2", 1), ("ok", "C1", 2), ("ok", "C2", 1), ("ok", "None", 2)]
+
+
+def test_hard_negatives_take_every_seed_word(spark, tmp_path):
+    words = [f"palavra{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    common = [(i, "v", "escalated_case", " ".join(words[:40])) for i in range(3)]
+    rows = [*common, (3, "v", "escalated_case", " ".join(words[40:]) + " 12 cm"), (4, "v", "accepted_exact", " ".join(words[40:])), (5, "v", "accepted_semantic", f"{words[0]} {words[0]} 12 cm"), (6, "v", "accepted_exact", "nada igual"), (7, "v", "accepted_exact", None), (8, "w", "accepted_exact", words[0])]
+    d = folder(spark, tmp_path, "evidence_record", rows, "evidence_id long, variable string, resolution string, evidence string")
+    assert rows_of(spark, "hard_negatives_all", d) == [(4, "v", 20), (5, "v", 3)]
