@@ -55,18 +55,24 @@ def _leaves(schema: T.StructType) -> list[tuple[str, T.StructField, str]]:
     return out
 
 
-def unpivot_values(df: DataFrame, load: Column, table: str, columns: list[str] | None = None) -> DataFrame:
-    """(tbl, col, load, num, txt, n): how often each value of each column stands in each load."""
+def unpivot_values(df: DataFrame, load: Column, table: str, columns: list[str] | None = None, rules: dict[str, Column] | None = None) -> DataFrame:
+    """(tbl, col, load, num, txt, n, bad): how often each value of each column stands in each load.
+
+    rules: by label, true in a row where the column's value breaks its rule; bad counts these rows and
+    is NULL for a column without a rule.
+    """
+    rules = rules or {}
     cells = []
     for label, field, path in _leaves(df.schema):
         if columns and label not in columns:
             continue
         num, txt = _value(field, path)
-        cells.append(F.struct(F.lit(label).alias("col"), num.alias("num"), txt.alias("txt")))
+        bad = F.coalesce(rules[label], F.lit(False)).cast("long") if label in rules else F.lit(None).cast("long")
+        cells.append(F.struct(F.lit(label).alias("col"), num.alias("num"), txt.alias("txt"), bad.alias("bad")))
     long = df.select(load.alias("load"), F.explode(F.array(*cells)).alias("v"))
     return (
         long.groupBy(F.lit(table).alias("tbl"), F.col("v.col").alias("col"), "load", F.col("v.num").alias("num"), F.col("v.txt").alias("txt"))
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n"), F.sum("v.bad").alias("bad"))
     )
 
 
@@ -94,7 +100,8 @@ def profile_columns(counts: DataFrame) -> DataFrame:
     """Profile per (tbl, col, load) of the output of unpivot_values (several tables may be unioned).
 
     Columns: n, nulls, null_rate, n_distinct, min/max/q25/q50/q75 as numbers (`*_num`) or text
-    (`*_txt`), and ks: the exact Kolmogorov-Smirnov distance to the load before in which the column
+    (`*_txt`), violations and violation_rate (rows that break the column's rule, NULL and NaN ones too
+    where the rule says so; NULL without a rule), and ks: the exact Kolmogorov-Smirnov distance to the load before in which the column
     had values (NULL in its first). NULL, NaN and blank text count as nulls; a column without any
     value has NULL order statistics; an empty table gives no rows. Timestamps are profiled as
     microseconds. Repeated rows count each for itself; quantiles are the lower ones (disc).
@@ -103,10 +110,10 @@ def profile_columns(counts: DataFrame) -> DataFrame:
     base = counts.groupBy("tbl", "col", "load").agg(
         F.sum("n").alias("n"),
         F.sum(F.when(null, F.col("n")).otherwise(0)).alias("nulls"),
-        F.sum(F.when(null, 0).otherwise(1)).alias("n_distinct"),
+        F.sum(F.when(null, 0).otherwise(1)).alias("n_distinct"), F.sum("bad").alias("violations"),
         F.min("num").alias("min_num"), F.max("num").alias("max_num"), F.min("txt").alias("min_txt"), F.max("txt").alias("max_txt"),
     )
-    values = range_sorted(counts.where(~null).withColumn("load", F.coalesce("load", F.lit(""))), ["tbl", "col", "num", "txt"], ["load"])
+    values = range_sorted(counts.where(~null).drop("bad").withColumn("load", F.coalesce("load", F.lit(""))), ["tbl", "col", "num", "txt"], ["load"])
 
     def summarise(batches):
         total: dict = defaultdict(lambda: [0, 0])
@@ -181,18 +188,16 @@ def profile_columns(counts: DataFrame) -> DataFrame:
     joined = base.withColumn("load", F.coalesce("load", F.lit(""))).join(part, ["tbl", "col", "load"], "left")
     return joined.select(
         "tbl", "col", "load", "n", "nulls", F.round(F.col("nulls") / F.col("n"), 6).alias("null_rate"), "n_distinct",
+        "violations", F.round(F.col("violations") / F.col("n"), 6).alias("violation_rate"),
         "min_num", "max_num", F.col("q25").alias("q25_num"), F.col("q50").alias("q50_num"), F.col("q75").alias("q75_num"),
         "min_txt", "max_txt", F.col("q25s").alias("q25_txt"), F.col("q50s").alias("q50_txt"), F.col("q75s").alias("q75_txt"),
         F.round(F.when(F.col("is_first").isNull(), F.col("ks")), 6).alias("ks"),
     )
 
 
-def measure_cells(runs: DataFrame) -> DataFrame:
-    """Measures of run rows, unpivoted to one cell per (row, field), each with its fault.
-
-    fault is true where the value can't be right, false where it passes, NULL where the field's
-    condition (n_total > 0, n_both_filled > 0) doesn't apply.
-    """
+def measure_faults() -> dict[str, Column]:
+    """Fault of each measure of a run row: true where the value can't be right, false where it passes,
+    NULL where the field's condition (n_total > 0, n_both_filled > 0) doesn't apply."""
     d = lambda c: F.col(c).cast("double")
     bad_count = F.col("n_filled").isNull() | F.isnan(d("n_filled")) | (d("n_filled") < 0) | (d("n_filled") > d("n_total"))
     bad_count = F.coalesce(bad_count, F.lit(False))
@@ -203,12 +208,16 @@ def measure_cells(runs: DataFrame) -> DataFrame:
         bad = x.isNull() | F.isnan(x) | (x < 0) | (x > 1) | off
         return F.when(d(den) > 0, bad)
 
-    cell = lambda name, v, fault: F.struct(F.lit(name).alias("field"), d(v).alias("v"), fault.alias("fault"))
-    cells = F.array(
-        cell("n_filled", "n_filled", bad_count),
-        cell("fill_rate", "fill_rate", rate("fill_rate", "n_filled", "n_total", ~bad_count)),
-        cell("agreement_surface", "agreement_surface", rate("agreement_surface", "n_agree_both", "n_both_filled", F.col("n_agree_both").isNotNull())),
-    )
+    return {
+        "n_filled": bad_count,
+        "fill_rate": rate("fill_rate", "n_filled", "n_total", ~bad_count),
+        "agreement_surface": rate("agreement_surface", "n_agree_both", "n_both_filled", F.col("n_agree_both").isNotNull()),
+    }
+
+
+def measure_cells(runs: DataFrame) -> DataFrame:
+    """Measures of run rows, unpivoted to one cell per (row, field), each with its fault."""
+    cells = F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).cast("double").alias("v"), fault.alias("fault")) for k, fault in measure_faults().items()])
     return runs.select("manifest_row_id", "contract_id", "variable", "started_at", F.explode(cells).alias("c")).select(
         "manifest_row_id", "contract_id", "variable", "started_at", "c.*"
     )

@@ -4,20 +4,68 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lauda.operators.profile import faulty_measures, profile_columns, unpivot_values
+from lauda.functions.text import FALLBACK, SECTIONS, START
+from lauda.operators.policy import clean_value, compliant
+from lauda.operators.profile import faulty_measures, measure_faults, profile_columns, unpivot_values
 from lauda.operators.units import foreign_units, unit_history
+from lauda.session import maybe_broadcast
 from lauda.sources.tables import table
 
+# Codes of evidence_record, letter for letter.
+VOCABULARY = {
+    "section": (*(k for k, _ in SECTIONS), START, FALLBACK, "preparo"),
+    "certainty": ("high", "medium", "low"),
+    "evidence_class": ("literal", "lexical_alias", "ontology_alias", "bound", "silence_default"),
+    "resolution": ("accepted_exact", "accepted_semantic", "accepted_cross_verified", "abstained_unsupported", "abstained_source_incomplete", "abstained_by_consensus", "escalated_case", "escalated_policy"),
+}
+CODE, KEY = r"^[a-z][a-z0-9_]*$", r"^[A-Z]+-\d+$"
+PATTERNS = {"run_id": CODE, "variable": CODE, "id_registro": KEY, "clinica": KEY, "status": CODE, "scope_meta.detector_version": r"^v\d+(\.\d+)*$"}
+#: Control, format and replacement characters; line ends and tabs are ordinary.
+UNREADABLE = r"[\p{Cc}\p{Cf}\x{FFFD}&&[^\n\r\t]]"
+FIRST_YEAR, LAST_YEAR = 2000, 2100
+
+
+def evidence_rules():
+    """Rule of each column of evidence_record beside its policy: true where a value breaks it.
+
+    NULL and blank text break no rule, they are nulls of the profile; NaN does. A span of -1, -1 is none.
+    """
+    c, start, end = F.col, F.col("span_start"), F.col("span_end")
+    filled = lambda x: F.when(F.trim(x) != "", x)
+    half = (start.isNull() != end.isNull()) | ((start < 0) != (end < 0))
+    num = c("value_num")
+    rules = {k: ~filled(c(k)).isin(*words) for k, words in VOCABULARY.items()} | {k: ~filled(c(k)).rlike(p) for k, p in PATTERNS.items()}
+    rules |= {k: c(k).rlike(UNREADABLE) for k in ("evidence", "reason")}
+    rules |= {k: filled(c(k)).isNotNull() & clean_value(c(k)).isNotNull() & ~compliant(c(k)) for k in ("value", "ia", "normalized")}
+    rules |= {f"scope_meta.{k}": c(f"scope_meta.{k}") < 0 for k in ("chars_scanned", "hits_total", "explicit_negative_hits", "historical_hits")}
+    return rules | {
+        "evidence_id": c("evidence_id") < 0,
+        "stratum": ~F.coalesce(F.try_element_at("stratum", F.lit("ano")).rlike(r"^(19|20)\d\d$"), F.lit(True)) | (F.try_element_at("stratum", F.lit("clinica")) != c("clinica")),
+        "value_num": F.isnan(num) | num.isin(float("inf"), float("-inf")) | (num < 0) | (c("onto_type").isin("integer", "float") & ~num.between(c("lo"), c("hi"))),
+        "span_start": (start < -1) | half,
+        "span_end": (end < start) | (end < -1) | half,
+        "scope_meta.scope_complete": F.lit(False),
+        "scope_meta.sections_scanned": F.exists("scope_meta.sections_scanned", lambda x: ~x.isin(*VOCABULARY["section"])),
+        "scope_meta.pattern_families_run": F.exists("scope_meta.pattern_families_run", lambda x: ~x.rlike(CODE)),
+        "written_at": ~F.year("written_at").between(FIRST_YEAR, LAST_YEAR),
+    }
+
 
 def p3_found(spark, d):
     return faulty_measures(table(spark, d, "run_variable"))
 
 
 def p3_profile(spark, d):
-    """Profile of the measures of run_variable and of every column of evidence_record, per month of load."""
+    """Profile of the measures of run_variable and of every column of evidence_record, per month of load.
+
+    Violations are faults of the measures themselves (as in p3_found, without jumps) and values of
+    evidence_record that break the range, pattern or vocabulary of their column.
+    """
     month = lambda c: F.date_format(c, "yyyy-MM")
-    runs = unpivot_values(table(spark, d, "run_variable"), month("loaded_at"), "run_variable", ["fill_rate", "n_filled", "agreement_surface"])
-    ev = unpivot_values(table(spark, d, "evidence_record"), month("written_at"), "evidence_record")
+    runs = unpivot_values(table(spark, d, "run_variable"), month("loaded_at"), "run_variable", ["fill_rate", "n_filled", "agreement_surface"], measure_faults())
+    rules = evidence_rules()
+    known = table(spark, d, "ontology_spec").groupBy("variable").agg(F.min("onto_type").alias("onto_type"), F.collect_set("canonical").alias("vals"), F.min("range_min").alias("lo"), F.max("range_max").alias("hi"))
+    ev = unpivot_values(table(spark, d, "evidence_record").join(maybe_broadcast(known), "variable", "left"), month("written_at"), "evidence_record", list(rules), rules)
     return profile_columns(runs.unionByName(ev))
 
 
