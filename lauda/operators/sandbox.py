@@ -23,12 +23,13 @@ KEPT = "superficie regular irregular padrao vascular margem de com em".split()
 CLASSES = ((SUBJECT, "SUBJ"), (LESION, "LESION"), (SHOW, "SHOW"), (MEASURE, "MEASURE"), (CIRCA, "CIRCA"))
 
 
-def skeleton_tokens(t: Column, unit: str) -> Column:
+def skeleton_tokens(t: Column, unit: str | Column) -> Column:
     """Classes of the words of a normalised window: N for numbers, UNIT, word classes; other words are dropped."""
-    spaced = F.regexp_replace(F.regexp_replace(t, r"(\d)(" + unit + r")\b", "$1 $2"), r"[^a-z0-9/]+", " ")
+    u = F.lit(unit) if isinstance(unit, str) else unit
+    spaced = F.regexp_replace(F.regexp_replace(t, F.concat(F.lit(r"(\d)("), u, F.lit(r")\b")), F.lit("$1 $2")), r"[^a-z0-9/]+", " ")
 
     def cls(w):
-        out = F.when(w.rlike(r"^\d+$"), "N").when(w == unit, "UNIT")
+        out = F.when(w.rlike(r"^\d+$"), "N").when(w == u, "UNIT")
         for words, name in CLASSES:
             out = out.when(w.isin(words), name)
         return out.when(w.isin(KEPT), w)
@@ -55,12 +56,12 @@ def lane(t: Column) -> Column:
     return F.when(other, "negative").when(t.rlike(r"\d+\s*x\s*\d+"), "multidim").otherwise("positive")
 
 
-def families(windows: DataFrame, text: str, unit: str) -> DataFrame:
-    """(lane, family_id, skeleton, n) of windows with normalised text."""
+def families(windows: DataFrame, text: str, unit: str | Column, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, lane, family_id, skeleton, n) of windows with normalised text; the unit may be a column."""
     s = skeleton(skeleton_tokens(F.col(text), unit))
     x = windows.withColumn("lane", lane(F.col(text))).withColumn("skeleton", F.when(F.col("lane") == "positive", s).otherwise(""))
     fid = F.when(F.col("lane") != "positive", F.concat(F.lit("pf_"), "lane")).when(F.col("skeleton") == "", "pf_noanchor").otherwise(F.concat(F.lit("pf_"), F.substring(F.sha2("skeleton", 256), 1, 12)))
-    return x.withColumn("family_id", fid).groupBy("lane", "family_id", "skeleton").agg(F.count("*").alias("n"))
+    return x.withColumn("family_id", fid).groupBy(*keys, "lane", "family_id", "skeleton").agg(F.count("*").alias("n"))
 
 
 def rule_of(skel: str, unit: str = "mm") -> str:
@@ -102,8 +103,8 @@ def overlay(t: Column, baseline: Column, p: Proposal) -> Column:
     return F.coalesce(baseline, proposed(t, p))
 
 
-def regression_buckets(cases: DataFrame, baseline: Column, reference: Column, proposals: list[Proposal], text: str, ref: str) -> DataFrame:
-    """(case, rule_id, bucket): conform, pre_existing (wrong before too) or regressed, for every rule.
+def regression_buckets(cases: DataFrame, baseline: Column, reference: Column, proposals: list[Proposal], text: str, ref: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(case, keys, rule_id, bucket): conform, pre_existing (wrong before too) or regressed, for every rule.
 
     For invariance cases the expectation is the same rule's answer on the reference text; where both
     texts were silent before and only one answers now, the case counts as pre_existing and `gap` marks it.
@@ -117,7 +118,7 @@ def regression_buckets(cases: DataFrame, baseline: Column, reference: Column, pr
         gap = (F.col("kind") == "metamorphic_invariance") & baseline.isNull() & reference.isNull() & ~ok
         bucket = F.when(ok, "conform").when(gap | ~before, "pre_existing").otherwise("regressed")
         cells.append(F.struct(F.lit(p.rule_id).alias("rule_id"), bucket.alias("bucket"), gap.alias("gap")))
-    return cases.select("case_no", "kind", F.explode(F.array(*cells)).alias("c")).select("case_no", "kind", "c.*")
+    return cases.select("case_no", "kind", *keys, F.explode(F.array(*cells)).alias("c")).select("case_no", "kind", *keys, "c.*")
 
 
 @dataclass

@@ -117,8 +117,11 @@ def identifier_lock(spark, d):
 
 
 def _cases(spark, d):
-    c = table(spark, d, "regression_case").where("variable IN ('polipo_tamanho_max_mm', 'tumor_tamanho_max_mm')")
-    return c.select("case_no", "kind", "variable", "source", clean_value(F.col("expected_value")).alias("expected_value"), normalize(F.col("text")).alias("T"), normalize(F.col("reference_text")).alias("R"))
+    return _all_cases(spark, d).where("variable IN ('polipo_tamanho_max_mm', 'tumor_tamanho_max_mm')")
+
+
+def _all_cases(spark, d):
+    return table(spark, d, "regression_case").select("case_no", "kind", "variable", "source", clean_value(F.col("expected_value")).alias("expected_value"), normalize(F.col("text")).alias("T"), normalize(F.col("reference_text")).alias("R"))
 
 
 RULES = (B.Proposal("mm_any", "tamanho", r"(\d+(?:[.,]\d+)?)\s*mm\b"), B.Proposal("mm_guarded", "tamanho", r"(\d+(?:[.,]\d+)?)\s*mm\b", forbidden="pinca|agulha|aparelho"))
@@ -144,6 +147,28 @@ def rule_impact(spark, d):
     return g.select("rule_id", "n", "filled_before", "filled_after", "changed", F.round(F.col("most") / F.col("changed"), 6).alias("site_share"))
 
 
+def regression_gate_all(spark, d):
+    """Cases of every variable by rule and bucket."""
+    x = B.regression_buckets(_all_cases(spark, d), _baseline("T"), _baseline("R"), list(RULES), "T", "R", ("variable",))
+    return x.groupBy("rule_id", "variable", "kind", "bucket").agg(F.count("*").alias("n"))
+
+
+def rule_impact_all(spark, d):
+    """As rule_impact, over the cases of every variable; a rule that changes nothing has no site_share."""
+    cells = [F.struct(F.lit(p.rule_id).alias("rule_id"), _baseline("T").alias("a"), B.overlay(F.col("T"), _baseline("T"), p).alias("b")) for p in RULES]
+    x = _all_cases(spark, d).select("variable", "source", F.explode(F.array(*cells)).alias("c")).select("variable", "source", "c.*")
+    per = x.groupBy("rule_id", "variable", "source").agg(F.count("*").alias("n"), F.count("a").alias("before"), F.count("b").alias("after"))
+    g = per.groupBy("rule_id", "variable").agg(F.sum("n").alias("n"), F.sum("before").alias("filled_before"), F.sum("after").alias("filled_after"), F.max(F.col("after") - F.col("before")).alias("most"), F.sum(F.col("after") - F.col("before")).alias("changed"))
+    return g.select("rule_id", "variable", "n", "filled_before", "filled_after", "changed", F.round(F.try_divide("most", "changed"), 6).alias("site_share"))
+
+
+def skeleton_families_all(spark, d):
+    """Families of the cases of every variable, by its common unit; without one no word is a unit."""
+    units = table(spark, d, "ontology_spec").groupBy("variable").agg(F.min(normalize(F.col("unit"))).alias("unit"))
+    c = _all_cases(spark, d).join(maybe_broadcast(units), "variable", "left")
+    return B.families(c, "T", F.when(F.col("unit") != "", F.col("unit")).otherwise("-"), ("variable",))
+
+
 def skeleton_families(spark, d):
     return B.families(_cases(spark, d), "T", "mm")
 
@@ -215,6 +240,7 @@ def streaming_windows(spark, d):
 
 
 _FUNCS = (contract_bands, contract_check, corpus_scan, text_csv_nulls, lines_last_wins, regression_load, manifest_scan, results_by_variable, exact_ci, reader_answers, identifier_lock, regression_gate, rule_impact,
+          regression_gate_all, rule_impact_all, skeleton_families_all,
           skeleton_families, hard_negatives, hard_negatives_all, cluster_tags, annotation_state, annotation_progress, sanitized_rates, drift_alerts, streaming_resolution, streaming_windows)
 QUERIES = {f.__name__: f for f in _FUNCS}
 

@@ -52,3 +52,15 @@ def test_profile_counts_violations(spark, tmp_path):
     want = dict.fromkeys(one, 1) | {"value_num": 3, "span_start": 1, "span_end": 2, "ia": 2}
     assert {c: r["violations"] for (tbl, c), r in got.items() if tbl == "evidence_record" and r["violations"]} == want
     assert {c: r["violations"] for (tbl, c), r in got.items() if tbl == "run_variable"} == {"n_filled": 2, "fill_rate": 2, "agreement_surface": 1}
+
+
+def test_rules_see_the_cases_of_every_variable(spark, tmp_path):
+    rows = [(1, "synthetic_canary", "polipo_tamanho_max_mm", "LAB", "5", "polipo medindo 5 mm", None), (2, "synthetic_canary", "peca_peso_g", "LAB", None, "peca com margem de 3 mm", None), (3, "synthetic_canary", "peca_peso_g", "LAB", "20", "peca de 20g", None), (4, "synthetic_canary", None, "LAB", None, "nada", None)]
+    folder(spark, tmp_path, "regression_case", rows, "case_no long, kind string, variable string, source string, expected_value string, text string, reference_text string")
+    d = folder(spark, tmp_path, "ontology_spec", [("polipo_tamanho_max_mm", "mm"), ("peca_peso_g", "g")], "variable string, unit string")
+    got = [r for r in catalogue.QUERIES["regression_gate_all"](spark, d).collect() if r["rule_id"] == "mm_any"]
+    assert {(r["variable"], r["bucket"]): r["n"] for r in got} == {("polipo_tamanho_max_mm", "conform"): 1, ("peca_peso_g", "regressed"): 1, ("peca_peso_g", "pre_existing"): 1, (None, "conform"): 1}
+    got = {r["variable"]: tuple(r)[2:] for r in catalogue.QUERIES["rule_impact_all"](spark, d).collect() if r["rule_id"] == "mm_any"}
+    assert got == {"polipo_tamanho_max_mm": (1, 1, 1, 0, None), "peca_peso_g": (2, 0, 1, 1, 1.0), None: (1, 0, 0, 0, None)}
+    got = {(r["variable"], r["skeleton"]) for r in catalogue.QUERIES["skeleton_families_all"](spark, d).collect()}
+    assert got == {("polipo_tamanho_max_mm", "SUBJ MEASURE N UNIT"), ("peca_peso_g", "com margem de N"), ("peca_peso_g", "de N UNIT"), (None, "")}
