@@ -95,8 +95,8 @@ def test_profile_of_nothing(spark):
     ],
 )
 def test_reading_of_one_case(value, text, want):
-    n, f, where = read_case(value, text, "mm")
-    assert (None if f is None else (int(n * f * 1000), where)) == want
+    n, fs, where = read_case(value, text, "mm")
+    assert (None if not fs else (int(n * fs[0] * 1000), where)) == want
 
 
 def test_numbers_and_measures():
@@ -133,6 +133,51 @@ def test_history_is_the_same_for_any_partitioning(spark):
     got = []
     for n in ("1", "7"):
         spark.conf.set("spark.sql.shuffle.partitions", n)
-        got.append({r["case_no"]: r["level_factor"] for r in unit_history(cases(spark, rows), specs).collect()})
+        got.append({r["case_no"]: (r["level_factor"], r["segment_change"]) for r in unit_history(cases(spark, rows), specs).collect()})
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got[0] == got[1]
+
+
+def test_factors_of_any_size_and_zero(spark):
+    specs = spark.createDataFrame([("v", "cm", None), ("w", "kg", None), ("z", "g", None)], SPECS)
+    rows = [(i, "A", f"{5 + i} cm", None) for i in range(9)] + [(9, "A", "500 micra", None), (10, "A", "0 mm", None), (11, "A", "0", "0 mm"), (12, "A", "0", None)]
+    got = {tuple(r) for r in foreign_units(cases(spark, rows), specs).collect()}
+    assert got == {(9, 50), (10, 0), (11, 0)}
+    rows = [(i, "A", f"{1 + i} kg", None) for i in range(9)] + [(9, "A", "700000 mg", None), (10, "A", "3 mcg", None), (11, "A", "0 mg", None)]
+    df = cases(spark, rows).withColumn("variable", F.lit("w"))
+    assert {tuple(r) for r in foreign_units(df, specs).collect()} == {(9, 700), (10, 0), (11, 0)}
+
+
+def test_search_decides_between_units_of_the_text(spark):
+    """The same number with two units: the neighbours' level wins; without penalties the choice is another."""
+    specs = spark.createDataFrame([("v", "mm", None)], SPECS)
+    both = "margem de 3 mm, tumor de 3 cm"
+    rows = [(i, "A", "3", "mede 3 mm") for i in range(8)] + [(8, "A", "3", both)] + [(i, "B", "3", "mede 3 cm") for i in range(9, 17)] + [(17, "B", "3", both)]
+    got = {tuple(r) for r in foreign_units(cases(spark, rows), specs).collect()}
+    assert got == {(i, 30000) for i in [*range(9, 18)]}  # 8 stays in millimetres, 17 is in centimetres
+    assert {tuple(r) for r in foreign_units(cases(spark, rows), specs, penalty=0.0).collect()} != got
+
+
+def test_paths_are_those_of_the_whole_search():
+    """Matrices by halving, and paths settled on the way, against one search over all records at once."""
+    import numpy as np
+    import pandas as pd
+
+    from lauda.operators.units import SHIFT_PENALTY, Levels, Tracer, joined, min_plus
+
+    rng = random.Random(4)
+    levels = Levels([0.001, 1.0, 10.0, 25.4], 1.0, 0.4)
+    nums = [rng.choice([0.0, 0.5, 1.5, 15.0, 150.0, 15000.0]) for _ in range(200)]
+    stated = [rng.choice([[], [], [], [10.0], [1.0], [1.0, 10.0]]) for _ in nums]
+    costs = levels.costs(nums, stated)
+    shift = SHIFT_PENALTY * (1 - np.eye(4))
+    m = np.where(np.eye(4) > 0, costs[0], np.inf)
+    for c in costs[1:]:
+        m = (m[:, :, None] + shift[None]).min(axis=1) + c[None]
+    assert np.allclose(joined(min_plus(costs[:77]), min_plus(costs[77:])), m)
+    rows = pd.DataFrame({"case_no": range(200), "source": "A", "variable": "v", "num": nums, "factors": stated, "millis": [[int(1000 * f) for f in fs] for fs in stated], "stated": None})
+    t = Tracer(levels, None)
+    got = pd.concat([d for i in range(0, 200, 30) for d in t.add(rows.iloc[i : i + 30])] + list(t.end(None)), ignore_index=True)
+    at = [levels.at[f] for f in got.level_factor]
+    path = sum(costs[i, a] for i, a in enumerate(at)) + SHIFT_PENALTY * sum(a != b for a, b in zip(at, at[1:]))
+    assert got.case_no.tolist() == list(range(200)) and abs(path - m.min()) < 1e-6
