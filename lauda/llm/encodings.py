@@ -1,26 +1,32 @@
 """Garbled text from wrong character encoding: code-page swaps as substitution ciphers.
 
 A swap (text encoded in one code page, decoded in another) replaces every letter beyond ASCII by a
-symbol of one or more characters. Per source of swaps (the rows that read best under one swap) the
-symbol-to-letter mapping is learned by expectation-maximisation: the E step weighs the letters of a
-symbol by the bigrams with its neighbours in clean text, the M step re-estimates the mapping from
-all rows. The code pages only give the starting point. The learned mapping is applied with
-str.translate (symbols of one character) after replacing the longer ones, word by word, so that rows
-garbled in places keep their sound parts.
+symbol of one or more characters. Sources are the rows that read best under one known swap, and the rows
+that no known swap explains, by the script of their symbols. Per source the symbol-to-letter mapping is
+learned by expectation-maximisation: each symbol stands for one letter, whose probability follows from
+the bigrams of clean text with the neighbours of all its occurrences; neighbours that are symbols
+themselves count by their present probabilities, until these settle. No letter is given to two symbols.
+A code page is a prior of fixed weight that fades with the counts; a source without one is learned from
+the bigrams alone. The mapping is applied with str.translate (symbols of one character) after replacing
+the longer ones, word by word, so that rows garbled in places keep their sound parts.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lauda.llm.charlm import CharModel
 from lauda.llm.chars import LOOKALIKES, simple_form
+from lauda.session import reliable
 
 # The letters and signs beyond ASCII of ordinary texts in Portuguese, Spanish and English.
 LETTERS = "áàâãäçéèêëíìîïóòôõöúùûüñÁÀÂÃÄÇÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÑºª°µ±²³·–—•…“”‘’«»§®©×¿¡½¼¾≥≤αβγδκλμ"
@@ -33,12 +39,14 @@ DECODED = (
 GAIN, SURE = 3.0, 0.9
 #: In a row whose swap is known, an odd word is restored unless it reads worse by more than this.
 KEEP = -3.0
-#: Weight of a code page's reading when the mapping is learned: at least PRIOR, else this share of the
-#: symbol's count. It doesn't fade with the corpus: the bigrams overrule a page only where they favour
-#: another letter some forty to one at every occurrence (between spaces they can't tell a Greek letter
-#: from a dash), and alone decide symbols that no page gives.
-PRIOR, PRIOR_SHARE = 2.0, 0.95
+#: Log odds of a code page's reading before any count.
+PRIOR = 12.0
 ROUNDS = 12
+#: Log probability of a trigram that ordinary words don't have.
+RARE = -6.9
+#: A source without a code page is learned from so many occurrences of so many symbols at least, and a
+#: symbol of it from so many, if its letter leads by so much in log probability.
+LEAST, LEAST_SYMBOLS, SEEN, LEAD = 30, 4, 3, 2.0
 LOST = "�"
 #: Java class of characters that don't stand in ordinary text: candidates of garbling.
 SUSPECT = (
@@ -210,13 +218,65 @@ def candidates(texts: DataFrame, key: str, column: str) -> DataFrame:
     return texts.where(F.col(column).rlike(SUSPECT)).select(key, column)
 
 
-SYMBOLS = "swap string, symbol string, l string, r string, n long"
+SYMBOLS = "source string, symbol string, side string, other string, n long"
+#: Marks a neighbour that is a symbol itself.
+_SYM = "\x1f"
+_RUN = re.compile(r"[^\x00-\x7f]+")
+
+
+@lru_cache(maxsize=4096)
+def _led(leads: str) -> re.Pattern:
+    """Symbols of UTF-8 under a page: two characters after a known lead, else three."""
+    c = re.escape(leads)
+    return re.compile(rf"[{c}][^\x00-\x7f]|(?![{c}])[^\x00-\x7f]{{3}}")
+
+
+def unknown_source(words: list[str]) -> tuple[str, re.Pattern] | None:
+    """(name, pattern of its symbols) of the source of garbled words that no known swap explains.
+
+    The name is the width of its symbols and their script. Symbols are pairs (or triples after another
+    lead) where the runs beyond ASCII have a few leads and many second characters, as UTF-8 does; else
+    single characters. Ordinary letters alone aren't symbols of an unknown swap.
+    """
+    runs = [r for w in words for r in _RUN.findall(w)]
+    script = Counter(unicodedata.name(c, "CONTROL").split()[0] for r in runs for c in r if c not in LETTERS)
+    if not script:
+        return None
+    name, even = max(script, key=lambda k: (script[k], k)), [r for r in runs if len(r) % 2 == 0]
+    leads, seconds = {c for r in even for c in r[::2]}, {c for r in even for c in r[1::2]}
+    if leads and len(leads) <= 3 and len(seconds) >= max(3, 2 * len(leads)):
+        p = _led("".join(sorted(leads)))
+        if all(sum(map(len, p.findall(r))) == len(r) for r in runs):
+            return f"?2:{name}", p
+    return f"?1:{name}", _ONE
+
+
+def reads_well(word: str, lm: CharModel) -> bool:
+    """No trigram of the word is rarer than one in a thousand."""
+    w = "  ".join(("", "".join(map(lm.key, word)), ""))[1:-1]
+    return all(lm.trigram(*w[i : i + 3]) > RARE for i in range(len(w) - 2))
+
+
+def _sourced(r: Restorer, text: str):
+    """(source, its words, pattern of its symbols) of a row, or None."""
+    swap, _ = r.swap_of(text)
+    odd = [t for t in _TOKEN.findall(text) if ODD.search(t) and LOST not in t and _RUN.search(t)]
+    known = [t for t in odd if swap is not None and r.gains(t).get(swap, (0, t))[0] > GAIN]
+    if swap is not None and 2 * len(known) >= len(odd):
+        return swap, known, r.ciphers[swap].symbols
+    rest = [t for t in odd if not reads_well("".join(LOOKALIKES.get(c, c) for c in simple_form(t)), r.lm)]
+    source = unknown_source(rest)
+    return source and (source[0], rest, source[1])
+
+
+_ONE = re.compile(r"[^\x00-\x7f]")
 
 
 def symbol_contexts(rows: DataFrame, column: str, counts: dict[int, int], tables: dict) -> DataFrame:
-    """How often each symbol of each source of swaps stands between which neighbours (E-step counts).
+    """How often each symbol of each source stands beside which neighbour (what the E step needs).
 
-    Bounded by swaps x symbols x neighbours, whatever the number of rows.
+    side l: `other` is the character before the symbol; side r: the character after it, or the symbol
+    after it, marked. Bounded by sources x symbols x neighbours, whatever the number of rows.
     """
     shared = rows.sparkSession.sparkContext.broadcast((counts, tables))
 
@@ -225,77 +285,129 @@ def symbol_contexts(rows: DataFrame, column: str, counts: dict[int, int], tables
         r, n = Restorer(t, CharModel(c)), Counter()
         for b in batches:
             for text in b[column]:
-                swap, _ = r.swap_of(text)
-                if swap is None:
-                    continue
-                symbols = r.ciphers[swap].symbols
-                for tok in _TOKEN.findall(text):
-                    if r.gains(tok).get(swap, (0, tok))[0] > GAIN:
-                        tok = f" {tok} "
-                        ms = list(symbols.finditer(tok))
-                        for i, m in enumerate(ms):
-                            left = tok[m.start() - 1] if not i or ms[i - 1].end() != m.start() else "*"
-                            right = tok[m.end()] if i + 1 == len(ms) or ms[i + 1].start() != m.end() else "*"
-                            n[(swap, m[0], left, right)] += 1
-        yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["swap", "symbol", "l", "r", "n"])
-
-    return rows.select(column).mapInPandas(count, SYMBOLS).groupBy("swap", "symbol", "l", "r").agg(F.sum("n").alias("n"))
-
-
-def learn(contexts: list, tables: dict[str, dict[str, str]], lm: CharModel) -> dict[str, dict[str, str]]:
-    """Expectation-maximisation of P(letter | symbol) per source of swaps; symbols keep one sure letter."""
-    seen = defaultdict(lambda: defaultdict(list))
+                got = _sourced(r, text)
+                for tok in got[1] if got else ():
+                    tok = f" {tok} "
+                    ms = list(got[2].finditer(tok))
+                    for i, m in enumerate(ms):
+                        if not i or ms[i - 1].end() != m.start():
+                            n[(got[0], m[0], "l", tok[m.start() - 1])] += 1
+                        joins = i + 1 < len(ms) and ms[i + 1].start() == m.end()
+                        n[(got[0], m[0], "r", _SYM + ms[i + 1][0] if joins else tok[m.end()])] += 1
+        yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["source", "symbol", "side", "other", "n"])
+
+    return rows.select(column).mapInPandas(count, SYMBOLS).groupBy("source", "symbol", "side", "other").agg(F.sum("n").alias("n"))
+
+
+def _assign(score: np.ndarray) -> np.ndarray:
+    """A letter for each symbol, none twice: by the lead of the best first, then exchanges while they gain."""
+    n, k = score.shape
+    out, free = np.full(n, -1), np.ones(k, bool)
+    for s in np.argsort(np.sort(score, axis=1)[:, -2] - score.max(axis=1), kind="stable"):
+        if free.any():
+            out[s] = int(np.where(free, score[s], -np.inf).argmax())
+            free[out[s]] = False
+    has = np.flatnonzero(out >= 0)
+    for _ in range(10 * n):
+        own = score[has, out[has]]
+        cross = score[np.ix_(has, out[has])]
+        swap = cross + cross.T - own[:, None] - own[None]
+        move = np.where(free[None], score[has], -np.inf) - own[:, None]
+        if max(swap.max(initial=0), move.max(initial=0)) <= 1e-9:
+            break
+        if swap.max(initial=0) >= move.max(initial=0):
+            a, b = np.unravel_index(swap.argmax(), swap.shape)
+            out[has[a]], out[has[b]] = out[has[b]], out[has[a]]
+        else:
+            a, b = np.unravel_index(move.argmax(), move.shape)
+            free[out[has[a]]], free[b] = True, False
+            out[has[a]] = b
+    return out
+
+
+def learn(contexts: list, tables: dict[str, dict[str, str]], lm: CharModel, rounds: int = ROUNDS) -> dict[str, dict[str, str]]:
+    """Symbol -> letter of every source, by expectation-maximisation against the bigrams.
+
+    Starts from the code page, or for an unknown source from the letters' frequencies; rounds = 0 leaves
+    it there. Unknown sources with too few symbols are left out, so are their unsure symbols.
+    """
+    seen = defaultdict(list)
     for r in contexts:
-        seen[r["swap"]][r["symbol"]].append((r["l"], r["r"], r["n"]))
-    out = {}
-    for swap, table in tables.items():
-        learned = dict(table)
-        for symbol, ctx in seen.get(swap, {}).items():
-            start = table.get(symbol)
-            weight = max(PRIOR, PRIOR_SHARE * sum(n for *_, n in ctx))
-            p = {c: (PRIOR if c == start else 0.02) for c in LETTERS}
-            z = sum(p.values())
-            p = {c: x / z for c, x in p.items()}
-            for _ in range(ROUNDS):
-                new = {c: (weight if c == start else 0.0) for c in LETTERS}
-                for left, right, n in ctx:
-                    w = {}
-                    for c, x in p.items():
-                        if x < 1e-12:
-                            continue
-                        s = 0.0
-                        if left != "*":
-                            s += lm.bigram(lm.key(left), c)
-                        if right != "*":
-                            s += lm.bigram(c, lm.key(right))
-                        w[c] = x * math.exp(s)
-                    z = sum(w.values())
-                    if z > 0:
-                        for c, x in w.items():
-                            new[c] += n * x / z
-                z = sum(new.values())
-                p = {c: x / z for c, x in new.items()}
-            best = max(p, key=p.get)
-            if p[best] >= 0.5:
-                learned[symbol] = best
-        out[swap] = learned
+        seen[r["source"]].append(r)
+    letters = list(LETTERS)
+    into = lambda x: np.array([lm.bigram(lm.key(x), c) for c in letters])
+    out_of = lambda x: np.array([lm.bigram(c, lm.key(x)) for c in letters])
+    between = np.array([[lm.bigram(a, b) for b in letters] for a in letters])
+    frequent = np.log([lm.p1(c) for c in letters])
+    out = dict(tables)
+    for source, rows in seen.items():
+        table = tables.get(source)
+        symbols = sorted(set(table or ()) | {r["symbol"] for r in rows if table is None or r["symbol"] in table})
+        if table is None:
+            symbols = [x for x in symbols if not set(x) <= set(LETTERS)]
+        at = {x: i for i, x in enumerate(symbols)}
+        start, fixed = np.zeros((len(symbols), len(letters))), np.zeros((len(symbols), len(letters)))
+        pairs, count = np.zeros((len(symbols), len(symbols))), np.zeros(len(symbols))
+        if table is None:
+            start += frequent
+        else:
+            for x, c in table.items():
+                start[at[x], letters.index(c)] = PRIOR
+        cols: dict = {}
+        for r in rows:
+            i, other = at.get(r["symbol"]), r["other"]
+            if i is None:
+                continue
+            count[i] += r["n"] if r["side"] == "r" else 0
+            if other.startswith(_SYM):
+                if other[1:] in at:
+                    pairs[i, at[other[1:]]] += r["n"]
+                continue
+            col = cols.get((r["side"], other))
+            if col is None:
+                col = cols[(r["side"], other)] = into(other) if r["side"] == "l" else out_of(other)
+            fixed[i] += r["n"] * col
+        if table is None and (count.sum() < LEAST or (count > 0).sum() < LEAST_SYMBOLS):
+            continue
+        score = start if rounds == 0 else start + fixed
+        for k in range(rounds):
+            heat = max(1.0, 2.0 ** (4 - k))  # cools down, so that early guesses don't settle their neighbours
+            q = np.exp((score - score.max(axis=1, keepdims=True)) / heat)
+            q /= q.sum(axis=1, keepdims=True)
+            score = start + fixed + pairs @ (q @ between.T) + pairs.T @ (q @ between)
+        letter = _assign(score)
+        if table is not None:
+            out[source] = {x: letters[letter[i]] if letter[i] >= 0 else table[x] for x, i in at.items()}
+            continue
+        rest = score.copy()
+        got = {}
+        for x, i in at.items():
+            if letter[i] < 0 or count[i] < SEEN:
+                continue
+            rest[i, letter[i]] = -np.inf
+            rest[i, [a for s, a in enumerate(letter) if s != i and a >= 0 and count[s] > count[i]]] = -np.inf
+            if score[i, letter[i]] - rest[i].max() >= LEAD or rounds == 0:
+                got[x] = letters[letter[i]]
+        if got:
+            out[source] = got
     return out
 
 
 RESTORED = "restored string, swap string, lost int"
 
 
-def restored_texts(texts: DataFrame, key: str, column: str, counts: dict[int, int]) -> DataFrame:
+def restored_texts(texts: DataFrame, key: str, column: str, counts: dict[int, int], tables: dict | None = None, rounds: int = ROUNDS) -> DataFrame:
     """(key, restored, swap, lost) of every row with garbled text.
 
-    swap names the swap of the row, or 'lost' where only lost characters tell; lost counts the
+    swap names the swap of the row ('?...' for one that was learned without a code page), or 'lost' where
+    only lost characters tell; lost counts the
     characters whose letter isn't sure any more and stays as it is. NULL, empty and sound texts give
     no row; whole texts are read; repeated rows each give their row.
     """
-    rows = candidates(texts, key, column)
-    tables = swap_tables()
-    lm = CharModel(counts)
-    tables = learn(symbol_contexts(rows, column, counts, tables).collect(), tables, lm)
+    rows = reliable(candidates(texts, key, column))
+    tables = swap_tables() if tables is None else tables
+    # contexts: at most sources x symbols x neighbours
+    tables = learn(symbol_contexts(rows, column, counts, tables).collect(), tables, CharModel(counts), rounds)
     shared = texts.sparkSession.sparkContext.broadcast((counts, tables))
 
     def apply(batches):

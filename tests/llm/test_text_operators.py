@@ -13,7 +13,7 @@ from lauda.llm import tokenizer as K
 from lauda.llm import vocabulary as V
 from lauda.llm.charlm import CharModel, collect_model, count_trigrams
 from lauda.llm.chars import simple_form
-from lauda.llm.lookalikes import consistent_form, with_consistent_form
+from lauda.llm.lookalikes import consistent_form, needs_search, with_consistent_form
 
 BASE = (
     "INDICAÇÃO: Controle após procedimento anterior há 8 meses. MICROSCOPIA: Imunomarcação para β-catenina preservada em margem profunda. Relação núcleo-citoplasma conservada em células metaplásicas. "
@@ -93,21 +93,47 @@ def test_restored_rows(spark, counts):
     assert X.restored_texts(df.where("false"), "pilot_id", "laudo", counts).count() == 0
 
 
-def test_mapping_is_learned_beyond_the_code_pages(lm):
-    """A symbol that no code page gives is learned from its neighbours."""
-    tables = {"s": {"þ": "ç"}}
-    ctx = [{"swap": "s", "symbol": "¤", "l": "ç", "r": "o", "n": 40}, {"swap": "s", "symbol": "¤", "l": "s", "r": "o", "n": 9}, {"swap": "s", "symbol": "¤", "l": "n", "r": "o", "n": 5}]
-    assert X.learn(ctx, tables, lm)["s"]["¤"] == "ã"
+def contexts(source, symbol, beside):
+    return [{"source": source, "symbol": symbol, "side": side, "other": x, "n": n} for n, left, right in beside for side, x in (("l", left), ("r", right)) if x]
 
 
-def test_weak_bigrams_dont_overrule_a_code_page(spark):
-    """Between spaces a dash is likelier than a Greek letter; the page's reading stands, however often it occurs."""
+def test_letters_of_one_source_differ(spark):
+    """Between spaces a dash is likelier than a Greek letter; it has a symbol of its own, so the page's reading stands."""
     df = spark.createDataFrame([("alto – baixo – medio –",)] * 60 + [("cadeia κ normal",)] * 30, "text string")
-    lm = CharModel(collect_model(count_trigrams(df, "text")))
+    lm, page = CharModel(collect_model(count_trigrams(df, "text"))), X.swap_tables()["utf-8>cp1252"]
     for n in (5, 60, 5000):
-        assert X.learn([{"swap": "s", "symbol": "Îº", "l": " ", "r": " ", "n": n}], {"s": {"Îº": "κ"}}, lm)["s"]["Îº"] == "κ"
-    wrong = [{"swap": "s", "symbol": "¤", "l": "e", "r": "i", "n": 300}, {"swap": "s", "symbol": "¤", "l": "a", "r": "i", "n": 300}]
-    assert X.learn(wrong, {"s": {"¤": "ß"}}, lm)["s"]["¤"] in X.LETTERS
+        ctx = contexts("utf-8>cp1252", "Îº", [(n, " ", " ")]) + contexts("utf-8>cp1252", "â€“", [(3 * n, " ", " ")])
+        got = X.learn(ctx, {"utf-8>cp1252": page}, lm)["utf-8>cp1252"]
+        assert (got["Îº"], got["â€“"]) == ("κ", "–") and len(set(got.values())) == len(got)
+
+
+def test_a_code_page_fades(lm):
+    """Neighbours overrule a wrong page where they are many, not where they are few."""
+    for n, want in ((0, "κ"), (300, "ã")):
+        assert X.learn(contexts("s", "¤", [(n, "n", "o"), (n, "s", "o")]), {"s": {"¤": "κ"}}, lm)["s"]["¤"] == want
+
+
+@pytest.mark.parametrize("enc, dec, out", [("cp1252", "cp1251", ("cp1251",)), ("cp1252", "iso8859-13", ("iso8859-13", "cp1257")), ("utf-8", "cp866", ("cp866",))])
+def test_swaps_without_a_code_page_are_learned(spark, enc, dec, out):
+    """Pages held out of the list: nine in ten garbled words come back, and only with expectation-maximisation."""
+    reports = X.sound(spark.read.parquet("/root/testdata/sf0.01/run_pilot.parquet").where("laudo <> ''").select("pilot_id", "laudo"), "laudo")
+    counts = collect_model(count_trigrams(reports, "laudo"))
+    before = {r["pilot_id"]: r["laudo"] for r in reports.orderBy("pilot_id").limit(300).collect()}
+    bad = {i: garble(t, enc, dec) for i, t in before.items() if "?" not in t.encode(enc, "replace").decode(enc)}
+    held = {k: t for k, t in X.swap_tables().items() if not any(p in k for p in out)}
+    df = spark.createDataFrame(list(bad.items()), "pilot_id long, laudo string")
+    share = []
+    for rounds in (X.ROUNDS, 0):
+        after = {r["pilot_id"]: r["restored"] for r in X.restored_texts(df, "pilot_id", "laudo", counts, held, rounds).collect()}
+        words = [(w, x) for i, t in bad.items() for w, g, x in zip(before[i].split(" "), t.split(" "), after.get(i, t).split(" ")) if w != g]
+        share.append(sum(w == x for w, x in words) / len(words))
+    assert share[0] >= 0.9 and share[1] < 0.2
+
+
+def test_every_stand_in_meets_the_filter(spark):
+    odd = [(chr(i),) for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000 and simple_form(chr(i)) != chr(i)]
+    df = spark.createDataFrame(odd, "c string")
+    assert df.where(~needs_search("c")).collect() == []
 
 
 # --- personal items
