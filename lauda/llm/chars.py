@@ -21,10 +21,10 @@ FORMS = {"<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "<i
 ORDINARY = frozenset("ªºµ±≥≤–—•…´¨¸¯°²³¹¼½¾™")
 #: Java class of everything that may stand in for a plain character; used to keep clean rows in the JVM.
 SUSPECT = (
-    r"[\p{M}\p{Cf}\x{115F}\x{1160}\x{3164}\x{FFA0}\x{FB00}-\x{FB4F}\x{FE10}-\x{FE19}\x{FE30}-\x{FE6F}\x{FF00}-\x{FFEF}\x{2100}-\x{214F}\x{2150}-\x{218F}\x{2460}-\x{24FF}"
+    r"(?=[\x{80}-\x{10FFFF}])(?:[\p{M}\p{Cf}\x{115F}\x{1160}\x{3164}\x{FFA0}\x{FB00}-\x{FB4F}\x{FE10}-\x{FE19}\x{FE30}-\x{FE6F}\x{FF00}-\x{FFEF}\x{2100}-\x{214F}\x{2150}-\x{218F}\x{2460}-\x{24FF}"
     r"\x{3200}-\x{33FF}\x{1D400}-\x{1D7FF}\x{1EE00}-\x{1EEFF}\x{1F100}-\x{1F2FF}\x{1FBF0}-\x{1FBF9}"
     r"\x{037E}\x{0387}\x{1E9A}\x{1FEE}\x{1FEF}\x{1FFD}\x{20A8}\x{2329}\x{232A}\x{2ADC}\x{2E9F}\x{2EF3}\x{2F00}-\x{2FDF}\x{0890}\x{0891}\x{13430}-\x{1345F}\x{3038}-\x{303A}\x{FDFC}\x{1D15E}-\x{1D164}\x{1D1BB}-\x{1D1C0}]"
-    r"|[\p{Zs}&&[^ ]]|[\p{L}&&[^\p{IsLatin}ªºµ]]|[\x{0132}\x{0133}\x{013F}\x{0140}\x{0149}\x{01C4}-\x{01CC}\x{01F1}-\x{01F3}\x{017F}]"
+    r"|[\p{Zs}&&[^ ]]|[\p{L}&&[^\p{IsLatin}ªºµ]]|[\x{0132}\x{0133}\x{013F}\x{0140}\x{0149}\x{01C4}-\x{01CC}\x{01F1}-\x{01F3}\x{017F}])"
 )
 HANGUL_FILLERS = "ᅟᅠㅤﾠ"
 

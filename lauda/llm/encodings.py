@@ -50,10 +50,11 @@ LEAST, LEAST_SYMBOLS, SEEN, LEAD = 30, 4, 3, 2.0
 LOST = "�"
 #: Java class of characters that don't stand in ordinary text: candidates of garbling.
 SUSPECT = (
+    r"(?=[?\x{80}-\x{10FFFF}])(?:"  # passes plain characters by
     r"[\x{FFFD}\x{0080}-\x{009F}\x{2500}-\x{25A1}\x{2200}-\x{2263}\x{2266}-\x{22FF}\x{0100}-\x{02FF}\x{2018}-\x{201F}\x{2020}-\x{2021}\x{2026}\x{2030}-\x{2122}\x{2190}-\x{21FF}\x{25CA}\x{F8FF}\x{03A9}\x{03C0}]"
     r"|[\x{00A1}-\x{00BF}&&[^ªºµ±\x{00AD}]]|[ÄÅÆÈËÌÎÏÐÑÒÖ×ØÙÛÜÝÞßäåæèëìîïðñòöøùûüýþÿ÷]"
-    r"|[ÃÂ][^A-Z\s\p{Punct}ÁÀÂÃÇÉÊÍÓÔÕÚ]|\p{Ll}[\x{00C0}-\x{00DE}]|(?<!\p{L})[ÕÂÊÔÃÇ]\p{Ll}|\p{L}\?\p{L}|Î[\x{00A0}-\x{00BF}]|\?-\p{L}|(?<=\s)[õûâêôãçñ](?=\s)|[\x{0400}-\x{04FF}]"
-    r"|[\x{00C0}-\x{00DE}][\x{00DF}-\x{00FF}]|[A-Z][\x{00C0}-\x{00DE}]\p{Ll}|Ã[AIU]|(?<!\p{L})Á[mM](?!\p{L})"
+    r"|[ÃÂ][^A-Z\s\p{Punct}ÁÀÂÃÇÉÊÍÓÔÕÚ]|(?<=\p{Ll})[\x{00C0}-\x{00DE}]|(?<!\p{L})[ÕÂÊÔÃÇ]\p{Ll}|(?<=\p{L})\?\p{L}|Î[\x{00A0}-\x{00BF}]|\?-\p{L}|(?<=\s)[õûâêôãçñ](?=\s)|[\x{0400}-\x{04FF}]"
+    r"|[\x{00C0}-\x{00DE}][\x{00DF}-\x{00FF}]|(?<=[A-Z])[\x{00C0}-\x{00DE}]\p{Ll}|Ã[AIU]|(?<!\p{L})Á[mM](?!\p{L}))"
 )
 # Spaces and invisible characters stand for themselves; alone they are no symbol of a swap.
 NO_SYMBOL = frozenset("\xa0\xad")
