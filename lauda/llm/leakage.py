@@ -1,10 +1,12 @@
 """Evaluation texts leaking into training text: size-partitioned MinHash containment, verified exactly.
 
-Every window of RUN words has a MinHash: the least hash of its five-word shingles. Equal windows have
-equal MinHashes, so a document that shares a run with an item always meets it: no link is lost.
-Items are partitioned by size; a partition's containment threshold is one window of its largest item,
-and short items get an index of their own in long documents. Candidates are verified by exact shingle
-containment, first by hash, then word by word.
+The unit of the search is the window of RUN words, since a leak is that many words in a row however long
+item and document are. The signature of a window is its SIGNATURE MinHashes: the least of its five-word
+shingles under as many hash functions. Equal windows have equal signatures, so a document that holds a
+run of an item always meets it: no link is lost. Items are partitioned by size; the longer the items of
+a partition, the more of the signature makes up its lookup key (long items have more windows to meet by
+chance). The containment that a partition asks for is one window of its longest item. Candidates are
+verified by exact shingle containment, first by hash, then word by word.
 """
 
 from __future__ import annotations
@@ -19,12 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lauda.session import collect_bounded
+from lauda.session import maybe_broadcast, reliable
 
 RUN = 12
 SHINGLE = 5
-#: Up to this many items the index is sent to every executor; more are joined on their MinHashes.
-MAX_ITEMS = 20_000
+SIGNATURE = 3
+#: Up to this many characters of items the index is sent to every executor; more are joined on their MinHashes.
+MAX_CHARS = 16 << 20
+#: In the join, windows that stand in more documents than HOT are spread over SALTS keys.
+HOT, SALTS = 100_000, 32
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile("[̀-ͯ᪰-᫿⃐-⃿]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -70,15 +75,32 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
         return g * _Q
 
 
-def window_hashes(h: np.ndarray) -> np.ndarray:
-    """MinHash of each window of RUN words over its shingles."""
+def signatures(h: np.ndarray) -> np.ndarray:
+    """Signature of each window of RUN words: its MinHashes over its shingles, one row a hash function."""
     s = grams(h, SHINGLE)
     m = len(h) - RUN + 1
     if m <= 0:
-        return np.empty(0, np.uint64)
-    out = s[:m].copy()
-    for i in range(1, RUN - SHINGLE + 1):
-        np.minimum(out, s[i : i + m], out=out)
+        return np.empty((SIGNATURE, 0), np.uint64)
+    out = np.empty((SIGNATURE, m), np.uint64)
+    n = RUN - SHINGLE + 1
+    for k in range(SIGNATURE):
+        with np.errstate(over="ignore"):
+            x = (s ^ (np.uint64(k) * _P)) * _Q if k else s
+        w = 1
+        while 2 * w <= n:  # least of the next 2, 4, 8 ... shingles
+            x = np.minimum(x[:-w], x[w:])
+            w *= 2
+        out[k] = x[:m] if w == n else np.minimum(x[:m], x[n - w : n - w + m])
+    return out
+
+
+def keys(sig: np.ndarray, rows: int) -> np.ndarray:
+    """Lookup key of each window: the first rows of its signature, mixed."""
+    out = sig[0].copy()
+    with np.errstate(over="ignore"):
+        for k in range(1, rows):
+            out = (out * _P) ^ sig[k]
+            out ^= out >> np.uint64(29)
     return out
 
 
@@ -87,58 +109,69 @@ def size_class(n_words: int) -> int:
     return int(np.log2(n_words / RUN))
 
 
+def rows_of(part: int) -> int:
+    """How much of the signature is the key of a partition."""
+    return min(1 + part, SIGNATURE)
+
+
 class ItemIndex:
-    """MinHashes of the items' windows by size partition, and the exact windows behind them."""
+    """Keys of the items' windows by size partition, and the exact windows behind them."""
 
     def __init__(self, items: list[tuple[int, str]]):
         hashes, parts = WordHashes(), defaultdict(set)
         self.exact: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.words: dict[int, list[str]] = {}
-        for item, text in items:
+        self.words: list[list[str]] = []
+        self.ids: list[int] = []
+        for item, text in items:  # items with one id stay apart: each is an entry
             ws = words(text)
             if len(ws) < RUN:
                 continue
-            h = hashes(ws)
-            self.words[item] = ws
-            parts[size_class(len(ws))].update(window_hashes(h).tolist())
+            h, p = hashes(ws), size_class(len(ws))
+            parts[p].update(keys(signatures(h), rows_of(p)).tolist())
             for i, g in enumerate(grams(h, RUN).tolist()):
-                self.exact[g].append((item, i))
+                self.exact[g].append((len(self.ids), i))
+            self.words.append(ws)
+            self.ids.append(item)
         self.parts = {p: np.array(sorted(x), np.uint64) for p, x in parts.items()}
 
-    def candidates(self, w: np.ndarray) -> np.ndarray:
-        """Positions whose window MinHash stands in any size partition."""
-        hit = np.zeros(len(w), bool)
-        for sorted_hashes in self.parts.values():
-            at = np.minimum(np.searchsorted(sorted_hashes, w), len(sorted_hashes) - 1)
-            hit |= sorted_hashes[at] == w
+    def candidates(self, sig: np.ndarray) -> np.ndarray:
+        """Positions of the windows whose key stands in a size partition."""
+        hit, by_rows = np.zeros(sig.shape[1], bool), {}
+        for p, known in self.parts.items():
+            r = rows_of(p)
+            if r not in by_rows:
+                by_rows[r] = keys(sig, r)
+            at = np.minimum(np.searchsorted(known, by_rows[r]), len(known) - 1)
+            hit |= known[at] == by_rows[r]
         return np.flatnonzero(hit)
 
     def found(self, ws: list[str], h: np.ndarray) -> set[int]:
-        pos = self.candidates(window_hashes(h))
+        """Ids of the items of which a window stands in a text."""
+        pos = self.candidates(signatures(h))
         if not len(pos):
             return set()
         g, out = grams(h, RUN), set()
         for i in pos.tolist():
-            for item, j in self.exact.get(int(g[i]), ()):
-                if item not in out and ws[i : i + RUN] == self.words[item][j : j + RUN]:
-                    out.add(item)
+            for k, j in self.exact.get(int(g[i]), ()):
+                if self.ids[k] not in out and ws[i : i + RUN] == self.words[k][j : j + RUN]:
+                    out.add(self.ids[k])
         return out
 
 
-def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """(doc_id, item_id): at least RUN consecutive words of the item stand consecutively in the document.
 
     NULL, empty and short texts give no rows, on either side; texts of any length are searched whole;
-    repeated items and documents each give their rows; no items give an empty result.
+    a document that stands twice gives its rows twice, an item that stands twice its row once; no items
+    give an empty result.
     """
-    items = items.select(F.col("item_id"), F.col("text"))
-    rows = collect_bounded(items, MAX_ITEMS)
-    if rows is None:
+    items = items.select("item_id", "text").where("text IS NOT NULL")
+    if (items.agg(F.sum(F.length("text") + 16).alias("n")).first()["n"] or 0) > max_chars:
         return _by_join(documents, items)
-    shared = documents.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows])
+    shared = documents.sparkSession.sparkContext.broadcast(ItemIndex([tuple(r) for r in items.collect()]))  # at most max_chars
 
     def search(batches):
-        index, hashes = ItemIndex(shared.value), WordHashes()
+        index, hashes = shared.value, WordHashes()
         for b in batches:
             out = []
             for doc, text in zip(b.doc_id, b.text):
@@ -151,7 +184,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _windows(df: DataFrame, key: str) -> DataFrame:
-    """(key, part, w, g): every distinct window of a text: MinHash w and exact hash g."""
+    """(key, w, g): every distinct window of a text: MinHash w and exact hash g."""
 
     def cut(batches):
         hashes = WordHashes()
@@ -161,17 +194,27 @@ def _windows(df: DataFrame, key: str) -> DataFrame:
                 ws = words(text)
                 if len(ws) >= RUN:
                     h = hashes(ws)
-                    out += [(k, *x) for x in {(int(a), int(c)) for a, c in zip(window_hashes(h).astype(np.int64), grams(h, RUN).astype(np.int64))}]
+                    w, g = keys(signatures(h), SIGNATURE).astype(np.int64), grams(h, RUN).astype(np.int64)
+                    out += [(k, *x) for x in set(zip(w.tolist(), g.tolist()))]
             yield pd.DataFrame(out, columns=[key, "w", "g"])
 
     return df.select(key, "text").mapInPandas(cut, f"{key} long, w long, g long")
 
 
-def _by_join(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """The same for more items than MAX_ITEMS: windows meet on their MinHash, pairs are verified on the texts."""
+def _by_join(documents: DataFrame, items: DataFrame, hot: int = HOT) -> DataFrame:
+    """The same for items of any number: windows meet on their signatures, pairs are verified on the texts.
+
+    A window that stands in very many documents (a stock phrase) is split: its documents by their hash,
+    its items repeated for every part.
+    """
+    documents, items = documents.select("doc_id", "text"), items.select("item_id", "text")
     mine = _windows(items, "item_id")
-    theirs = _windows(documents, "doc_id").join(mine.select("w").distinct(), "w", "left_semi")
-    pairs = theirs.join(mine, ["w", "g"]).select("doc_id", "item_id").distinct()
+    theirs = reliable(_windows(documents, "doc_id").join(mine.select("w").distinct(), "w", "left_semi"))
+    heavy = maybe_broadcast(theirs.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("w", F.lit(SALTS).alias("parts")))
+    n = F.coalesce("parts", F.lit(1))
+    left = theirs.join(heavy, "w", "left").select("doc_id", "w", "g", F.pmod(F.xxhash64("doc_id"), n).alias("part"))
+    right = mine.join(heavy, "w", "left").select("item_id", "w", "g", F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)).alias("part"))
+    pairs = left.join(right, ["w", "g", "part"]).select("doc_id", "item_id").distinct()
     both = pairs.join(documents.select("doc_id", F.col("text").alias("doc_text")), "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id")
 
     def verify(batches):

@@ -260,7 +260,7 @@ def leak_brute(docs, items):
     return out
 
 
-def test_leaks_equal_brute_force(spark, monkeypatch):
+def test_leaks_equal_brute_force(spark):
     rng = random.Random(9)
     vocab = [f"w{i}" for i in range(25)] + ["Ação", "acao", "É"]
     items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([5, 11, 12, 20, 60, 130])))) for i in range(30)] + [(90, None), (91, ""), (92, "um dois")]
@@ -277,12 +277,22 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     ii = spark.createDataFrame([(*x, 0) for x in items], "item_id long, text string, doc_id int")
     want = leak_brute(docs, items)
     assert len(want) > 12 and {tuple(r) for r in L.leaks(dd, ii).collect()} == want
-    monkeypatch.setattr(L, "MAX_ITEMS", 2)
-    assert {tuple(r) for r in L.leaks(dd, ii).collect()} == want
-    monkeypatch.undo()
+    assert {tuple(r) for r in L.leaks(dd, ii, max_chars=0).collect()} == want
+    assert {tuple(r) for r in L._by_join(dd, ii, hot=1).collect()} == want  # every window split
     assert L.leaks(dd.where("false"), ii).count() == 0 and L.leaks(dd, ii.where("false")).count() == 0
 
 
+def test_signatures_of_equal_windows_are_equal():
+    rng = random.Random(2)
+    w = [f"w{rng.randrange(9)}" for _ in range(60)]
+    h = L.WordHashes()(w)
+    sig, s = L.signatures(h), L.grams(h, L.SHINGLE)
+    assert sig.shape == (L.SIGNATURE, 60 - L.RUN + 1) and all(sig[0, i] == s[i : i + L.RUN - L.SHINGLE + 1].min() for i in range(sig.shape[1]))
+    alone = L.signatures(h[7 : 7 + L.RUN])
+    assert (alone[:, 0] == sig[:, 7]).all() and all((L.keys(alone, r)[0] == L.keys(sig, r)[7]) for r in range(1, L.SIGNATURE + 1))
+    assert [L.rows_of(L.size_class(n)) for n in (12, 23, 24, 48, 960)] == [1, 1, 2, 3, 3]
+
+
 # --- reading level
 
 
