@@ -3,13 +3,17 @@
 A word is familiar if it stands among the most widespread words of its language, counted in documents
 over the whole corpus; nested lists of several lengths tell degrees of familiarity. The level is a
 linear formula of the shares of words outside the lists and the average sentence length; its weights
-are fitted to readers' levels by least squares on sums over all labelled rows.
+are fitted to readers' levels by ridge regression on moments over all labelled rows, with one formula at
+any number of labels.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from bisect import bisect_left
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lauda.operators.units import fold
 from lauda.session import reliable
 
 #: Lengths of the nested lists of familiar words per language; bounded, whatever the corpus.
@@ -26,31 +29,46 @@ FAMILIAR = LISTS[-1]
 #: The list that the reported share and the published formula use.
 MAIN = 150
 LANGUAGES = ("pt", "es", "en")
-#: Published weights of the familiar-word formula (share in percent, words a sentence), used without labels.
-BASE = (0.1579, 0.0496, 3.6365)
+#: Published weights of the familiar-word formula (share in percent, words a sentence), and the grades that
+#: its tables call easiest and hardest: used for `grade`, and for `level` without labels.
+BASE, SCALE = (0.1579, 0.0496, 3.6365), (4.9, 9.9)
+#: Ridge penalties to choose from, in labelled rows.
+PENALTIES = (0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0)
 # Function words that tell the language of a text.
 FUNCTION_WORDS = {
     "pt": frozenset("que nao de do da em um uma os as com para por se no na ao dos das e foi sao mais como".split()),
     "es": frozenset("que no de del la en un una los las con para por se el al es fue son mas como y".split()),
     "en": frozenset("the of and to in a is that for it with was on are be this by not or from as".split()),
 }
+@lru_cache(maxsize=1)
+def _marks() -> re.Pattern:
+    """Class of all combining characters."""
+    at = [i for i in range(0x300, 0x110000) if unicodedata.combining(chr(i))]
+    cut = [i for i, c in enumerate(at) if not i or c != at[i - 1] + 1] + [len(at)]
+    return re.compile("[" + "".join(f"{chr(at[i])}-{chr(at[j - 1])}" for i, j in zip(cut, cut[1:])) + "]+")
+
+
+def folded(text: str) -> str:
+    """Without accents and case."""
+    return (text if text.isascii() else _marks().sub("", unicodedata.normalize("NFKD", text))).lower()
+
+
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_LETTER = re.compile(r"[^\W\d_]")
 _SENTENCE = re.compile(r"[.!?…]+(?=\s|$)|\n+")
 #: Distinct (language, word) pairs that a task counts before it passes them on.
 FLUSH = 200_000
 
 
-def read_words(text: str | None) -> tuple[str | None, list[str]]:
-    """(language, words) of a text: words without case and accents, so that accent-free texts read alike.
+def read_words(text: str | None) -> tuple[str | None, Counter]:
+    """(language, word counts) of a text: words without case and accents, so that accent-free texts read alike.
 
     The language is the one whose function words are most frequent; ties go to pt, es, en in turn.
     """
-    if not isinstance(text, str):
-        return None, []
-    ws = _WORD.findall(fold(text))
+    ws = Counter(_WORD.findall(folded(text))) if isinstance(text, str) else Counter()
     if not ws:
-        return None, []
-    n = {k: sum(w in v for w in ws) for k, v in FUNCTION_WORDS.items()}
+        return None, ws
+    n = {k: sum(ws[w] for w in v) for k, v in FUNCTION_WORDS.items()}
     return max(LANGUAGES, key=n.get), ws
 
 
@@ -65,7 +83,7 @@ def document_frequencies(documents: DataFrame) -> DataFrame:
         for b in batches:
             for text in b.text:
                 lang, ws = read_words(text)
-                c.update((lang, w) for w in set(ws))
+                c.update((lang, w) for w in ws)
                 if len(c) > FLUSH:
                     yield rows(c)
                     c = Counter()
@@ -95,7 +113,7 @@ def measures(documents: DataFrame) -> DataFrame:
     NULL, empty and wordless texts have 0 words and NULL measures.
     """
     rows = familiar_words(documents).collect()  # at most FAMILIAR words a language
-    shared = documents.sparkSession.sparkContext.broadcast({k: {r["word"]: r["r"] for r in rows if r["language"] == k} for k in LANGUAGES})
+    shared = documents.sparkSession.sparkContext.broadcast({k: {r["word"]: bisect_left(LISTS, r["r"]) for r in rows if r["language"] == k} for k in LANGUAGES})
 
     def apply(batches):
         for b in batches:
@@ -105,55 +123,77 @@ def measures(documents: DataFrame) -> DataFrame:
                 if not ws:
                     out.append((doc, None, 0, 0, None, None))
                     continue
-                known = shared.value[lang]
-                ranks = np.sort([known.get(w, FAMILIAR + 1) for w in ws])
-                shares = (1 - np.searchsorted(ranks, LISTS, "right") / len(ws)).tolist()
-                n = max(1, sum(1 for x in _SENTENCE.split(text) if _WORD.search(x)))
-                out.append((doc, lang, len(ws), n, shares, len(ws) / n))
+                known, total = shared.value[lang], ws.total()
+                hits = [0] * len(LISTS)
+                for w, n in ws.items():
+                    r = known.get(w)
+                    if r is not None:
+                        hits[r] += n
+                shares = (1 - np.cumsum(hits) / total).tolist()
+                n = max(1, sum(1 for x in _SENTENCE.split(text) if _LETTER.search(x)))
+                out.append((doc, lang, total, n, shares, total / n))
             yield pd.DataFrame(out, columns=["doc_id", "language", "n_words", "n_sentences", "unfamiliar", "asl"])
 
     return documents.select("doc_id", "text").mapInPandas(apply, MEASURES)
 
 
-def _terms(lists: tuple[int, ...] = LISTS) -> list:
-    """The formula's terms: logarithm of the average sentence length, its square, shares outside the lists."""
-    s, u = F.log(F.col("asl") + 1), [F.col("unfamiliar")[LISTS.index(n)] for n in lists]
-    return [F.lit(1.0), s, s * s, *u, *(x * s for x in u)]
+def _terms() -> list:
+    """The formula's terms: logarithm of the average sentence length, its square, shares outside the lists, their products."""
+    s, u = F.log(F.col("asl") + 1), [F.col("unfamiliar")[i] for i in range(len(LISTS))]
+    return [s, s * s, *u, *(x * s for x in u)]
 
 
-def fit(measured: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list] | None:
-    """(weights, terms) by least squares from the normal equations, summed over all labelled rows.
+def ridge(n: float, mean: np.ndarray, cov: np.ndarray, y: float, cross: np.ndarray, var: float) -> tuple[float, np.ndarray]:
+    """(intercept, weights) of a ridge formula from the moments of its terms and of the labels.
 
-    Fewer than ten labels a term leave only the main list; fewer than that give no formula (None).
+    Terms are scaled to unit variance; the penalty is the one of PENALTIES with the least generalised
+    cross-validation error, so few labels give smooth formulas and one label its own level for all.
     """
+    sd = np.sqrt(np.maximum(np.diag(cov), 0))
+    use = sd > 1e-9
+    w = np.zeros(len(sd))
+    if use.any() and var > 1e-12:
+        sd = sd[use]
+        e, q = np.linalg.eigh(cov[np.ix_(use, use)] / np.outer(sd, sd))
+        e, c = np.maximum(e, 0), q.T @ (cross[use] / sd)
+        best = np.inf
+        for p in PENALTIES:
+            b = c / (e + p / n)
+            rest, free = var - 2 * b @ c + (b * b) @ e, n - 1 - (e / (e + p / n)).sum()
+            error = max(rest, 0.0) / max(free, 1e-3) ** 2
+            if error < best:
+                best, w[use] = error, (q @ b) / sd
+    return float(y - w @ mean), w
+
+
+def fit(measured: DataFrame, labels: DataFrame) -> tuple[float, np.ndarray] | None:
+    """(intercept, weights of the terms) fitted to all labelled rows, of any number; None without any."""
     rows = measured.where("n_words > 0").join(labels.where("nivel IS NOT NULL").select("doc_id", F.col("nivel").cast("double").alias("y")), "doc_id")
-    x = _terms()
+    x = [*_terms(), F.col("y")]
     n = len(x)
-    sums = [F.sum(a * b).alias(f"a{i}_{j}") for i, a in enumerate(x) for j, b in enumerate(x) if j >= i] + [F.sum(a * F.col("y")).alias(f"b{i}") for i, a in enumerate(x)]
+    sums = [F.count("*").alias("n"), *[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)], *[F.covar_pop(v, x[j]).alias(f"c{i}_{j}") for i, v in enumerate(x) for j in range(i, n)]]
     r = rows.agg(*sums).first()
-    count = r["a0_0"] or 0
-    k = LISTS.index(MAIN)
-    keep = list(range(n)) if count >= 10 * n else [0, 1, 2, 3 + k, 3 + len(LISTS) + k] if count >= 50 else []
-    if not keep:
+    if not r["n"]:
         return None
-    a = np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in keep] for i in keep], float)
-    b = np.array([r[f"b{i}"] for i in keep], float)
-    return np.linalg.solve(a + 1e-2 * np.eye(len(keep)), b), [x[i] for i in keep]
+    mean = np.array([r[f"m{i}"] for i in range(n)])
+    cov = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)])
+    return ridge(r["n"], mean[:-1], cov[:-1, :-1], mean[-1], cov[:-1, -1], cov[-1, -1])
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, language, n_words, unfamiliar, asl, grade, level) of every document.
 
     grade is the familiar-word formula with its published weights, level the estimate on the readers'
-    scale, 1 (easiest) to 5, NULL for texts without words; without labels level is NULL too. Repeated
-    rows each get their row.
+    scale, 1 (easiest) to 5, NULL only for texts without words. One formula serves any number of labels;
+    without any, level is the grade brought to the scale. Repeated rows each get their row.
     """
     m = reliable(measures(documents))
-    w = fit(m, labels)
+    fitted = fit(m, labels)
     u = F.col("unfamiliar")[LISTS.index(MAIN)]
     grade = 100 * BASE[0] * u + BASE[1] * F.col("asl") + F.when(u > 0.05, BASE[2]).otherwise(0.0)
-    level = F.lit(None).cast("double")
-    if w is not None:
-        level = sum((F.lit(float(c)) * t for c, t in zip(*w)), F.lit(0.0))
-        level = F.when(F.col("n_words") > 0, F.least(F.lit(5.0), F.greatest(F.lit(1.0), level)))
+    if fitted is None:
+        level = 1 + 4 * (grade - SCALE[0]) / (SCALE[1] - SCALE[0])
+    else:
+        level = sum((F.lit(float(c)) * t for c, t in zip(fitted[1], _terms())), F.lit(fitted[0]))
+    level = F.when(F.col("n_words") > 0, F.least(F.lit(5.0), F.greatest(F.lit(1.0), level)))
     return m.select("doc_id", "language", "n_words", F.round(u, 6).alias("unfamiliar"), F.round("asl", 4).alias("asl"), F.round(grade, 4).alias("grade"), F.round(level, 3).alias("level"))

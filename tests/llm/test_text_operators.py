@@ -304,7 +304,11 @@ def test_levels(spark):
     got = {r["doc_id"]: r for r in R.reading_levels(dd, ll).collect()}
     assert got[1]["level"] < 1.5 and got[2]["level"] > 4.5 and got[903]["level"] < 2.5
     assert got[900]["level"] is None and got[901]["n_words"] == 0 and got[902]["level"] is None
-    assert {r["level"] for r in R.reading_levels(dd, ll.where("false")).collect()} == {None}
+    bare = {r["doc_id"]: r["level"] for r in R.reading_levels(dd, ll.where("false")).collect()}
+    assert bare[1] < bare[2] and [i for i, x in bare.items() if x is None] == [900, 901, 902]
+    for few in ("doc_id = 1", "doc_id < 4", "doc_id < 12"):  # one formula at any number of labels
+        some = {r["doc_id"]: r["level"] for r in R.reading_levels(dd, ll.where(few)).collect()}
+        assert [i for i, x in some.items() if x is None] == [900, 901, 902] and (few == "doc_id = 1" or some[1] < 2 < 4 < some[2])
     assert R.reading_levels(dd.where("false"), ll).count() == 0
 
 
