@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from lauda.llm.chars import LOOKALIKES, simple_form
 from lauda.operators.units import fold
-from lauda.session import collect_bounded
+from lauda.session import collect_bounded, maybe_broadcast, reliable
 
 NONE = "(none)"
 EDITS = 2
@@ -29,45 +29,30 @@ EDITS = 2
 MAX_SPELLINGS = 50_000
 #: Least lead of the best entry over another one.
 LEAD = 0.05
+#: Weight of the decimal logarithm of an entry's frequency against the distance.
+RANK = 0.1
 
-# Domain synonyms by variable and canonical entry, beside the registry's aliases.
+# Domain synonyms and abbreviations by variable and canonical entry, beside the registry's
+# aliases. Endings, numbers, grades and durations aren't listed: the edits and rule_spellings() cover them.
 SYNONYMS = {
     "bethesda": {
-        "I": "1; cat. 1; cat. i; categoria i; categoria 1; bethesda i; bethesda 1; b1; classe i; nao diagnostico; nao diagnostica; insatisfatorio",
-        "II": "2; cat. 2; cat. ii; categoria ii; categoria 2; bethesda ii; bethesda 2; b2; classe ii; benigno; benigna",
-        "III": "3; cat. 3; cat. iii; categoria iii; categoria 3; bethesda iii; bethesda 3; b3; classe iii; aus; flus; aus/flus; atipias de significado indeterminado; atipia de significado indeterminado",
-        "IV": "4; cat. 4; cat. iv; categoria iv; categoria 4; bethesda iv; bethesda 4; b4; classe iv; suspeito para neoplasia folicular; neoplasia folicular",
-        "V": "5; cat. 5; cat. v; categoria v; categoria 5; bethesda v; bethesda 5; b5; classe v; suspeito para malignidade; suspeito de malignidade",
-        "VI": "6; cat. 6; cat. vi; categoria vi; categoria 6; bethesda vi; bethesda 6; b6; classe vi; maligno; maligna",
+        "I": "nao diagnostico; insatisfatorio", "II": "benigno", "III": "aus; flus; aus/flus; atipia de significado indeterminado; atipias de significado indeterminado",
+        "IV": "suspeito para neoplasia folicular; neoplasia folicular", "V": "suspeito para malignidade; suspeito de malignidade", "VI": "maligno",
     },
     "resultado": {
         "negativo_para_malignidade": "nilm; ausencia de malignidade; neg. p/ malignidade; negativo p/ malignidade; negativo p/ lesao intraepitelial ou malignidade; negativo para lesao intraepitelial ou malignidade",
-        "asc_us": "ascus; asc-us; celulas escamosas atipicas de significado indeterminado",
-        "asc_h": "asch; asc-h; celulas escamosas atipicas, nao excluir alto grau; celulas escamosas atipicas, nao se pode excluir lesao de alto grau",
-        "lsil": "l-sil; liebg; nic 1; nic i; lesao de baixo grau; lesao intraepitelial escamosa de baixo grau; lesao intraepitelial de baixo grau",
-        "hsil": "h-sil; lieag; nic 2; nic 3; nic ii; nic iii; lesao de alto grau; lesao intraepitelial escamosa de alto grau; lesao intraepitelial de alto grau",
+        "asc_us": "celulas escamosas atipicas de significado indeterminado",
+        "asc_h": "celulas escamosas atipicas, nao excluir alto grau; celulas escamosas atipicas, nao se pode excluir lesao de alto grau",
+        "lsil": "liebg; nic 1; nic i; lesao de baixo grau; lesao intraepitelial escamosa de baixo grau; lesao intraepitelial de baixo grau",
+        "hsil": "lieag; nic 2; nic 3; nic ii; nic iii; lesao de alto grau; lesao intraepitelial escamosa de alto grau; lesao intraepitelial de alto grau",
         "agc": "atipia glandular; celulas glandulares atipicas; agus",
         "carcinoma_escamoso": "ca escamoso; carcinoma epidermoide; ca epidermoide; carcinoma de celulas escamosas; cec",
-        "adenocarcinoma": "adeno-carcinoma; adenoca; adenocarcinoma endocervical; adenocarcinoma invasor",
+        "adenocarcinoma": "adenoca; adenocarcinoma endocervical; adenocarcinoma invasor",
     },
     "adequab": {
-        "satisfatoria": "satisfatorio; adequada; adequado; amostra satisfatoria; amostra adequada",
+        "satisfatoria": "adequada; amostra satisfatoria; amostra adequada",
         "satisfatoria_limitada": "satisfat. limitada; satisfatoria mas limitada; satisfatoria porem limitada; satisfatoria, limitada por sangue; satisfatoria com limitacoes; limitada",
-        "insatisfatoria": "insatisfatorio; insatisf; insatisf.; inadequada; inadequado; amostra insatisfatoria; amostra inadequada",
-    },
-    "re_status": {
-        "positivo": "pos; positiva; positivos; re+; re +; reagente; receptor positivo; expressao presente; presente",
-        "negativo": "neg; negativa; negativos; re-; re -; nao reagente; receptor negativo; expressao ausente; ausente",
-    },
-    "rp_status": {
-        "positivo": "pos; positiva; positivos; rp+; rp +; reagente; receptor positivo; expressao presente; presente",
-        "negativo": "neg; negativa; negativos; rp-; rp -; nao reagente; receptor negativo; expressao ausente; ausente",
-    },
-    "her2_score": {
-        "0": "zero; score 0; escore 0; her2 0; her2: 0; her2 (0); 0/3+; escore zero",
-        "1+": "1; +1; +; +/3+; 1+/3+; uma cruz; escore 1+; score 1+; her2 1+; her2: 1+; her2 (1+)",
-        "2+": "2; +2; ++; ++/3+; 2+/3+; duas cruzes; escore 2+; score 2+; her2 2+; her2: 2+; her2 (2+)",
-        "3+": "3; +3; +++; +++/3+; 3+/3+; tres cruzes; escore 3+; score 3+; her2 3+; her2: 3+; her2 (3+)",
+        "insatisfatoria": "insatisf; insatisf.; inadequada; amostra insatisfatoria; amostra inadequada",
     },
     "tipo_histologico": {
         "carcinoma_ductal_invasivo": "ca ductal inv.; ca ductal invasivo; ca ductal invasor; carcinoma ductal invasor; carcinoma ductal infiltrante; ductal infiltrante; ductal invasivo; carcinoma mamario invasivo tipo ductal; cdi; carcinoma invasivo de tipo nao especial",
@@ -76,28 +61,19 @@ SYNONYMS = {
         "carcinoma_mucinoso": "ca mucinoso; carcinoma coloide; ca coloide; mucinoso",
         "carcinoma_tubular": "ca tubular; tubular; tubular, bem diferenciado",
         "carcinoma_metaplasico": "ca metaplasico; metaplasico",
-        "fibroadenoma": "fibro-adenoma; fibroadenoma mamario",
-        "tumor_filoide": "tumor filoides; tumor phyllodes; filoide; filoides; phyllodes",
-        "papiloma_intraductal": "papiloma ductal; papiloma intra-ductal; papiloma",
-    },
-    "intervalo_controle": {
-        "3_meses": "tres meses; 90 dias; trimestral; 3m; 3 m; em 3 meses; 12 semanas",
-        "6_meses": "seis meses; 180 dias; semestral; 6m; 6 m; em 6 meses",
-        "1_ano": "um ano; 12 meses; anual; 12m; 1a; em 1 ano; em um ano; 365 dias; doze meses",
-        "2_anos": "dois anos; 24 meses; bienal; 24m; 2a; em 2 anos; a cada 2 anos",
-        "3_anos": "tres anos; 36 meses; trienal; 36m; 3a; em 3 anos",
-        "5_anos": "cinco anos; 60 meses; quinquenal; 60m; 5a; em 5 anos",
-        "10_anos": "dez anos; 120 meses; decenal; 120m; 10a; em 10 anos",
-        "sem_recomendacao": "sem necessidade de controle; dispensa controle; nao recomendado; sem controle; nao se aplica controle",
+        "fibroadenoma": "fibroadenoma mamario",
+        "tumor_filoide": "tumor phyllodes; filoide; phyllodes",
+        "papiloma_intraductal": "papiloma ductal; papiloma",
     },
+    "intervalo_controle": {"sem_recomendacao": "sem necessidade de controle; dispensa controle; nao recomendado; sem controle; nao se aplica controle"},
     "segmento": {
         "ceco": "no ceco; fundo cecal; cecal; em ceco",
         "colon_ascendente": "ascendente; colo ascendente; colon direito (ascendente); colon direito; colon asc.",
         "flexura_hepatica": "angulo hepatico; flex. hepatica; flexura direita",
-        "colon_transverso": "transverso; colo transverso; colon transv.; colon transv",
+        "colon_transverso": "transverso; colo transverso; colon transv.",
         "flexura_esplenica": "angulo esplenico; flex. esplenica; flexura esquerda",
         "colon_descendente": "descendente; colo descendente; colon desc.; colon esquerdo (descendente)",
-        "sigmoide": "sigma; colon sigmoide; alca sigmoide; colo sigmoide",
+        "sigmoide": "sigma; colon sigmoide; colo sigmoide; alca sigmoide",
         "reto": "reto distal; reto medio; reto proximal; ampola retal; retal",
     },
     "procedimento": {
@@ -110,11 +86,44 @@ SYNONYMS = {
         "mucosectomia": "emr; mucosectomia endoscopica; resseccao endoscopica da mucosa; resseccao endoscopica de mucosa",
     },
     "margens": {
-        "livres": "livre; margens livres; margem livre; negativas; negativa; margens negativas; nao comprometidas; nao comprometida; margens nao comprometidas",
-        "exiguas": "exigua; margem exigua; margens exiguas; margens proximas; margem proxima; proximas; tangenciadas; tangenciada",
-        "comprometidas": "comprometida; margens comprometidas; margem comprometida; positivas; positiva; margens positivas; acometidas; acometida",
+        "livres": "margens livres; negativas; margens negativas; nao comprometidas; margens nao comprometidas",
+        "exiguas": "margens exiguas; margens proximas; proximas; tangenciadas",
+        "comprometidas": "margens comprometidas; positivas; margens positivas; acometidas",
     },
 }
+# Numbers in words, and adjectives of periods in months.
+WORDS = {1: "um", 2: "dois", 3: "tres", 4: "quatro", 5: "cinco", 6: "seis", 7: "sete", 8: "oito", 9: "nove", 10: "dez", 12: "doze", 18: "dezoito", 24: "vinte e quatro"}
+PERIODS = {1: "mensal", 2: "bimestral", 3: "trimestral", 6: "semestral", 12: "anual", 24: "bienal", 36: "trienal", 60: "quinquenal", 120: "decenal"}
+ROMAN = {"I": 1, "II": 2, "III": 3, "IV": 4, "V": 5, "VI": 6}
+
+
+def rule_spellings(variable: str, canonical: str) -> set[str]:
+    """Spellings that follow from the form of an entry: numerals, grades of a score, signs of a status, durations."""
+    out, name = set(), variable.split("_")[0]
+    if canonical in ROMAN:
+        for n in (canonical.lower(), str(ROMAN[canonical])):
+            out |= {n, *(f"{x} {n}" for x in ("cat.", "cat", "categoria", "classe", "grupo", variable, variable[0])), f"{variable[0]}{n}"}
+    if m := re.fullmatch(r"([0-3])\+?", canonical):
+        n = int(m[1])
+        plus, word = "+" * n, ("nenhuma", "uma", "duas", "tres")[n]
+        grades = {m[1], f"{n}+", plus} - {""}
+        out |= grades | {f"+{n}", f"{n}/3+", f"{n}+/3+", f"{plus}/3+", f"{word} cruz" if n == 1 else f"{word} cruzes"} | ({"zero"} if not n else set())
+        out |= {f"{x}{sep}{g}" for g in (grades | {"zero"} if not n else grades) for x in ("score", "escore", name) for sep in (" ", ": ", " (")}
+    if canonical in ("positivo", "negativo"):
+        sign, what = ("+", ("reagente", "presente")) if canonical == "positivo" else ("-", ("nao reagente", "ausente"))
+        out |= {canonical[:3], f"{name}{sign}", f"{name} {sign}", *what, f"receptor {canonical}", f"expressao {what[1]}"}
+    if m := re.fullmatch(r"(\d+)_(mes|meses|ano|anos)", canonical):
+        months = int(m[1]) * (12 if m[2].startswith("ano") else 1)
+        spans = [(months, ("meses" if months > 1 else "mes", "m"))] + ([(months // 12, ("anos" if months > 12 else "ano", "a"))] if months % 12 == 0 else [])
+        for n, (unit, short) in spans:
+            for k in {str(n), WORDS.get(n, str(n))}:
+                out |= {f"{pre}{k} {unit}" for pre in ("", "em ", "a cada ", "apos ")}
+            out |= {f"{n}{short}", f"{n} {short}"}
+        out |= {f"{d} dias" for d in ({30 * months} if months % 12 else {30 * months, 365 * months // 12})} | ({f"{4 * months} semanas"} if months < 12 else {f"{52 * months // 12} semanas"})
+        out |= {PERIODS[months]} if months in PERIODS else set()
+    return out
+
+
 _DROP = re.compile(r"^\s*(?:resultado|valor|resposta|conclusao)\s*[:=]\s*|\(\s*(?:ver|vide|conforme)\s+laudo\s*\)|[\"'“”‘’`´]")
 
 
@@ -135,8 +144,9 @@ def keep_sign(value: str) -> str:
 
 
 @lru_cache(maxsize=200_000)
-def deletes(s: str, edits: int = EDITS) -> frozenset:
-    out = {s}
+def deletes(s: str) -> frozenset:
+    """The string and what is left of it after one or two deletions; one for strings that allow one edit only."""
+    out, edits = {s}, 0 if len(s) < 3 else 1 if len(s) <= 4 else EDITS
     for n in range(1, min(edits, max(0, len(s) - 1)) + 1):
         out |= {"".join(c for i, c in enumerate(s) if i not in drop) for drop in map(set, combinations(range(len(s)), n))}
     return frozenset(out)
@@ -198,7 +208,7 @@ def decide(scored: list[tuple[float, str]], frequency: dict[str, float]) -> str:
     """The canonical entry of the best spelling; NONE without a spelling or a clear lead over another entry."""
     best: dict[str, float] = {}
     for w, canonical in scored:
-        rank = w - 0.1 * frequency.get(canonical, 0.0)
+        rank = round(w - RANK * frequency.get(canonical, 0.0), 9)
         best[canonical] = min(best.get(canonical, 9e9), rank)
     order = sorted(best.items(), key=lambda x: (x[1], x[0]))
     if not order or (len(order) > 1 and order[1][1] - order[0][1] < LEAD):
@@ -246,33 +256,39 @@ def score(form: str, entry: str, canonicals) -> list[tuple[float, str]]:
 
 def spellings(ontology: DataFrame, aliases: DataFrame) -> DataFrame:
     """(variable, form, canonical) of canonical entries, registry aliases and known synonyms, without repeats."""
-    spark = ontology.sparkSession
     enum = ontology.where("onto_type = 'enum' AND canonical IS NOT NULL").select("variable", "canonical").distinct()
-    own = [(v, s.strip(), c) for v, by in SYNONYMS.items() for c, text in by.items() for s in text.split(";")]
-    known = spark.createDataFrame(own, "variable string, spelling string, canonical string")
     alias = aliases.where("alias IS NOT NULL AND trim(alias) <> ''").select("variable", F.col("alias").alias("spelling"), "canonical")
-    raw = enum.select("variable", F.col("canonical").alias("spelling"), "canonical").unionByName(alias).unionByName(known)
-    form = F.udf(keep_sign, "string")  # a dictionary of some hundred rows
-    return raw.join(enum, ["variable", "canonical"], "left_semi").select("variable", form("spelling").alias("form"), "canonical").where("form <> ''").distinct()
+    alias = alias.join(enum, ["variable", "canonical"], "left_semi")
+    raw = enum.select("variable", F.lit(None).cast("string").alias("spelling"), "canonical").unionByName(alias.select("variable", "spelling", "canonical"))
+
+    def forms(batches):
+        for b in batches:
+            out = set()
+            for v, spelling, c in zip(b.variable, b.spelling, b.canonical):
+                own = [spelling] if isinstance(spelling, str) else [c, *rule_spellings(v, c), *SYNONYMS.get(v, {}).get(c, "").split(";")]
+                out |= {(v, form, c) for form in map(keep_sign, own) if form}
+            yield pd.DataFrame(sorted(out), columns=["variable", "form", "canonical"])
 
+    return raw.mapInPandas(forms, "variable string, form string, canonical string").distinct()
 
-def to_canonical(verdicts: DataFrame, ontology: DataFrame, aliases: DataFrame) -> DataFrame:
+
+def to_canonical(verdicts: DataFrame, ontology: DataFrame, aliases: DataFrame, max_spellings: int = MAX_SPELLINGS) -> DataFrame:
     """(verdict_id, canonical) of values of enum variables that aren't blank nor canonical already.
 
     NULL and blank values and values of other variables give no row; values without a clear entry give
     '(none)'. Every row is mapped where it stands, without a shuffle; values of any length are read
-    whole; repeated rows each get their row; an empty ontology gives an empty result.
+    whole; repeated rows each get their row; an empty ontology gives an empty result. More spellings
+    than max_spellings are joined, with the same result.
     """
     enum = ontology.where("onto_type = 'enum' AND canonical IS NOT NULL").select("variable", "canonical").distinct()
     typed = verdicts.where("value IS NOT NULL AND trim(value) <> ''").select("verdict_id", "variable", "value")
+    counted = typed.join(maybe_broadcast(enum.withColumnRenamed("canonical", "value")), ["variable", "value"], "left_semi").groupBy("variable", F.col("value").alias("canonical")).count()
     words = spellings(ontology, aliases)
-    rows = collect_bounded(words, MAX_SPELLINGS)
-    if rows is None:
-        return _by_join(typed, enum, words)
-    entries = collect_bounded(enum, MAX_SPELLINGS)
+    rows, entries = collect_bounded(words, max_spellings), collect_bounded(enum, max_spellings)
+    if rows is None or entries is None:
+        return _by_join(typed, enum, words, counted)
     known = {(r["variable"], r["canonical"]) for r in entries}
-    counted = typed.join(F.broadcast(enum), (typed.variable == enum.variable) & (typed.value == enum.canonical), "left_semi").groupBy("variable", "value").count()
-    frequency = {(r["variable"], r["value"]): r["count"] for r in counted.collect()}  # at most one row per entry
+    frequency = {(r["variable"], r["canonical"]): r["count"] for r in counted.collect()}  # at most one row per entry
     shared = verdicts.sparkSession.sparkContext.broadcast(([tuple(r) for r in rows], frequency, known))
 
     def apply(batches):
@@ -285,20 +301,57 @@ def to_canonical(verdicts: DataFrame, ontology: DataFrame, aliases: DataFrame) -
     return typed.mapInPandas(apply, "verdict_id long, canonical string")
 
 
-def _by_join(typed: DataFrame, enum: DataFrame, words: DataFrame) -> DataFrame:
-    """The same mapping for a dictionary of any size: distinct values meet spellings on their deletions."""
+def _cuts(df: DataFrame, form: str, keep: list[str]) -> DataFrame:
+    """df with one row per string left of `form` after deletions."""
+
+    def cut(batches):
+        for b in batches:
+            rows = [(*r, x) for r in b[keep].itertuples(index=False, name=None) for x in deletes(r[keep.index(form)])]
+            yield pd.DataFrame(rows, columns=[*keep, "cut"])
+
+    return df.select(*keep).mapInPandas(cut, ", ".join(f"{c} string" for c in [*keep, "cut"]))
+
+
+def _by_join(typed: DataFrame, enum: DataFrame, words: DataFrame, counted: DataFrame) -> DataFrame:
+    """The same mapping for a dictionary of any size: distinct forms meet spellings on their deletions.
+
+    Short strings allow one deletion, so every key has three letters or more. Ranks as decide() does.
+    """
     rows = typed.join(enum.select("variable").distinct(), "variable", "left_semi").join(
         enum.withColumnRenamed("canonical", "value"), ["variable", "value"], "left_anti"
     )
-    form, cut, near = F.udf(keep_sign, "string"), F.udf(lambda s: list(deletes(s)), "array<string>"), F.udf(lambda a, b: next((w for w, _ in score(a, b, [""])), None), "double")
-    rows = rows.withColumn("form", form("value"))
-    forms = rows.select("variable", "form").distinct()
-    left = forms.select("variable", "form", F.explode(cut("form")).alias("cut"))
-    right = words.select("variable", F.col("form").alias("entry"), "canonical", F.explode(cut("form")).alias("cut"))
+
+    def formed(batches):
+        cache: dict = {}
+        for b in batches:
+            b = b[b.value.map(lambda x: bool(x.strip()))]
+            out = []
+            for x in b.value:
+                f = cache.get(x)
+                if f is None:
+                    f = keep_sign(x)
+                    if len(cache) < 200_000:
+                        cache[x] = f
+                out.append(f)
+            yield b.assign(form=out)[["verdict_id", "variable", "form"]]
+
+    rows = reliable(rows.select("verdict_id", "variable", "value").mapInPandas(formed, "verdict_id long, variable string, form string"))
+    left = _cuts(rows.select("variable", "form").distinct(), "form", ["variable", "form"])
+    right = _cuts(words.withColumnRenamed("form", "entry"), "entry", ["variable", "entry", "canonical"])
     pairs = left.join(right, ["variable", "cut"]).select("variable", "form", "entry", "canonical").distinct()
-    scored = pairs.withColumn("w", F.when(F.col("form") == F.col("entry"), F.lit(0.0)).otherwise(near("form", "entry"))).where("w IS NOT NULL")
-    best = scored.groupBy("variable", "form", "canonical").agg(F.min("w").alias("w"))
-    by = Window.partitionBy("variable", "form").orderBy("w", "canonical")
-    best = best.withColumn("r", F.row_number().over(by)).withColumn("next", F.lead("w").over(by)).where("r = 1")
-    best = best.select("variable", "form", F.when(F.col("next") - F.col("w") < LEAD, NONE).otherwise(F.col("canonical")).alias("canonical"))
+
+    def near(batches):
+        for b in batches:
+            w = [0.0 if f == e else next((x for x, _ in score(f, e, [""])), None) for f, e in zip(b.form, b.entry)]
+            d = b.assign(w=pd.array(w, "Float64"), exact=b.form == b.entry)[["variable", "form", "canonical", "w", "exact"]]
+            yield d[d.w.notna()]
+
+    scored = pairs.mapInPandas(near, "variable string, form string, canonical string, w double, exact boolean")
+    best = scored.groupBy("variable", "form", "canonical").agg(F.min("w").alias("w"), F.bool_or("exact").alias("exact"))
+    best = best.join(counted, ["variable", "canonical"], "left").withColumn("w", F.round(F.col("w") - RANK * F.log10(1 + F.coalesce("count", F.lit(0))), 9))
+    # a spelling of its own beats every other; of one form there are as many rows as entries within two edits
+    by = Window.partitionBy("variable", "form").orderBy(F.desc("exact"), "w", "canonical")
+    best = best.withColumn("r", F.row_number().over(by)).withColumn("n_exact", F.count_if("exact").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("next", F.lead("w").over(by)).where("r = 1")
+    none = F.when(F.col("exact"), F.col("n_exact") > 1).otherwise(F.col("next") - F.col("w") < LEAD)
+    best = best.select("variable", "form", F.when(none, NONE).otherwise(F.col("canonical")).alias("canonical"))
     return rows.join(best, ["variable", "form"], "left").select("verdict_id", F.coalesce("canonical", F.lit(NONE)).alias("canonical"))
