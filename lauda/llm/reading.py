@@ -40,20 +40,25 @@ FUNCTION_WORDS = {
     "es": frozenset("que no de del la en un una los las con para por se el al es fue son mas como y".split()),
     "en": frozenset("the of and to in a is that for it with was on are be this by not or from as".split()),
 }
-@lru_cache(maxsize=1)
-def _marks() -> re.Pattern:
-    """Class of all combining characters."""
-    at = [i for i in range(0x300, 0x110000) if unicodedata.combining(chr(i))]
-    cut = [i for i, c in enumerate(at) if not i or c != at[i - 1] + 1] + [len(at)]
-    return re.compile("[" + "".join(f"{chr(at[i])}-{chr(at[j - 1])}" for i, j in zip(cut, cut[1:])) + "]+")
+_BEYOND = re.compile(r"[^\x00-\x7f]")
+
+
+@lru_cache(maxsize=65_536)
+def _base(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
 
 
 def folded(text: str) -> str:
-    """Without accents and case."""
-    return (text if text.isascii() else _marks().sub("", unicodedata.normalize("NFKD", text))).lower()
+    """Without accents and case; each distinct character beyond ASCII is replaced once."""
+    if not text.isascii():
+        for c in set(_BEYOND.findall(text)):
+            text = text.replace(c, _base(c))
+    return text.lower()
 
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_PLAIN = re.compile(r"[a-z]+(?:['-][a-z]+)*")  # the same where all is ASCII
+_TELLS = [(w, [k for k in LANGUAGES if w in FUNCTION_WORDS[k]]) for w in sorted(set().union(*FUNCTION_WORDS.values()))]
 _LETTER = re.compile(r"[^\W\d_]")
 _SENTENCE = re.compile(r"[.!?…]+(?=\s|$)|\n+")
 #: Distinct (language, word) pairs that a task counts before it passes them on.
@@ -65,10 +70,17 @@ def read_words(text: str | None) -> tuple[str | None, Counter]:
 
     The language is the one whose function words are most frequent; ties go to pt, es, en in turn.
     """
-    ws = Counter(_WORD.findall(folded(text))) if isinstance(text, str) else Counter()
+    if not isinstance(text, str):
+        return None, Counter()
+    text = folded(text)
+    ws = Counter((_PLAIN if text.isascii() else _WORD).findall(text))
     if not ws:
         return None, ws
-    n = {k: sum(ws[w] for w in v) for k, v in FUNCTION_WORDS.items()}
+    n, count = dict.fromkeys(LANGUAGES, 0), ws.get
+    for w, languages in _TELLS:
+        if c := count(w):
+            for k in languages:
+                n[k] += c
     return max(LANGUAGES, key=n.get), ws
 
 
@@ -169,15 +181,28 @@ def ridge(n: float, mean: np.ndarray, cov: np.ndarray, y: float, cross: np.ndarr
 def fit(measured: DataFrame, labels: DataFrame) -> tuple[float, np.ndarray] | None:
     """(intercept, weights of the terms) fitted to all labelled rows, of any number; None without any."""
     rows = measured.where("n_words > 0").join(labels.where("nivel IS NOT NULL").select("doc_id", F.col("nivel").cast("double").alias("y")), "doc_id")
-    x = [*_terms(), F.col("y")]
+    x = [F.lit(1.0), *_terms(), F.col("y")]
     n = len(x)
-    sums = [F.count("*").alias("n"), *[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)], *[F.covar_pop(v, x[j]).alias(f"c{i}_{j}") for i, v in enumerate(x) for j in range(i, n)]]
-    r = rows.agg(*sums).first()
-    if not r["n"]:
+
+    def products(batches):
+        total = np.zeros((n, n))
+        for b in batches:
+            v = b.to_numpy(float)
+            total += v.T @ v
+        yield pd.DataFrame({"i": range(n * n), "v": total.ravel()})
+
+    # one row per pair of terms and partition, combined before the driver sees them
+    sums = rows.select(*[v.alias(f"x{i}") for i, v in enumerate(x)]).mapInPandas(products, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    m = np.zeros(n * n)
+    for r in sums:
+        m[r["i"]] = r["v"]
+    m = m.reshape(n, n)
+    count = m[0, 0]
+    if not count:
         return None
-    mean = np.array([r[f"m{i}"] for i in range(n)])
-    cov = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)])
-    return ridge(r["n"], mean[:-1], cov[:-1, :-1], mean[-1], cov[:-1, -1], cov[-1, -1])
+    mean = m[0, 1:] / count
+    cov = m[1:, 1:] / count - np.outer(mean, mean)
+    return ridge(count, mean[:-1], cov[:-1, :-1], mean[-1], cov[:-1, -1], cov[-1, -1])
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
