@@ -10,10 +10,10 @@ from lauda.llm.lookalikes import with_consistent_form
 from lauda.sources.tables import table
 
 
-def language_counts(spark, d) -> dict[int, int]:
-    """Character trigrams of all sound texts of reports and evidence."""
-    parts = [(table(spark, d, "run_pilot"), "laudo"), (table(spark, d, "evidence_record"), "evidence")]
-    return collect_model(*(count_trigrams(sound(t, c), c) for t, c in parts))
+def language_counts(spark, d, evidence: bool = False) -> dict[int, int]:
+    """Character trigrams of all sound reports, and of all sound evidence where that is read anyway."""
+    parts = [("run_pilot", "laudo"), *([("evidence_record", "evidence")] if evidence else [])]
+    return collect_model(*(count_trigrams(sound(table(spark, d, t), c), c) for t, c in parts))
 
 
 def p6_restored(spark, d):
@@ -26,7 +26,7 @@ def p6_found(spark, d):
 
 
 def _forms(spark, d):
-    counts = language_counts(spark, d)
+    counts = language_counts(spark, d, evidence=True)
     pilot, evidence = table(spark, d, "run_pilot"), table(spark, d, "evidence_record")
     a = with_consistent_form(pilot, "pilot_id", "laudo", counts).select(F.lit("run_pilot").alias("src"), F.col("pilot_id").alias("row_id"), "form", "stands_in")
     b = with_consistent_form(evidence, "evidence_id", "evidence", counts).select(F.lit("evidence_record").alias("src"), F.col("evidence_id").alias("row_id"), "form", "stands_in")

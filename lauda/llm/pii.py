@@ -1,10 +1,13 @@
 """Personal information in free text: weak labelers, expectation-maximisation and a span classifier.
 
 Candidate spans come from broad patterns. Labelers of three kinds (regex shapes, gazetteers, context
-words) vote on every candidate or abstain. The vote patterns are counted over the whole corpus (a
-table bounded by the number of labelers), expectation-maximisation estimates each labeler's
-reliability and the class of every pattern, and a naive Bayes span classifier is trained on all
-candidates with these soft labels, over context, shape and vote features in hashed, bounded slots.
+words) vote on every candidate or abstain; what speaks against an item (an institution's or a method's
+name, a word that is no name) is a labeler too. The vote patterns are counted over the whole corpus (a
+table bounded by the number of labelers), expectation-maximisation estimates each labeler's reliability
+and the class of every pattern, starting from weak assumptions (RELIABLE). A naive Bayes span classifier
+over context and shape, in hashed, bounded slots, is then trained on all candidates with these soft
+labels; it decides every span, with the pattern's posterior as its tempered prior, and so corrects
+patterns whose labelers contradict each other or have too few votes.
 """
 
 from __future__ import annotations
@@ -20,16 +23,22 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lauda.llm.chars import LOOKALIKES, plain
 from lauda.llm.charlm import CharModel
-from lauda.llm.encodings import ODD, Restorer, swap_tables
+from lauda.llm.encodings import LOST, ODD, Restorer, swap_tables
 from lauda.session import reliable
 
 PLACEHOLDER = {"name": "[NAME]", "email": "[EMAIL]", "phone": "[PHONE]", "identity_number": "[ID]", "street_address": "[ADDRESS]"}
 BUCKETS = 4096
 ROUNDS = 30
-PRIOR_SHARE = 0.3
+#: Assumed reliability of each labeler, what the assumption is worth in shares of the labeler's votes (so that
+#: it is worth the same at every size), and the weight of the votes' posterior in the classifier.
+RELIABLE = {
+    "cue": 0.7, "gaz": 0.7, "shape": 0.8, "after": 0.6, "org": 0.97, "eponym": 0.97, "form": 0.9, "ctx": 0.85, "tail": 0.9, "length": 0.9, "mark": 0.9, "use": 0.97,
+}
+ASSUMED, PRIOR_WEIGHT = 0.1, 0.5
 
 # Common given names (accents and case folded).
 GIVEN = frozenset(
@@ -59,12 +68,13 @@ NAME_CUE = re.compile(
     rf"({_TITLE}?)"
 )
 WEAK_CUE = re.compile(r"\s*(?:paciente|nome|mae|pai|medic[oa]|residente|responsavel|acompanhante|patologista|solicitante)\s+")
-NAME_RUN = re.compile(rf"{_W}(?:(?:,\s?|\s+)(?:(?:de|da|do|das|dos|e)\s+)?{_W})*")
+NAME_RUN = re.compile(rf"{_W}(?:(?:,\s?|\s+|(?<=\W{_L})\.\s?)(?:(?:de|da|do|das|dos|e)\s+)?{_W})*")
 _AT = r"(?:@|\(\s*(?:arroba|at)\s*\)|\[\s*(?:arroba|at)\s*\]|\barroba\b)"
 _DOT = r"(?:\.|\s+(?:ponto|dot)\s+|\s*[\[(](?:ponto|dot)[\])]\s*)"
 EMAIL = re.compile(rf"[\w+%-]+(?:{_DOT}[\w+%-]+)*\s*{_AT}\s*[\w-]+(?:{_DOT}[\w-]+)*")
+AT_SIGN, LETTERS = re.compile(_AT), re.compile(rf"{_L}+")
 NUMBER = re.compile(r"(?<![\w.,/-])(?:\+\s?)?(?:\(\s?)?\d+(?:(?:xx|[ .\-/]|\)\s?)\d+)*(?:-?x\b)?(?![\w])")
-ADDRESS = re.compile(rf"(?<![\w.-]){STREET}\s+{_W}(?:\s+{_W}){{0,6}}?(?:\s*,?\s*(?:n[o.�]?\.?\s*)?\d{{1,5}}\b|\s*,?\s*s/n\b|\s*,?\s*km\s*\d+)(?:\s*,?\s*(?:ap\.?|apto\.?|casa|bloco|bl\.?|sala)\s*\d+)?(?:\s*-\s*(?:vila|jardim|bairro|centro|parque)(?:\s+{_W})?|,\s*zona\s+{_W})?")
+ADDRESS = re.compile(rf"(?<![\w.-]){STREET}\s+{_W}(?:\s+{_W})*?(?:\s*,?\s*(?:n[o.�]?\.?\s*)?\d{{1,5}}\b|\s*,?\s*s/n\b|\s*,?\s*km\s*\d+)(?:\s*,?\s*(?:ap\.?|apto\.?|casa|bloco|bl\.?|sala)\s*\d+)?(?:\s*-\s*(?:vila|jardim|bairro|centro|parque)(?:\s+{_W})?|,\s*zona\s+{_W})?")
 CUES = {
     "phone": re.compile(r"(?:tel(?:efone)?|fone|cel(?:ular)?|whats\s?app|zap|ligac(?:ao|oes)|ligar|contato|recado|avisar|familia|ramal)\b[^\d\n;]{0,14}$"),
     "identity_number": re.compile(r"(?:\bc\.?\s?p\.?\s?f\b|\brg|\br\.g\b|\bcns|\bc\.n\.s\b|\bsus|identidade|cartao nacional de saude|documento|cic)\b[^\d\n;]{0,8}$"),
@@ -155,15 +165,16 @@ def name_span(a: Aligned, i: int) -> int | None:
     m = NAME_RUN.match(a.folded, i)
     if not m:
         return None
-    s, end, words, comma = m[0], None, 0, False
+    s, end, words, comma, short = m[0], None, 0, False, False
     for w in re.finditer(_W, s):
         gap = s[(end or 0) : w.start()] if end is not None else ""
         raw = a.raw(i + w.start(), i + w.end())
         word = w[0]
         if word in PARTICLES and words:
             continue
+        before, short = short, len(word) == 1 and raw.isupper() and s[w.end() : w.end() + 1] == "."  # an initial
         named = is_given(word) or raw[:1].isupper()
-        if word in NO_NAME or (len(word) < 2) or words >= 6:
+        if word in NO_NAME or (len(word) < 2 and not short):  # a name neither begins with such a word nor holds it
             break
         if words and ("," in gap):
             # 'Surname, Given' goes on over a comma; a new clause doesn't
@@ -172,11 +183,11 @@ def name_span(a: Aligned, i: int) -> int | None:
             comma = True
         if words and not named and not (words < 4 and a.raw(i, i + 1).islower() and not AFTER_NAME.match(a.folded, i + end)):
             break
-        if words and raw.isupper() and AFTER_NAME.match(a.folded, i + end) and not is_given(word):
+        if words and not before and raw.isupper() and AFTER_NAME.match(a.folded, i + end) and not is_given(word):
             break
         end = w.end()
         words += 1
-        if AFTER_NAME.match(a.folded, i + end) and not a.folded.startswith(",", i + end):
+        if not short and AFTER_NAME.match(a.folded, i + end) and not a.folded.startswith(",", i + end):
             break
     return None if end is None else i + end
 
@@ -188,7 +199,7 @@ def candidates(a: Aligned) -> list[tuple[str, int, int, dict, str, str]]:
     def free(i, j):
         return all(j <= x or i >= y for x, y in taken)
 
-    for m in EMAIL.finditer(t):
+    for m in EMAIL.finditer(t) if AT_SIGN.search(t) else ():
         i, j = m.span()
         left, host = t[max(0, i - 24) : i], re.split(_AT, m[0])[-1]
         votes = {
@@ -206,7 +217,8 @@ def candidates(a: Aligned) -> list[tuple[str, int, int, dict, str, str]]:
         named = a.raw(*_after_type(a, i, j))
         votes = {
             "shape": "street_address" if re.search(r",\s*(?:n\S*\s*)?\d|s/n|km|n[o.]\s*\d", body) else None,
-            "gaz": "none" if re.search(r"coleta|interna|sutura|fratura|acesso", body) else "street_address" if named[:1].isupper() else None,
+            "use": "none" if re.search(r"coleta|interna|sutura|fratura|acesso", body) else None,
+            "gaz": "street_address" if named[:1].isupper() else None,
             "ctx": "street_address" if CUES["street_address"].search(left) else None,
             "tail": "street_address" if re.match(r"\s*(?:[,;-]\s*(?:vila|ap|casa|bloco|bairro|zona|centro|jardim|sala|conj)|ate sexta)", t[j : j + 24]) else None,
         }
@@ -237,8 +249,8 @@ def candidates(a: Aligned) -> list[tuple[str, int, int, dict, str, str]]:
     for m in NAME_CUE.finditer(t):
         i = m.end()
         starts.setdefault(i, m[0])
-    for m in re.finditer(rf"{_L}+", t):
-        if is_given(m[0]):
+    for m in LETTERS.finditer(t):
+        if m[0] in GIVEN or (LOST in m[0] and is_given(m[0])):
             starts.setdefault(m.start(), "")
     done = -1
     for i in sorted(starts):
@@ -249,8 +261,7 @@ def candidates(a: Aligned) -> list[tuple[str, int, int, dict, str, str]]:
             continue
         words = [w for w in re.findall(_W, t[i:j]) if w not in PARTICLES]
         left, raw = t[max(0, i - 26) : i], a.raw(i, j)
-        # a given name inside a word, an address or the name of an institution or a street is no candidate
-        if not starts[i] and (re.search(r"[\w@._-]$", left) or ORG.search(left) or EPONYM.search(left)):
+        if not words or (not starts[i] and re.search(r"[\w@._-]$", left)):  # inside a word or an address
             continue
         given = sum(map(is_given, words))
         votes = {
@@ -258,7 +269,8 @@ def candidates(a: Aligned) -> list[tuple[str, int, int, dict, str, str]]:
             "gaz": "name" if given else None,
             "shape": "name" if 2 <= len(words) <= 5 and all(x[:1].isupper() for x in re.findall(_W, raw) if x.lower() not in PARTICLES) else "none" if not given and raw.islower() else None,
             "after": "name" if AFTER_NAME.match(t, j) else None,
-            "neg": "none" if ORG.search(left) or EPONYM.search(left) or NO_PERSON.search(left) or words[0] in NO_NAME else None,
+            "org": "none" if ORG.search(left) else None,
+            "eponym": "none" if EPONYM.search(left) or NO_PERSON.search(left) else None,
             "form": "none" if not given and re.search(r"(?:[ai]d[oa]s?|mente|cao|coes)$", words[0]) else None,
         }
         out.append(("name", i, j, votes, left, t[j : j + 16]))
@@ -275,12 +287,12 @@ def _after_type(a: Aligned, i: int, j: int) -> tuple[int, int]:
 CLASSES = {"name": ["none", "name"], "email": ["none", "email"], "address": ["none", "street_address"], "number": ["none", "phone", "identity_number"]}
 
 
-def features(kind: str, body: str, votes: dict, left: str, right: str) -> list[str]:
-    """Hashed features of a span: shape, neighbours, votes."""
+def features(kind: str, body: str, left: str, right: str) -> list[str]:
+    """Hashed features of a span: its neighbours and its shape."""
     lw, rw = re.findall(r"\w+|[^\w\s]", left)[-2:], re.findall(r"\w+|[^\w\s]", right)[:1]
     shape = re.sub(r"[a-z]+", "a", re.sub(r"\d", "9", body))[:24]
-    raw = [f"l1={lw[-1] if lw else ''}", f"l2={' '.join(lw)}", f"r={rw[0] if rw else ''}", f"s={shape if kind != 'name' else min(5, shape.count(' '))}", "v=" + "|".join(f"{k}:{v}" for k, v in sorted(votes.items()))]
-    return [f"{f.split('=', 1)[0]}{zlib.crc32(f.encode()) % BUCKETS}" for f in raw]
+    raw = [("l", lw[-1] if lw else ""), ("ll", " ".join(lw)), ("r", rw[0] if rw else ""), ("s", shape if kind != "name" else str(min(5, shape.count(" "))))]
+    return [f"{k}{zlib.crc32(v.encode()) % BUCKETS}" for k, v in raw]
 
 
 SPANS = "pilot_id long, type string, start_pos int, end_pos int, votes string, feats array<string>"
@@ -300,86 +312,93 @@ def spans(reports: DataFrame, counts: dict[int, int]) -> DataFrame:
                 a = Aligned(text, restorer)
                 for kind, i, j, votes, left, right in candidates(a):
                     v = ",".join(f"{k}={x}" for k, x in sorted(votes.items()) if x)
-                    rows.append((pid, kind, a.start(i), a.end(j), v, features(kind, a.folded[i:j], votes, left, right)))
+                    rows.append((pid, kind, a.start(i), a.end(j), v, features(kind, a.folded[i:j], left, right)))
             yield pd.DataFrame(rows, columns=["pilot_id", "type", "start_pos", "end_pos", "votes", "feats"])
 
     return reports.select("pilot_id", "laudo").mapInPandas(find, SPANS)
 
 
-def reliabilities(patterns: list) -> dict[tuple[str, str], dict[str, float]]:
-    """Posterior class of each vote pattern, by expectation-maximisation over labeler confusion tables."""
+def reliabilities(patterns: list, rounds: int = ROUNDS) -> dict[tuple[str, str], dict[str, float]]:
+    """Posterior class of each vote pattern, by expectation-maximisation over labeler confusion tables.
+
+    patterns: rows of type, votes and n. To abstain is an outcome too, with a share of its own per class. With
+    rounds = 0 only the assumed reliabilities count.
+    """
     by = defaultdict(list)
     for r in patterns:
         by[r["type"]].append((r["votes"], r["n"]))
     out = {}
     for kind, rows in by.items():
         classes = CLASSES[kind]
+        k = len(classes)
         votes = [dict(x.split("=") for x in v.split(",") if x) for v, _ in rows]
         n = np.array([c for _, c in rows], float)
-        p = np.full((len(rows), len(classes)), 0.2)
-        for i, v in enumerate(votes):  # start: majority vote, a tie or silence leans to none
-            p[i, 0] += 0.3
-            for x in v.values():
-                p[i, classes.index(x)] += 1
-        p /= p.sum(1, keepdims=True)
-        labelers = sorted({k for v in votes for k in v})
-        for _ in range(ROUNDS):
-            prior = (n[:, None] * p).sum(0) + 1
-            prior /= prior.sum()
+        labelers = sorted({x for v in votes for x in v})
+        cast = np.array([[classes.index(v[x]) if x in v else k for x in labelers] for v in votes]).reshape(len(rows), len(labelers))
+        assumed, kinds = [], np.arange(k + 1)
+        for x in labelers:
+            r = RELIABLE.get(x, 0.8)
+            t = np.full((k, k), (1 - r) / (k - 1))
+            np.fill_diagonal(t, r)
+            assumed.append(t)
+
+        def posterior(prior, tables):
             log = np.tile(np.log(prior), (len(rows), 1))
-            for k in labelers:
-                # Dirichlet prior of a sound labeler, in proportion to its votes: a class that is voted for
-                # only by small groups can't be explained away as errors of the labelers
-                weight = max(4.0, PRIOR_SHARE * sum(n[i] for i, v in enumerate(votes) if k in v))
-                table = {(c, x): weight * (0.9 if c == x else 0.1 / (len(classes) - 1)) for c in classes for x in classes}
-                for i, v in enumerate(votes):
-                    if k in v:
-                        for j, c in enumerate(classes):
-                            table[(c, v[k])] += n[i] * p[i, j]
-                total = {c: sum(table[(c, x)] for x in classes) for c in classes}
-                for i, v in enumerate(votes):
-                    if k in v:  # abstaining says nothing about the class
-                        for j, c in enumerate(classes):
-                            log[i, j] += math.log(table[(c, v[k])] / total[c])
+            for i, t in enumerate(tables):
+                log += np.log(t).T[cast[:, i]]
             p = np.exp(log - log.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
+            return p / p.sum(1, keepdims=True)
+
+        # start: assumed reliabilities, abstentions say nothing; few votes lean to none
+        p = posterior(np.array([0.55] + [0.45 / (k - 1)] * (k - 1)), [np.c_[t, np.ones(k)] for t in assumed])
+        cases = [(cast[:, [i]] == kinds).T @ n for i in range(len(labelers))]  # cases of each outcome
+        for _ in range(rounds):
+            w = n[:, None] * p
+            tables = []
+            for i, a in enumerate(assumed):
+                voted, silent = cases[i][:k].sum(), cases[i][k]
+                t = np.c_[max(4.0, ASSUMED * voted) * a, np.full(k, ASSUMED * silent + 1)]
+                t += ((cast[:, [i]] == kinds).T.astype(float) @ w).T
+                tables.append(t / t.sum(1, keepdims=True))
+            p = posterior((w.sum(0) + 1) / (w.sum() + k), tables)
         out |= {(kind, v): dict(zip(classes, map(float, row))) for (v, _), row in zip(rows, p)}
     return out
 
 
 class SpanClassifier:
-    """Naive Bayes over hashed features, trained on soft labels; the votes' posterior is its prior."""
+    """Naive Bayes over hashed context and shape, trained on soft labels; the votes' posterior is its tempered prior."""
 
     def __init__(self, posterior: dict, sums: list):
         self.posterior = posterior
-        self.by: dict = defaultdict(float)
-        self.slot: dict = defaultdict(float)
+        by, slot = defaultdict(float), defaultdict(float)
         for r in sums:
-            self.by[(r["type"], r["feat"], r["cls"])] += r["w"]
-            self.slot[(r["type"], re.sub(r"\d+$", "", r["feat"]), r["cls"])] += r["w"]
-
-    def predict(self, kind: str, votes: str, feats: list[str]) -> tuple[str, float]:
-        prior = self.posterior.get((kind, votes)) or {c: 1 / len(CLASSES[kind]) for c in CLASSES[kind]}
-        score = {}
-        for c in CLASSES[kind]:
-            s = 2 * math.log(prior[c] + 1e-6)
-            for f in feats:
-                slot = re.sub(r"\d+$", "", f)
-                s += 0.5 * math.log((self.by[(kind, f, c)] + 0.5) / (self.slot[(kind, slot, c)] + 0.5 * 50))
-            score[c] = s
-        best = max(score, key=score.get)
-        return best, score[best]
-
-
-def found_items(reports: DataFrame, counts: dict[int, int]) -> DataFrame:
-    """(pilot_id, kind, start_pos, end_pos) of the personal items of every report.
-
-    Offsets count code points of the stored text. NULL and empty reports give no rows, placeholders
-    are no items, a repeated report gives its items under each of its ids, texts are read whole.
-    """
-    cand = reliable(spans(reports, counts))
+            by[(r["type"], r["feat"], r["cls"])] += r["w"]
+            slot[(r["type"], r["feat"].rstrip("0123456789"), r["cls"])] += r["w"]
+        self.by, self.slot = dict(by), dict(slot)
+        self.prior = {k: {c: PRIOR_WEIGHT * math.log(x + 1e-9) for c, x in p.items()} for k, p in posterior.items()}
+        self.cache: dict = {}
+
+    def weights(self, kind: str, feat: str) -> dict[str, float]:
+        w = self.cache.get((kind, feat))
+        if w is None:
+            slot = feat.rstrip("0123456789")
+            w = {c: math.log((self.by.get((kind, feat, c), 0.0) + 0.5) / (self.slot.get((kind, slot, c), 0.0) + 25)) for c in CLASSES[kind]}
+            self.cache[(kind, feat)] = w  # at most types x slots x buckets
+        return w
+
+    def predict(self, kind: str, votes: str, feats: list[str]) -> str:
+        score = dict(self.prior.get((kind, votes)) or dict.fromkeys(CLASSES[kind], 0.0))
+        for f in feats:
+            for c, w in self.weights(kind, f).items():
+                score[c] += w
+        return max(score, key=score.get)
+
+
+def classified(cand: DataFrame) -> DataFrame:
+    """Candidate spans (type, votes, feats and any other columns) with their `kind`, none included."""
+    spark = cand.sparkSession
     posterior = reliabilities(cand.groupBy("type", "votes").agg(F.count("*").alias("n")).collect())  # bounded by the vote patterns
-    shared = reports.sparkSession.sparkContext.broadcast(posterior)
+    shared = spark.sparkContext.broadcast(posterior)
 
     def soft(batches):
         total: Counter = Counter()
@@ -391,15 +410,24 @@ def found_items(reports: DataFrame, counts: dict[int, int]) -> DataFrame:
         yield pd.DataFrame([(*k, v) for k, v in total.items()], columns=["type", "feat", "cls", "w"])
 
     sums = cand.mapInPandas(soft, "type string, feat string, cls string, w double").groupBy("type", "feat", "cls").agg(F.sum("w").alias("w"))
-    model = reports.sparkSession.sparkContext.broadcast(SpanClassifier(posterior, sums.collect()))  # at most types x slots x buckets x classes
+    model = spark.sparkContext.broadcast(SpanClassifier(posterior, sums.collect()))  # at most types x slots x buckets x classes
+    schema = T.StructType([*cand.schema, T.StructField("kind", T.StringType())])
 
     def classify(batches):
         for b in batches:
-            kinds = [model.value.predict(k, v, list(f))[0] for k, v, f in zip(b.type, b.votes, b.feats)]
-            d = pd.DataFrame({"pilot_id": b.pilot_id, "kind": kinds, "start_pos": b.start_pos.astype("int64"), "end_pos": b.end_pos.astype("int64")})
-            yield d[d.kind != "none"]
+            yield b.assign(kind=[model.value.predict(k, v, list(f)) for k, v, f in zip(b.type, b.votes, b.feats)])
+
+    return cand.mapInPandas(classify, schema)
+
 
-    return cand.mapInPandas(classify, "pilot_id long, kind string, start_pos long, end_pos long")
+def found_items(reports: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """(pilot_id, kind, start_pos, end_pos) of the personal items of every report.
+
+    Offsets count code points of the stored text. NULL and empty reports give no rows, placeholders
+    are no items, a repeated report gives its items under each of its ids, texts are read whole.
+    """
+    items = classified(reliable(spans(reports, counts))).where("kind <> 'none'")
+    return items.select("pilot_id", "kind", F.col("start_pos").cast("long").alias("start_pos"), F.col("end_pos").cast("long").alias("end_pos"))
 
 
 def redacted(reports: DataFrame, items: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Text operators against brute force, round trips and small fixtures with awkward rows."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,6 +176,51 @@ def test_found_and_redacted(spark, counts):
     assert pii.found_items(df.where("false"), counts).count() == 0
 
 
+def test_names_with_initials_long_streets_and_unknown_names():
+    text = "Paciente: Ana P. Souza. Dr. J. Quaresmal no dia. Paciente: Zulmirene Varnhagel. Mora em Rua Doutor Professor Engenheiro Alves de Moura e Silva Neto Filho, 77. Medico responsavel: Ivo Trazibulo Menegolo Prado Quinto Sexto Setimo."
+    got = items_of(text)
+    for want in ("Ana P. Souza", "J. Quaresmal", "Zulmirene Varnhagel", "Ivo Trazibulo Menegolo Prado Quinto Sexto Setimo"):
+        assert ("name", want) in got, (want, got)
+    assert ("address", "Rua Doutor Professor Engenheiro Alves de Moura e Silva Neto Filho, 77") in got
+
+
+def test_context_corrects_contradicting_labelers(spark):
+    """Three labelers that vote at random outvote two sound ones; EM sees through it, the classifier even more."""
+    rng, rows = random.Random(6), []
+    for i in range(3000):
+        true = rng.random() < 0.45
+        votes = {k: true if rng.random() < p else not true for k, p in (("cue", 0.9), ("after", 0.9), ("gaz", 0.5), ("shape", 0.5), ("form", 0.5)) if rng.random() < 0.95}
+        word = rng.choice(["paciente", "mae", "por"] if true else ["hospital", "escala", "indice"]) if rng.random() < 0.9 else "de"
+        v = ",".join(f"{k}={'name' if x else 'none'}" for k, x in sorted(votes.items()))
+        rows.append((i, "name", v, [f"l{hash_of(word)}", "ll1", "r1", "s1"], true))
+    df = spark.createDataFrame(rows, "id long, type string, votes string, feats array<string>, is_name boolean")
+    got = {r["id"]: r["kind"] == "name" for r in pii.classified(df).collect()}
+    right = sum(got[r[0]] == r[4] for r in rows) / len(rows)
+    majority = sum((r[2].count("=name") > r[2].count("=none")) == r[4] for r in rows) / len(rows)
+    post = pii.reliabilities([{"type": "name", "votes": v, "n": n} for v, n in Counter(r[2] for r in rows).items()])
+    em = sum((post[("name", r[2])]["name"] > 0.5) == r[4] for r in rows) / len(rows)
+    assert right > em + 0.02 > majority + 0.05 and right > 0.95, (right, em, majority)
+
+
+def hash_of(word):
+    import zlib
+
+    return zlib.crc32(word.encode()) % pii.BUCKETS
+
+
+def test_labelers_against_an_item_are_votes(spark, counts):
+    """A given name in an institution or a method is a candidate that the vote and the context reject."""
+    rows = [(i, f"Paciente: Lucia Moreira Prado. Encaminhada pelo Hospital Maria Aparecida. {BASE}") for i in range(40)] + [(100 + i, f"Escore de Antonio Prado. Mae: Rosa Telmira Fontes. {BASE}") for i in range(40)]
+    df = spark.createDataFrame(rows, "pilot_id long, laudo string")
+    assert any("org=none" in ",".join(f"{k}={v}" for k, v in x[3].items()) for x in pii.candidates(pii.Aligned(rows[0][1], None)))
+    got = {(r["pilot_id"] // 100, rows_text(rows, r)) for r in pii.found_items(df, counts).collect()}
+    assert got == {(0, "Lucia Moreira Prado"), (1, "Rosa Telmira Fontes")}
+
+
+def rows_text(rows, r):
+    return dict(rows)[r["pilot_id"]][r["start_pos"] : r["end_pos"]]
+
+
 # --- vocabulary
 
 
