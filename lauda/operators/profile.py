@@ -29,19 +29,30 @@ JUMP = 0.10
 EPS = 1e-9
 
 
-def _value(field: T.StructField, path: str) -> tuple[Column, Column]:
-    """(numeric form, text form) of a column; exactly one is set for a value, none for a NULL."""
-    c = F.col(path)
-    if isinstance(field.dataType, NUMERIC):
+def _value(field: T.StructField, path: str) -> tuple[Column, Column, Column]:
+    """(num, rest, txt) of a column, all NULL for none.
+
+    A number is num, its double, and rest, what the double lacks of it: together they order and tell
+    apart integers and decimals of any size; txt holds the digits where rest isn't 0. Text is txt alone.
+    """
+    c, none, null = F.col(path), F.lit(None).cast("double"), F.lit(None).cast("string")
+    kind = field.dataType
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(c), c.cast("double")), F.when(~F.isnan(c), 0.0), null
+    if isinstance(kind, T.TimestampType):
+        c, kind = F.unix_micros(c), T.LongType()
+    if isinstance(kind, (T.LongType, T.DecimalType)):
+        wide = f"decimal(38,{kind.scale if isinstance(kind, T.DecimalType) else 0})"
         num = c.cast("double")
-        return F.when(~F.isnan(num), num), F.lit(None).cast("string")
-    if isinstance(field.dataType, T.StringType):
-        return F.lit(None).cast("double"), F.when(F.trim(c) != "", c)
-    if isinstance(field.dataType, (T.StructType, T.MapType, T.ArrayType)):
-        return F.lit(None).cast("double"), F.to_json(c)
-    if isinstance(field.dataType, T.TimestampType):
-        return F.unix_micros(c).cast("double"), F.lit(None).cast("string")
-    return F.lit(None).cast("double"), c.cast("string")
+        rest = F.coalesce((c.cast(wide) - num.try_cast(wide)).cast("double"), F.lit(0.0))
+        return num, F.when(c.isNotNull(), rest), F.when(rest != 0, c.cast("string"))
+    if isinstance(kind, NUMERIC):
+        return c.cast("double"), F.when(c.isNotNull(), 0.0), null
+    if isinstance(kind, T.StringType):
+        return none, none, F.when(F.trim(c) != "", c)
+    if isinstance(kind, (T.StructType, T.MapType, T.ArrayType)):
+        return none, none, F.to_json(c)
+    return none, none, c.cast("string")
 
 
 def _leaves(schema: T.StructType) -> list[tuple[str, T.StructField, str]]:
@@ -56,7 +67,7 @@ def _leaves(schema: T.StructType) -> list[tuple[str, T.StructField, str]]:
 
 
 def unpivot_values(df: DataFrame, load: Column, table: str, columns: list[str] | None = None, rules: dict[str, Column] | None = None) -> DataFrame:
-    """(tbl, col, load, num, txt, n, bad): how often each value of each column stands in each load.
+    """(tbl, col, load, num, rest, txt, n, bad): how often each value of each column stands in each load.
 
     rules: by label, true in a row where the column's value breaks its rule; bad counts these rows and
     is NULL for a column without a rule.
@@ -66,12 +77,12 @@ def unpivot_values(df: DataFrame, load: Column, table: str, columns: list[str] |
     for label, field, path in _leaves(df.schema):
         if columns and label not in columns:
             continue
-        num, txt = _value(field, path)
+        num, rest, txt = _value(field, path)
         bad = F.coalesce(rules[label], F.lit(False)).cast("long") if label in rules else F.lit(None).cast("long")
-        cells.append(F.struct(F.lit(label).alias("col"), num.alias("num"), txt.alias("txt"), bad.alias("bad")))
+        cells.append(F.struct(F.lit(label).alias("col"), num.alias("num"), rest.alias("rest"), txt.alias("txt"), bad.alias("bad")))
     long = df.select(load.alias("load"), F.explode(F.array(*cells)).alias("v"))
     return (
-        long.groupBy(F.lit(table).alias("tbl"), F.col("v.col").alias("col"), "load", F.col("v.num").alias("num"), F.col("v.txt").alias("txt"))
+        long.groupBy(F.lit(table).alias("tbl"), F.col("v.col").alias("col"), "load", F.col("v.num").alias("num"), F.col("v.rest").alias("rest"), F.col("v.txt").alias("txt"))
         .agg(F.count("*").alias("n"), F.sum("v.bad").alias("bad"))
     )
 
@@ -88,7 +99,9 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, str, pd.DataFr
             continue
         b = b if rest is None else pd.concat([rest, b], ignore_index=True)
         last = b.iloc[-1]
-        same = (b.tbl == last.tbl) & (b.col == last.col) & ((b.num == last.num) | (b.num.isna() & pd.isna(last.num))) & ((b.txt == last.txt) | (b.txt.isna() & pd.isna(last.txt)))
+        same = (b.tbl == last.tbl) & (b.col == last.col)
+        for k in ("num", "rest", "txt"):
+            same &= (b[k] == last[k]) | (b[k].isna() & pd.isna(last[k]))
         rest, done = b[same], b[~same]
         for key, g in done.groupby(["tbl", "col"], sort=False):
             yield *key, g
@@ -102,7 +115,8 @@ def profile_columns(counts: DataFrame) -> DataFrame:
     Columns: n, nulls, null_rate, n_distinct, min/max/q25/q50/q75 as numbers (`*_num`) or text
     (`*_txt`), violations and violation_rate (rows that break the column's rule, NULL and NaN ones too
     where the rule says so; NULL without a rule), and ks: the exact Kolmogorov-Smirnov distance to the load before in which the column
-    had values (NULL in its first). NULL, NaN and blank text count as nulls; a column without any
+    had values (NULL in its first). Integers and decimals are told apart to the last digit: where a double
+    can't hold a number, its digits stand in `*_txt`. NULL, NaN and blank text count as nulls; a column without any
     value has NULL order statistics; an empty table gives no rows. Timestamps are profiled as
     microseconds. Repeated rows count each for itself; quantiles are the lower ones (disc).
     """
@@ -111,9 +125,11 @@ def profile_columns(counts: DataFrame) -> DataFrame:
         F.sum("n").alias("n"),
         F.sum(F.when(null, F.col("n")).otherwise(0)).alias("nulls"),
         F.sum(F.when(null, 0).otherwise(1)).alias("n_distinct"), F.sum("bad").alias("violations"),
-        F.min("num").alias("min_num"), F.max("num").alias("max_num"), F.min("txt").alias("min_txt"), F.max("txt").alias("max_txt"),
+        F.min("num").alias("min_num"), F.max("num").alias("max_num"),
+        F.coalesce(F.min_by("txt", F.when(F.col("num").isNotNull(), F.struct("num", "rest"))), F.min(F.when(F.col("num").isNull(), F.col("txt")))).alias("min_txt"),
+        F.coalesce(F.max_by("txt", F.when(F.col("num").isNotNull(), F.struct("num", "rest"))), F.max(F.when(F.col("num").isNull(), F.col("txt")))).alias("max_txt"),
     )
-    values = range_sorted(counts.where(~null).drop("bad").withColumn("load", F.coalesce("load", F.lit(""))), ["tbl", "col", "num", "txt"], ["load"])
+    values = range_sorted(counts.where(~null).drop("bad").withColumn("load", F.coalesce("load", F.lit(""))), ["tbl", "col", "num", "rest", "txt"], ["load"])
 
     def summarise(batches):
         total: dict = defaultdict(lambda: [0, 0])
@@ -150,11 +166,10 @@ def profile_columns(counts: DataFrame) -> DataFrame:
             total = np.array([whole[key][x] for x in loads], float)
             if key not in cum:
                 cum[key] = np.array([starts[pid][key][x] for x in loads], float)
-            texts = g.num.isna().to_numpy()
-            vals = g.txt.where(texts, g.num).to_numpy()
-            new = np.r_[True, vals[1:] != vals[:-1]]
+            num, rest, txt = g.num.to_numpy(float), g.rest.fillna(0.0).to_numpy(float), g.txt.fillna("").to_numpy()
+            new = np.r_[True, ((num[1:] != num[:-1]) & ~(np.isnan(num[1:]) & np.isnan(num[:-1]))) | (rest[1:] != rest[:-1]) | (txt[1:] != txt[:-1])]
             u = np.cumsum(new) - 1
-            uniq = vals[new]
+            uniq = np.flatnonzero(new)
             for lo in range(0, len(uniq), 20_000):
                 hi = min(lo + 20_000, len(uniq))
                 pick = (u >= lo) & (u < hi)
@@ -170,13 +185,12 @@ def profile_columns(counts: DataFrame) -> DataFrame:
                     for j, q in enumerate(QUANTILES):
                         need = max(1, math.ceil(q * total[i] - 1e-9))
                         if cum[key][i] < need <= c[-1, i]:
-                            o[1 + j] = uniq[lo + int(np.searchsorted(c[:, i], need))]
+                            at_row = uniq[lo + int(np.searchsorted(c[:, i], need))]
+                            o[1 + j] = (None if np.isnan(num[at_row]) else float(num[at_row]), txt[at_row] or None)
                 cum[key] = c[-1]
         rows = []
         for (tbl, col, load), (ks, *qs) in out.items():
-            isnum = [None if q is None or isinstance(q, str) else float(q) for q in qs]
-            istxt = [q if isinstance(q, str) else None for q in qs]
-            rows.append((tbl, col, load, ks, *isnum, *istxt))
+            rows.append((tbl, col, load, ks, *[q and q[0] for q in qs], *[q and q[1] for q in qs]))
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in PARTIAL.split(", ")])
 
     firsts = {(*k, min(v)) for k, v in whole.items()}

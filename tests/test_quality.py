@@ -181,3 +181,18 @@ def test_paths_are_those_of_the_whole_search():
     at = [levels.at[f] for f in got.level_factor]
     path = sum(costs[i, a] for i, a in enumerate(at)) + SHIFT_PENALTY * sum(a != b for a, b in zip(at, at[1:]))
     assert got.case_no.tolist() == list(range(200)) and abs(path - m.min()) < 1e-6
+
+
+def test_numbers_beyond_a_double_stay_apart(spark):
+    from decimal import Decimal
+
+    big = [2**60 + i for i in (0, 1, 2, 3)] + [-(2**60) - i for i in (0, 1)] + [7, None]
+    dec = [Decimal("12345678901234567890.000001"), Decimal("12345678901234567890.000002"), Decimal("1.5"), Decimal("1.5"), None, None, None, None]
+    df = spark.createDataFrame([(b, d, "a" if i % 2 else "b") for i, (b, d) in enumerate(zip(big, dec))], "b long, d decimal(38,6), m string")
+    got = {(r["col"], r["load"]): r for r in profile_columns(unpivot_values(df, F.lit("x"), "t", ["b", "d"])).collect()}
+    b, d = got[("b", "x")], got[("d", "x")]
+    assert (b["n_distinct"], b["nulls"], b["min_txt"], b["max_txt"], b["q75_txt"]) == (7, 1, str(-(2**60) - 1), str(2**60 + 3), str(2**60 + 2))
+    assert b["q50_txt"] == str(2**60) or (b["q50_num"] == float(2**60) and b["q50_txt"] is None)
+    assert (d["n_distinct"], d["max_txt"], d["min_num"]) == (3, "12345678901234567890.000002", 1.5)
+    two = {(r["col"], r["load"]): r for r in profile_columns(unpivot_values(df, F.col("m"), "t", ["b"])).collect()}
+    assert two[("b", "b")]["ks"] > 0  # the loads hold different integers of the same double
