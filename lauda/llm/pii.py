@@ -18,6 +18,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -71,9 +72,9 @@ WEAK_CUE = re.compile(r"\s*(?:paciente|nome|mae|pai|medic[oa]|residente|responsa
 NAME_RUN = re.compile(rf"{_W}(?:(?:,\s?|\s+|(?<=\W{_L})\.\s?)(?:(?:de|da|do|das|dos|e)\s+)?{_W})*")
 _AT = r"(?:@|\(\s*(?:arroba|at)\s*\)|\[\s*(?:arroba|at)\s*\]|\barroba\b)"
 _DOT = r"(?:\.|\s+(?:ponto|dot)\s+|\s*[\[(](?:ponto|dot)[\])]\s*)"
-EMAIL = re.compile(rf"[\w+%-]+(?:{_DOT}[\w+%-]+)*\s*{_AT}\s*[\w-]+(?:{_DOT}[\w-]+)*")
+LOCAL, HOST = re.compile(rf"[\w+%-]+(?:{_DOT}[\w+%-]+)*\s*\Z"), re.compile(rf"\s*[\w-]+(?:{_DOT}[\w-]+)*")
 AT_SIGN, LETTERS = re.compile(_AT), re.compile(rf"{_L}+")
-NUMBER = re.compile(r"(?<![\w.,/-])(?:\+\s?)?(?:\(\s?)?\d+(?:(?:xx|[ .\-/]|\)\s?)\d+)*(?:-?x\b)?(?![\w])")
+NUMBER = re.compile(r"(?<![\w.,/-])(?=(?:\D{0,3}\d){8})(?:\+\s?)?(?:\(\s?)?\d+(?:(?:xx|[ .\-/]|\)\s?)\d+)*(?:-?x\b)?(?![\w])")
 ADDRESS = re.compile(rf"(?<![\w.-]){STREET}\s+{_W}(?:\s+{_W})*?(?:\s*,?\s*(?:n[o.�]?\.?\s*)?\d{{1,5}}\b|\s*,?\s*s/n\b|\s*,?\s*km\s*\d+)(?:\s*,?\s*(?:ap\.?|apto\.?|casa|bloco|bl\.?|sala)\s*\d+)?(?:\s*-\s*(?:vila|jardim|bairro|centro|parque)(?:\s+{_W})?|,\s*zona\s+{_W})?")
 CUES = {
     "phone": re.compile(r"(?:tel(?:efone)?|fone|cel(?:ular)?|whats\s?app|zap|ligac(?:ao|oes)|ligar|contato|recado|avisar|familia|ramal)\b[^\d\n;]{0,14}$"),
@@ -111,6 +112,16 @@ def is_given(word: str) -> bool:
     return len(word) > 3 and any(p.fullmatch(g) for g in GIVEN)
 
 
+@lru_cache(maxsize=65_536)
+def _folded_char(c: str) -> str:
+    """Plain letters of one character, without case and accent; none for an invisible one or a separate accent."""
+    s = "".join(LOOKALIKES.get(x, x) for x in plain(c))
+    if len(s) == 1 and unicodedata.combining(s):
+        return ""
+    fold = lambda x: _FOLD.get(ord(x)) or unicodedata.normalize("NFKD", x)[:1].lower() or x
+    return "".join(f if len(f := fold(x)) == 1 else x for x in s)
+
+
 class Aligned:
     """A folded view of a text (plain letters, no case, accents, entities or invisible characters) with offsets."""
 
@@ -124,31 +135,28 @@ class Aligned:
         if swap is None and not _SLOW.search(text):
             self.folded, self.at = text.translate(_FOLD), None
             return
-        pieces: list[tuple[str, int]] = []
-        symbols = {}
+        marks = {m.start(): (html.unescape(m[0]), len(m[0])) for m in _ENTITY.finditer(text)}
         if swap is not None:
             cipher = restorer.ciphers[swap]
             for m in re.finditer(r"\S*[^\x00-\x7f]\S*", text):
                 if restorer._word(m[0], swap) != m[0]:
-                    symbols |= {m.start() + x.start(): (cipher.table[x[0]], len(x[0])) for x in cipher.symbols.finditer(m[0])}
-        entities = {m.start(): (html.unescape(m[0]), len(m[0])) for m in _ENTITY.finditer(text)}
-        i = 0
-        while i < len(text):
-            s, n = symbols.get(i) or entities.get(i) or (None, 1)
-            if s is None:
-                s = plain(text[i])
-                s = "".join(LOOKALIKES.get(c, c) for c in s)
-            if len(s) == 1 and unicodedata.combining(s):
-                s = ""
-            for c in s:
-                pieces.append((c, i))
-            i += n
-        out, at = [], []
-        for c, i in pieces:
-            f = _FOLD.get(ord(c)) or unicodedata.normalize("NFKD", c)[:1].lower() or c
-            out.append(f if len(f) == 1 else c)
-            at.append(i)
-        self.folded, self.at = "".join(out), at + [len(text)]
+                    marks |= {m.start() + x.start(): (cipher.table[x[0]], len(x[0])) for x in cipher.symbols.finditer(m[0])}
+        out, at, i = [], [], 0
+        for k in [*sorted(marks), len(text)]:
+            if k < i:
+                continue  # inside the symbol before
+            for c in text[i:k]:
+                f = _folded_char(c)
+                out.append(f)
+                at += [i] * len(f)
+                i += 1
+            if k < len(text):
+                s, n = marks[k]
+                f = "".join(map(_folded_char, s))
+                out.append(f)
+                at += [i] * len(f)
+                i += n
+        self.folded, self.at = "".join(out), [*at, len(text)]
 
     def start(self, i: int) -> int:
         return i if self.at is None else self.at[i]
@@ -192,6 +200,21 @@ def name_span(a: Aligned, i: int) -> int | None:
     return None if end is None else i + end
 
 
+def emails(t: str) -> list[tuple[int, int]]:
+    """Spans of e-mail addresses, searched around each sign only."""
+    out, end = [], 0
+    for m in AT_SIGN.finditer(t):
+        if m.start() < end:
+            continue
+        lo = max(end, m.start() - 200)
+        left, right = LOCAL.search(t[lo : m.start()]), HOST.match(t, m.end())
+        if left and right:
+            if not left.start() and lo > end:  # a longer one
+                left, lo = LOCAL.search(t[end : m.start()]), end
+            out.append((lo + left.start(), end := right.end()))
+    return out
+
+
 def candidates(a: Aligned) -> list[tuple[str, int, int, dict, str, str]]:
     """(type, start, end, votes, left, right) of the candidate spans of a text, in folded offsets."""
     t, out, taken = a.folded, [], []
@@ -199,12 +222,11 @@ def candidates(a: Aligned) -> list[tuple[str, int, int, dict, str, str]]:
     def free(i, j):
         return all(j <= x or i >= y for x, y in taken)
 
-    for m in EMAIL.finditer(t) if AT_SIGN.search(t) else ():
-        i, j = m.span()
-        left, host = t[max(0, i - 24) : i], re.split(_AT, m[0])[-1]
+    for i, j in emails(t):
+        left, host = t[max(0, i - 24) : i], AT_SIGN.split(t[i:j])[-1]
         votes = {
             "shape": "email" if re.search(r"[a-z]", host) and re.search(_DOT, host) else "none",
-            "gaz": "email" if GIVEN & set(re.split(r"[\W_\d]+", m[0])) or any(m[0].startswith(g) for g in GIVEN if len(g) > 3) else None,
+            "gaz": "email" if GIVEN & set(re.split(r"[\W_\d]+", t[i:j])) or any(t.startswith(g, i) for g in GIVEN if len(g) > 3) else None,
             "ctx": "email" if CUES["email"].search(left) else "none" if re.search(r"(?:leitura|aumento|objetiva)\s*$", t[max(0, i - 12) : i + 8].split("@")[0]) else None,
         }
         out.append(("email", i, j, votes, left, t[j : j + 16]))
@@ -249,7 +271,7 @@ def candidates(a: Aligned) -> list[tuple[str, int, int, dict, str, str]]:
     for m in NAME_CUE.finditer(t):
         i = m.end()
         starts.setdefault(i, m[0])
-    for m in LETTERS.finditer(t):
+    for m in LETTERS.finditer(t) if LOST in t or not GIVEN.isdisjoint(LETTERS.findall(t)) else ():
         if m[0] in GIVEN or (LOST in m[0] and is_given(m[0])):
             starts.setdefault(m.start(), "")
     done = -1
