@@ -35,17 +35,17 @@ def status_distribution(spark, d):
 
 
 def status_by_clinic(spark, d):
-    """Cross table of resolution by year of the stratum map."""
-    e = _ev(spark, d).select("resolution", F.try_element_at("stratum", F.lit("ano")).alias("ano")).where("ano IN ('2021', '2022', '2023')")
-    return e.groupBy("resolution").pivot("ano", ["2021", "2022", "2023"]).count().na.fill(0)
-
-
-def status_by_clinic_all(spark, d):
     """Cross table of status by clinic over all rows, in long form; missing ones of either are a bucket of their own."""
     named = lambda c: F.coalesce(clean_value(F.col(c)), F.lit("None")).alias(c)
     return _ev(spark, d).select(named("status"), named("clinica")).groupBy("status", "clinica").agg(F.count("*").alias("n"))
 
 
+def resolution_by_year(spark, d):
+    """Cross table of resolution by year of the stratum map over all rows, in long form."""
+    ano = F.coalesce(F.try_element_at("stratum", F.lit("ano")), F.lit("None")).alias("ano")
+    return _ev(spark, d).select("resolution", ano).groupBy("resolution", "ano").agg(F.count("*").alias("n"))
+
+
 def numeric_ranges(spark, d):
     """Range, upper median and distinct values of numeric variables."""
     e = _ev(spark, d).where(F.col("value_num").isNotNull() & ~F.isnan("value_num"))
@@ -280,7 +280,8 @@ _SPANS = lambda p: f"SELECT pilot_id, CAST(e - length(h) AS INTEGER) AS s, CAST(
 ORACLE = {
     "variable_summary": f"WITH {_AB} SELECT variable, COUNT(*) AS n, COUNT(a) AS n_filled, round_even(COUNT(a) / COUNT(*), 4) AS fill_rate, COUNT(b) AS ia_fill, COUNT(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS n_both, COUNT(*) FILTER (a = b) AS n_agree FROM ab GROUP BY 1",
     "status_distribution": "SELECT variable, COALESCE(status, 'None') AS status, COUNT(*) AS n FROM evidence_record GROUP BY ALL",
-    "status_by_clinic": """SELECT resolution, COUNT(*) FILTER (a = '2021') AS "2021", COUNT(*) FILTER (a = '2022') AS "2022", COUNT(*) FILTER (a = '2023') AS "2023" FROM (SELECT resolution, stratum['ano'] AS a FROM evidence_record) WHERE a IN ('2021', '2022', '2023') GROUP BY 1""",
+    "status_by_clinic": f"SELECT COALESCE({_CL.format('status')}, 'None') AS status, COALESCE({_CL.format('clinica')}, 'None') AS clinica, COUNT(*) AS n FROM evidence_record GROUP BY ALL",
+    "resolution_by_year": "SELECT resolution, COALESCE(stratum['ano'], 'None') AS ano, COUNT(*) AS n FROM evidence_record GROUP BY ALL",
     "numeric_ranges": "WITH v AS (SELECT variable, value_num AS x FROM evidence_record WHERE value_num IS NOT NULL AND NOT isnan(value_num)) SELECT variable, min(x) AS lo, max(x) AS hi, COUNT(DISTINCT x) AS n_distinct, list_sort(list(x))[CAST(COUNT(*) // 2 + 1 AS INTEGER)] AS upper_median FROM v GROUP BY 1",
     "gate_escalated": "WITH e AS (SELECT evidence_id, variable, COALESCE(status, 'None') AS status FROM evidence_record WHERE resolution = 'escalated_case'), r AS (SELECT *, row_number() OVER (PARTITION BY variable, status ORDER BY evidence_id) AS k FROM e) SELECT variable, status, COUNT(*) AS n, string_agg(evidence_id, ',' ORDER BY evidence_id) FILTER (k <= 3) AS examples FROM r GROUP BY ALL",
     "gate_pairs": f"""WITH {_DIS}, p AS (SELECT variable, l1, l2, COUNT(*) AS n FROM dis GROUP BY ALL), t AS (SELECT *, CAST(row_number() OVER (PARTITION BY variable ORDER BY n DESC, l1, l2) AS INTEGER) AS rank FROM p QUALIFY rank <= 10),

@@ -10,6 +10,7 @@ from lauda.functions.text import normalize, sql_normalize
 from lauda.operators import review as V
 from lauda.operators import sandbox as B
 from lauda.operators.policy import clean_value, drift_alert
+from lauda.operators.range_scan import with_last_before
 from lauda.operators.topk import top_per_group
 from lauda.plans import contract as K
 from lauda.plans.policy_queries import ORACLE as POLICY_SQL
@@ -117,10 +118,6 @@ def identifier_lock(spark, d):
 
 
 def _cases(spark, d):
-    return _all_cases(spark, d).where("variable IN ('polipo_tamanho_max_mm', 'tumor_tamanho_max_mm')")
-
-
-def _all_cases(spark, d):
     return table(spark, d, "regression_case").select("case_no", "kind", "variable", "source", clean_value(F.col("expected_value")).alias("expected_value"), normalize(F.col("text")).alias("T"), normalize(F.col("reference_text")).alias("R"))
 
 
@@ -133,60 +130,34 @@ def _baseline(t):
 
 
 def regression_gate(spark, d):
-    """Cases by rule and bucket."""
-    x = B.regression_buckets(_cases(spark, d), _baseline("T"), _baseline("R"), list(RULES), "T", "R")
-    return x.groupBy("rule_id", "kind", "bucket").agg(F.count("*").alias("n"))
-
-
-def rule_impact(spark, d):
-    """What each rule would change: filled before and after, changed cases, share of the leading source."""
-    cells = [F.struct(F.lit(p.rule_id).alias("rule_id"), _baseline("T").alias("a"), B.overlay(F.col("T"), _baseline("T"), p).alias("b")) for p in RULES]
-    x = _cases(spark, d).select("source", F.explode(F.array(*cells)).alias("c")).select("source", "c.*")
-    per = x.groupBy("rule_id", "source").agg(F.count("*").alias("n"), F.count("a").alias("before"), F.count("b").alias("after"))
-    g = per.groupBy("rule_id").agg(F.sum("n").alias("n"), F.sum("before").alias("filled_before"), F.sum("after").alias("filled_after"), F.max(F.col("after") - F.col("before")).alias("most"), F.sum(F.col("after") - F.col("before")).alias("changed"))
-    return g.select("rule_id", "n", "filled_before", "filled_after", "changed", F.round(F.col("most") / F.col("changed"), 6).alias("site_share"))
-
-
-def regression_gate_all(spark, d):
     """Cases of every variable by rule and bucket."""
-    x = B.regression_buckets(_all_cases(spark, d), _baseline("T"), _baseline("R"), list(RULES), "T", "R", ("variable",))
+    x = B.regression_buckets(_cases(spark, d), _baseline("T"), _baseline("R"), list(RULES), "T", "R", ("variable",))
     return x.groupBy("rule_id", "variable", "kind", "bucket").agg(F.count("*").alias("n"))
 
 
-def rule_impact_all(spark, d):
-    """As rule_impact, over the cases of every variable; a rule that changes nothing has no site_share."""
+def rule_impact(spark, d):
+    """What each rule would change in each variable: filled before and after, changed cases, share of the leading source.
+
+    A rule that changes nothing has no site_share.
+    """
     cells = [F.struct(F.lit(p.rule_id).alias("rule_id"), _baseline("T").alias("a"), B.overlay(F.col("T"), _baseline("T"), p).alias("b")) for p in RULES]
-    x = _all_cases(spark, d).select("variable", "source", F.explode(F.array(*cells)).alias("c")).select("variable", "source", "c.*")
+    x = _cases(spark, d).select("variable", "source", F.explode(F.array(*cells)).alias("c")).select("variable", "source", "c.*")
     per = x.groupBy("rule_id", "variable", "source").agg(F.count("*").alias("n"), F.count("a").alias("before"), F.count("b").alias("after"))
     g = per.groupBy("rule_id", "variable").agg(F.sum("n").alias("n"), F.sum("before").alias("filled_before"), F.sum("after").alias("filled_after"), F.max(F.col("after") - F.col("before")).alias("most"), F.sum(F.col("after") - F.col("before")).alias("changed"))
     return g.select("rule_id", "variable", "n", "filled_before", "filled_after", "changed", F.round(F.try_divide("most", "changed"), 6).alias("site_share"))
 
 
-def skeleton_families_all(spark, d):
+def skeleton_families(spark, d):
     """Families of the cases of every variable, by its common unit; without one no word is a unit."""
     units = table(spark, d, "ontology_spec").groupBy("variable").agg(F.min(normalize(F.col("unit"))).alias("unit"))
-    c = _all_cases(spark, d).join(maybe_broadcast(units), "variable", "left")
+    c = _cases(spark, d).join(maybe_broadcast(units), "variable", "left")
     return B.families(c, "T", F.when(F.col("unit") != "", F.col("unit")).otherwise("-"), ("variable",))
 
 
-def skeleton_families(spark, d):
-    return B.families(_cases(spark, d), "T", "mm")
-
-
 def hard_negatives(spark, d):
-    """Accepted cells whose evidence shares most words with the escalated cells of their variable: 20 each."""
-    e = table(spark, d, "evidence_record").select("evidence_id", "variable", "resolution", F.array_distinct(F.regexp_extract_all(normalize(F.col("evidence")), F.lit("([a-z]{4,})"), F.lit(1))).alias("w"))
-    words = e.where("resolution = 'escalated_case'").select("variable", F.explode("w").alias("word")).groupBy("variable", "word").agg(F.count("*").alias("n"))
-    top = top_per_group(words, ["variable"], [F.desc("n"), F.col("word")], 30, "word").groupBy("variable").agg(F.collect_set("word").alias("seed"))
-    x = e.where("resolution LIKE 'accepted%'").join(maybe_broadcast(top), "variable").withColumn("overlap", F.size(F.array_intersect("w", "seed")))
-    x = top_per_group(x, ["variable"], [F.desc("overlap"), F.col("evidence_id")], 20, "evidence_id")
-    return x.select("evidence_id", "variable", "overlap")
+    """Accepted cells whose evidence shares most words with the escalated cells of their variable: 20 each.
 
-
-def hard_negatives_all(spark, d):
-    """As hard_negatives, with every word of the escalated evidence as seed; cells that share none are left out.
-
-    Words are runs of letters and digits of any length. Matches are joined on the word and summed, so
+    Cells that share none are left out. Words are runs of letters and digits of any length. Matches are joined on the word and summed, so
     the words of a variable never stand in one row; an evidence text counts each word once.
     """
     words = F.array_distinct(F.regexp_extract_all(normalize(F.col("evidence")), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
@@ -207,8 +178,8 @@ def cluster_tags(spark, d):
 
 
 def annotation_state(spark, d):
-    """Documents of a sample with the last level a reader gave."""
-    docs = table(spark, d, "documents").where("genero IS NOT NULL").select("doc_id", "genero")
+    """Documents by genre, last level a reader gave and whether one did; documents without genre are a group of their own."""
+    docs = table(spark, d, "documents").select("doc_id", "genero")
     s = V.review_state(docs, table(spark, d, "reading_label"), "doc_id", "nivel", ["rotulado_em", "label_id"])
     return s.groupBy("genero", "nivel", "done").agg(F.count("*").alias("n"))
 
@@ -224,9 +195,14 @@ def sanitized_rates(spark, d):
 
 
 def drift_alerts(spark, d):
-    """Alert bands of given changes."""
-    x = spark.createDataFrame([(0, -0.2), (1, -0.15), (2, -0.05), (3, -0.03), (4, -0.01), (5, 0.0), (6, 0.4)], "k int, delta double")
-    return x.select("k", "delta", drift_alert(F.col("delta")).alias("alert"))
+    """Alert bands of the change of fill rate from each run of a contract and variable to the next, over the whole history.
+
+    Runs without a rate, contract, variable or start have no change; rows of one start are ordered by id.
+    """
+    r = table(spark, d, "run_variable").select("contract_id", "variable", F.unix_micros("started_at").alias("t"), "manifest_row_id", "fill_rate").where("fill_rate IS NOT NULL AND NOT isnan(fill_rate)").dropna()
+    x = with_last_before(r, ["contract_id", "variable"], ["t", "manifest_row_id"], ["fill_rate"])
+    x = x.where("prev IS NOT NULL").select("variable", drift_alert(F.col("fill_rate") - F.col("prev.fill_rate")).alias("alert"))
+    return x.groupBy("variable", "alert").agg(F.count("*").alias("n"))
 
 
 def streaming_resolution(spark, d):
@@ -240,17 +216,16 @@ def streaming_windows(spark, d):
 
 
 _FUNCS = (contract_bands, contract_check, corpus_scan, text_csv_nulls, lines_last_wins, regression_load, manifest_scan, results_by_variable, exact_ci, reader_answers, identifier_lock, regression_gate, rule_impact,
-          regression_gate_all, rule_impact_all, skeleton_families_all,
-          skeleton_families, hard_negatives, hard_negatives_all, cluster_tags, annotation_state, annotation_progress, sanitized_rates, drift_alerts, streaming_resolution, streaming_windows)
+          skeleton_families, hard_negatives, cluster_tags, annotation_state, annotation_progress, sanitized_rates, drift_alerts, streaming_resolution, streaming_windows)
 QUERIES = {f.__name__: f for f in _FUNCS}
 
 _VARS = "(VALUES " + ", ".join(f"('{v.name}', {v.criticality}, [{', '.join(map(repr, v.ontology))}]::VARCHAR[])" for v in K.load_contract(CONTRACT).variables) + ") v(variable, criticality, ontology)"
 _NULL = "CASE WHEN {0} IS NULL OR trim({0}) IN ('', 'NA', 'nan', 'NaN', 'None') THEN NULL ELSE trim({0}) END"
-_CASES = f"""c AS MATERIALIZED (SELECT case_no, kind, source, {_NULL.format('expected_value')} AS ev, {sql_normalize('text')} AS T, {sql_normalize('reference_text')} AS R FROM regression_case WHERE variable IN ('polipo_tamanho_max_mm', 'tumor_tamanho_max_mm'))"""
+_CASES = f"""c AS MATERIALIZED (SELECT case_no, kind, source, variable, {_NULL.format('expected_value')} AS ev, {sql_normalize('text')} AS T, {sql_normalize('reference_text')} AS R FROM regression_case)"""
 _B = lambda t: f"TRY_CAST(replace(NULLIF(regexp_extract({t}, 'medindo (\\d+(?:[.,]\\d+)?)\\s*mm\\b', 1), ''), ',', '.') AS DOUBLE)"
 _P = lambda t, f: f"list_max(list_transform(flatten(list_transform({'list_filter(' if f else ''}string_split({t}, '. '){', lambda s: NOT regexp_matches(s, ' + repr(f) + '))' if f else ''}, lambda s: regexp_extract_all(s, '(\\d+(?:[.,]\\d+)?)\\s*mm\\b', 1))), lambda x: TRY_CAST(replace(x, ',', '.') AS DOUBLE)))"
-_RULED = " UNION ALL ".join(f"SELECT case_no, kind, source, ev, '{p.rule_id}' AS rule_id, {_B('T')} AS a, {_B('R')} AS ar, COALESCE({_B('T')}, {_P('T', p.forbidden)}) AS b, COALESCE({_B('R')}, {_P('R', p.forbidden)}) AS br FROM c" for p in RULES)
-_TOK = "list_filter(list_transform(string_split(trim(regexp_replace(regexp_replace(T, '(\\d)(mm)\\b', '\\1 \\2', 'g'), '[^a-z0-9/]+', ' ', 'g')), ' '), lambda w: CASE WHEN regexp_matches(w, '^\\d+$') THEN 'N' WHEN w = 'mm' THEN 'UNIT' " + " ".join(f"WHEN w IN {tuple(words)!r} THEN '{n}'" for words, n in B.CLASSES) + f" WHEN w IN {tuple(B.KEPT)!r} THEN w END), lambda w: w IS NOT NULL)"
+_RULED = " UNION ALL ".join(f"SELECT case_no, kind, source, variable, ev, '{p.rule_id}' AS rule_id, {_B('T')} AS a, {_B('R')} AS ar, COALESCE({_B('T')}, {_P('T', p.forbidden)}) AS b, COALESCE({_B('R')}, {_P('R', p.forbidden)}) AS br FROM c" for p in RULES)
+_TOK = "list_filter(list_transform(string_split(trim(regexp_replace(regexp_replace(T, concat('(\\d)(', u, ')\\b'), '\\1 \\2', 'g'), '[^a-z0-9/]+', ' ', 'g')), ' '), lambda w: CASE WHEN regexp_matches(w, '^\\d+$') THEN 'N' WHEN w = u THEN 'UNIT' " + " ".join(f"WHEN w IN {tuple(words)!r} THEN '{n}'" for words, n in B.CLASSES) + f" WHEN w IN {tuple(B.KEPT)!r} THEN w END), lambda w: w IS NOT NULL)"
 
 ORACLE = {
     "contract_bands": f"SELECT variable, criticality, CASE WHEN criticality >= 7 THEN 'CRITICA' WHEN criticality >= 5 THEN 'ALTA' WHEN criticality >= 3 THEN 'MEDIA' ELSE 'BAIXA' END AS band FROM {_VARS}",
@@ -267,24 +242,27 @@ ORACLE = {
     "identifier_lock": r"SELECT conjunto, COUNT(*) AS n, COUNT(*) FILTER (COALESCE(regexp_matches(laudo, '\d{3}\.\d{3}\.\d{3}-\d{2}|\d{3}\.\d{4}\.\d{4}\.\d{4}|\w@\w'), FALSE)) AS locked FROM run_pilot GROUP BY 1",
     "regression_gate": f"""WITH {_CASES}, r AS ({_RULED}), x AS (SELECT *, CASE WHEN kind = 'metamorphic_invariance' THEN br ELSE TRY_CAST(replace(ev, ',', '.') AS DOUBLE) END AS want FROM r), y AS (SELECT *, CASE WHEN kind = 'metamorphic_invariance' THEN ar ELSE want END AS was FROM x),
       z AS (SELECT *, round(b, 4) IS NOT DISTINCT FROM round(want, 4) AS ok, round(a, 4) IS NOT DISTINCT FROM round(was, 4) AS bf FROM y)
-      SELECT rule_id, kind, CASE WHEN ok THEN 'conform' WHEN (kind = 'metamorphic_invariance' AND a IS NULL AND ar IS NULL) OR NOT bf THEN 'pre_existing' ELSE 'regressed' END AS bucket, COUNT(*) AS n FROM z GROUP BY ALL""",
-    "rule_impact": f"""WITH {_CASES}, r AS ({_RULED}), p AS (SELECT rule_id, source, COUNT(*) AS n, COUNT(a) AS b0, COUNT(b) AS b1 FROM r GROUP BY ALL)
-      SELECT rule_id, CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(b0) AS BIGINT) AS filled_before, CAST(SUM(b1) AS BIGINT) AS filled_after, CAST(SUM(b1 - b0) AS BIGINT) AS changed, round(max(b1 - b0) / SUM(b1 - b0), 6) AS site_share FROM p GROUP BY 1""",
-    "skeleton_families": f"""WITH {_CASES}, l AS (SELECT T, {_TOK} AS k, CASE WHEN list_has_any(regexp_extract_all(T, '[a-z]+'), {B.NEGATIVE!r}) AND NOT list_has_any(regexp_extract_all(T, '[a-z]+'), ['polipo', 'polipos']) THEN 'negative' WHEN regexp_matches(T, '\\d+\\s*x\\s*\\d+') THEN 'multidim' ELSE 'positive' END AS lane FROM c),
+      SELECT rule_id, variable, kind, CASE WHEN ok THEN 'conform' WHEN (kind = 'metamorphic_invariance' AND a IS NULL AND ar IS NULL) OR NOT bf THEN 'pre_existing' ELSE 'regressed' END AS bucket, COUNT(*) AS n FROM z GROUP BY ALL""",
+    "rule_impact": f"""WITH {_CASES}, r AS ({_RULED}), p AS (SELECT rule_id, variable, source, COUNT(*) AS n, COUNT(a) AS b0, COUNT(b) AS b1 FROM r GROUP BY ALL)
+      SELECT rule_id, variable, CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(b0) AS BIGINT) AS filled_before, CAST(SUM(b1) AS BIGINT) AS filled_after, CAST(SUM(b1 - b0) AS BIGINT) AS changed, CASE WHEN SUM(b1 - b0) <> 0 THEN round(max(b1 - b0) / SUM(b1 - b0), 6) END AS site_share FROM p GROUP BY 1, 2""",
+    "skeleton_families": f"""WITH {_CASES}, v AS (SELECT variable, min({sql_normalize('unit')}) AS unit FROM ontology_spec GROUP BY 1), cu AS (SELECT c.*, COALESCE(NULLIF(unit, ''), '-') AS u FROM c LEFT JOIN v USING (variable)),
+      l AS (SELECT T, variable, {_TOK} AS k, CASE WHEN list_has_any(regexp_extract_all(T, '[a-z]+'), {B.NEGATIVE!r}) AND NOT list_has_any(regexp_extract_all(T, '[a-z]+'), ['polipo', 'polipos']) THEN 'negative' WHEN regexp_matches(T, '\\d+\\s*x\\s*\\d+') THEN 'multidim' ELSE 'positive' END AS lane FROM cu),
       m AS (SELECT *, COALESCE(NULLIF(COALESCE(list_position(list_transform(range(1, len(k)), lambda i: concat(k[i], ' ', k[i + 1])), 'N UNIT'), 0), 0), list_position(k, 'N'), 0) AS i FROM l),
-      s AS (SELECT lane, CASE WHEN lane = 'positive' AND i > 0 THEN array_to_string(k[greatest(i - 5, 1):i + 5], ' ') ELSE '' END AS skeleton FROM m)
-      SELECT lane, CASE WHEN lane <> 'positive' THEN concat('pf_', lane) WHEN skeleton = '' THEN 'pf_noanchor' ELSE concat('pf_', left(sha256(skeleton), 12)) END AS family_id, skeleton, COUNT(*) AS n FROM s GROUP BY ALL""",
-    "hard_negatives": f"""WITH e AS MATERIALIZED (SELECT evidence_id, variable, resolution, list_distinct(regexp_extract_all({sql_normalize('evidence')}, '[a-z]{{4,}}')) AS w FROM evidence_record), u AS (SELECT variable, unnest(w) AS word FROM e WHERE resolution = 'escalated_case'),
-      t AS (SELECT variable, word FROM (SELECT variable, word, COUNT(*) AS n FROM u GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY variable ORDER BY n DESC, word) <= 30), s AS (SELECT variable, list(word) AS seed FROM t GROUP BY 1)
-      SELECT evidence_id, variable, CAST(len(list_intersect(w, seed)) AS INTEGER) AS overlap FROM e JOIN s USING (variable) WHERE resolution LIKE 'accepted%' QUALIFY row_number() OVER (PARTITION BY variable ORDER BY overlap DESC, evidence_id) <= 20""",
+      s AS (SELECT lane, variable, CASE WHEN lane = 'positive' AND i > 0 THEN array_to_string(k[greatest(i - 5, 1):i + 5], ' ') ELSE '' END AS skeleton FROM m)
+      SELECT lane, variable, CASE WHEN lane <> 'positive' THEN concat('pf_', lane) WHEN skeleton = '' THEN 'pf_noanchor' ELSE concat('pf_', left(sha256(skeleton), 12)) END AS family_id, skeleton, COUNT(*) AS n FROM s GROUP BY ALL""",
+    "hard_negatives": f"""WITH e AS MATERIALIZED (SELECT evidence_id, variable, resolution, unnest(list_distinct(regexp_extract_all({sql_normalize('evidence')}, '[\\p{{L}}\\p{{N}}_]+'))) AS word FROM evidence_record), s AS (SELECT DISTINCT variable, word FROM e WHERE resolution = 'escalated_case'),
+      x AS (SELECT evidence_id, variable, CAST(COUNT(*) AS INTEGER) AS overlap FROM e JOIN s USING (variable, word) WHERE resolution LIKE 'accepted%' GROUP BY ALL)
+      SELECT evidence_id, variable, overlap FROM x QUALIFY row_number() OVER (PARTITION BY variable ORDER BY overlap DESC, evidence_id) <= 20""",
     "cluster_tags": f"""WITH e AS (SELECT variable, {_NULL.format('value')} AS v, CASE WHEN trim(ia) NOT IN ('', 'NA', 'nan', 'NaN', 'None') THEN ia END AS ia, lower(COALESCE(evidence, '')) AS t FROM evidence_record), g AS (SELECT variable, ia, COUNT(*) AS n, COUNT(*) FILTER (contains(t, lower(ia))) / COUNT(*) AS rate FROM e WHERE v IS NULL AND ia IS NOT NULL GROUP BY ALL),
       p AS (SELECT variable, min(onto_type) AS ot, list(DISTINCT canonical) AS vals, min(range_min) AS lo, max(range_max) AS hi FROM ontology_spec GROUP BY 1)
       SELECT variable, ia, n, CASE WHEN n < 10 THEN 'low_support' ELSE 'supported' END AS support, CASE WHEN rate >= 0.7 THEN 'grounded' WHEN rate >= 0.3 THEN 'partly_grounded' ELSE 'ungrounded' END AS grounding,
       CASE WHEN ot = 'enum' THEN CASE WHEN list_contains(vals, ia) THEN 'enum_member' ELSE 'implausible' END WHEN ot IS NOT NULL THEN CASE WHEN TRY_CAST(ia AS DOUBLE) BETWEEN lo AND hi THEN 'in_range' ELSE 'implausible' END ELSE 'unverified' END AS plausibility FROM g LEFT JOIN p USING (variable)""",
-    "annotation_state": "WITH a AS (SELECT doc_id, nivel FROM reading_label QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rotulado_em DESC NULLS LAST, label_id DESC) = 1) SELECT genero, nivel, nivel IS NOT NULL AS done, COUNT(*) AS n FROM documents LEFT JOIN a USING (doc_id) WHERE genero IS NOT NULL GROUP BY ALL",
+    "annotation_state": "WITH a AS (SELECT doc_id, nivel FROM reading_label QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rotulado_em DESC NULLS LAST, label_id DESC) = 1) SELECT genero, nivel, nivel IS NOT NULL AS done, COUNT(*) AS n FROM documents LEFT JOIN a USING (doc_id) GROUP BY ALL",
     "annotation_progress": "WITH a AS (SELECT doc_id, nivel FROM reading_label QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rotulado_em DESC NULLS LAST, label_id DESC) = 1) SELECT COUNT(*) AS total, COUNT(nivel) AS done, min(doc_id) FILTER (nivel IS NULL) AS first_pending FROM documents LEFT JOIN a USING (doc_id)",
     "sanitized_rates": "SELECT COUNT(*) AS n, COUNT(*) FILTER (fill_rate IS NOT NULL AND isfinite(fill_rate)) AS n_fill, COUNT(*) FILTER (agreement_surface IS NOT NULL AND isfinite(agreement_surface)) AS n_agree FROM run_variable",
-    "drift_alerts": "SELECT k, delta, CASE WHEN -delta >= 0.15 - 1e-12 THEN 'RED' WHEN -delta >= 0.03 - 1e-12 THEN 'YELLOW' ELSE 'GREEN' END AS alert FROM (VALUES (0, -0.2::DOUBLE), (1, -0.15), (2, -0.05), (3, -0.03), (4, -0.01), (5, 0.0), (6, 0.4)) t(k, delta)",
+    "drift_alerts": """WITH r AS (SELECT variable, fill_rate - lag(fill_rate) OVER (PARTITION BY contract_id, variable ORDER BY started_at, manifest_row_id) AS delta FROM run_variable
+      WHERE fill_rate IS NOT NULL AND NOT isnan(fill_rate) AND contract_id IS NOT NULL AND variable IS NOT NULL AND started_at IS NOT NULL)
+      SELECT variable, CASE WHEN -delta >= 0.15 - 1e-12 THEN 'RED' WHEN -delta >= 0.03 - 1e-12 THEN 'YELLOW' ELSE 'GREEN' END AS alert, COUNT(*) AS n FROM r WHERE delta IS NOT NULL GROUP BY ALL""",
     "streaming_resolution": POLICY_SQL["policy_histogram"],
     "streaming_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, COUNT(*) AS n FROM events GROUP BY ALL",
 }

@@ -17,7 +17,7 @@ def rows_of(spark, query, d):
 def test_status_by_clinic_counts_every_row(spark, tmp_path):
     rows = [("ok", "C1", {"ano": "2019"}), ("ok", "C1", {"ano": "2022"}), ("ok", "C2", {}), (None, "C2", None), ("ok", None, {"ano": "2025"}), ("ok", "", {"ano": None})]
     d = folder(spark, tmp_path, "evidence_record", rows, "status string, clinica string, stratum map<string,string>")
-    assert rows_of(spark, "status_by_clinic_all", d) == [("None", "C2", 1), ("ok", "C1", 2), ("ok", "C2", 1), ("ok", "None", 2)]
+    assert rows_of(spark, "status_by_clinic", d) == [("None", "C2", 1), ("ok", "C1", 2), ("ok", "C2", 1), ("ok", "None", 2)]
 
 
 def test_hard_negatives_take_every_seed_word(spark, tmp_path):
@@ -25,7 +25,7 @@ def test_hard_negatives_take_every_seed_word(spark, tmp_path):
     common = [(i, "v", "escalated_case", " ".join(words[:40])) for i in range(3)]
     rows = [*common, (3, "v", "escalated_case", " ".join(words[40:]) + " 12 cm"), (4, "v", "accepted_exact", " ".join(words[40:])), (5, "v", "accepted_semantic", f"{words[0]} {words[0]} 12 cm"), (6, "v", "accepted_exact", "nada igual"), (7, "v", "accepted_exact", None), (8, "w", "accepted_exact", words[0])]
     d = folder(spark, tmp_path, "evidence_record", rows, "evidence_id long, variable string, resolution string, evidence string")
-    assert rows_of(spark, "hard_negatives_all", d) == [(4, "v", 20), (5, "v", 3)]
+    assert rows_of(spark, "hard_negatives", d) == [(4, "v", 20), (5, "v", 3)]
 
 
 RUNS = "manifest_row_id long, contract_id string, variable string, started_at timestamp, loaded_at timestamp, n_total long, n_filled long, fill_rate double, n_both_filled long, n_agree_both long, agreement_surface double"
@@ -58,9 +58,9 @@ def test_rules_see_the_cases_of_every_variable(spark, tmp_path):
     rows = [(1, "synthetic_canary", "polipo_tamanho_max_mm", "LAB", "5", "polipo medindo 5 mm", None), (2, "synthetic_canary", "peca_peso_g", "LAB", None, "peca com margem de 3 mm", None), (3, "synthetic_canary", "peca_peso_g", "LAB", "20", "peca de 20g", None), (4, "synthetic_canary", None, "LAB", None, "nada", None)]
     folder(spark, tmp_path, "regression_case", rows, "case_no long, kind string, variable string, source string, expected_value string, text string, reference_text string")
     d = folder(spark, tmp_path, "ontology_spec", [("polipo_tamanho_max_mm", "mm"), ("peca_peso_g", "g")], "variable string, unit string")
-    got = [r for r in catalogue.QUERIES["regression_gate_all"](spark, d).collect() if r["rule_id"] == "mm_any"]
+    got = [r for r in catalogue.QUERIES["regression_gate"](spark, d).collect() if r["rule_id"] == "mm_any"]
     assert {(r["variable"], r["bucket"]): r["n"] for r in got} == {("polipo_tamanho_max_mm", "conform"): 1, ("peca_peso_g", "regressed"): 1, ("peca_peso_g", "pre_existing"): 1, (None, "conform"): 1}
-    got = {r["variable"]: tuple(r)[2:] for r in catalogue.QUERIES["rule_impact_all"](spark, d).collect() if r["rule_id"] == "mm_any"}
+    got = {r["variable"]: tuple(r)[2:] for r in catalogue.QUERIES["rule_impact"](spark, d).collect() if r["rule_id"] == "mm_any"}
     assert got == {"polipo_tamanho_max_mm": (1, 1, 1, 0, None), "peca_peso_g": (2, 0, 1, 1, 1.0), None: (1, 0, 0, 0, None)}
-    got = {(r["variable"], r["skeleton"]) for r in catalogue.QUERIES["skeleton_families_all"](spark, d).collect()}
+    got = {(r["variable"], r["skeleton"]) for r in catalogue.QUERIES["skeleton_families"](spark, d).collect()}
     assert got == {("polipo_tamanho_max_mm", "SUBJ MEASURE N UNIT"), ("peca_peso_g", "com margem de N"), ("peca_peso_g", "de N UNIT"), (None, "")}
