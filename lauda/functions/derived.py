@@ -67,3 +67,65 @@ def polyp_size(t: Column) -> Column:
         return F.array_max(F.filter(mm, lambda v: (v >= 0.5) & (v <= 200)))
 
     return let(F.struct(t.alias("t"), spans_of(t, D.SIZE).alias("sizes"), spans_of(t, D.POLYP).alias("own"), spans_of(t, D.OTHER).alias("other")), size)
+
+
+def tumour_size(t: Column) -> Column:
+    """Greatest measure in mm behind a size label, else after 'medindo', else after '=' where size was spoken of."""
+    mm = lambda xs: F.array_max(F.transform(xs, measure_mm))
+
+    def size(t):
+        labelled = F.concat(*[F.regexp_extract_all(t, F.lit(p + r"(?:area\s+de\s+)?" + D.TUMOUR_MEASURE), F.lit(1)) for p in D.SIZE_LABELS])
+        again = r"=\s*" + D.TUMOUR_MEASURE
+        at = F.regexp_instr(t, F.lit(again)) - 1
+        near = F.substring(t, F.greatest(at - 80, F.lit(0)) + 1, F.least(at, F.lit(80))).rlike("tamanho|dimens|neoplasia|tumor")
+        return F.coalesce(mm(labelled), mm(F.regexp_extract_all(t, F.lit(D.MEASURING + D.TUMOUR_MEASURE), F.lit(1))), F.when((at >= 0) & near, measure_mm(F.regexp_extract(t, again, 1))))
+
+    return let(t, size)
+
+
+def polyp_size_words(t: Column) -> Column:
+    """Size of the first polyp that words or a bound ('menores que 5 mm') tell, NULL if none do."""
+
+    def size(x):
+        def one(s):
+            w = F.substring(x["t"], F.greatest(s["start"] - 60, F.lit(0)) + 1, s["end"] + 60 - F.greatest(s["start"] - 60, F.lit(0)))
+            clean = F.regexp_replace(w, D.NO_SIZE, "")
+            mm = measure_mm(F.concat(F.regexp_extract(w, D.SIZE_BOUND, 1), F.regexp_extract(w, D.SIZE_BOUND, 2)))
+            out = F.when(w.rlike(D.SIZE_BOUND), F.when(mm <= 5, "qualitative_diminuto").when(mm <= 10, "qualitative_subcm").otherwise("qualitative_large"))
+            for p, label in reversed(D.SIZE_WORDS):
+                out = F.when(clean.rlike(p), label).otherwise(out)
+            return out
+
+        return F.get(F.array_compact(F.transform(x["own"], one)), F.lit(0))
+
+    return let(F.struct(t.alias("t"), spans_of(t, D.POLYP).alias("own")), size)
+
+
+def outside_in_situ(behavior: Column, c: Column) -> Column:
+    """A component that an in-situ tumour doesn't have."""
+    return F.when(~F.coalesce(behavior == "in_situ", F.lit(False)), c)
+
+
+# Invasive component beside an in-situ type; words of a bound beside a percentage.
+INVASIVE_TOO, LOWER_BOUND = r"(?:carcinoma|neoplasia).{0,40}(?:invasiv|infiltrant)", r"(?:mais|menos)\s+(?:de|que)|\bate\s+\d|<\s*\d|cerca\s+de\s+\d"
+
+
+def receptor_flags(t: Column) -> Column:
+    """(erlow, is_cdis_only, ki67_is_lower_bound, her2_resolved) of a breast immunohistochemistry report."""
+
+    def flags(t):
+        re_, pct, tipo = D.RE.column(t), D.RE_PCT.column(t), D.TIPO_IHQ.column(t)["value"]
+        low = (re_["value"] == "positivo") & F.coalesce(pct.between(1, 10) | (pct.isNull() | ~pct.between(1, 10)) & re_["evidence"].contains("frac"), F.lit(False))
+        return F.struct(
+            F.coalesce(low, F.lit(False)).alias("erlow"), F.coalesce(tipo.isin("CDIS", "CLIS") & ~t.rlike(INVASIVE_TOO), F.lit(False)).alias("is_cdis_only"),
+            F.coalesce(D.KI67.evidence(t).rlike(LOWER_BOUND), F.lit(False)).alias("ki67_is_lower_bound"), F.coalesce(D.HER2_STATUS.column(t)["value"].isin("positivo", "negativo"), F.lit(False)).alias("her2_resolved"),
+        )
+
+    return let(t, flags)
+
+
+def invasion_record(t: Column, rule) -> Column:
+    """(value, status, certainty, evidence) of an invasion rule; a text that doesn't mention it has status not_mentioned."""
+    r = rule.column(t)
+    seen = r["value"].isNotNull()
+    return F.struct(r["value"].alias("value"), F.when(seen, "detected").otherwise("not_mentioned").alias("status"), F.when(seen, "high").alias("certainty"), r["evidence"].alias("evidence"))

@@ -5,7 +5,7 @@ Fixed values: the patterns and their order are the extraction semantics and are
 
 from __future__ import annotations
 
-from lauda.functions.rules import Cascade, MultiLabel, Number, Rule
+from lauda.functions.rules import Cascade, Extract, MultiLabel, Number, Rule
 
 R = Rule
 NEG = r"(?:nao (?:se )?(?:observ|evidenci|identific|visualiz|detect)\w*|ausencia de|ausentes?|sem|negativ[oa] para|livres? de)"
@@ -16,6 +16,7 @@ BETHESDA = Cascade("bethesda", tuple(
     + [R(rf"bethesda(?:\s+categoria)?\s+{c.lower()}\b", c) for c in ("VI", "IV", "III", "II", "V", "I")]
     + [R(rf"bethesda(?:\s+categoria)?\s+{i}\b", c) for i, c in enumerate(("I", "II", "III", "IV", "V", "VI"), 1)]
 ), anchors=("bethesda",))
+BETHESDA_DESC = Extract("bethesda_desc", r"bethesda\s*[-–]+\s*([a-z][a-z\s]+)", cut=r"\s*[(.,].*")
 SUBTIPO = Cascade("subtipo", (
     R(r"n.dulo\s+hiperpl.sico|adenomat.ide", "nodulo_hiperplasico"), R(r"hashimoto|tireoidite\s+linfoc", "hashimoto"), R(r"papil[ai]r|papilifero", "papilar"),
     R("medular", "medular"), R("hurthle|oncocit", "hurthle"), R("folicular", "folicular"),
@@ -84,6 +85,28 @@ HER2_STATUS = Cascade("her2_status", (
     R(r"her-?2.{0,25}?3\s*\+", "positivo"), R(r"her-?2.{0,25}?2\s*\+", "equivoco"), R(r"her-?2.{0,25}?(?:[01]\s*\+|0\b)", "negativo"), R(r"her-?2.{0,15}positiv", "positivo"), R(r"her-?2.{0,15}negativ", "negativo"),
 ), anchors=("her",))
 KI67 = Number("ki67_pct", (
+    (r"ki[\s-]?67\s*/?\s*mib[\s-]?1\s*\([^)]+\)\s*:\s*positivo\s+em\s+(\d+)\s*%?\s*(?:a|e)\s*(\d+)\s*%", "mid"),
+    (r"ki[\s-]?67\s*/?\s*mib[\s-]?1\s*\([^)]+\)\s*:\s*positivo\s+em\s+(\d+)\s*%", "one"),
+    (r"ki[\s-]?67.{0,40}positiv[oa]\s+(?:em\s+)?(?:de\s+)?(\d+)\s*%?\s*(?:a|e|-)\s*(\d+)\s*%", "mid"),
+    (r"ki[\s-]?67.{0,40}positiv[oa]\s+(?:em\s+)?(\d+)\s*%", "one"),
+    (r"ki[\s-]?67[^:]{0,55}:\s*positiv[oa]\s+(?:em\s+)?(\d+)\s*%", "one"),
+    (r"(?:indice\s+de\s+)?proliferac.o\s+celular\s+(?:ao\s+ki[\s-]?67\s+)?de\s+(?:(?:ate|cerca\s+de)\s+)?(\d+)\s*(?:a\s+(\d+)\s*)?%", "any"),
+    (r"proliferac.o\s+celular\s+de\s+(?:(?:ate|cerca\s+de)\s+)?(\d+)\s*(?:a\s+(\d+)\s*)?%\s*ao\s+ki", "any"),
+    (r"ao\s+ki[\s-]?67\s+de\s+(?:(?:ate|cerca\s+de)\s+)?(\d+)\s*(?:a\s+(\d+)\s*)?%", "any"),
+    (r"ki[\s-]?67.{0,40}positiv[oa]\s+em\s+mais\s+(?:de|que)\s+(\d+)\s*%", "one"),
+    (r"ki[\s-]?67.{0,40}positiv[oa]\s+em\s+menos\s+(?:de\s+)?(\d+)\s*%", "one"),
+    (r"ki[\s-]?67.{0,40}positiv[oa]\s+(?:em\s+)?(?:(?:com\s+areas\s+)?de\s+)?ate\s+(\d+)\s*%", "one"),
+    (r"ki[\s-]?67.{0,40}positiv[oa][\s,]+(?:em\s+)?cerca\s+de\s+(\d+)\s*%?\s*(?:a\s+(\d+)\s*%)?", "any"),
+    (r"ki[\s-]?67[^:]{0,55}:\s*(?:reacao\s+)?positiv[oa]\s+(?:em\s+)?cerca\s+de\s+(\d+)\s*%?\s*(?:a\s+(\d+)\s*%)?", "any"),
+    (r"ki[\s-]?67.{0,40}positiv[oa]\s+entre\s+(\d+)\s*%?\s*(?:e|a)\s*(\d+)\s*%", "mid"),
+    (r"ki[\s-]?67.{0,40}positiv[oa]\s+em\s+<\s*(\d+)\s*%", "one"),
+    (r"ki[\s-]?67.{0,60}variando\s+de\s+(\d+)\s*(?:%?\s*a\s*(\d+)\s*)?%", "any"),
+    (r"ki[\s-]?67\s*\((\d+)\s*%\)", "one"),
+    (r"(?:,\s*e?\s*)?ki[\s-]?67\s+de\s+(\d+)\s*%", "one"),
+    (r"ki[\s-]?67\s*(?:\([^)]*\)\s*)?:\s*(\d+)\s*%", "one"),
+    (r"ki[\s-]?67[^:]{0,55}:\s*positiv[oa]\s+em\s+(\d+)\s+das?\s+celulas", "one"),
+    (r"(\d+)\s*(?:%?\s*a\s+(\d+)\s*)?%\s+ao\s+ki[\s-]?67", "any"),
+    # our own, for phrasings that none of the above reads
     (r"ki-?\s?67.{0,40}?(\d{1,3})\s*%?\s*(?:a|e|-)\s*(\d{1,3})\s*%", "mid"), (r"ki-?\s?67.{0,40}?(\d{1,3})\s*%", "one"), (r"(\d{1,3})\s*%\s+(?:para|de)\s+ki-?\s?67", "one"),
 ))
 # Breast anatomical pathology
@@ -153,6 +176,17 @@ SCORES = tuple(Number(n, ((rf"{w}.{{0,60}}?(?:escore|grau)?\s*:?\s*([123])\b", "
 INVASIVE = ("CDI_SOE", "CLI", "misto", "mucinoso", "tubular", "medular", "micropapilar", "papilar", "metaplasico", "outro_maligno")
 IN_SITU, BENIGN = ("CDIS", "CLIS"), ("fibroadenoma", "fibrocistico", "outro_benigno")
 CYSTIC = (r"\b(?:micro)?cistos?\b", "adenose", r"hiperplasia\s+(?:ductal|lobular)", r"ectasia\s+ductal", r"metaplasia\s+apocrina", r"fibrose\b", r"celulas\s+colunares", r"alterac\w*\s+involutiv")
+# Tumour size: labels of the structured field, and the measure that follows them
+SIZE_LABELS = (
+    r"maior\s+extens.o\s+(?:linear\s+)?d[aoe]\s+neoplasia[^:]*:\s*", r"tamanho\s+d[aoe]\s+(?:tumor|neoplasia\s*(?:invasiv[ao])?|lesao)\s*:\s*",
+    r"maior\s+dimens.o\s+(?:linear\s+)?d[aoe]\s+neoplasia[^:]*:\s*", r"tamanho\s*:\s*", r"focalidade\s+e\s+tamanho\s+d[aoe]\s+tumor\s*:\s*",
+)
+TUMOUR_MEASURE = r"(\d+(?:[,.]\d+)?\s*(?:x\s*\d+(?:[,.]\d+)?\s*)*(?:cm|mm|milimetros?))"
+MEASURING = r"(?:mede|medindo)\s+(?:o\s+maior\s+(?:foco\s+(?:neoplasico\s+)?)?)?"
+# Polyp size in words, looked for within 60 characters of a polyp noun, in this order; "grande" before these nouns is no size
+SIZE_WORDS = ((r"\bdiminut(?:o|os|a|as)\b", "qualitative_diminuto"), (r"\bp(?:un|on)tiform", "qualitative_punctiform"), (r"\bsubcentimetric", "qualitative_subcm"), (r"\bvolumos", "qualitative_large"), (r"\bgrand(?:e|es)\b", "qualitative_large"))
+NO_SIZE = r"\bgrand(?:e|es)\s+(?:quantidade|parte|volume|numero|extensao|acumulo|presenca)"
+SIZE_BOUND = r"\b(?:menores?|inferiores?)\s+(?:que|do\s+que|de|a)\s*(\d{1,2}(?:[.,]\d)?)\s*(mm|cm)"
 # Polyp size: nouns that a measure may belong to, and guards around it
 POLYP = r"\bpolip(?:o|os|oide|oides)\b|\bles(?:ao|oes)\s+(?:plan\w+|superficial|polipoide|de\b)|\bcrescimento\s+lateral\b|\bporcao\s+cefalica\b"
 OTHER = r"\bulcer(?:a|as|ada|ado)\b|\bneoplasia\b|\btumor\w*\b|\blipoma\w*\b|\bsubepitelia\w+\b|\bdiverticul\w+\b|\bhemorroid\w+\b|\banastomose\b|\bfragmentos?\b|\bpeca\b|\bnodulo\b|\bextensao\s+de\b"
@@ -169,7 +203,7 @@ INTENT = Cascade("interval_intent", (
 ), default="vigilancia")
 
 SETS = {
-    "tireoide": (BETHESDA, SUBTIPO),
+    "tireoide": (BETHESDA, BETHESDA_DESC, SUBTIPO),
     "cervical": (ADEQUAB, ZT, RESULTADO, ORGANISMOS, HORMONAL),
     "gastrico": (OLGA, HP, METODO_HP, METAPLASIA, ATROFIA, DISPLASIA, ATIVIDADE, POLIPOS_FUNDICOS),
     "mama_ihq": (RE, RP, RE_PCT, RP_PCT, RE_ALLRED, RP_ALLRED, HER2_SCORE, HER2_STATUS, KI67),

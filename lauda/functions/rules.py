@@ -87,10 +87,10 @@ class MultiLabel:
 
 @dataclass(frozen=True)
 class Number:
-    """A number from the first pattern that matches: a group, the floored midpoint of two, or a constant."""
+    """A number from the first pattern that matches: a group, the floored midpoint of two (`any`: of one or two), or a constant."""
 
     name: str
-    rules: tuple[tuple, ...] = field(default_factory=tuple)  # (pattern, 'one' | 'mid' | int)
+    rules: tuple[tuple, ...] = field(default_factory=tuple)  # (pattern, 'one' | 'mid' | 'any' | int)
     low: int = 0
     high: int = 100
 
@@ -98,15 +98,41 @@ class Number:
         out = F.lit(None).cast("int")
         for p, how in reversed(self.rules):
             n = lambda g, p=p: F.regexp_extract(t, p, g).try_cast("int")
-            v = n(1) if how == "one" else F.floor((n(1) + n(2)) / 2).cast("int") if how == "mid" else F.lit(int(how))
+            v = n(1) if how == "one" else F.floor((n(1) + n(2)) / 2).cast("int") if how == "mid" else F.coalesce(F.floor((n(1) + n(2)) / 2).cast("int"), n(1)) if how == "any" else F.lit(int(how))
             out = F.when(t.rlike(p), v).otherwise(out)
         return F.when(out.between(self.low, self.high), out)
 
+    def evidence(self, t: Column) -> Column:
+        """The text of the pattern that gives the number, at most 80 characters."""
+        out = F.lit(None).cast("string")
+        for p, _ in reversed(self.rules):
+            out = F.when(t.rlike(p), F.substring(F.trim(F.regexp_extract(t, p, 0)), 1, 80)).otherwise(out)
+        return out
+
+    def sql_evidence(self, t: str) -> str:
+        return "CASE " + " ".join(f"WHEN regexp_matches({t}, '{p}') THEN left(trim(regexp_extract({t}, '{p}', 0)), 80)" for p, _ in self.rules) + " END"
+
     def sql(self, t: str) -> str:
         parts = []
         for p, how in self.rules:
             n = lambda g, p=p: f"TRY_CAST(regexp_extract({t}, '{p}', {g}) AS INTEGER)"
-            v = n(1) if how == "one" else f"({n(1)} + {n(2)}) // 2" if how == "mid" else str(int(how))
+            v = n(1) if how == "one" else f"({n(1)} + {n(2)}) // 2" if how == "mid" else f"COALESCE(({n(1)} + TRY_CAST(NULLIF(regexp_extract({t}, '{p}', 2), '') AS INTEGER)) // 2, {n(1)})" if how == "any" else str(int(how))
             parts.append(f"WHEN regexp_matches({t}, '{p}') THEN {v}")
         case = f"CASE {' '.join(parts)} END"
         return f"CASE WHEN {case} BETWEEN {self.low} AND {self.high} THEN {case} END"
+
+
+@dataclass(frozen=True)
+class Extract:
+    """The text of a pattern's group, without what follows the first match of `cut`; NULL if nothing is left."""
+
+    name: str
+    pattern: str
+    cut: str
+
+    def column(self, t: Column) -> Column:
+        x = F.trim(F.regexp_replace(F.trim(F.regexp_extract(t, self.pattern, 1)), f"(?s){self.cut}", ""))
+        return F.when(x != "", x)
+
+    def sql(self, t: str) -> str:
+        return f"NULLIF(trim(regexp_replace(trim(regexp_extract({t}, '{self.pattern}', 1)), '(?s){self.cut}', '')), '')"

@@ -200,7 +200,7 @@ def to_double(s: Column) -> Column:
 def measure_mm(s: Column) -> Column:
     """Largest number of a measure in mm: in cm unless mm is written."""
     nums = F.transform(F.regexp_extract_all(s, F.lit(r"(\d+(?:[.,]\d+)?)"), F.lit(1)), to_double)
-    return F.array_max(nums) * F.when(F.lower(s).contains("mm"), 1.0).otherwise(10.0)
+    return F.array_max(nums) * F.when(F.lower(s).rlike("mm|milimetro"), 1.0).otherwise(10.0)
 
 
 def interval_label(n: Column, unit: Column) -> Column:
@@ -210,3 +210,57 @@ def interval_label(n: Column, unit: Column) -> Column:
     days = F.when(u.startswith("semana"), i * 7).when(u.startswith("hora"), F.ceil(i / 24)).when(u.startswith("dia"), i)
     name = F.when(days.isNotNull(), F.when(days == 1, "dia").otherwise("dias")).when(u.startswith("mes"), F.when(i == 1, "mes").otherwise("meses")).when(u.startswith("ano"), F.when(i == 1, "ano").otherwise("anos"))
     return F.when(name.isNotNull(), F.concat_ws("_", F.coalesce(days, i).cast("string"), name))
+
+
+# Markers of history, of other scales, and of a place that denies a finding; order of evidence where words and measures disagree.
+HISTORY = r"\bprevi[oa]\b|\bprevias?\b|\bpos[-\s]?tratamento\b|\bpos[-\s]?cirurgia\b|\bcontrole\s+(?:de|tardio|pos)\b|\bem\s+controle\s+de\b|\brelato\s+de\b|\bhistoria\s+de\b|\bantecedente\s+de\b|\banteriormente\b|\bha\s+\d+\s+(?:anos?|meses?)\b|\bja\s+(?:tratada?|tratado)\b|\bvigilancia\s+pos\b|\bcontrole\s+de\s+(?:polipectomia|mucosectomia)\b"
+OTHER_SCALE = r"\bforrest\b|\bsakita\b|\bsavary\b|\bmiller\b|\bpraga\b|\bbarrett\s*c\d|\bparis\b|\bbormann\b|\bbethesda\b|\bbi[-\s]?rads\b|\bvienna\b|\bnice\b|\blsts?[-\s]?(?:g|ng)\b|\bdica\s*\d\b"
+DENYING_PLACE = r"\bao\s+nivel\s+do\b|\bcoincidente\s+(?:com|ao|a)\b|\bjunto\s+(?:ao|do|a)\b|\bvist[ao]s?\s+no\b|\blocalizad[ao]s?\s+no\s+nivel\b|\btopic[ao]\b|\bajustado\s+ao\b|\bjusto\s+ao\b"
+TIERS = ("lemma_negative", "lemma_positive", "measurement_positive", "measurement_negative", "borderline_meta")
+
+
+def plus_minus(t: Column) -> Column:
+    """'+/-' and '+-' of a normalised text as a token of its own, in capitals as nothing else is."""
+    return F.regexp_replace(t, r"\+\s*/?\s*-", " PLUSMINUS ")
+
+
+def digit_of(g: Column) -> Column:
+    """A digit that may be typed as the letter o."""
+    return F.when(F.lower(g) == "o", 0).otherwise(g.try_cast("int"))
+
+
+def strongest(hits: Column) -> Column:
+    """The record of the strongest tier of an array of (tier, record): words beat measures, of one tier the first counts."""
+    rank = F.create_map(*[x for i, k in enumerate(TIERS) for x in (F.lit(k), F.lit(i))])
+    ranked = F.transform(hits, lambda h, i: F.struct(F.coalesce(rank[h["tier"]], F.lit(len(TIERS))).alias("r"), i.alias("i"), h["record"].alias("record")))
+    return F.array_min(F.transform(ranked, lambda x: F.struct(x["r"], x["i"], x["record"])))["record"]
+
+
+def evidence_fields(value: Column, evidence: Column, meta: dict[str, Column]) -> list[Column]:
+    """Columns of an evidence record: value, evidence cut to 200 characters, other fields under meta_."""
+    return [value.alias("value"), F.substring(evidence, 1, 200).alias("evidence"), *[c.alias(f"meta_{k}") for k, c in meta.items()]]
+
+
+def grounding_pattern(value: Column, unit: Column) -> Column:
+    """Pattern of a value beside its unit, NULL without a number or a unit: 5 is grounded by '5 mm' as by '5,0mm'."""
+    num = F.when(value.rlike(r"^\s*[+-]?\d+(\.\d*)?\s*$"), value.try_cast("double"))
+    quoted = lambda c: F.regexp_replace(c, r"([.+*?^$()\[\]{}|\\%-])", r"\\$1")
+    whole = num.cast("bigint").cast("string")
+    digits = F.when(num == F.floor(num), whole).when(num.isNotNull(), quoted(F.regexp_replace(F.regexp_replace(F.trim(value), "0+$", ""), r"\.$", "")))
+    return F.concat(F.lit(r"(?i)\b"), digits, F.lit(r"\s*(?:[.,]\s*\d+)?\s*"), quoted(unit), F.lit(r"\b"))
+
+
+def anchored_percent(text: Column, value: Column) -> Column:
+    """Does a text give this whole percentage for the proliferation marker? Shares are rounded half to even."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"ki\s*-?\s*67[^%]{0,80}?(\d{1,3}(?:[.,]\d+)?)\s*%"), F.lit(1))
+    return F.exists(found, lambda x: F.bround(F.replace(x, F.lit(","), F.lit(".")).try_cast("double"), 0) == value)
+
+
+def supported(evidence: Column, source: Column) -> Column:
+    """Does evidence, or its first 40 characters, stand in the source? No source is no objection, no evidence is none."""
+    e, s = F.lower(F.trim(F.coalesce(evidence, F.lit("")))), F.lower(F.coalesce(source, F.lit("")))
+    return (F.trim(s) == "") | ((e != "") & (s.contains(e) | s.contains(F.substring(e, 1, 40))))
+
+
+def upper_value(c: Column) -> Column:
+    return F.upper(F.trim(F.coalesce(c, F.lit(""))))

@@ -130,7 +130,7 @@ def two_readers(a: Column, b: Column, supported: Column) -> Column:
 def canonical_value(c: Column) -> Column:
     """Comparable form: a number rounded to four places, else folded text."""
     num = F.when(F.replace(c, F.lit(","), F.lit(".")).rlike(NUMERIC), F.round(F.replace(c, F.lit(","), F.lit(".")).try_cast("double"), 4))
-    return F.coalesce(F.format_string("%.4f", num), F.lower(F.trim(c)))
+    return F.coalesce(F.when(num.isNotNull(), F.format_string("%.4f", num)), F.lower(F.trim(c)))
 
 
 def drift_alert(delta: Column, yellow: float = 0.03, red: float = 0.15) -> Column:

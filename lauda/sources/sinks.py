@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lauda.operators.sampling import stratified
 from lauda.session import ensure_checkpoint_dir
 from lauda.sources.files import last_wins
 
@@ -103,3 +104,20 @@ def dashboard(points: DataFrame, title: str, contract: str) -> str:
 
 def cards_jsonl(cards: list[dict]) -> str:
     return "".join(json.dumps(c, ensure_ascii=False, sort_keys=True) + "\n" for c in cards)
+
+
+def write_audit(rows: DataFrame, strata: list[str], key: str, n: int, folder: str, seed: int = 42) -> None:
+    """A stratified sample as JSON lines in folder/sample and its manifest in folder/manifest.
+
+    The manifest names the seed, the size per stratum and how many rows each stratum had; strata without
+    a name are to be filled in before.
+    """
+    stratified(rows, strata, key, n, seed).drop("pick").write.mode("overwrite").json(f"{folder}/sample")
+    counts = rows.groupBy(*strata).agg(F.count("*").alias("available"))
+    each = F.array_sort(F.collect_list(F.struct(*strata, "available")))
+    counts.agg(F.lit(seed).alias("seed"), F.lit(n).alias("per_stratum"), each.alias("strata"), F.sum("available").alias("rows")).write.mode("overwrite").json(f"{folder}/manifest")
+
+
+def read_audit(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(sample, manifest) of an audit folder."""
+    return spark.read.json(f"{folder}/sample"), spark.read.json(f"{folder}/manifest")

@@ -214,8 +214,11 @@ def test_sandbox(spark):
     assert one(spark, F.regexp_extract(F.col("t"), r, 1), t="polipo de 12 mm") == "12" and one(spark, B.lane(F.col("t")), t="ulcera de 5 mm") == "negative" and one(spark, B.lane(F.col("t")), t="polipo 3 x 4 mm") == "multidim"
     p = B.Proposal("r", "v", r"(\d+) mm", forbidden="pinca")
     assert one(spark, B.overlay(F.col("t"), F.lit(None).cast("double"), p), t="lesao de 5 mm. pinca de 9 mm. outra 7 mm") == 7.0 and one(spark, B.overlay(F.col("t"), F.lit(3.0), p), t="5 mm") == 3.0
-    ok = {"canaries_failed": 0, "target_rate": 0.85, "near_miss_changed": 0, "regressed": 0, "site_share": 0.9, "changed": 4}
-    assert B.evaluate(p, ok).status == "approved_for_review" and B.evaluate(p, ok | {"target_rate": 0.7}).status == "refine" and B.evaluate(p, ok | {"regressed": 1}).status == "rejected"
+    ok = dict(rule_id="r", family_coverage=None, high_risk=False, canaries_failed=0, target_rate=0.85, near_miss_changed=0, regressed=0, site_share=0.9)
+    rows = [ok, ok | {"target_rate": 0.7}, ok | {"regressed": 1}, ok | {"high_risk": True}, ok | {"family_coverage": 0.05}, ok | {"target_rate": None, "site_share": None}, ok | {"canaries_failed": 2, "target_rate": 0.7}]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "rule_id string, family_coverage double, high_risk boolean, canaries_failed int, target_rate double, near_miss_changed int, regressed int, site_share double")
+    got = [(r["status"], r["failed"], r["skewed"]) for r in B.evaluated(df).collect()]
+    assert got == [("approved_for_review", None, True), ("refine", "B2_target", True), ("rejected", "B4_regression", True), ("refine", "B2_target", True), ("rejected", "B0_family", True), ("rejected", "B2_target", False), ("rejected", "B1_canaries", True)]
     assert B.jaccard_families(["polipo sessil reto", "polipo sessil ceco", "nada igual aqui"]) == 2
 
 
