@@ -79,7 +79,7 @@ def regression_load(spark, d):
     """The last version of every case as a fail-closed set, counted by kind."""
     c = table(spark, d, "regression_case").groupBy("id").agg(F.max_by(F.struct("kind", "text", "expected_value", "expected_status", F.coalesce("reference_text", F.lit("")).alias("reference_text"), "source", "note"), "case_no").alias("r"))
     folder = W.shared_folder(spark, "cases")
-    c.select("id", "r.*").where("trim(text) <> ''").coalesce(1).write.json(folder)
+    c.select("id", "r.*").where("trim(text) <> ''").write.json(folder)
     cases, _ = S.regression_set(spark, folder)
     return cases.groupBy("kind").agg(F.count("*").alias("n"))
 

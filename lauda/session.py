@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -15,11 +16,16 @@ BROADCAST_BYTES = 8 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; a temporary folder only where none is named (tests)."""
+    """Use the cluster's spark.checkpoint.dir; a temporary folder only in one local process (tests).
+
+    A cluster without the setting is an error: a folder of one machine would be lost with it.
+    """
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="lauda-"))
 
 

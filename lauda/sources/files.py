@@ -46,9 +46,11 @@ def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def regression_set(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """Regression cases and the SHA-256 of their file; anything unsound raises."""
-    raw = spark.read.text(path, wholetext=True).first()
-    text = raw[0] if raw else ""
+    """Regression cases and the SHA-256 of their file; anything unsound raises.
+
+    Of a folder of files it is the SHA-256 of their own, in the order of their names.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path).select("path", F.sha2("content", 256).alias("sha")).orderBy("path").collect()  # one row a file
     lines = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", CASE + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("r.*")
     bad = (
         F.col("_corrupt").isNotNull() | F.col("id").isNull() | ~F.coalesce(F.col("kind"), F.lit("")).isin(*KINDS) | (F.trim(F.coalesce("text", F.lit(""))) == "")
@@ -57,7 +59,7 @@ def regression_set(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     n = lines.agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.count_distinct("id").alias("ids")).first()
     if not n["n"] or n["bad"] or n["ids"] != n["n"]:
         raise ValueError(f"regression set {path}: {n['n']} cases, {n['bad']} unsound, {n['n'] - n['ids']} repeated ids")
-    return lines.drop("_corrupt"), hashlib.sha256(text.encode()).hexdigest()
+    return lines.drop("_corrupt"), files[0]["sha"] if len(files) == 1 else hashlib.sha256("".join(r["sha"] for r in files).encode()).hexdigest()
 
 
 VARIABLE = "array<struct<name:string,n_total:bigint,n_filled:bigint,fill_rate:double,status_distribution:map<string,bigint>,agreement_surface:double>>"

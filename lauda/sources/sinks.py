@@ -63,10 +63,12 @@ def write_manifests(runs: DataFrame, folder: str) -> None:
 
 
 def markdown_table(df: DataFrame, title: str, limit: int = 50) -> str:
-    """A report table of the first rows of a small result."""
-    rows = df.limit(limit).collect()
+    """A report table of the first rows of a result; says so where there are more."""
+    rows = df.limit(limit + 1).collect()
+    rest = f"\nFirst {limit} rows.\n" if len(rows) > limit else ""
+    rows = rows[:limit]
     head = "| " + " | ".join(df.columns) + " |\n|" + "-|" * len(df.columns)
-    return f"# {title}\n\n{head}\n" + "\n".join("| " + " | ".join("" if x is None else str(x).replace("|", "\\|") for x in r) + " |" for r in rows) + "\n"
+    return f"# {title}\n\n{head}\n" + "\n".join("| " + " | ".join("" if x is None else str(x).replace("|", "\\|") for x in r) + " |" for r in rows) + "\n" + rest
 
 
 def sparkline(values: list[float | None], width: int = 200, height: int = 30) -> str:

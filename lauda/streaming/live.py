@@ -39,12 +39,22 @@ def resolve_stream(spark: SparkSession, path: str, policies: DataFrame, target:
     return spark.read.parquet(target).drop("batch")
 
 
-def windowed_counts(spark: SparkSession, path: str, size: str = "1 day", late: str = "2 hours") -> DataFrame:
-    """Events per window and type, with a watermark for late rows; the state of the last batch."""
-    target = shared_folder(spark, "windows")
-    s = stream_table(spark, path).select("ts", "event_type").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    g = s.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("day"), "event_type", "n")
-    run_to_end(g, target, lambda b, i: b.write.mode("overwrite").parquet(f"{target}/{i:09d}"), "complete")
-    fs = spark._jvm.org.apache.hadoop.fs.Path(target)
-    names = sorted(x.getPath().getName() for x in fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(fs))
-    return spark.read.parquet(f"{target}/{names[-1]}")
+def windowed_counts(spark: SparkSession, path: str, size: str = "1 day", late: str | None = None, target: str | None = None) -> DataFrame:
+    """Events per window and type.
+
+    Without `late` every micro-batch writes its own counts, keyed by its id, and they are added up when
+    read: there is no state to grow, and a row counts however late it is. With `late` the engine keeps
+    the windows itself (update mode) and drops what is later than the watermark, the state with it; a
+    window's last batch holds its count. With the target of an earlier run only new files are read.
+    """
+    target = target or shared_folder(spark, "windows")
+    s = stream_table(spark, path).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    count = lambda x: x.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("day"), "event_type", "n")
+    write = lambda b, i: b.write.mode("overwrite").parquet(f"{target}/batch={i}")
+    if late is None:
+        run_to_end(s, target, lambda b, i: write(count(b), i))
+        total = F.sum("n")
+    else:
+        run_to_end(count(s.withWatermark("ts", late)), target, write, "update")
+        total = F.max_by("n", "batch")
+    return spark.read.schema("day timestamp, event_type string, n long, batch int").parquet(target).groupBy("day", "event_type").agg(total.alias("n"))

@@ -183,3 +183,40 @@ def test_flags_and_guards(spark):
     r = V.invasion_record(F.col("t"), D.INV_PERIN)
     assert tuple(value(spark, r, t="invasao perineural: ausente"))[:3] == ("nao", "detected", "high") and tuple(value(spark, r, t="")) == (None, "not_mentioned", None, None)
     assert value(spark, D.BETHESDA_DESC.column(F.col("t")), t="bethesda - benigno (categoria ii)") == "benigno" and value(spark, D.BETHESDA_DESC.column(F.col("t")), t="bethesda ii") is None
+
+
+def test_windows_of_late_files(spark, tmp_path):
+    """Files that arrive out of order, over two runs: all rows count without a watermark; with one the late ones don't."""
+    from lauda.streaming import live
+
+    def file(k, days):
+        rows = [(dt.datetime(2024, 1, d), "a") for d in days]
+        spark.createDataFrame(rows, "ts timestamp, event_type string").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+
+    kept, cut = str(tmp_path / "kept"), str(tmp_path / "cut")
+    for k, days in enumerate(([10, 10, 11], [10, 12], [1, 12])):
+        file(k, days)
+        all_rows = live.windowed_counts(spark, str(tmp_path / "events.parquet"), target=kept)
+        in_time = live.windowed_counts(spark, str(tmp_path / "events.parquet"), late="2 days", target=cut)
+    count = lambda x: {(r["day"].day, r["n"]) for r in x.collect()}
+    assert count(all_rows) == {(10, 3), (11, 1), (12, 2), (1, 1)}
+    assert count(in_time) == {(10, 3), (11, 1), (12, 2)}
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace as N
+
+    from lauda.session import ensure_checkpoint_dir
+
+    def session(master):
+        jsc = N(sc=lambda: N(getCheckpointDir=lambda: N(isDefined=lambda: False)))
+        made = []
+        return N(sparkContext=N(_jsc=jsc, master=master, setCheckpointDir=made.append), conf=N(get=lambda k, d: d)), made
+
+    for master in ("local", "local[4]", "local[*]"):
+        s, made = session(master)
+        ensure_checkpoint_dir(s)
+        assert made
+    for master in ("yarn", "spark://x:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            ensure_checkpoint_dir(session(master)[0])

@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from lauda.plans import catalogue
 
 duckdb = pytest.importorskip("duckdb")
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -44,13 +45,13 @@ def tables():
     return "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE))
 def test_query_equals_sql(spark, db, tables, name):
     got, want = canon(entry.queries()[name](spark, tables).toPandas()), canon(db.execute(entry.oracle_sql()[name]).df())
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE)))
 def test_query_runs(spark, tables, name):
     df = entry.queries()[name](spark, tables)
     assert len(set(df.columns)) == len(df.columns)
