@@ -134,13 +134,13 @@ def occurrences(t: Column, needle: Column) -> Column:
     return F.when(F.length(needle) > 0, ((F.length(t) - F.length(F.replace(t, needle, F.lit("")))) / F.length(needle)).cast("int")).otherwise(0)
 
 
-def sections(t: Column) -> Column:
-    """Blocks of a normalised text: array of (section, start, end), in text order.
+def sections(t: Column, config: tuple = SECTIONS) -> Column:
+    """Blocks of a normalised text: array of (section, start, end), in text order; config: (section, header pattern).
 
     Text before the first header is `inicio`; a text without headers is one block `corpo`.
     """
-    header = "|".join(p for _, p in SECTIONS)
-    name = lambda h: F.coalesce(*[F.when(h.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in SECTIONS])
+    header = "|".join(p for _, p in config)
+    name = lambda h: F.coalesce(*[F.when(h.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in config])
     empty = F.array().cast("array<struct<section:string,start:int,end:int>>")
 
     def walk(x):

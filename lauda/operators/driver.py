@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from lauda.functions import detectors as D
 from lauda.functions.rules import Cascade
+from lauda.functions.sectioned import DETECTORS
 from lauda.functions.text import let, normalize
 from lauda.operators.policy import canonical_value
 from lauda.plans.contract import Contract, Variable
@@ -71,7 +72,11 @@ def adapt(raw: Any, v: Variable | None = None) -> dict:
 
 def rule_result(detector: str, t: Column) -> Column:
     """Result struct of a catalogued rule over a normalised text."""
-    rule, none = RULES[detector], lambda kind: F.lit(None).cast(kind)
+    rule, none = RULES.get(detector), lambda kind: F.lit(None).cast(kind)
+    if rule is None:
+        r = DETECTORS[detector](t)
+        got = {k: r[k] for k in ("value", "evidence", "section", "span_start", "span_end", "status")}
+        return F.struct(*[got.get(k, none("string")).alias(k) for k in FIELDS])
     if isinstance(rule, Cascade):
         r = rule.column(t)
         got = {"value": r["value"], "evidence": r["evidence"], "span_start": r["span_start"], "span_end": r["span_start"] + F.length(r["evidence"])}
@@ -89,7 +94,7 @@ def run_variable(df: DataFrame, v: Variable, key: str, text: str, carry: tuple[s
     """
     todo = df if done is None else df.join(done.select(key).distinct(), key, "left_anti")
     keep = [key, *carry]
-    if function is None and v.detector in RULES:
+    if function is None and (v.detector in RULES or v.detector in DETECTORS):
         r = todo.select(*keep, let(normalize(F.col(text)), lambda t: rule_result(v.detector, t)).alias("_r"))  # in a lambda the text is computed once, and the code stays small
         return r.select(*keep, F.lit(v.name).alias("variable"), "_r.*")
     schema = T.StructType([*[todo.schema[c] for c in keep], T.StructField("variable", T.StringType()), *RESULT])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lauda.functions import derived as V
 from lauda.functions import detectors as D
+from lauda.functions.sectioned import DETECTORS
 from lauda.functions.text import anchored_percent, grounding_pattern, normalize, sql_normalize, supported
 from lauda.operators import cascade as C
 from lauda.operators import driver as R
@@ -135,6 +136,13 @@ def audit_files(spark, d):
     return n.join(manifest.select(F.explode("strata").alias("s")).select("s.*"), ["resolution", "clinica"]).select("resolution", "clinica", "drawn", "first", "available")
 
 
+def endoscopy_findings(spark, d):
+    """Preparation score, esophagitis grade and hiatal hernia of every report, read section by section."""
+    r = table(spark, d, "run_pilot").select("pilot_id", "laudo")
+    parts = [R.run_variable(r, K.Variable(k.removesuffix("_por_secao"), k), "pilot_id", "laudo") for k in DETECTORS]
+    return reduce(lambda a, b: a.unionByName(b), parts).select("pilot_id", "variable", "value", "status", "section", "span_start", "span_end")
+
+
 def tumour_sizes(spark, d):
     return table(spark, d, "run_pilot").select("pilot_id", F.round(V.tumour_size(normalize(F.col("laudo"))), 6).alias("mm"))
 
@@ -183,7 +191,7 @@ def recount(spark, d):
 
 
 _FUNCS = (canary_run, detector_rows, detector_errors, verifier_outcomes, verifier_kinds, gate_files, gate_top, pair_keys, family_cards, cluster_cards, grounded_misses, rule_evaluation, audit_files,
-          tumour_sizes, polyp_words, breast_flags, invasion_records, nottingham_guarded, evidence_support, marker_anchor, recount)
+          endoscopy_findings, tumour_sizes, polyp_words, breast_flags, invasion_records, nottingham_guarded, evidence_support, marker_anchor, recount)
 QUERIES = {f.__name__: f for f in _FUNCS}
 
 _CL, _DIS = L._CL, L._DIS

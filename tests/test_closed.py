@@ -220,3 +220,26 @@ def test_a_cluster_needs_a_shared_folder(spark):
     for master in ("yarn", "spark://x:7077", "local-cluster[3,2,1024]"):
         with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
             ensure_checkpoint_dir(session(master)[0])
+
+
+SECTIONED = [
+    ("bbps_por_secao", "Preparo: 2+3+3 = 8", ("8", "bbps_soma_3seg", "preparo")), ("bbps_por_secao", "preparo: 2+3+3 = 7", ("8", "bbps_soma_3seg_arith_inc", "preparo")), ("bbps_por_secao", "descrição: Boston 2 + 2 + 3 (7/9)", ("7", "bbps_soma_3seg", "descricao")),
+    ("bbps_por_secao", "descricao: 2 + 2 + 3", (None, "no_match", None)), ("bbps_por_secao", "preparo: cd: 2, ct: 3, ce: o", ("5", "bbps_labeled_seg", "preparo")), ("bbps_por_secao", "descricao: escala de boston 9/9", ("9", "bbps_sobre_9", "descricao")),
+    ("bbps_por_secao", "boston = o. fim", ("0", "bbps_total_near", "corpo")), ("bbps_por_secao", "bbps: 10", (None, "no_match", None)), ("bbps_por_secao", "bbps 8", ("8", "bbps_total", "corpo")), ("bbps_por_secao", "descricao: boston 7. preparo: 3+3+3", ("9", "bbps_soma_3seg", "preparo")),
+    ("la_grau_por_secao", "conclusao: esofagite erosiva grau B de Los Angeles", ("B", "LA_explicit", "conclusao")), ("la_grau_por_secao", "descricao: grau a. conclusao: los angeles c", ("C", "LA_explicit", "conclusao")), ("la_grau_por_secao", "conclusao: grau a/b", (None, "LA_ambiguous", "conclusao")),
+    ("la_grau_por_secao", "conclusao: controle de esofagite grau b de los angeles", (None, "LA_historical", "conclusao")), ("la_grau_por_secao", "esofagite de refluxo grau c", ("C", "LA_implicit", "corpo")), ("la_grau_por_secao", "esofagite grau d", ("D", "LA_implicit_bare", "corpo")),
+    ("la_grau_por_secao", "conclusao: sem sinais de esofagite", ("sem_esofagite", "LA_negative", "conclusao")), ("la_grau_por_secao", "indicacao: esofagite grau a de los angeles", (None, "no_match", None)), ("la_grau_por_secao", "", (None, "empty", None)), ("la_grau_por_secao", None, (None, "empty", None)),
+    ("hernia_por_secao", "conclusão: hérnia hiatal", ("sim", "hh_lemma", "conclusao")), ("hernia_por_secao", "conclusao: ausencia de hernia hiatal", ("nao", "hh_negative", "conclusao")), ("hernia_por_secao", "descricao: transicao 3,0 cm acima do pincamento", ("sim", "hh_geometric", "descricao")),
+    ("hernia_por_secao", "descricao: transicao 1,0 cm acima do pincamento", ("nao_mencionada", "no_match", None)), ("hernia_por_secao", "esofago: jec coincidente com o pincamento. conclusao: hernia de hiato", ("sim", "hh_lemma", "conclusao")), ("hernia_por_secao", "hiato alargado", ("nao", "hh_dilated_only", "corpo")),
+    ("hernia_por_secao", "antecedente de hernia hiatal", ("nao_mencionada", "no_match", None)), ("hernia_por_secao", "transicao 3 cm acima do pincamento, sem hernia hiatal", ("nao", "hh_negative", "corpo")), ("hernia_por_secao", "indicacao: hernia hiatal", ("nao_mencionada", "no_match", None)),
+]
+
+
+def test_detectors_by_section(spark):
+    for name in sorted({x[0] for x in SECTIONED}):
+        rows = [(i, text) for i, (k, text, _) in enumerate(SECTIONED) if k == name] + [(900, "x " * 40_000)]
+        got = {r["id"]: r for r in R.run_variable(spark.createDataFrame(rows, "id long, text string"), var(name, name), "id", "text").collect()}
+        for i, (k, text, want) in enumerate(SECTIONED):
+            if k == name:
+                assert (got[i]["value"], got[i]["status"], got[i]["section"]) == want, (k, text, tuple(got[i]))
+        assert got[900]["section"] is None
