@@ -86,27 +86,29 @@ def _first(spans: Column) -> Column:
     return F.get(spans, F.lit(0))
 
 
-def by_section(t: Column, order: tuple[str, ...], scan: Callable[[Column, Column], Column], default: str | None = None) -> Column:
+def by_section(t: Column, order: tuple[str, ...], scan: Callable[[Column, Column], Column], needs: str, default: str | None = None) -> Column:
     """The finding of the first section that has one: within a section the lowest tier, then the first place.
 
     scan: (content, section) -> array of hits. A text without any has status no_match (empty for an empty
-    text) and the default value.
+    text) and the default value. needs: a pattern of which every hit holds a match; texts and sections
+    without one are passed by.
     """
     rank = lambda s: F.coalesce(*[F.when(s == k, F.lit(i)) for i, k in enumerate(order)])
 
     def look(x):
         def block(b):
             c = F.substring(x["t"], b["start"] + 1, b["end"] - b["start"])
-            hits = let(c, lambda c: F.transform(scan(c, b["section"]), lambda h: h.withField("evidence", evidence_window(c, h["at"], h["to"] - h["at"]))))
+            hits = let(c, lambda c: F.transform(F.when(c.rlike(needs), scan(c, b["section"])), lambda h: h.withField("evidence", evidence_window(c, h["at"], h["to"] - h["at"]))))
             return F.transform(hits, lambda h: F.struct(rank(b["section"]).alias("rank"), h["tier"].alias("tier"), (b["start"] + h["at"]).alias("start"), (b["start"] + h["to"]).alias("end"), h["value"].alias("value"), h["status"].alias("status"), b["section"].alias("section"), h["evidence"].alias("evidence")))
 
         wanted = F.filter(x["blocks"], lambda b: rank(b["section"]).isNotNull())
-        return let(F.array_min(F.flatten(F.transform(wanted, block))), lambda h: F.struct(
+        return let(F.array_min(F.flatten(F.array_compact(F.transform(wanted, block)))), lambda h: F.struct(
             F.coalesce(h["value"], F.when(h.isNull(), F.lit(default))).alias("value"), F.coalesce(h["status"], F.when(x["t"] == "", "empty").otherwise("no_match")).alias("status"), h["section"].alias("section"),
             h["start"].alias("span_start"), h["end"].alias("span_end"), h["evidence"].alias("evidence"),
         ))
 
-    return let(F.struct(t.alias("t"), sections(t, ENDOSCOPY).alias("blocks")), look)
+    blocks = lambda t: F.when(t.rlike(needs), sections(t, ENDOSCOPY)).otherwise(F.array().cast("array<struct<section:string,start:int,end:int>>"))
+    return let(t, lambda t: let(F.struct(t.alias("t"), blocks(t).alias("blocks")), look))
 
 
 def bowel_preparation(t: Column) -> Column:
@@ -137,7 +139,7 @@ def bowel_preparation(t: Column) -> Column:
         )
         return F.when(inside | c.rlike(BOSTON), F.array_compact(F.array(found))).otherwise(F.array_compact(F.array(F.when(F.lit(False), found))))
 
-    return by_section(t, BBPS_ORDER, scan)
+    return by_section(t, BBPS_ORDER, scan, r"boston|bbps|[0-3o]\s*\+|\bcd\b|colon\s+direito|/\s*9\b")
 
 
 def esophagitis_grade(t: Column) -> Column:
@@ -157,7 +159,7 @@ def esophagitis_grade(t: Column) -> Column:
         bare = if_any(near, lambda s: _hit(letter(s, GRADE), "LA_implicit_bare", s))
         return F.array_compact(F.array(F.coalesce(several, explicit, sure, absent, bare)))
 
-    return by_section(t, LA_ORDER, scan)
+    return by_section(t, LA_ORDER, scan, r"esof|\bgrau\b|lo?s?\s*an+g")
 
 
 def hiatal_hernia(t: Column) -> Column:
@@ -182,7 +184,7 @@ def hiatal_hernia(t: Column) -> Column:
         wide = F.transform(spans_of(c, WIDENED), lambda s: _hit("nao", "hh_dilated_only", s, 4))
         return F.array_compact(F.concat(named, measured, placed, wide))
 
-    return by_section(t, HERNIA_ORDER, scan, "nao_mencionada")
+    return by_section(t, HERNIA_ORDER, scan, r"rnia|\bhh\b|pincamento|hiat|juncao|jec|jeg|transicao|linha\s+z", "nao_mencionada")
 
 
 DETECTORS = {"bbps_por_secao": bowel_preparation, "la_grau_por_secao": esophagitis_grade, "hernia_por_secao": hiatal_hernia}
