@@ -243,3 +243,72 @@ def test_detectors_by_section(spark):
             if k == name:
                 assert (got[i]["value"], got[i]["status"], got[i]["section"]) == want, (k, text, tuple(got[i]))
         assert got[900]["section"] is None
+
+
+PROMPT = """## Main
+
+```text
+KEYS AND ALLOWED VALUES:
+idx: (copy from input)
+polipo: "sim"/"nao"/"nao_mencionado" — "sim" only if seen
+numero: integer (0 if none, 99 if "muitos")
+boston: integer 0-9 or null
+local: segments with ";" or "nao_aplicavel"
+2. "zt": "presente" | "ausente" | null (component)
+- "peso": number or null
+NOTES:
+- "X" means y
+```
+"""
+
+
+def test_answers_by_the_schema_of_their_prompt(spark):
+    from lauda.plans import reader_schemas as S
+
+    fields = S.prompt_fields(S.prompt_block(PROMPT, "Main"))
+    assert [(f.name, f.kind, f.allowed) for f in fields] == [("idx", "text", ()), ("polipo", "text", ("sim", "nao", "nao_mencionado")), ("numero", "integer", ()), ("boston", "integer", ()), ("local", "text", ()), ("zt", "text", ("presente", "ausente")), ("peso", "number", ())]
+    assert (fields[3].low, fields[3].high) == (0.0, 9.0) and len(S.prompt_sha(PROMPT)) == 64
+    with pytest.raises(KeyError):
+        S.prompt_block(PROMPT, "Other")
+    rows = [(1, '{"polipo": "sim", "boston": 7, "zt": "null", "peso": 1.5, "extra": 1}', "p"), (2, '{"polipo": "talvez", "boston": 12}', "p"), (3, "no json", "p"), (4, None, "p"), (5, "{}", "p"), (6, "", "p")]
+    got = {r["id"]: r for r in S.parsed_answers(spark.createDataFrame(rows, "id long, a string, polipo string"), "a", fields).collect()}
+    assert (got[1]["parsed"]["boston"], got[1]["parsed"]["zt"], got[1]["outside"], got[1]["malformed"]) == (7, None, [], False)
+    assert got[2]["outside"] == ["polipo", "boston"] and got[3]["malformed"] and not got[4]["malformed"] and got[5]["outside"] == [] and got[4]["parsed"]["polipo"] is None
+
+
+def test_review_over_http(spark, tmp_path):
+    import urllib.error
+    import urllib.request
+
+    from lauda.sources import review_server as H
+
+    sample = spark.createDataFrame([("v", "c1", float("nan")), ("v", "c2", 1.0), ("w", "c1", 2.0)], "variable string, id_registro string, score double")
+    texts = spark.createDataFrame([("c1", "laudo um"), ("c9", "other")], "id_registro string, text string")
+    path = str(tmp_path / "sample.jsonl")
+    assert H.export_sample(sample, path, texts) == 3
+    with pytest.raises(ValueError):
+        H.export_sample(sample, path, most=2)
+    with open(path, "a") as f:
+        f.write("\nbroken\n[1]\n")
+    server, _ = H.serve(H.ReviewStore(path, legend={"v": "what v is"}), 0)
+    base = f"http://127.0.0.1:{server.server_address[1]}"
+
+    def call(where, body=None):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(base + where, None if body is None else body if isinstance(body, bytes) else json.dumps(body).encode()), timeout=10) as r:
+                return r.status, r.read().decode()
+        except urllib.error.HTTPError as e:
+            return e.code, e.read().decode()
+
+    try:
+        assert json.loads(call("/api/state")[1]) == {"total": 3, "done": 0, "first_pending": 0}
+        first = next(i for i in range(3) if json.loads(call(f"/api/record/{i}")[1])["id_registro"] == "c2")
+        assert json.loads(call("/api/annotate", {"index": first, "human_label": "sim", "human_note": "á"})[1])["human_note"] == "á"
+        assert json.loads(call("/api/state")[1])["done"] == 1 and call("/api/record/9")[0] == 404 and call("/api/annotate", {"index": "x"})[0] == 400 and call("/api/annotate", b"{")[0] == 400 and call("/nothing")[0] == 404
+        assert call("/")[0] == 200 and {r["score"] for r in json.loads(call("/api/export")[1])} == {None, 1.0, 2.0}
+        again = H.ReviewStore(path)  # another session goes on
+        assert again.state()["done"] == 1 and again.record(first)["human_label"] == "sim"
+        assert json.loads(call("/api/clear", {"index": first})[1])["human_label"] is None and H.ReviewStore(path).state()["done"] == 0
+    finally:
+        server.shutdown()
+        server.server_close()
