@@ -62,3 +62,20 @@ def saturation(cells: DataFrame, keys: list[str]) -> DataFrame:
     g = cells.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(~c("agree")).alias("n_disagree"), F.count_if(c("l1_wrong")).alias("l1"), F.count_if(c("l2_wrong")).alias("l2"), F.count_if(c("ambiguous")).alias("amb"))
     conc, share = 100 * (c("n") - c("n_disagree")) / c("n"), F.when(c("n_disagree") > 0, 100 * c("l2") / c("n_disagree")).otherwise(100.0)
     return g.select(*keys, "n", "n_disagree", F.bround(conc, 2).alias("concordance"), F.bround(100 * c("l1") / c("n"), 4).alias("l1_error"), F.bround(share, 1).alias("l2_share"), F.bround(100 * c("amb") / c("n"), 2).alias("residual"), ((c("l1") == 0) & (conc >= 95) & (share >= 85)).alias("saturated"))
+
+
+def discovery(evidence: DataFrame, expected: dict[str, list[str]] | None = None, suspect: float = 0.5) -> DataFrame:
+    """What is worth a look in each variable, in one aggregation: misses, their leading value, leaks, silence.
+
+    evidence: (variable, value, ia, section, resolution), values already cleaned. expected names the sections
+    of a variable; of one without names no value leaks. Ties of the leading value go to the lesser one.
+    """
+    c = F.col
+    miss = c("value").isNull() & c("ia").isNotNull()
+    places = F.create_map(*[x for k, v in (expected or {}).items() for x in (F.lit(k), F.array(*map(F.lit, v)))]) if expected else F.create_map().cast("map<string,array<string>>")
+    leak = c("value").isNotNull() & c("section").isNotNull() & places[c("variable")].isNotNull() & ~F.array_contains(places[c("variable")], c("section"))
+    x = evidence.select("variable", F.when(miss, c("ia")).alias("cluster"), miss.alias("miss"), leak.alias("leak"), F.coalesce(c("resolution").startswith("abstained"), F.lit(False)).alias("silent"))
+    per = x.groupBy("variable", "cluster").agg(F.count("*").alias("n"), F.count_if("miss").alias("misses"), F.count_if("leak").alias("leaks"), F.count_if("silent").alias("silent"))
+    top = F.max_by("cluster", F.struct(F.when(c("cluster").isNotNull(), c("n")), F.transform(F.split("cluster", ""), lambda ch: -F.ascii(ch))))
+    g = per.groupBy("variable").agg(F.sum("n").alias("n"), F.sum("misses").alias("n_misses"), F.count("cluster").alias("n_clusters"), top.alias("top_value"), F.max(F.when(c("cluster").isNotNull(), c("n"))).alias("n_top"), F.sum("leaks").alias("n_leaks"), F.sum("silent").alias("n_silent"))
+    return g.withColumn("silence_suspect", c("n_silent") / c("n") >= suspect)

@@ -137,3 +137,14 @@ def drift_alert(delta: Column, yellow: float = 0.03, red: float = 0.15) -> Colum
     """Only losses alert; amounts at a threshold count."""
     loss = -F.least(delta, F.lit(0.0))
     return F.when(loss >= red - 1e-12, "RED").when(loss >= yellow - 1e-12, "YELLOW").otherwise("GREEN")
+
+
+def cast_by_ontology(value: Column, onto_type: Column) -> Column:
+    """A number as its ontology wants it: integers are cut off, not rounded; other types and texts have none."""
+    num = F.when(value.rlike(NUMERIC), value.try_cast("double"))
+    return F.when(onto_type == "integer", num.cast("bigint").cast("double")).when(onto_type == "float", num)
+
+
+def values_equal(a: Column, b: Column) -> Column:
+    """Both missing, the same number, or the same text whatever its case."""
+    return canonical_value(a).eqNullSafe(canonical_value(b))

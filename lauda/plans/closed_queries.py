@@ -13,6 +13,7 @@ from lauda.functions.text import anchored_percent, grounding_pattern, normalize,
 from lauda.operators import cascade as C
 from lauda.operators import driver as R
 from lauda.operators import gates as G
+from lauda.operators import observe as O
 from lauda.operators import sandbox as B
 from lauda.operators.policy import clean_value
 from lauda.plans import contract as K
@@ -136,6 +137,16 @@ def audit_files(spark, d):
     return n.join(manifest.select(F.explode("strata").alias("s")).select("s.*"), ["resolution", "clinica"]).select("resolution", "clinica", "drawn", "first", "available")
 
 
+# Sections that these variables are expected in.
+EXPECTED = {"bethesda": ["conclusao"], "resultado": ["conclusao"], "margens": ["conclusao", "microscopia"]}
+
+
+def discovery_report(spark, d):
+    """Misses, leading missed value, values outside their sections and silence of every variable."""
+    e = table(spark, d, "evidence_record").select("variable", clean_value(F.col("value")).alias("value"), clean_value(F.col("ia")).alias("ia"), "section", "resolution")
+    return O.discovery(e, EXPECTED)
+
+
 def endoscopy_findings(spark, d):
     """Preparation score, esophagitis grade and hiatal hernia of every report, read section by section."""
     r = table(spark, d, "run_pilot").select("pilot_id", "laudo")
@@ -191,7 +202,7 @@ def recount(spark, d):
 
 
 _FUNCS = (canary_run, detector_rows, detector_errors, verifier_outcomes, verifier_kinds, gate_files, gate_top, pair_keys, family_cards, cluster_cards, grounded_misses, rule_evaluation, audit_files,
-          endoscopy_findings, tumour_sizes, polyp_words, breast_flags, invasion_records, nottingham_guarded, evidence_support, marker_anchor, recount)
+          discovery_report, endoscopy_findings, tumour_sizes, polyp_words, breast_flags, invasion_records, nottingham_guarded, evidence_support, marker_anchor, recount)
 QUERIES = {f.__name__: f for f in _FUNCS}
 
 _CL, _DIS = L._CL, L._DIS
@@ -263,6 +274,10 @@ ORACLE = {
       SELECT *, CASE WHEN failed IS NULL THEN 'approved_for_review' WHEN failed = 'B2_target' AND target_rate >= 0.6 THEN 'refine' ELSE 'rejected' END AS status, COALESCE(site_share > 0.8, FALSE) AS skewed FROM g""",
     "audit_files": f"""WITH e AS (SELECT evidence_id, COALESCE(clinica, '__missing__') AS clinica, resolution FROM evidence_record WHERE resolution LIKE 'abstained%' OR resolution = 'accepted_exact'), n AS (SELECT resolution, clinica, COUNT(*) AS available FROM e GROUP BY ALL),
       p AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY resolution, clinica ORDER BY {L._H(42, 'evidence_id')}, evidence_id) <= 3) SELECT resolution, clinica, COUNT(*) AS drawn, min(evidence_id) AS first, max(available) AS available FROM p JOIN n USING (resolution, clinica) GROUP BY ALL""",
+    "discovery_report": f"""WITH x AS (SELECT variable, {_CL.format('value')} AS v, {_CL.format('ia')} AS ia, section, resolution FROM evidence_record), y AS (SELECT variable, v IS NULL AND ia IS NOT NULL AS miss, CASE WHEN v IS NULL AND ia IS NOT NULL THEN ia END AS cluster, COALESCE(v IS NOT NULL AND section IS NOT NULL AND (CASE variable {' '.join(f"WHEN '{k}' THEN section NOT IN {_IN(x) if len(x) > 1 else "('" + x[0] + "')"}" for k, x in EXPECTED.items())} ELSE FALSE END), FALSE) AS leak, COALESCE(resolution LIKE 'abstained%', FALSE) AS silent FROM x),
+      c AS (SELECT variable, cluster, COUNT(*) AS n FROM y WHERE miss GROUP BY ALL), t AS (SELECT variable, cluster AS top_value, n AS n_top FROM c QUALIFY row_number() OVER (PARTITION BY variable ORDER BY n DESC, cluster) = 1), k AS (SELECT variable, COUNT(*) AS n_clusters FROM c GROUP BY 1),
+      g AS (SELECT variable, COUNT(*) AS n, COUNT(*) FILTER (miss) AS n_misses, COUNT(*) FILTER (leak) AS n_leaks, COUNT(*) FILTER (silent) AS n_silent FROM y GROUP BY 1)
+      SELECT variable, n, n_misses, COALESCE(n_clusters, 0) AS n_clusters, top_value, n_top, n_leaks, n_silent, n_silent / n >= 0.5 AS silence_suspect FROM g LEFT JOIN t USING (variable) LEFT JOIN k USING (variable)""",
     "tumour_sizes": f"""WITH {_R}, x AS (SELECT pilot_id, T, greatest({', '.join(_MMS(q + '(?:area\\s+de\\s+)?' + D.TUMOUR_MEASURE) for q in D.SIZE_LABELS)}) AS a, {_MMS(D.MEASURING + D.TUMOUR_MEASURE)} AS b, regexp_extract(T, '{_AGAIN}', 1) AS h, length(regexp_extract(T, '(?s)^(.*?)(?:{_AGAIN})', 1)) AS pos0 FROM r)
       SELECT pilot_id, round(COALESCE(a, b, CASE WHEN h <> '' AND regexp_matches(substring(T, greatest(pos0 - 80, 0) + 1, least(pos0, 80)), 'tamanho|dimens|neoplasia|tumor') THEN {_TIME.format('h')} END), 6) AS mm FROM x""",
     "polyp_words": f"""WITH {_R}, o AS MATERIALIZED ({_SPANS(D.POLYP)}), w AS (SELECT o.pilot_id, o.s, substring(T, greatest(s - 60, 0) + 1, e + 60 - greatest(s - 60, 0)) AS w FROM o JOIN r USING (pilot_id)),

@@ -130,6 +130,15 @@ def load_registry(text: str) -> list[dict]:
     return out
 
 
+def registry_hash(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def policy_of(policies: list[dict], variable: str) -> dict | None:
+    """The policy of a variable, None without one."""
+    return next((p for p in policies if p["variable"] == variable), None)
+
+
 REGISTRY = "variable string, onto_type string, vals array<string>, lo double, hi double, aliases map<string,string>, default_if_silent string, implicit_negative boolean, abstention_statuses array<string>, taxonomy array<string>"
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,3 +125,32 @@ def write_audit(rows: DataFrame, strata: list[str], key: str, n: int, folder: st
 def read_audit(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(sample, manifest) of an audit folder."""
     return spark.read.json(f"{folder}/sample"), spark.read.json(f"{folder}/manifest")
+
+
+def discovery_markdown(report: DataFrame) -> str:
+    """The discovery report (observe.discovery): one line a variable, those with most misses first."""
+    return markdown_table(report.orderBy(F.desc("n_misses"), "variable").select("variable", "n", "n_misses", "top_value", "n_top", "n_leaks", "n_silent", "silence_suspect"), "Discovery", 1000)
+
+
+def drift_markdown(report: DataFrame) -> str:
+    """The drift of the last two runs, alerts first: RED, YELLOW, then GREEN."""
+    order = F.when(F.col("alert") == "RED", 0).when(F.col("alert") == "YELLOW", 1).otherwise(2)
+    return markdown_table(report.orderBy(order, *report.columns[:2]), "Drift", 1000)
+
+
+def cards_markdown(cards: DataFrame, variable: str) -> str:
+    """Rule cards of one variable by lane, the largest first, each under a heading of its own."""
+    lane = F.when(F.col("lane") == "positive", 0).when(F.col("lane") == "multidim", 1).otherwise(2)
+    rows = cards.where(F.col("variable") == variable).orderBy(lane, F.desc("n"), "family_id").limit(1001).collect()
+    parts = [f"# Rule cards of {variable}\n"]
+    for r in rows[:1000]:
+        parts.append(f"\n## {r['family_id']} ({r['lane']})\n\n" + "".join(f"- {k}: {'' if r[k] is None else r[k]}\n" for k in r.asDict() if k not in ("variable", "family_id", "lane")))
+    return "".join(parts) + ("\nNo cards.\n" if not rows else "\nFirst 1000 cards.\n" if len(rows) > 1000 else "")
+
+
+def source_hash(paths: list[str]) -> str:
+    """SHA-256 over the files of the code that a run used, in the order of their names."""
+    h = hashlib.sha256()
+    for p in sorted(paths):
+        h.update(Path(p).name.encode() + b"\0" + Path(p).read_bytes())
+    return h.hexdigest()

@@ -312,3 +312,26 @@ def test_review_over_http(spark, tmp_path):
     finally:
         server.shutdown()
         server.server_close()
+
+
+def test_reports_and_small_operators(spark):
+    from lauda.operators import observe as O
+    from lauda.operators.policy import cast_by_ontology, values_equal
+    from lauda.sources import sinks as W
+
+    rows = [("v", None, "a", "s", "abstained_x"), ("v", None, "b", "s", "abstained_y"), ("v", "1", None, "s", "ok"), ("v", "1", None, "t", None), ("w", None, None, None, None)]
+    e = spark.createDataFrame(rows, "variable string, value string, ia string, section string, resolution string")
+    got = {r["variable"]: r for r in O.discovery(e, {"v": ["s"]}).collect()}
+    assert tuple(got["v"])[1:] == (4, 2, 2, "a", 1, 1, 2, True) and tuple(got["w"])[1:] == (1, 0, 0, None, None, 0, 0, False)
+    assert {r["n_leaks"] for r in O.discovery(e).collect()} == {0} and O.discovery(e.where("false"), {"v": ["s"]}).count() == 0
+    assert W.discovery_markdown(O.discovery(e)).splitlines()[4].startswith("| v | 4 | 2 | a |")
+    d = spark.createDataFrame([("c", "x", "GREEN"), ("c", "y", "RED")], "contract string, variable string, alert string")
+    assert W.drift_markdown(d).index("RED") < W.drift_markdown(d).index("GREEN")
+    cards = spark.createDataFrame([("v", "f1", "negative", 9), ("v", "f2", "positive", 3), ("w", "f3", "positive", 3)], "variable string, family_id string, lane string, n int")
+    text = W.cards_markdown(cards, "v")
+    assert text.index("f2") < text.index("f1") and "f3" not in text and "No cards" in W.cards_markdown(cards, "z")
+    assert len(W.markdown_table(cards, "t", 2).splitlines()) == 8 and "First 2 rows." in W.markdown_table(cards, "t", 2)
+    assert W.source_hash([R.__file__, B.__file__]) == W.source_hash([B.__file__, R.__file__])
+    assert value(spark, cast_by_ontology(F.col("a"), F.lit("integer")), a="5.9") == 5.0 and value(spark, cast_by_ontology(F.col("a"), F.lit("float")), a="x") is None and value(spark, cast_by_ontology(F.col("a"), F.lit("enum")), a="5") is None
+    assert value(spark, values_equal(F.col("a"), F.col("b")), a="5", b="5.0") and value(spark, values_equal(F.col("a"), F.lit(None).cast("string")), a="5") is False
+    assert K.policy_of([{"variable": "v"}], "x") is None and len(K.registry_hash("x")) == 64
