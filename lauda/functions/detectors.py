@@ -12,51 +12,63 @@ NEG = r"(?:nao (?:se )?(?:observ|evidenci|identific|visualiz|detect)\w*|ausencia
 
 # Thyroid cytology
 BETHESDA = Cascade("bethesda", tuple(
-    [R(rf"categoria\s+{c.lower()}\b(?:\s+(?:de|do sistema))?\s+bethesda", c) for c in ("VI", "IV", "III", "II", "V", "I")]
-    + [R(rf"bethesda(?:\s+categoria)?\s+{c.lower()}\b", c) for c in ("VI", "IV", "III", "II", "V", "I")]
-    + [R(rf"bethesda(?:\s+categoria)?\s+{i}\b", c) for i, c in enumerate(("I", "II", "III", "IV", "V", "VI"), 1)]
+    [R(rf"categoria\s+{c.lower()}\b\s+(?:de\s+)?bethesda", c) for c in ("VI", "IV", "III", "II", "V", "I")]
+    + [R(rf"bethesda\s+{c.lower()}\b", c) for c in ("VI", "IV", "III", "II", "V", "I")]
+    + [R(rf"bethesda\s+{i}\b", c) for i, c in enumerate(("I", "II", "III", "IV", "V", "VI"), 1)]
+    # our own, for phrasings that none of the above reads
+    + [R(rf"categoria\s+{c.lower()}\b\s+do sistema\s+bethesda|bethesda\s+categoria\s+(?:{c.lower()}|{i})\b", c) for i, c in ((6, "VI"), (4, "IV"), (3, "III"), (2, "II"), (5, "V"), (1, "I"))]
 ), anchors=("bethesda",))
 BETHESDA_DESC = Extract("bethesda_desc", r"bethesda\s*[-–]+\s*([a-z][a-z\s]+)", cut=r"\s*[(.,].*")
 SUBTIPO = Cascade("subtipo", (
-    R(r"n.dulo\s+hiperpl.sico|adenomat.ide", "nodulo_hiperplasico"), R(r"hashimoto|tireoidite\s+linfoc", "hashimoto"), R(r"papil[ai]r|papilifero", "papilar"),
+    R(r"n.dulo\s+hiperpl.sico|adenomat.ide", "nodulo_hiperplasico"), R(r"hashimoto|tireoidite\s+linfoc", "hashimoto"), R(r"(?:carcinoma\s+)?papil[ai]r|papilifero", "papilar"),
     R("medular", "medular"), R("hurthle|oncocit", "hurthle"), R("folicular", "folicular"),
 ))
 # Cervical cytology
 ADEQUAB = Cascade("adequab", (R(r"satisfat\w*,? (?:mas|porem) limitada", "satisfatoria_limitada"), R("insatisfat", "insatisfatoria"), R("satisfat", "satisfatoria")))
 ZT = Cascade("zona_transformacao", (
-    R(r"zona de transforma..o\s*:?\s*ausente|componente endocervical.{0,30}ausente", "ausente"),
-    R(r"zona de transforma..o\s*:?\s*(?:presente|representad)|componente endocervical.{0,30}presente|epitelios\s+representados.{0,40}glandular", "presente"),
+    R(r"zona de transforma..o\s*:?\s*ausente", "ausente"), R(r"zona de transforma..o\s*:?\s*(?:presente|representad)", "presente"),
+    R(r"componente endocervical.{0,30}presente", "presente"), R(r"componente endocervical.{0,30}ausente", "ausente"), R(r"epitelios\s+representados.{0,40}glandular", "presente"),
 ))
 RESULTADO = Cascade("resultado", (
-    R(r"carcinoma\s+(?:escamo|epiderm)", "carcinoma_escamoso"), R(r"\bais\b|adenocarcinoma\s*.?\s*in\s+situ", "AIS"), R("adenocarcinoma", "adenocarcinoma"),
+    R(r"carcinoma\s+escamo|carcinoma\s+epiderm", "carcinoma_escamoso"), R(r'\bais\b|adenocarcinoma\s*"?\s*in\s+situ', "AIS"), R("adenocarcinoma", "adenocarcinoma"),
     R(r"\bagc\b|celulas\s+glandulares\s+at.picas|atipias.{0,25}celulas\s+glandulares", "AGC"),
-    R(r"\bhsil\b|les.o.{0,40}alto\s+grau|\bnic\s+(?:ii|iii|2|3)\b", "HSIL", unless=r"excluir|afastar|descartar"),
-    R(r"\basc[\s-]h\b|escamosas\s+at.picas.{0,40}excluir", "ASC_H"),
-    R(r"\blsil\b|les.o.{0,40}baixo\s+grau|\bnic\s+(?:i|1)\b", "LSIL"),
-    R(r"\basc[\s-]us\b|escamosas\s+at.picas\s+de\s+significado", "ASC_US"), R(r"\bnilm\b|negativo\s+para\s+les.o", "NILM"),
+    R(r"\bhsil\b|les.o\s+intraepitelial.{0,20}alto\s+grau|intraepitelial\s+de\s+alto|\bnic\s+(?:ii|iii|2|3)\b|favorecendo.{0,20}alto\s+grau", "HSIL", unless="excluir|afastar"),
+    R(r"\basc[\s-]h\b|excluir.{0,50}alto\s+grau|afastar.{0,50}alto\s+grau", "ASC_H"),
+    R(r"\blsil\b|les.o.{0,40}baixo\s+grau|intraepitelial.{0,30}baixo\s+grau|intraepitelial.{0,30}grau\s+i\b|\bnic\s+i\b|\bnic\s*1\b", "LSIL"),
+    R(r"\basc[\s-]us\b|escamosas\s+at.picas\s+de\s+significado|atipias.{0,25}escamosas.{0,25}significado\s+indeterminado", "ASC_US"), R(r"\bnilm\b|negativo\s+para\s+les.o", "NILM"),
+    R(r"les.o.{0,40}alto\s+grau", "HSIL", unless="excluir|afastar|descartar"),  # our own, for phrasings that none of the above reads
 ))
 ORGANISMOS = MultiLabel("organismos", (
-    R("lactobacil|doderlein", "lactobacilos"), R("candida|fungos|leveduras", "candida"), R("gardnerella|vaginose", "gardnerella"), R("trichomonas", "trichomonas"),
-    R("actinomyces", "actinomyces"), R("herpes", "herpes"), R("cocos|cocoide", "cocos"), R("bacilos curtos", "bacilos"), R("flora mista", "flora_mista"),
+    R("lactobacil", "lactobacilos"), R(r"gardnerella|shift.{0,15}flora|vaginose", "gardnerella"), R(r"candida|fungo|levedura|hifa|pseudo-?hifa|organism.s\s+fung", "candida"), R("trichomonas|tricomonas", "trichomonas"),
+    R("actinomyces", "actinomyces"), R(r"herpes|\bhsv\b", "herpes"),
 ))
-HORMONAL = Cascade("hormonal", (R(r"hipotr.fico|atr.fico", "atrofico"), R("hipoestr", "hipoestrogenico"), R(r"\btr.fico", "trofico")))
+HORMONAL = Cascade("hormonal", (R(r"atr.fico|hipotr.fico|padrao\s+atr.fico", "atrofico"), R("hipoestr", "hipoestrogenico"), R(r"tr.fico", "trofico")))
 # Gastric
-OLGA = Cascade("olga", tuple([R(r"olga\s*(?:0|zero)\b", "0")] + [R(rf"olga\s+(?:estagio\s+)?(?:{c.lower()}|{i})\b", c) for i, c in ((4, "IV"), (3, "III"), (2, "II"), (1, "I"))]), anchors=("olga",))
+OLGA = Cascade("olga", tuple([R(r"olga\s*(?:0|zero)\b", "0")] + [R(rf"olga\s+(?:{c.lower()}(?:[^ivx]|$)|{i})", c) for i, c in ((4, "IV"), (3, "III"), (2, "II"), (1, "I"))]), anchors=("olga",))
 HP = Cascade("hp", (
-    R(r"(?:ausencia|negativ[oa]|nao (?:se )?(?:observ|identific|detect)\w*).{0,40}(?:h\.?\s*pylori|helicobacter)", "negativo"),
-    R(r"(?:h\.?\s*pylori|helicobacter(?:\s+pylori)?).{0,30}(?:negativ|ausente|nao\s+(?:identific|detect|observ))", "negativo"), R(r"h\.?\s*pylori|helicobacter", "positivo"),
+    R(r"(?:h\.?\s*pylori|helicobacter).{0,50}positiv[oa]", "positivo"), R(r"(?:h\.?\s*pylori|helicobacter).{0,50}negativ[oa]?", "negativo"),
+    R(r"pesquisa\s+de\s+h\.?\s*pylori.{0,60}negativ[oa]", "negativo"), R(r"pesquisa\s+de\s+h\.?\s*pylori.{0,60}positiv[oa]", "positivo"),
+    # our own, for phrasings that none of the above reads
+    R(r"(?:ausencia|nao (?:se )?(?:observ|identific|detect)\w*).{0,40}(?:h\.?\s*pylori|helicobacter)|(?:h\.?\s*pylori|helicobacter(?:\s+pylori)?).{0,30}(?:ausente|nao\s+(?:identific|detect|observ))", "negativo"),
 ))
 METODO_HP = Cascade("metodo_hp", (R("giemsa", "giemsa"), R(r"imuno[\s-]?histoqu", "ihq"), R("warthin", "warthin_starry")))
-METAPLASIA = Cascade("metaplasia_intestinal", (R("metaplasia\\s+intestinal", "sim", unless=r"sem\b|ausencia|inexistente|negativ"),), default="nao")
-ATROFIA = Cascade("atrofia", (R(r"sem atrofia|ausencia de atrofia|atrofia:? (?:ausente|inexistente)", "nao"), R(r"atrofia|atrofica", "sim")), default="nao")
+METAPLASIA = Cascade("metaplasia_intestinal", (
+    R(r"metaplasia\s+intestinal:?\s*(?:leve|moderada|acentuada|presente|focal|completa|incompleta)", "sim"), R(r"(?:associada?\s+a|com)\s+(?:atrofia\s+e\s+)?metaplasia\s+intestinal", "sim"),
+    R(r"metaplasia\s+intestinal.{0,19}(?:inexistente|ausente)\b", "nao"), R(r"metaplasia\s+intestinal", "sim", unless=r"sem|ausencia\s+de|inexistente|negativ", reach=30),
+), default="nao")
+ATROFIA = Cascade("atrofia", (
+    R(r"atrofia:?\s*(?:leve|moderada|acentuada|presente)", "sim"), R(r"(?:associada?\s+a|com)\s+atrofia", "sim"), R(r"(?:gastrite|mucosa)\s+\w*\s*atrofica", "sim"),
+), default="nao")
 DISPLASIA = Cascade("displasia", (
-    R(r"(?:sem|ausencia de) displasia", "ausente"), R(r"displasia.{0,20}alto\s+grau|alto\s+grau.{0,20}displasia", "alto_grau"), R(r"displasia|atipias\s+indefinidas", "baixo_grau"),
+    R(r"displasia\s+de\s+alto\s+grau|alto\s+grau\s*[^.]{0,20}displasia|displasia\s+acentuada", "alto_grau"), R(r"displasia\s+(?:de\s+)?baixo\s+grau|baixo\s+grau\s*[^.]{0,20}displasia|displasia\s+moderada|displasia\s+leve", "baixo_grau"),
+    R(r"atipias\s+citoarquiteturais\s+(?:de\s+)?baixo\s+grau", "baixo_grau"), R(r"atipias\s+citoarquiteturais\s+(?:leves|moderadas)", "baixo_grau"), R(r"atipias\s+citoarquiteturais\s+(?:de\s+)?alto\s+grau", "alto_grau"),
+    R(r"atipias\s+indefinidas\s+para\s+displasia", "baixo_grau"), R(r"negativ[oa]\s+para\s+displasia|sem\s+displasia", "ausente"),
 ), default="ausente")
 ATIVIDADE = Cascade("atividade", (
-    R(r"atividade\s+(?:neutrofilica|inflamatoria):?\s*(?:ausente|inexistente)|infiltrado\s+neutrofilico:?\s*ausente", "nao"),
-    R(r"gastrite\s+cronica\s+(?:\w+\s+)?ativa\b|gastrite.{0,60}aguda|atividade\s+(?:neutrofilica|inflamatoria)", "sim"),
+    R(r"atividade\s+neutrofilica:?\s*(?:leve|moderada|acentuada)", "sim"), R(r"atividade\s+inflamatoria:?\s*(?:leve|moderada|acentuada)", "sim"), R(r"atividade\s+(?:neutrofilica|inflamatoria):?\s*(?:ausente|inexistente)", "nao"),
+    R(r"infiltrado\s+neutrofilico:?\s*(?:leve|moderado|acentuado)", "sim"), R(r"infiltrado\s+neutrofilico:?\s*ausente", "nao"), R(r"gastrite.{0,60}aguda", "sim"), R(r"gastrite\s+cronica\s+(?:\w+\s+)?ativa\b", "sim"), R(r"\bativa\b", "sim"), R(r"\binativa\b", "nao"),
 ), default="nao")
-POLIPOS_FUNDICOS = Cascade("polipos_fundicos", (R(r"p.lipos?\s+(?:de\s+gl.ndulas?\s+)?f.ndic[oa]s?", "sim"),), default="nao")
+POLIPOS_FUNDICOS = Cascade("polipos_fundicos", (R(r"p.lipos?\s+de\s+gl.ndulas?\s+f.ndicas?", "sim"), R(r"p.lipo\s+f.ndico", "sim"), R(r"p.lipos\s+f.ndicos", "sim")), default="nao")
 
 
 def receptor(name: str, words: str) -> Cascade:
