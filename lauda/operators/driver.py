@@ -72,18 +72,15 @@ def adapt(raw: Any, v: Variable | None = None) -> dict:
 
 def rule_result(detector: str, t: Column) -> Column:
     """Result struct of a catalogued rule over a normalised text."""
-    rule, none = RULES.get(detector), lambda kind: F.lit(None).cast(kind)
+    none = lambda k: F.lit(None).cast("int" if k.startswith("span") else "string")
+    fields = lambda got: F.struct(*[got.get(k, none(k)).alias(k) for k in FIELDS])
+    state = lambda v: F.when(v.isNull(), "no_match").otherwise("detected")
+    rule = RULES.get(detector)
     if rule is None:
-        r = DETECTORS[detector](t)
-        got = {k: r[k] for k in ("value", "evidence", "section", "span_start", "span_end", "status")}
-        return F.struct(*[got.get(k, none("string")).alias(k) for k in FIELDS])
+        return let(DETECTORS[detector](t), lambda r: fields({k: r[k] for k in ("value", "evidence", "section", "span_start", "span_end", "status")}))
     if isinstance(rule, Cascade):
-        r = rule.column(t)
-        got = {"value": r["value"], "evidence": r["evidence"], "span_start": r["span_start"], "span_end": r["span_start"] + F.length(r["evidence"])}
-    else:
-        got = {"value": rule.column(t).cast("string")}
-    got["status"] = F.when(got["value"].isNull(), "no_match").otherwise("detected")
-    return F.struct(*[got.get(k, none("int" if k.startswith("span") else "string")).alias(k) for k in FIELDS])
+        return let(rule.column(t), lambda r: fields({"value": r["value"], "status": state(r["value"]), "evidence": r["evidence"], "span_start": r["span_start"], "span_end": r["span_start"] + F.length(r["evidence"])}))
+    return let(rule.column(t).cast("string"), lambda v: fields({"value": v, "status": state(v)}))
 
 
 def run_variable(df: DataFrame, v: Variable, key: str, text: str, carry: tuple[str, ...] = (), done: DataFrame | None = None, function: Callable | None = None) -> DataFrame:

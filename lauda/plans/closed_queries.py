@@ -22,7 +22,7 @@ from lauda.plans import system_queries as Y
 from lauda.plans.policy_queries import ORACLE as POLICY_SQL
 from lauda.plans.policy_queries import confusion, pilot_summary
 from lauda.plans.text_queries import SQL_REPORTS, _SPANS
-from lauda.session import maybe_broadcast
+from lauda.session import maybe_broadcast, spread
 from lauda.sources import sinks as W
 from lauda.sources.tables import table
 
@@ -44,7 +44,7 @@ def canary_run(spark, d):
 
 def detector_rows(spark, d):
     """Result rows of three variables of a contract over all reports, strata carried."""
-    r = R.run_contract(table(spark, d, "run_pilot"), K.load_contract(CANARIES), ["resultado", "ki67", "margens"])
+    r = R.run_contract(spread(table(spark, d, "run_pilot").select("pilot_id", "laudo", "clinica", "conjunto")), K.load_contract(CANARIES), ["resultado", "ki67", "margens"])
     return r.select("pilot_id", "clinica", "conjunto", "variable", "value", "status")
 
 
@@ -149,7 +149,7 @@ def discovery_report(spark, d):
 
 def endoscopy_findings(spark, d):
     """Preparation score, esophagitis grade and hiatal hernia of every report, read section by section."""
-    r = table(spark, d, "run_pilot").select("pilot_id", "laudo")
+    r = spread(table(spark, d, "run_pilot").select("pilot_id", "laudo"))
     parts = [R.run_variable(r, K.Variable(k.removesuffix("_por_secao"), k), "pilot_id", "laudo") for k in DETECTORS]
     return reduce(lambda a, b: a.unionByName(b), parts).select("pilot_id", "variable", "value", "status", "section", "span_start", "span_end")
 

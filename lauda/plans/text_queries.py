@@ -8,6 +8,7 @@ from lauda.functions import derived as V
 from lauda.functions import detectors as D
 from lauda.functions import text as X
 from lauda.functions.rules import Cascade
+from lauda.session import spread
 from lauda.sources.tables import table
 
 
@@ -17,7 +18,7 @@ def _docs(spark, d):
 
 def _reports(spark, d):
     """Reports with their normalised text T."""
-    return table(spark, d, "run_pilot").select("pilot_id", "caso", "conjunto", "laudo", X.normalize(F.col("laudo")).alias("T"))
+    return spread(table(spark, d, "run_pilot").select("pilot_id", "caso", "conjunto", "laudo")).select("pilot_id", "caso", "conjunto", "laudo", X.normalize(F.col("laudo")).alias("T"))
 
 
 SQL_REPORTS = f"(SELECT pilot_id, caso, conjunto, laudo, {X.sql_normalize('laudo')} AS T FROM run_pilot)"
@@ -118,7 +119,7 @@ def _detect(name):
 def breast_derived(spark, d):
     """Behaviour of the histological type, features of a fibrocystic pattern and molecular subtype of breast reports."""
     t, num = F.col("T"), F.regexp_extract("l1_ki67", r"^(\d{1,3})$", 1).try_cast("int")
-    r = table(spark, d, "run_pilot").select("pilot_id", X.normalize(F.col("laudo")).alias("T"), "l1_re", "l1_rp", V.her2_of_score(F.col("l1_her2")).alias("h"), num.alias("k"))
+    r = spread(table(spark, d, "run_pilot").select("pilot_id", "laudo", "l1_re", "l1_rp", "l1_her2", "l1_ki67")).select("pilot_id", X.normalize(F.col("laudo")).alias("T"), "l1_re", "l1_rp", V.her2_of_score(F.col("l1_her2")).alias("h"), num.alias("k"))
     r = r.withColumn("tipo", X.let(t, lambda t: D.TIPO_HIST.column(t)["value"]))
     tipo = F.col("tipo")
     return r.select(

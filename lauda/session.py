@@ -65,3 +65,13 @@ def collect_bounded(df: DataFrame, max_rows: int):
     """Rows of a dimension, or None when it has more than max_rows (callers then use a join)."""
     rows = df.limit(max_rows + 1).collect()
     return None if len(rows) > max_rows else rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it comes from fewer files than that; otherwise as it is.
+
+    For work that costs far more than moving the rows (dozens of patterns over each text). A large table
+    has more partitions than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
