@@ -130,14 +130,14 @@ def bowel_preparation(t: Column) -> Column:
             stated = F.coalesce(*[F.regexp_extract(tail, p, 1).try_cast("int") for p in (r"^\s*=\s*0?(\d|10)\b", r"^\s*=?\s*0?(\d|10)\s*/\s*9\b")])
             return _hit(total(s), F.when(stated.isNotNull() & (stated != total(s)), "bbps_soma_3seg_arith_inc").otherwise("bbps_soma_3seg"), s)
 
-        labelled = F.coalesce(*[F.when(F.size(spans_of(c, p)) > 0, _hit(total(_first(spans_of(c, p)), p), "bbps_labeled_seg", _first(spans_of(c, p)))) for p in LABELLED])
+        named = lambda p: let(_first(spans_of(c, p)), lambda s: F.when(s.isNotNull(), _hit(total(s, p), "bbps_labeled_seg", s)))
         nine = _first(F.filter(spans_of(c, OF_NINE), lambda s: _around(c, s, 60).rlike(BOSTON)))
         one = lambda p, status: let(_first(spans_of(c, p)), lambda s: F.when(s.isNotNull() & part(s, 1, p).between(0, 9), _hit(part(s, 1, p), status, s)))
         found = F.coalesce(
-            let(three, lambda s: F.when(s.isNotNull(), summed(s))), labelled, let(nine, lambda s: F.when(s.isNotNull(), _hit(part(s, 1, OF_NINE), "bbps_sobre_9", s))),
+            let(three, lambda s: F.when(s.isNotNull(), summed(s))), *map(named, LABELLED), let(nine, lambda s: F.when(s.isNotNull(), _hit(part(s, 1, OF_NINE), "bbps_sobre_9", s))),
             one(NEAR_BOSTON, "bbps_total_near"), one(TOTAL, "bbps_total"),
         )
-        return F.when(inside | c.rlike(BOSTON), F.array_compact(F.array(found))).otherwise(F.array_compact(F.array(F.when(F.lit(False), found))))
+        return F.array_compact(F.array(F.when(inside | c.rlike(BOSTON), found)))
 
     return by_section(t, BBPS_ORDER, scan, r"boston|bbps|[0-3o]\s*\+|\bcd\b|colon\s+direito|/\s*9\b")
 
