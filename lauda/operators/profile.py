@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lauda.operators.range_scan import numbered, range_sorted, summaries
-from lauda.session import maybe_broadcast
+from lauda.session import maybe_broadcast, reliable
 
 QUANTILES = (0.25, 0.5, 0.75)
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -120,6 +120,7 @@ def profile_columns(counts: DataFrame) -> DataFrame:
     value has NULL order statistics; an empty table gives no rows. Timestamps are profiled as
     microseconds. Repeated rows count each for itself; quantiles are the lower ones (disc).
     """
+    counts = reliable(counts)  # read twice, and sampled by the range partitioning: the table itself is unpivoted once
     null = F.col("num").isNull() & F.col("txt").isNull()
     base = counts.groupBy("tbl", "col", "load").agg(
         F.sum("n").alias("n"),
