@@ -25,7 +25,9 @@ TOKENIZERS = "/opt/tokenizers"
 EMPTY_IDS: list[int] = []
 
 LETTER, NUMBER, SPACE, OTHER, END = 0, 1, 2, 3, 4
-_BLOCK = 1 << 16
+# Letters after the apostrophe of a contraction, one or two.
+_ONE = np.array([ord(c) for c in "stmd"], np.uint32)
+_TWO = np.array([ord(a) * 256 + ord(b) for a, b in ("re", "ve", "ll")], np.uint32)
 
 
 @lru_cache(maxsize=1)
@@ -69,26 +71,22 @@ def boundaries(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
     joins = last & (cp == 32)
     start[1:][joins[:-1]] = False
     # contractions: an apostrophe at a run start (no space before it) with its letters
-    for i in np.flatnonzero((cp == 39) & (k == OTHER)):
-        if not start[i] or (i and joins[i - 1]):
-            continue
-        two, three = joined[i + 1 : i + 2], joined[i + 1 : i + 3]
-        m = 2 if three in ("re", "ve", "ll") else 1 if two in ("s", "t", "m", "d") else 0
-        if m and not (ends_between(k, i + 1, m)):
-            start[i] = True
-            start[i + 1 : i + 1 + m] = False
-            if i + 1 + m < n:
-                start[i + 1 + m] = True
+    i = np.flatnonzero((cp == 39) & (k == OTHER) & start & ~np.r_[False, joins[:-1]])
+    if len(i):
+        padded = np.r_[cp, np.uint32(0), np.uint32(0)]  # a sentinel ends every text, so letters never come from the next
+        first, second = padded[i + 1], padded[i + 2]
+        two = np.isin(first * np.uint32(256) + second, _TWO) & (first < 128) & (second < 128)
+        m = np.where(two, 2, np.where(np.isin(first, _ONE), 1, 0))
+        i, m = i[m > 0], m[m > 0]
+        start[i + 1] = False
+        start[i[m == 2] + 2] = False
+        start[i + 1 + m] = True
     at = np.flatnonzero(start)
     owner = np.searchsorted(ends, at)
     keep = k[at] != END
     return joined, at, owner, keep
 
 
-def ends_between(k: np.ndarray, i: int, m: int) -> bool:
-    return bool((k[i : i + m] == END).any())
-
-
 class Merger:
     """Pair merging by rank with a cache of slices."""
 
@@ -96,19 +94,25 @@ class Merger:
         self.ranks, self.size = ranks, cache_size
         self.cache: dict[str, list[int]] = {}
 
-    def encode(self, piece: str) -> list[int]:
-        ids = self.cache.get(piece)
-        if ids is None:
-            ids = self.merge(piece.encode("utf-8", "surrogatepass"))
+    def encode(self, piece: str) -> tuple[list[int], list[int]]:
+        """(ids, code point that each token begins in) of a slice."""
+        got = self.cache.get(piece)
+        if got is None:
+            raw = piece.encode("utf-8", "surrogatepass")
+            ids, at = self.merge(raw)
+            if len(raw) != len(piece) and at != [0]:
+                b = np.frombuffer(raw, np.uint8)
+                at = (np.cumsum((b & 0xC0) != 0x80) - 1)[at].tolist()
+            got = ids, at
             if len(self.cache) < self.size and len(piece) <= 64:
-                self.cache[piece] = ids
-        return ids
+                self.cache[piece] = got
+        return got
 
-    def merge(self, raw: bytes) -> list[int]:
-        """Lowest rank first, leftmost among equals; a heap keeps long slices near-linear."""
+    def merge(self, raw: bytes) -> tuple[list[int], list[int]]:
+        """(ids, first bytes): lowest rank first, leftmost among equals; a heap keeps long slices near-linear."""
         ranks = self.ranks
         if raw in ranks:
-            return [ranks[raw]]
+            return [ranks[raw]], [0]
         n = len(raw)
         nxt, prv, end, alive = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(raw[i : i + 2])) is not None]
@@ -126,7 +130,8 @@ class Merger:
             p = prv[i]
             if p >= 0 and (x := ranks.get(raw[p:e])) is not None:
                 heapq.heappush(heap, (x, p, e))
-        return [ranks[raw[i : end[i]]] for i in range(n) if alive[i]]
+        at = [i for i in range(n) if alive[i]]
+        return [ranks[raw[i : end[i]]] for i in at], at
 
 
 @lru_cache(maxsize=2)
@@ -135,21 +140,23 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def encode_batch(texts: list[str], merger: Merger) -> list[tuple[list[int], list[int]]]:
-    """(ids, code-point offset of the slice that each id begins in) of each text."""
+def encode_batch(texts: list[str], merger: Merger, offsets: bool = True) -> list[tuple[list[int], list[int]]]:
+    """(ids, code-point offset that each token begins at) of each text; of a split character the offset of the character."""
     out: list = [([], []) for _ in texts]
     filled = [i for i, t in enumerate(texts) if t]
     if not filled:
         return out
     joined, at, owner, keep = boundaries([texts[i] for i in filled])
     stops = np.append(at[1:], len(joined))
-    base = np.concatenate([[0], np.cumsum([len(texts[i]) + 1 for i in filled])])
+    base = np.concatenate([[0], np.cumsum([len(texts[i]) + 1 for i in filled])]).tolist()
     encode = merger.encode
     for a, b, o in zip(at[keep].tolist(), stops[keep].tolist(), owner[keep].tolist()):
-        got = encode(joined[a:b])
+        got, rel = encode(joined[a:b])
         ids, offs = out[filled[o]]
         ids += got
-        offs += [a - int(base[o])] * len(got)
+        if offsets:
+            a -= base[o]
+            offs += [a] if len(rel) == 1 else [a + x for x in rel]
     return out
 
 
@@ -167,7 +174,7 @@ def encoded(documents: DataFrame, path: str | None = None, offsets: bool = False
             for lo in range(0, len(b), 500):
                 part = b.iloc[lo : lo + 500]
                 texts = [t if isinstance(t, str) else None for t in part.text]
-                got = encode_batch([t or "" for t in texts], merger)
+                got = encode_batch([t or "" for t in texts], merger, offsets)
                 d = pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "ids": [g[0] if t else EMPTY_IDS for t, g in zip(texts, got)]})
                 if offsets:
                     d["offsets"] = [g[1] if t else EMPTY_IDS for t, g in zip(texts, got)]

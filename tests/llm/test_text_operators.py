@@ -310,6 +310,21 @@ def test_ids_equal_the_public_library(spark):
     assert rows[1]["offsets"] == sorted(rows[1]["offsets"]) and rows[1]["offsets"][0] == 0
 
 
+def test_offsets_are_those_of_each_token():
+    """Against the bytes of the tokens, laid one after the other over each text."""
+    ranks = K.load_ranks(K.TOKENIZERS + "/byte_bpe_50k.tiktoken")
+    back = {v: k for k, v in ranks.items()}
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aeé漢😀 \n'sdrvelT19ãçß—") for _ in range(rng.randrange(1, 60))) for _ in range(300)] + ["don't I'll we've 's's ''re", "é" * 200, "\0'\0s", "'"]
+    for t, (ids, offsets) in zip(texts, K.encode_batch(texts, K.Merger(ranks))):
+        owner = [i for i, c in enumerate(t) for _ in c.encode()]
+        at, want = 0, []
+        for x in ids:
+            want.append(owner[at])
+            at += len(back[x])
+        assert offsets == want and b"".join(back[x] for x in ids) == t.encode(), t
+
+
 # --- leaked items
 
 
