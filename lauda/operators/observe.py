@@ -10,6 +10,9 @@ from lauda.operators.range_scan import with_last_before
 from lauda.operators.topk import top_per_group
 
 
+PARTS = 16
+
+
 def one_row_per_run(runs: DataFrame) -> DataFrame:
     """Re-sent rows of a run and variable count once: the greatest id stands."""
     cols = [c for c in runs.columns if c not in ("contract_id", "variable", "started_at", "run_id")]
@@ -42,12 +45,16 @@ def latest_runs(runs: DataFrame, k: int = 2) -> DataFrame:
 
 
 def timeline(runs: DataFrame) -> DataFrame:
-    """Points per contract, variable and run, aligned over the contract's runs: NULL where a run lacks the variable."""
+    """Points per contract, variable and run, aligned over the contract's runs: NULL where a run lacks the variable.
+
+    The runs of one contract are spread by their hash over PARTS keys and its variables, which are few,
+    repeated for each, so that a contract with most of the runs isn't one task.
+    """
     r = one_row_per_run(runs)
-    at = r.select("contract_id", "run_id", "started_at").distinct()
-    wanted = r.select("contract_id", "variable").distinct()
+    at = r.select("contract_id", "run_id", "started_at").distinct().withColumn("part", F.pmod(F.xxhash64("run_id"), F.lit(PARTS)))
+    wanted = r.select("contract_id", "variable").distinct().withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))))
     points = r.select("contract_id", "variable", "run_id", F.round("fill_rate", 4).alias("fill_rate"))
-    return wanted.join(at, "contract_id").join(points, ["contract_id", "variable", "run_id"], "left").select("contract_id", "variable", "run_id", "started_at", "fill_rate")
+    return wanted.join(at, ["contract_id", "part"]).join(points, ["contract_id", "variable", "run_id"], "left").select("contract_id", "variable", "run_id", "started_at", "fill_rate")
 
 
 def last_known(runs: DataFrame) -> DataFrame:
