@@ -16,72 +16,108 @@ BETHESDA = Cascade("bethesda", tuple(
     + [R(rf"bethesda\s+{c.lower()}\b", c) for c in ("VI", "IV", "III", "II", "V", "I")]
     + [R(rf"bethesda\s+{i}\b", c) for i, c in enumerate(("I", "II", "III", "IV", "V", "VI"), 1)]
     # our own, for phrasings that none of the above reads
-    + [R(rf"categoria\s+{c.lower()}\b\s+do sistema\s+bethesda|bethesda\s+categoria\s+(?:{c.lower()}|{i})\b", c) for i, c in ((6, "VI"), (4, "IV"), (3, "III"), (2, "II"), (5, "V"), (1, "I"))]
+    + [R(rf"categoria\s+{c.lower()}\b\s+do sistema\s+bethesda|bethesda\s+categoria\s+(?:{c.lower()}|{i})\b", c) for i,
+        c in ((6, "VI"), (4, "IV"), (3, "III"), (2, "II"), (5, "V"), (1, "I"))]
 ), anchors=("bethesda",))
 BETHESDA_DESC = Extract("bethesda_desc", r"bethesda\s*[-–]+\s*([a-z][a-z\s]+)", cut=r"\s*[(.,].*")
 SUBTIPO = Cascade("subtipo", (
-    R(r"n.dulo\s+hiperpl.sico|adenomat.ide", "nodulo_hiperplasico"), R(r"hashimoto|tireoidite\s+linfoc", "hashimoto"), R(r"(?:carcinoma\s+)?papil[ai]r|papilifero", "papilar"),
+    R(r"n.dulo\s+hiperpl.sico|adenomat.ide", "nodulo_hiperplasico"), R(r"hashimoto|tireoidite\s+linfoc", "hashimoto"),
+    R(r"(?:carcinoma\s+)?papil[ai]r|papilifero", "papilar"),
     R("medular", "medular"), R("hurthle|oncocit", "hurthle"), R("folicular", "folicular"),
 ))
 # Cervical cytology
-ADEQUAB = Cascade("adequab", (R(r"satisfat\w*,? (?:mas|porem) limitada", "satisfatoria_limitada"), R("insatisfat", "insatisfatoria"), R("satisfat", "satisfatoria")))
+ADEQUAB = Cascade("adequab",
+    (R(r"satisfat\w*,? (?:mas|porem) limitada", "satisfatoria_limitada"), R("insatisfat", "insatisfatoria"),
+        R("satisfat", "satisfatoria")))
 ZT = Cascade("zona_transformacao", (
-    R(r"zona de transforma..o\s*:?\s*ausente", "ausente"), R(r"zona de transforma..o\s*:?\s*(?:presente|representad)", "presente"),
-    R(r"componente endocervical.{0,30}presente", "presente"), R(r"componente endocervical.{0,30}ausente", "ausente"), R(r"epitelios\s+representados.{0,40}glandular", "presente"),
+    R(r"zona de transforma..o\s*:?\s*ausente", "ausente"),
+    R(r"zona de transforma..o\s*:?\s*(?:presente|representad)", "presente"),
+    R(r"componente endocervical.{0,30}presente", "presente"), R(r"componente endocervical.{0,30}ausente", "ausente"),
+    R(r"epitelios\s+representados.{0,40}glandular", "presente"),
 ))
 RESULTADO = Cascade("resultado", (
-    R(r"carcinoma\s+escamo|carcinoma\s+epiderm", "carcinoma_escamoso"), R(r'\bais\b|adenocarcinoma\s*"?\s*in\s+situ', "AIS"), R("adenocarcinoma", "adenocarcinoma"),
+    R(r"carcinoma\s+escamo|carcinoma\s+epiderm", "carcinoma_escamoso"), R(r'\bais\b|adenocarcinoma\s*"?\s*in\s+situ', "AIS"),
+    R("adenocarcinoma", "adenocarcinoma"),
     R(r"\bagc\b|celulas\s+glandulares\s+at.picas|atipias.{0,25}celulas\s+glandulares", "AGC"),
-    R(r"\bhsil\b|les.o\s+intraepitelial.{0,20}alto\s+grau|intraepitelial\s+de\s+alto|\bnic\s+(?:ii|iii|2|3)\b|favorecendo.{0,20}alto\s+grau", "HSIL", unless="excluir|afastar"),
+    R(r"\bhsil\b|les.o\s+intraepitelial.{0,20}alto\s+grau|intraepitelial\s+de\s+alto|\bnic\s+(?:ii|iii|2|3)\b|favorecendo.{0,20}alto\s+grau",
+        "HSIL", unless="excluir|afastar"),
     R(r"\basc[\s-]h\b|excluir.{0,50}alto\s+grau|afastar.{0,50}alto\s+grau", "ASC_H"),
-    R(r"\blsil\b|les.o.{0,40}baixo\s+grau|intraepitelial.{0,30}baixo\s+grau|intraepitelial.{0,30}grau\s+i\b|\bnic\s+i\b|\bnic\s*1\b", "LSIL"),
-    R(r"\basc[\s-]us\b|escamosas\s+at.picas\s+de\s+significado|atipias.{0,25}escamosas.{0,25}significado\s+indeterminado", "ASC_US"), R(r"\bnilm\b|negativo\s+para\s+les.o", "NILM"),
-    R(r"les.o.{0,40}alto\s+grau", "HSIL", unless="excluir|afastar|descartar"),  # our own, for phrasings that none of the above reads
+    R(r"\blsil\b|les.o.{0,40}baixo\s+grau|intraepitelial.{0,30}baixo\s+grau|intraepitelial.{0,30}grau\s+i\b|\bnic\s+i\b|\bnic\s*1\b",
+        "LSIL"),
+    R(r"\basc[\s-]us\b|escamosas\s+at.picas\s+de\s+significado|atipias.{0,25}escamosas.{0,25}significado\s+indeterminado",
+        "ASC_US"),
+    R(r"\bnilm\b|negativo\s+para\s+les.o", "NILM"),
+    R(r"les.o.{0,40}alto\s+grau", "HSIL", unless="excluir|afastar|descartar"),
+    # our own, for phrasings that none of the above reads
 ))
 ORGANISMOS = MultiLabel("organismos", (
-    R("lactobacil", "lactobacilos"), R(r"gardnerella|shift.{0,15}flora|vaginose", "gardnerella"), R(r"candida|fungo|levedura|hifa|pseudo-?hifa|organism.s\s+fung", "candida"), R("trichomonas|tricomonas", "trichomonas"),
+    R("lactobacil", "lactobacilos"), R(r"gardnerella|shift.{0,15}flora|vaginose", "gardnerella"),
+    R(r"candida|fungo|levedura|hifa|pseudo-?hifa|organism.s\s+fung", "candida"), R("trichomonas|tricomonas", "trichomonas"),
     R("actinomyces", "actinomyces"), R(r"herpes|\bhsv\b", "herpes"),
 ))
-HORMONAL = Cascade("hormonal", (R(r"atr.fico|hipotr.fico|padrao\s+atr.fico", "atrofico"), R("hipoestr", "hipoestrogenico"), R(r"tr.fico", "trofico")))
+HORMONAL = Cascade("hormonal",
+    (R(r"atr.fico|hipotr.fico|padrao\s+atr.fico", "atrofico"), R("hipoestr", "hipoestrogenico"), R(r"tr.fico", "trofico")))
 # Gastric
-OLGA = Cascade("olga", tuple([R(r"olga\s*(?:0|zero)\b", "0")] + [R(rf"olga\s+(?:{c.lower()}(?:[^ivx]|$)|{i})", c) for i, c in ((4, "IV"), (3, "III"), (2, "II"), (1, "I"))]), anchors=("olga",))
+OLGA = Cascade("olga",
+    tuple([R(r"olga\s*(?:0|zero)\b", "0")] + [R(rf"olga\s+(?:{c.lower()}(?:[^ivx]|$)|{i})", c) for i,
+            c in ((4, "IV"), (3, "III"), (2, "II"), (1, "I"))]),
+    anchors=("olga",))
 HP = Cascade("hp", (
-    R(r"(?:h\.?\s*pylori|helicobacter).{0,50}positiv[oa]", "positivo"), R(r"(?:h\.?\s*pylori|helicobacter).{0,50}negativ[oa]?", "negativo"),
-    R(r"pesquisa\s+de\s+h\.?\s*pylori.{0,60}negativ[oa]", "negativo"), R(r"pesquisa\s+de\s+h\.?\s*pylori.{0,60}positiv[oa]", "positivo"),
+    R(r"(?:h\.?\s*pylori|helicobacter).{0,50}positiv[oa]", "positivo"),
+    R(r"(?:h\.?\s*pylori|helicobacter).{0,50}negativ[oa]?", "negativo"),
+    R(r"pesquisa\s+de\s+h\.?\s*pylori.{0,60}negativ[oa]", "negativo"),
+    R(r"pesquisa\s+de\s+h\.?\s*pylori.{0,60}positiv[oa]", "positivo"),
     # our own, for phrasings that none of the above reads
-    R(r"(?:ausencia|nao (?:se )?(?:observ|identific|detect)\w*).{0,40}(?:h\.?\s*pylori|helicobacter)|(?:h\.?\s*pylori|helicobacter(?:\s+pylori)?).{0,30}(?:ausente|nao\s+(?:identific|detect|observ))", "negativo"),
+    R(r"(?:ausencia|nao (?:se )?(?:observ|identific|detect)\w*).{0,40}(?:h\.?\s*pylori|helicobacter)|(?:h\.?\s*pylori|helicobacter(?:\s+pylori)?).{0,30}(?:ausente|nao\s+(?:identific|detect|observ))",
+        "negativo"),
 ))
 METODO_HP = Cascade("metodo_hp", (R("giemsa", "giemsa"), R(r"imuno[\s-]?histoqu", "ihq"), R("warthin", "warthin_starry")))
 METAPLASIA = Cascade("metaplasia_intestinal", (
-    R(r"metaplasia\s+intestinal:?\s*(?:leve|moderada|acentuada|presente|focal|completa|incompleta)", "sim"), R(r"(?:associada?\s+a|com)\s+(?:atrofia\s+e\s+)?metaplasia\s+intestinal", "sim"),
-    R(r"metaplasia\s+intestinal.{0,19}(?:inexistente|ausente)\b", "nao"), R(r"metaplasia\s+intestinal", "sim", unless=r"sem|ausencia\s+de|inexistente|negativ", reach=30),
+    R(r"metaplasia\s+intestinal:?\s*(?:leve|moderada|acentuada|presente|focal|completa|incompleta)", "sim"),
+    R(r"(?:associada?\s+a|com)\s+(?:atrofia\s+e\s+)?metaplasia\s+intestinal", "sim"),
+    R(r"metaplasia\s+intestinal.{0,19}(?:inexistente|ausente)\b", "nao"),
+    R(r"metaplasia\s+intestinal", "sim", unless=r"sem|ausencia\s+de|inexistente|negativ", reach=30),
 ), default="nao")
 ATROFIA = Cascade("atrofia", (
-    R(r"atrofia:?\s*(?:leve|moderada|acentuada|presente)", "sim"), R(r"(?:associada?\s+a|com)\s+atrofia", "sim"), R(r"(?:gastrite|mucosa)\s+\w*\s*atrofica", "sim"),
+    R(r"atrofia:?\s*(?:leve|moderada|acentuada|presente)", "sim"), R(r"(?:associada?\s+a|com)\s+atrofia", "sim"),
+    R(r"(?:gastrite|mucosa)\s+\w*\s*atrofica", "sim"),
 ), default="nao")
 DISPLASIA = Cascade("displasia", (
-    R(r"displasia\s+de\s+alto\s+grau|alto\s+grau\s*[^.]{0,20}displasia|displasia\s+acentuada", "alto_grau"), R(r"displasia\s+(?:de\s+)?baixo\s+grau|baixo\s+grau\s*[^.]{0,20}displasia|displasia\s+moderada|displasia\s+leve", "baixo_grau"),
-    R(r"atipias\s+citoarquiteturais\s+(?:de\s+)?baixo\s+grau", "baixo_grau"), R(r"atipias\s+citoarquiteturais\s+(?:leves|moderadas)", "baixo_grau"), R(r"atipias\s+citoarquiteturais\s+(?:de\s+)?alto\s+grau", "alto_grau"),
+    R(r"displasia\s+de\s+alto\s+grau|alto\s+grau\s*[^.]{0,20}displasia|displasia\s+acentuada", "alto_grau"),
+    R(r"displasia\s+(?:de\s+)?baixo\s+grau|baixo\s+grau\s*[^.]{0,20}displasia|displasia\s+moderada|displasia\s+leve",
+        "baixo_grau"),
+    R(r"atipias\s+citoarquiteturais\s+(?:de\s+)?baixo\s+grau", "baixo_grau"),
+    R(r"atipias\s+citoarquiteturais\s+(?:leves|moderadas)", "baixo_grau"),
+    R(r"atipias\s+citoarquiteturais\s+(?:de\s+)?alto\s+grau", "alto_grau"),
     R(r"atipias\s+indefinidas\s+para\s+displasia", "baixo_grau"), R(r"negativ[oa]\s+para\s+displasia|sem\s+displasia", "ausente"),
 ), default="ausente")
 ATIVIDADE = Cascade("atividade", (
-    R(r"atividade\s+neutrofilica:?\s*(?:leve|moderada|acentuada)", "sim"), R(r"atividade\s+inflamatoria:?\s*(?:leve|moderada|acentuada)", "sim"), R(r"atividade\s+(?:neutrofilica|inflamatoria):?\s*(?:ausente|inexistente)", "nao"),
-    R(r"infiltrado\s+neutrofilico:?\s*(?:leve|moderado|acentuado)", "sim"), R(r"infiltrado\s+neutrofilico:?\s*ausente", "nao"), R(r"gastrite.{0,60}aguda", "sim"), R(r"gastrite\s+cronica\s+(?:\w+\s+)?ativa\b", "sim"), R(r"\bativa\b", "sim"), R(r"\binativa\b", "nao"),
+    R(r"atividade\s+neutrofilica:?\s*(?:leve|moderada|acentuada)", "sim"),
+    R(r"atividade\s+inflamatoria:?\s*(?:leve|moderada|acentuada)", "sim"),
+    R(r"atividade\s+(?:neutrofilica|inflamatoria):?\s*(?:ausente|inexistente)", "nao"),
+    R(r"infiltrado\s+neutrofilico:?\s*(?:leve|moderado|acentuado)", "sim"),
+    R(r"infiltrado\s+neutrofilico:?\s*ausente", "nao"), R(r"gastrite.{0,60}aguda", "sim"),
+    R(r"gastrite\s+cronica\s+(?:\w+\s+)?ativa\b", "sim"), R(r"\bativa\b", "sim"), R(r"\binativa\b", "nao"),
 ), default="nao")
-POLIPOS_FUNDICOS = Cascade("polipos_fundicos", (R(r"p.lipos?\s+de\s+gl.ndulas?\s+f.ndicas?", "sim"), R(r"p.lipo\s+f.ndico", "sim"), R(r"p.lipos\s+f.ndicos", "sim")), default="nao")
+POLIPOS_FUNDICOS = Cascade("polipos_fundicos",
+    (R(r"p.lipos?\s+de\s+gl.ndulas?\s+f.ndicas?", "sim"), R(r"p.lipo\s+f.ndico", "sim"), R(r"p.lipos\s+f.ndicos", "sim")),
+    default="nao")
 
 
 def receptor(name: str, words: str) -> Cascade:
     return Cascade(name, (
-        R(rf"(?:{words})(?:\s*\([^)]+\))?\s*:?\s*-?\s*(?:frac[oa]\s+|forte\s+)?positiv", "positivo"), R(rf"(?:{words})(?:\s*\([^)]+\))?\s*:?\s*-?\s*negativ", "negativo"),
-        R(rf"(?:positividade|positiv[oa])\s+para\s+(?:{words})", "positivo"), R(rf"(?:negatividade|negativ[oa])\s+para\s+(?:{words})|triplo[\s-]negativ", "negativo"),
+        R(rf"(?:{words})(?:\s*\([^)]+\))?\s*:?\s*-?\s*(?:frac[oa]\s+|forte\s+)?positiv", "positivo"),
+        R(rf"(?:{words})(?:\s*\([^)]+\))?\s*:?\s*-?\s*negativ", "negativo"),
+        R(rf"(?:positividade|positiv[oa])\s+para\s+(?:{words})", "positivo"),
+        R(rf"(?:negatividade|negativ[oa])\s+para\s+(?:{words})|triplo[\s-]negativ", "negativo"),
     ))
 
 
 def receptor_pct(name: str, words: str) -> Number:
     pre = rf"(?:{words})(?:\s*\([^)]+\))?\s*:?\s*(?:frac[oa]\s+|forte\s+)?"
     return Number(name, (
-        (pre + r"positiv[oa]\s+em\s+(\d{1,3})\s*%?\s*(?:a|e)\s*(\d{1,3})\s*%", "mid"), (pre + r"positiv[oa](?:,)?\s+(?:em\s+)?(?:cerca\s+de\s+|menos\s+de\s+|mais\s+de\s+)?[<>]?\s*(\d{1,3})\s*%", "one"),
+        (pre + r"positiv[oa]\s+em\s+(\d{1,3})\s*%?\s*(?:a|e)\s*(\d{1,3})\s*%", "mid"),
+        (pre + r"positiv[oa](?:,)?\s+(?:em\s+)?(?:cerca\s+de\s+|menos\s+de\s+|mais\s+de\s+)?[<>]?\s*(\d{1,3})\s*%", "one"),
         (pre + r"negativ[oa]", 0),
     ))
 
@@ -92,9 +128,14 @@ RE, RP = receptor("re", RE_WORDS), receptor("rp", RP_WORDS)
 RE_PCT, RP_PCT = receptor_pct("re_pct", RE_WORDS), receptor_pct("rp_pct", RP_WORDS)
 RE_ALLRED = Number("re_allred", ((rf"(?:{RE_WORDS}).{{0,80}}allred\s*:\s*(\d{{1,2}})", "one"),), 0, 8)
 RP_ALLRED = Number("rp_allred", ((rf"(?:{RP_WORDS}).{{0,80}}allred\s*:\s*(\d{{1,2}})", "one"),), 0, 8)
-HER2_SCORE = Cascade("her2_score", tuple(R(rf"her-?2.{{0,25}}?(?:escore|score)?\s*\(?{p}", lab) for p, lab in ((r"3\s*\+", "3+"), (r"2\s*\+", "2+"), (r"1\s*\+", "1+"), (r"0\s*\+", "0+"), (r"0\b", "0"))), anchors=("her",))
+HER2_SCORE = Cascade("her2_score",
+    tuple(R(rf"her-?2.{{0,25}}?(?:escore|score)?\s*\(?{p}", lab) for p,
+        lab in ((r"3\s*\+", "3+"), (r"2\s*\+", "2+"), (r"1\s*\+", "1+"), (r"0\s*\+", "0+"), (r"0\b", "0"))),
+    anchors=("her",))
 HER2_STATUS = Cascade("her2_status", (
-    R(r"her-?2.{0,25}?3\s*\+", "positivo"), R(r"her-?2.{0,25}?2\s*\+", "equivoco"), R(r"her-?2.{0,25}?(?:[01]\s*\+|0\b)", "negativo"), R(r"her-?2.{0,15}positiv", "positivo"), R(r"her-?2.{0,15}negativ", "negativo"),
+    R(r"her-?2.{0,25}?3\s*\+", "positivo"), R(r"her-?2.{0,25}?2\s*\+", "equivoco"),
+    R(r"her-?2.{0,25}?(?:[01]\s*\+|0\b)", "negativo"), R(r"her-?2.{0,15}positiv", "positivo"),
+    R(r"her-?2.{0,15}negativ", "negativo"),
 ), anchors=("her",))
 KI67 = Number("ki67_pct", (
     (r"ki[\s-]?67\s*/?\s*mib[\s-]?1\s*\([^)]+\)\s*:\s*positivo\s+em\s+(\d+)\s*%?\s*(?:a|e)\s*(\d+)\s*%", "mid"),
@@ -102,7 +143,8 @@ KI67 = Number("ki67_pct", (
     (r"ki[\s-]?67.{0,40}positiv[oa]\s+(?:em\s+)?(?:de\s+)?(\d+)\s*%?\s*(?:a|e|-)\s*(\d+)\s*%", "mid"),
     (r"ki[\s-]?67.{0,40}positiv[oa]\s+(?:em\s+)?(\d+)\s*%", "one"),
     (r"ki[\s-]?67[^:]{0,55}:\s*positiv[oa]\s+(?:em\s+)?(\d+)\s*%", "one"),
-    (r"(?:indice\s+de\s+)?proliferac.o\s+celular\s+(?:ao\s+ki[\s-]?67\s+)?de\s+(?:(?:ate|cerca\s+de)\s+)?(\d+)\s*(?:a\s+(\d+)\s*)?%", "any"),
+    (r"(?:indice\s+de\s+)?proliferac.o\s+celular\s+(?:ao\s+ki[\s-]?67\s+)?de\s+(?:(?:ate|cerca\s+de)\s+)?(\d+)\s*(?:a\s+(\d+)\s*)?%",
+        "any"),
     (r"proliferac.o\s+celular\s+de\s+(?:(?:ate|cerca\s+de)\s+)?(\d+)\s*(?:a\s+(\d+)\s*)?%\s*ao\s+ki", "any"),
     (r"ao\s+ki[\s-]?67\s+de\s+(?:(?:ate|cerca\s+de)\s+)?(\d+)\s*(?:a\s+(\d+)\s*)?%", "any"),
     (r"ki[\s-]?67.{0,40}positiv[oa]\s+em\s+mais\s+(?:de|que)\s+(\d+)\s*%", "one"),
@@ -119,36 +161,63 @@ KI67 = Number("ki67_pct", (
     (r"ki[\s-]?67[^:]{0,55}:\s*positiv[oa]\s+em\s+(\d+)\s+das?\s+celulas", "one"),
     (r"(\d+)\s*(?:%?\s*a\s+(\d+)\s*)?%\s+ao\s+ki[\s-]?67", "any"),
     # our own, for phrasings that none of the above reads
-    (r"ki-?\s?67.{0,40}?(\d{1,3})\s*%?\s*(?:a|e|-)\s*(\d{1,3})\s*%", "mid"), (r"ki-?\s?67.{0,40}?(\d{1,3})\s*%", "one"), (r"(\d{1,3})\s*%\s+(?:para|de)\s+ki-?\s?67", "one"),
+    (r"ki-?\s?67.{0,40}?(\d{1,3})\s*%?\s*(?:a|e|-)\s*(\d{1,3})\s*%", "mid"), (r"ki-?\s?67.{0,40}?(\d{1,3})\s*%", "one"),
+    (r"(\d{1,3})\s*%\s+(?:para|de)\s+ki-?\s?67", "one"),
 ))
 # Breast anatomical pathology
 MARGENS = Cascade("margens", (
-    R(r"margens?.{0,40}(?:comprometid|acometid|positiv)", "comprometidas", unless=r"nao\s+\w{0,12}\s*$"), R(r"margens?.{0,40}(?:exigu|proxim|tangenc)", "exiguas"),
+    R(r"margens?.{0,40}(?:comprometid|acometid|positiv)", "comprometidas", unless=r"nao\s+\w{0,12}\s*$"),
+    R(r"margens?.{0,40}(?:exigu|proxim|tangenc)", "exiguas"),
     R(r"margens?.{0,40}(?:livres?|negativ|nao comprometid)|em margem \w+, nao se observa comprometimento", "livres"),
 ), anchors=("marge",))
 PROCEDIMENTO = Cascade("procedimento", (
     R(r"mastectomia\s+radical", "mastectomia_radical"), R("mastectomia", "mastectomia"), R("quadrantectomia", "quadrantectomia"),
-    R(r"setorectomia|resseccao\s+segmentar|tumorectomia|nodulectomia|excisional", "excisional"), R("mamotomia", "mamotomia"), R(r"(?:biopsia|bx)\s+(?:por\s+)?agulha|core\s+biopsy", "biopsia_agulha"),
+    R(r"setorectomia|resseccao\s+segmentar|tumorectomia|nodulectomia|excisional", "excisional"), R("mamotomia", "mamotomia"),
+    R(r"(?:biopsia|bx)\s+(?:por\s+)?agulha|core\s+biopsy", "biopsia_agulha"),
 ))
-GRAU_NOTT = Cascade("grau_nott", tuple(R(rf"(?:nottingham|grau histologico|grau combinado).{{0,30}}?(?:grau\s+)?\b(?:{i}|{c})\b", str(i)) for i, c in ((3, "iii"), (2, "ii"), (1, "i"))), anchors=("nottingham", "grau histologico", "grau combinado"))
-INV_LINFOV = Cascade("inv_linfov", (R(rf"{NEG}\s+(?:\w+\s+){{0,3}}inva(?:sao|soes)\s+(?:angio)?linf|invasao\s+(?:angio)?linf\w*\s*:?\s*(?:ausente|nao)", "nao"), R(r"invasao\s+(?:angio)?linf", "sim")), anchors=("inva",))
-INV_PERIN = Cascade("inv_perin", (R(rf"{NEG}\s+(?:\w+\s+){{0,3}}invasao\s+perineural|invasao\s+perineural\s*:?\s*(?:ausente|nao)", "nao"), R(r"invasao\s+perineural", "sim")), anchors=("perineural",))
-NECROSE = Cascade("necrose", (R(r"(?:sem|ausencia de) necrose|necrose\s*:?\s*(?:ausente|nao)", "nao"), R("necrose", "sim")), anchors=("necrose",))
-MULTIFOCAL = Cascade("multifocalidade", (R(r"unifocal|(?:sem|ausencia de) multifocal", "nao"), R("multifocal|multicentric", "sim")), anchors=("focal", "multicentric"))
-MICROCALC = Cascade("microcalcificacoes", (R(r"(?:sem|ausencia de) (?:micro)?calcificac", "nao"), R("microcalcificac", "sim")), anchors=("calcificac",))
-EXTRANODAL = Cascade("extensao_extranodal", (R(r"(?:sem|ausencia de) (?:extensao|extravasamento) (?:extra|capsular)", "nao"), R(r"(?:extensao|extravasamento) (?:extranodal|extracapsular|capsular)", "sim")), anchors=("extensao", "extravasamento"))
-PELE = Cascade("pele", (R(r"(?:comprometimento|infiltracao) da pele|pele (?:comprometida|infiltrada)", "sim"), R(r"pele (?:livre|sem|nao)", "nao")), anchors=("pele",))
+GRAU_NOTT = Cascade("grau_nott",
+    tuple(R(rf"(?:nottingham|grau histologico|grau combinado).{{0,30}}?(?:grau\s+)?\b(?:{i}|{c})\b", str(i)) for i,
+        c in ((3, "iii"), (2, "ii"), (1, "i"))),
+    anchors=("nottingham", "grau histologico", "grau combinado"))
+INV_LINFOV = Cascade("inv_linfov",
+    (R(rf"{NEG}\s+(?:\w+\s+){{0,3}}inva(?:sao|soes)\s+(?:angio)?linf|invasao\s+(?:angio)?linf\w*\s*:?\s*(?:ausente|nao)", "nao"),
+        R(r"invasao\s+(?:angio)?linf", "sim")),
+    anchors=("inva",))
+INV_PERIN = Cascade("inv_perin",
+    (R(rf"{NEG}\s+(?:\w+\s+){{0,3}}invasao\s+perineural|invasao\s+perineural\s*:?\s*(?:ausente|nao)", "nao"),
+        R(r"invasao\s+perineural", "sim")),
+    anchors=("perineural",))
+NECROSE = Cascade("necrose", (R(r"(?:sem|ausencia de) necrose|necrose\s*:?\s*(?:ausente|nao)", "nao"), R("necrose", "sim")),
+    anchors=("necrose",))
+MULTIFOCAL = Cascade("multifocalidade",
+    (R(r"unifocal|(?:sem|ausencia de) multifocal", "nao"), R("multifocal|multicentric", "sim")),
+    anchors=("focal", "multicentric"))
+MICROCALC = Cascade("microcalcificacoes",
+    (R(r"(?:sem|ausencia de) (?:micro)?calcificac", "nao"), R("microcalcificac", "sim")), anchors=("calcificac",))
+EXTRANODAL = Cascade("extensao_extranodal",
+    (R(r"(?:sem|ausencia de) (?:extensao|extravasamento) (?:extra|capsular)", "nao"),
+        R(r"(?:extensao|extravasamento) (?:extranodal|extracapsular|capsular)", "sim")),
+    anchors=("extensao", "extravasamento"))
+PELE = Cascade("pele",
+    (R(r"(?:comprometimento|infiltracao) da pele|pele (?:comprometida|infiltrada)", "sim"), R(r"pele (?:livre|sem|nao)", "nao")),
+    anchors=("pele",))
 REF_IHQ = Cascade("ref_ihq", (R(r"imuno-?histoquim|imunomarcac|ihq\b", "sim"),), default="nao")
-PT = Cascade("pT", tuple(R(rf"\by?pt\s*{x}\b", f"pT{x}") for x in ("1mi", "1a", "1b", "1c", "is", "4a", "4b", "4c", "4d", "0", "1", "2", "3", "4")), anchors=("pt",))
-PN = Cascade("pN", tuple(R(rf"\by?pn\s*{x}\b", f"pN{x}") for x in ("1mi", "1a", "1b", "1c", "2a", "2b", "3a", "3b", "3c", "0", "1", "2", "3", "x")), anchors=("pn",))
+PT = Cascade("pT",
+    tuple(R(rf"\by?pt\s*{x}\b", f"pT{x}") for x in ("1mi", "1a", "1b", "1c", "is", "4a", "4b", "4c", "4d", "0", "1", "2", "3", "4")),
+    anchors=("pt",))
+PN = Cascade("pN",
+    tuple(R(rf"\by?pn\s*{x}\b", f"pN{x}") for x in ("1mi", "1a", "1b", "1c", "2a", "2b", "3a", "3b", "3c", "0", "1", "2", "3", "x")),
+    anchors=("pn",))
 # Endoscopy
 BBPS = Number("bbps", ((r"(?:boston|bbps)\b[^.]{0,30}?[\s:=(-]0?(\d)\b", "one"), (r"\b(\d)\s*/\s*9\b", "one")), 0, 9)
 LA_GRAU = Cascade("la_grau", tuple(
-    [R(r"(?:sem|ausencia de)\s+(?:sinais\s+de\s+)?esofagite|esofagite\s+nao[-\s]?erosiva|esofago\s+(?:de\s+aspecto\s+)?normal", "sem_esofagite")]
+    [R(r"(?:sem|ausencia de)\s+(?:sinais\s+de\s+)?esofagite|esofagite\s+nao[-\s]?erosiva|esofago\s+(?:de\s+aspecto\s+)?normal",
+            "sem_esofagite")]
     + [R(rf"grau\s*{c}\b.{{0,12}}los\s+angeles|los\s+angeles\s*[-,:]?\s*(?:grau\s*)?{c}\b", c.upper()) for c in "dcba"]
 ), anchors=("esofag", "angeles"))
 HERNIA = Cascade("hernia_hiatal", (
-    R(rf"{NEG}\s+(?:\w+\s+){{0,3}}hernia", "nao"), R(r"hernia\s+(?:hiatal|de\s+hiato|para(?:esofagica|diafragmatica))|\bhh\b", "sim", unless=r"antecedente|historia|controle"),
+    R(rf"{NEG}\s+(?:\w+\s+){{0,3}}hernia", "nao"),
+    R(r"hernia\s+(?:hiatal|de\s+hiato|para(?:esofagica|diafragmatica))|\bhh\b", "sim", unless=r"antecedente|historia|controle"),
     R(r"pincamento.{0,30}(?:coincidente|ao nivel)|(?:coincidente|ao nivel).{0,12}pincamento", "nao"),
 ), default="nao_mencionada")
 POLIPO = Cascade("polipo_presente", (
@@ -157,46 +226,84 @@ POLIPO = Cascade("polipo_presente", (
 ), default="nao")
 INTERVALO = Cascade("followup_interval", tuple(
     R(rf"(?:recomenda|sugere|indica|novo exame|controle|retorno|repetir)[^.]{{0,60}}?\b{p}", lab)
-    for p, lab in ((r"(?:3|tres)\s+meses", "3_meses"), (r"(?:6|seis)\s+meses", "6_meses"), (r"(?:12\s+meses|1\s+ano|um\s+ano)", "1_ano"), (r"(?:24\s+meses|2\s+anos|dois\s+anos)", "2_anos"), (r"(?:36\s+meses|3\s+anos|tres\s+anos)", "3_anos"), (r"(?:60\s+meses|5\s+anos|cinco\s+anos)", "5_anos"), (r"(?:10|dez)\s+anos", "10_anos"), (r"\d{1,2}\s+meses", "outro_meses"))
+    for p,
+    lab in ((r"(?:3|tres)\s+meses", "3_meses"), (r"(?:6|seis)\s+meses", "6_meses"),
+        (r"(?:12\s+meses|1\s+ano|um\s+ano)", "1_ano"), (r"(?:24\s+meses|2\s+anos|dois\s+anos)", "2_anos"),
+        (r"(?:36\s+meses|3\s+anos|tres\s+anos)", "3_anos"), (r"(?:60\s+meses|5\s+anos|cinco\s+anos)", "5_anos"),
+        (r"(?:10|dez)\s+anos", "10_anos"), (r"\d{1,2}\s+meses", "outro_meses"))
 ), default="nao_recomendado")
 
 # Breast: histological type and further structured fields
 TIPO_HIST = Cascade("tipo_hist", (
-    R(r"carcinoma\s+metaplasico", "metaplasico"), R(r"misto\s+(?:tipo\s+)?ductal\s+e\s+lobular|carcinoma\s+(?:invasivo|mamario).{0,30}misto", "misto"), R(r"carcinoma\s+(?:mamario\s+)?lobular\s+(?:invasiv|infiltrant)", "CLI"),
-    R(r"micropapilar", "micropapilar"), R(r"carcinoma\s+papilar\s+(?:encapsulado\s+)?invasiv", "papilar"), R(r"(?:carcinoma|tipo)\s+mucinos", "mucinoso"), R(r"carcinoma\s+tubular", "tubular"), R(r"carcinoma\s+medular", "medular"),
-    R(r"carcinoma\s+(?:mamario\s+)?(?:ductal\s+)?(?:microinvasiv|invasiv|infiltrant)|tipo\s+nao\s+especial", "CDI_SOE"), R(r"carcinoma\s+(?:ductal\s+)?.?in\s*situ|\bcdis\b|carcinoma\s+intraductal", "CDIS", unless=r"ausencia\s+de|sem\s|nao\s"),
-    R(r"carcinoma\s+lobular\s*.?in\s*situ|\bclis\b", "CLIS"), R("adenocarcinoma", "outro_maligno"), R(r"tumor\s+(?:phyllodes|filodes|filoide)|lipoma|papiloma\s+intraduct", "outro_benigno"), R("fibroadenoma", "fibroadenoma"), R(r"fibrocistic", "fibrocistico"),
+    R(r"carcinoma\s+metaplasico", "metaplasico"),
+    R(r"misto\s+(?:tipo\s+)?ductal\s+e\s+lobular|carcinoma\s+(?:invasivo|mamario).{0,30}misto", "misto"),
+    R(r"carcinoma\s+(?:mamario\s+)?lobular\s+(?:invasiv|infiltrant)", "CLI"),
+    R(r"micropapilar", "micropapilar"), R(r"carcinoma\s+papilar\s+(?:encapsulado\s+)?invasiv", "papilar"),
+    R(r"(?:carcinoma|tipo)\s+mucinos", "mucinoso"), R(r"carcinoma\s+tubular", "tubular"),
+    R(r"carcinoma\s+medular", "medular"),
+    R(r"carcinoma\s+(?:mamario\s+)?(?:ductal\s+)?(?:microinvasiv|invasiv|infiltrant)|tipo\s+nao\s+especial", "CDI_SOE"),
+    R(r"carcinoma\s+(?:ductal\s+)?.?in\s*situ|\bcdis\b|carcinoma\s+intraductal", "CDIS", unless=r"ausencia\s+de|sem\s|nao\s"),
+    R(r"carcinoma\s+lobular\s*.?in\s*situ|\bclis\b", "CLIS"), R("adenocarcinoma", "outro_maligno"),
+    R(r"tumor\s+(?:phyllodes|filodes|filoide)|lipoma|papiloma\s+intraduct", "outro_benigno"),
+    R("fibroadenoma", "fibroadenoma"), R(r"fibrocistic", "fibrocistico"),
 ))
 TIPO_IHQ = Cascade("tipo_hist_ihq", (
-    R(r"lobular\s+(?:invasiv|infiltrant)", "CLI"), R(r"(?:carcinoma|ductal)\s+(?:invasiv|infiltrant)", "CDI_SOE", unless=r"ausencia\s+de|sem\s|nao\s"), R(r"ductal\s+.?in\s*situ|\bcdis\b", "CDIS"), R(r"lobular\s+.?in\s*situ|\bclis\b", "CLIS"),
+    R(r"lobular\s+(?:invasiv|infiltrant)", "CLI"),
+    R(r"(?:carcinoma|ductal)\s+(?:invasiv|infiltrant)", "CDI_SOE", unless=r"ausencia\s+de|sem\s|nao\s"),
+    R(r"ductal\s+.?in\s*situ|\bcdis\b", "CDIS"), R(r"lobular\s+.?in\s*situ|\bclis\b", "CLIS"),
     R("micropapilar", "micropapilar"), R("mucinos", "mucinoso"), R(r"carcinoma\s+papil", "papilar"),
 ))
 COMP_INSITU = Cascade("comp_insitu", (
-    R(r"(?:sem|ausencia\s+de)\s+(?:componente|carcinoma)\s+(?:ductal\s+)?.?(?:in\s*situ|intraduct)|componente\s*.?(?:in\s*situ|intraduct\w*).?\s*:?\s*(?:nao|ausente)", "nao"),
-    R(r"componente\s*.?(?:in\s*situ|intraduct)|carcinoma\s+(?:ductal\s+|lobular\s+)?.?in\s*situ|\bcdis\b|\bclis\b|carcinoma\s+intraduct", "sim"),
+    R(r"(?:sem|ausencia\s+de)\s+(?:componente|carcinoma)\s+(?:ductal\s+)?.?(?:in\s*situ|intraduct)|componente\s*.?(?:in\s*situ|intraduct\w*).?\s*:?\s*(?:nao|ausente)",
+        "nao"),
+    R(r"componente\s*.?(?:in\s*situ|intraduct)|carcinoma\s+(?:ductal\s+|lobular\s+)?.?in\s*situ|\bcdis\b|\bclis\b|carcinoma\s+intraduct",
+        "sim"),
 ))
-MAMILO = Cascade("mamilo", (R(r"mamilo\s+(?:comprometid|infiltrad)|doenca\s+de\s+paget|(?:comprometimento|infiltracao)\s+do\s+mamilo", "sim"), R(r"mamilo\s+(?:livre|sem|nao|preservad)", "nao")), anchors=("mamilo", "paget"))
-EFEITO = Cascade("efeito_terapeutico", (R(r"resposta\s+(?:patologica\s+)?completa", "completa"), R(r"resposta\s+(?:patologica\s+)?parcial", "parcial"), R(r"efeito\s+terapeutico", "sem_info")), anchors=("resposta", "efeito"))
+MAMILO = Cascade("mamilo",
+    (R(r"mamilo\s+(?:comprometid|infiltrad)|doenca\s+de\s+paget|(?:comprometimento|infiltracao)\s+do\s+mamilo", "sim"),
+        R(r"mamilo\s+(?:livre|sem|nao|preservad)", "nao")),
+    anchors=("mamilo", "paget"))
+EFEITO = Cascade("efeito_terapeutico",
+    (R(r"resposta\s+(?:patologica\s+)?completa", "completa"), R(r"resposta\s+(?:patologica\s+)?parcial", "parcial"),
+        R(r"efeito\s+terapeutico", "sem_info")),
+    anchors=("resposta", "efeito"))
 INFILTRADO = Cascade("infiltrado_linfocitico", (
-    R(r"infiltrado\s+(?:inflamatorio\s+)?linfocit\w*\s*:?\s*(?:ausente|nao)", "nao_evidenciado"), R(r"infiltrado\s+(?:inflamatorio\s+)?linfocit\w*\s*:?\s*(?:escasso|discreto|leve|raro)", "escasso"),
-    R(r"infiltrado\s+(?:inflamatorio\s+)?linfocit\w*\s*:?\s*moderad", "moderado"), R(r"infiltrado\s+(?:inflamatorio\s+)?linfocit\w*\s*:?\s*(?:intens|acentuad|proeminent|exuberant)", "intenso"), R(r"infiltrado\s+(?:inflamatorio\s+)?linfocit", "presente"),
+    R(r"infiltrado\s+(?:inflamatorio\s+)?linfocit\w*\s*:?\s*(?:ausente|nao)", "nao_evidenciado"),
+    R(r"infiltrado\s+(?:inflamatorio\s+)?linfocit\w*\s*:?\s*(?:escasso|discreto|leve|raro)", "escasso"),
+    R(r"infiltrado\s+(?:inflamatorio\s+)?linfocit\w*\s*:?\s*moderad", "moderado"),
+    R(r"infiltrado\s+(?:inflamatorio\s+)?linfocit\w*\s*:?\s*(?:intens|acentuad|proeminent|exuberant)", "intenso"),
+    R(r"infiltrado\s+(?:inflamatorio\s+)?linfocit", "presente"),
 ), anchors=("infiltrado",))
-LN_EXAM = Number("ln_exam", ((r"(\d{1,2})\s+linfonodos?\s+(?:examinad|dissecad|isolad|identificad|avaliad)", "one"), (r"linfonodos?\s*:?\s*\d{1,2}\s*/\s*(\d{1,2})\b", "one"), (r"\b\d{1,2}\s*/\s*(\d{1,2})\s+linfonodos?", "one")), 0, 60)
-LN_POS = Number("ln_pos", ((r"linfonodos?\s*:?\s*(\d{1,2})\s*/\s*\d{1,2}\b", "one"), (r"\b(\d{1,2})\s*/\s*\d{1,2}\s+linfonodos?", "one"), (r"metastases?\s+em\s+(\d{1,2})\b", "one"), (r"linfonodos?\s+(?:livres?|negativ|sem\s+metastase)|ausencia\s+de\s+metastases?", 0)), 0, 60)
-SCORES = tuple(Number(n, ((rf"{w}.{{0,60}}?(?:escore|grau)?\s*:?\s*([123])\b", "one"),), 1, 3) for n, w in (("esc_tubular", r"formacao\s+(?:de\s+)?tubul\w*"), ("esc_nuclear", r"(?:grau\s+nuclear|pleomorfismo\s+nuclear)"), ("esc_mitotico", r"(?:indice\s+mitotico|mitoses)")))
+LN_EXAM = Number("ln_exam",
+    ((r"(\d{1,2})\s+linfonodos?\s+(?:examinad|dissecad|isolad|identificad|avaliad)", "one"),
+        (r"linfonodos?\s*:?\s*\d{1,2}\s*/\s*(\d{1,2})\b", "one"), (r"\b\d{1,2}\s*/\s*(\d{1,2})\s+linfonodos?", "one")),
+    0, 60)
+LN_POS = Number("ln_pos",
+    ((r"linfonodos?\s*:?\s*(\d{1,2})\s*/\s*\d{1,2}\b", "one"), (r"\b(\d{1,2})\s*/\s*\d{1,2}\s+linfonodos?", "one"),
+        (r"metastases?\s+em\s+(\d{1,2})\b", "one"),
+        (r"linfonodos?\s+(?:livres?|negativ|sem\s+metastase)|ausencia\s+de\s+metastases?", 0)),
+    0, 60)
+SCORES = tuple(Number(n, ((rf"{w}.{{0,60}}?(?:escore|grau)?\s*:?\s*([123])\b", "one"),), 1, 3) for n,
+    w in (("esc_tubular", r"formacao\s+(?:de\s+)?tubul\w*"), ("esc_nuclear", r"(?:grau\s+nuclear|pleomorfismo\s+nuclear)"),
+        ("esc_mitotico", r"(?:indice\s+mitotico|mitoses)")))
 # Behaviour of histological types; features of which two make a fibrocystic pattern.
-INVASIVE = ("CDI_SOE", "CLI", "misto", "mucinoso", "tubular", "medular", "micropapilar", "papilar", "metaplasico", "outro_maligno")
+INVASIVE = ("CDI_SOE", "CLI", "misto", "mucinoso", "tubular", "medular", "micropapilar", "papilar", "metaplasico",
+    "outro_maligno")
 IN_SITU, BENIGN = ("CDIS", "CLIS"), ("fibroadenoma", "fibrocistico", "outro_benigno")
-CYSTIC = (r"\b(?:micro)?cistos?\b", "adenose", r"hiperplasia\s+(?:ductal|lobular)", r"ectasia\s+ductal", r"metaplasia\s+apocrina", r"fibrose\b", r"celulas\s+colunares", r"alterac\w*\s+involutiv")
+CYSTIC = (r"\b(?:micro)?cistos?\b", "adenose", r"hiperplasia\s+(?:ductal|lobular)", r"ectasia\s+ductal",
+    r"metaplasia\s+apocrina", r"fibrose\b", r"celulas\s+colunares", r"alterac\w*\s+involutiv")
 # Tumour size: labels of the structured field, and the measure that follows them
 SIZE_LABELS = (
-    r"maior\s+extens.o\s+(?:linear\s+)?d[aoe]\s+neoplasia[^:]*:\s*", r"tamanho\s+d[aoe]\s+(?:tumor|neoplasia\s*(?:invasiv[ao])?|lesao)\s*:\s*",
-    r"maior\s+dimens.o\s+(?:linear\s+)?d[aoe]\s+neoplasia[^:]*:\s*", r"tamanho\s*:\s*", r"focalidade\s+e\s+tamanho\s+d[aoe]\s+tumor\s*:\s*",
+    r"maior\s+extens.o\s+(?:linear\s+)?d[aoe]\s+neoplasia[^:]*:\s*",
+    r"tamanho\s+d[aoe]\s+(?:tumor|neoplasia\s*(?:invasiv[ao])?|lesao)\s*:\s*",
+    r"maior\s+dimens.o\s+(?:linear\s+)?d[aoe]\s+neoplasia[^:]*:\s*", r"tamanho\s*:\s*",
+    r"focalidade\s+e\s+tamanho\s+d[aoe]\s+tumor\s*:\s*",
 )
 TUMOUR_MEASURE = r"(\d+(?:[,.]\d+)?\s*(?:x\s*\d+(?:[,.]\d+)?\s*)*(?:cm|mm|milimetros?))"
 MEASURING = r"(?:mede|medindo)\s+(?:o\s+maior\s+(?:foco\s+(?:neoplasico\s+)?)?)?"
 # Polyp size in words, looked for within 60 characters of a polyp noun, in this order; "grande" before these nouns is no size
-SIZE_WORDS = ((r"\bdiminut(?:o|os|a|as)\b", "qualitative_diminuto"), (r"\bp(?:un|on)tiform", "qualitative_punctiform"), (r"\bsubcentimetric", "qualitative_subcm"), (r"\bvolumos", "qualitative_large"), (r"\bgrand(?:e|es)\b", "qualitative_large"))
+SIZE_WORDS = ((r"\bdiminut(?:o|os|a|as)\b", "qualitative_diminuto"), (r"\bp(?:un|on)tiform", "qualitative_punctiform"),
+    (r"\bsubcentimetric", "qualitative_subcm"), (r"\bvolumos", "qualitative_large"), (r"\bgrand(?:e|es)\b", "qualitative_large"))
 NO_SIZE = r"\bgrand(?:e|es)\s+(?:quantidade|parte|volume|numero|extensao|acumulo|presenca)"
 SIZE_BOUND = r"\b(?:menores?|inferiores?)\s+(?:que|do\s+que|de|a)\s*(\d{1,2}(?:[.,]\d)?)\s*(mm|cm)"
 # Polyp size: nouns that a measure may belong to, and guards around it
@@ -209,9 +316,12 @@ DISTANCE = r"^\s*d[oa]\s+(?:borda\s+anal|anus|canal\s+anal|linha\s+pectinea)"
 
 # Why an interval is no surveillance of its own
 INTENT = Cascade("interval_intent", (
-    R(r"(?:completar|complementar|segunda\s+sessao|nova\s+sessao|retirada|resseccao)\s+(?:de\s+|da\s+)?(?:polipectomia|mucosectomia|lesao|resseccao)|para\s+(?:polipectomia|mucosectomia)", "excluded_therapeutic_session"),
-    R(r"preparo\s+(?:inadequado|insatisfatorio|ruim|pessimo)|exame\s+incompleto|repetir\s+(?:o\s+)?(?:exame\s+)?com\s+(?:novo|melhor)\s+preparo", "excluded_bad_prep_remake"),
-    R(r"complementacao\s+diagnostica|(?:aguardar|conforme)\s+(?:o\s+)?(?:resultado|anatomopatologico|histologia)", "excluded_diagnostic_completion"),
+    R(r"(?:completar|complementar|segunda\s+sessao|nova\s+sessao|retirada|resseccao)\s+(?:de\s+|da\s+)?(?:polipectomia|mucosectomia|lesao|resseccao)|para\s+(?:polipectomia|mucosectomia)",
+        "excluded_therapeutic_session"),
+    R(r"preparo\s+(?:inadequado|insatisfatorio|ruim|pessimo)|exame\s+incompleto|repetir\s+(?:o\s+)?(?:exame\s+)?com\s+(?:novo|melhor)\s+preparo",
+        "excluded_bad_prep_remake"),
+    R(r"complementacao\s+diagnostica|(?:aguardar|conforme)\s+(?:o\s+)?(?:resultado|anatomopatologico|histologia)",
+        "excluded_diagnostic_completion"),
 ), default="vigilancia")
 
 SETS = {
@@ -219,7 +329,8 @@ SETS = {
     "cervical": (ADEQUAB, ZT, RESULTADO, ORGANISMOS, HORMONAL),
     "gastrico": (OLGA, HP, METODO_HP, METAPLASIA, ATROFIA, DISPLASIA, ATIVIDADE, POLIPOS_FUNDICOS),
     "mama_ihq": (RE, RP, RE_PCT, RP_PCT, RE_ALLRED, RP_ALLRED, HER2_SCORE, HER2_STATUS, KI67),
-    "mama_ap": (MARGENS, PROCEDIMENTO, GRAU_NOTT, INV_LINFOV, INV_PERIN, NECROSE, MULTIFOCAL, MICROCALC, EXTRANODAL, PELE, REF_IHQ, PT, PN),
+    "mama_ap": (MARGENS, PROCEDIMENTO, GRAU_NOTT, INV_LINFOV, INV_PERIN, NECROSE, MULTIFOCAL, MICROCALC, EXTRANODAL, PELE,
+        REF_IHQ, PT, PN),
     "mama_tipo": (TIPO_HIST, TIPO_IHQ, COMP_INSITU, MAMILO, EFEITO, INFILTRADO, LN_EXAM, LN_POS, *SCORES),
     "endoscopia": (BBPS, LA_GRAU, HERNIA, POLIPO, INTERVALO, INTENT),
 }

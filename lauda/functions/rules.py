@@ -47,9 +47,11 @@ class Cascade:
 
     def column(self, t: Column) -> Column:
         """(value, span_start, evidence) of a normalised text."""
-        none = out = F.struct(F.lit(self.default).cast("string").alias("value"), F.lit(None).cast("int").alias("span_start"), F.lit(None).cast("string").alias("evidence"))
+        none = out = F.struct(F.lit(self.default).cast("string").alias("value"), F.lit(None).cast("int").alias("span_start"),
+            F.lit(None).cast("string").alias("evidence"))
         for r in reversed(self.rules):
-            got = F.struct(F.lit(r.label).alias("value"), first_start(t, r.pattern).alias("span_start"), F.substring(F.regexp_extract(t, r.pattern, 0), 1, 80).alias("evidence"))
+            got = F.struct(F.lit(r.label).alias("value"), first_start(t, r.pattern).alias("span_start"),
+                F.substring(F.regexp_extract(t, r.pattern, 0), 1, 80).alias("evidence"))
             out = F.when(self._holds(t, r), got).otherwise(out)
         if not self.anchors:
             return out
@@ -98,7 +100,8 @@ class Number:
         out = F.lit(None).cast("int")
         for p, how in reversed(self.rules):
             n = lambda g, p=p: F.regexp_extract(t, p, g).try_cast("int")
-            v = n(1) if how == "one" else F.floor((n(1) + n(2)) / 2).cast("int") if how == "mid" else F.coalesce(F.floor((n(1) + n(2)) / 2).cast("int"), n(1)) if how == "any" else F.lit(int(how))
+            v = n(1) if how == "one" else F.floor((n(1) + n(2)) / 2).cast("int") if how == "mid" else F.coalesce(F.floor((n(1) + n(2)) / 2).cast("int"),
+                n(1)) if how == "any" else F.lit(int(how))
             out = F.when(t.rlike(p), v).otherwise(out)
         return F.when(out.between(self.low, self.high), out)
 
@@ -110,7 +113,8 @@ class Number:
         return out
 
     def sql_evidence(self, t: str) -> str:
-        return "CASE " + " ".join(f"WHEN regexp_matches({t}, '{p}') THEN left(trim(regexp_extract({t}, '{p}', 0)), 80)" for p, _ in self.rules) + " END"
+        return "CASE " + " ".join(f"WHEN regexp_matches({t}, '{p}') THEN left(trim(regexp_extract({t}, '{p}', 0)), 80)" for p,
+            _ in self.rules) + " END"
 
     def sql(self, t: str) -> str:
         parts = []

@@ -18,7 +18,8 @@ from lauda.operators.joins import spans_of
 
 # Section headers of normalised endoscopy reports.
 ENDOSCOPY = (
-    ("indicacao", r"\[indicacao\]|\[indicacoes\]|\bindicacao\s*:|\bindicacoes\s*:|\bhipotese\s+diagnostica\b|\bmotivo\s+do\s+exame\b|\bhistoria\s+clinica\b"),
+    ("indicacao",
+        r"\[indicacao\]|\[indicacoes\]|\bindicacao\s*:|\bindicacoes\s*:|\bhipotese\s+diagnostica\b|\bmotivo\s+do\s+exame\b|\bhistoria\s+clinica\b"),
     ("sedacao", r"\[sedacao\]|\bsedacao\s*:|\banestesia\s*:"),
     ("preparo", r"\[preparo\]|\bpreparo\s*(?:do\s+colon|intestinal)?\s*:"),
     ("esofago", r"\[esofago\]|\besofago\s*:"),
@@ -26,13 +27,15 @@ ENDOSCOPY = (
     ("duodeno", r"\[duodeno\]|\bduodeno\s*:"),
     ("descricao", r"\[descricao\]|\bdescricao\s*:|\[exame\s+endoscopico\]|\[achados\]|\bachados\s*:"),
     ("biopsia", r"\[biopsia\]|\bbiopsia\s*:|\bbiopsias\s*:"),
-    ("conclusao", r"\[conclusao\]|\[conclusoes\]|\bconclusao\s*:|\bimpressao\s*:|\bimpressao\s+endoscopica\s*:|\bdiagnostico\s*:|\bdiagnosticos\s*:|\bdiagnostico\s+endoscopico\s*:"),
+    ("conclusao",
+        r"\[conclusao\]|\[conclusoes\]|\bconclusao\s*:|\bimpressao\s*:|\bimpressao\s+endoscopica\s*:|\bdiagnostico\s*:|\bdiagnosticos\s*:|\bdiagnostico\s+endoscopico\s*:"),
 )
 # Bowel preparation score.
 BBPS_ORDER = ("preparo", "sedacao", "inicio", "descricao", "corpo")
 BOSTON = r"\b(?:bbps|boston)\b"
 THREE = r"\b([0-3])\s*\+\s*([0-3])\s*\+\s*([0-3])\b"
-LABELLED = (r"\bcd\s*:?\s*([0-3o])\b[^.]{0,30}?\bct\s*:?\s*([0-3o])\b[^.]{0,30}?\bce\s*:?\s*([0-3o])\b", r"colon\s+direito\s*:?\s*([0-3o])\b[^.]{0,40}?colon\s+transverso\s*:?\s*([0-3o])\b[^.]{0,40}?colon\s+esquerdo\s*:?\s*([0-3o])\b")
+LABELLED = (r"\bcd\s*:?\s*([0-3o])\b[^.]{0,30}?\bct\s*:?\s*([0-3o])\b[^.]{0,30}?\bce\s*:?\s*([0-3o])\b",
+    r"colon\s+direito\s*:?\s*([0-3o])\b[^.]{0,40}?colon\s+transverso\s*:?\s*([0-3o])\b[^.]{0,40}?colon\s+esquerdo\s*:?\s*([0-3o])\b")
 OF_NINE, NEAR_BOSTON, TOTAL = r"\b(\d)\s*/\s*9\b", r"\bboston\b[^.]{0,30}?[\s:=\(\-]\s*0?(\d|10|o)\b", r"\bbbps\b[\s:=\-]*\s*0?(\d|10|o)\b"
 # Grade of esophagitis.
 LA_ORDER = ("conclusao", "esofago", "descricao", "corpo")
@@ -79,14 +82,16 @@ def _cut(c: Column, s: Column) -> Column:
 
 def _hit(value, status, s: Column, tier: int = 0) -> Column:
     as_text = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("string")
-    return F.struct(F.lit(tier).alias("tier"), s["start"].alias("at"), s["end"].alias("to"), as_text(value).alias("value"), as_text(status).alias("status"))
+    return F.struct(F.lit(tier).alias("tier"), s["start"].alias("at"), s["end"].alias("to"), as_text(value).alias("value"),
+        as_text(status).alias("status"))
 
 
 def _first(spans: Column) -> Column:
     return F.get(spans, F.lit(0))
 
 
-def by_section(t: Column, order: tuple[str, ...], scan: Callable[[Column, Column], Column], needs: str, default: str | None = None) -> Column:
+def by_section(t: Column, order: tuple[str, ...], scan: Callable[[Column, Column], Column], needs: str,
+    default: str | None = None) -> Column:
     """The finding of the first section that has one: within a section the lowest tier, then the first place.
 
     scan: (content, section) -> array of hits. A text without any has status no_match (empty for an empty
@@ -98,16 +103,24 @@ def by_section(t: Column, order: tuple[str, ...], scan: Callable[[Column, Column
     def look(x):
         def block(b):
             c = F.substring(x["t"], b["start"] + 1, b["end"] - b["start"])
-            hits = let(c, lambda c: F.transform(F.when(c.rlike(needs), scan(c, b["section"])), lambda h: h.withField("evidence", evidence_window(c, h["at"], h["to"] - h["at"]))))
-            return F.transform(hits, lambda h: F.struct(rank(b["section"]).alias("rank"), h["tier"].alias("tier"), (b["start"] + h["at"]).alias("start"), (b["start"] + h["to"]).alias("end"), h["value"].alias("value"), h["status"].alias("status"), b["section"].alias("section"), h["evidence"].alias("evidence")))
+            hits = let(c,
+                lambda c: F.transform(F.when(c.rlike(needs), scan(c, b["section"])),
+                    lambda h: h.withField("evidence", evidence_window(c, h["at"], h["to"] - h["at"]))))
+            return F.transform(hits,
+                lambda h: F.struct(rank(b["section"]).alias("rank"), h["tier"].alias("tier"),
+                    (b["start"] + h["at"]).alias("start"), (b["start"] + h["to"]).alias("end"), h["value"].alias("value"),
+                    h["status"].alias("status"), b["section"].alias("section"), h["evidence"].alias("evidence")))
 
         wanted = F.filter(x["blocks"], lambda b: rank(b["section"]).isNotNull())
         return let(F.array_min(F.flatten(F.array_compact(F.transform(wanted, block)))), lambda h: F.struct(
-            F.coalesce(h["value"], F.when(h.isNull(), F.lit(default))).alias("value"), F.coalesce(h["status"], F.when(x["t"] == "", "empty").otherwise("no_match")).alias("status"), h["section"].alias("section"),
+            F.coalesce(h["value"], F.when(h.isNull(), F.lit(default))).alias("value"),
+            F.coalesce(h["status"], F.when(x["t"] == "", "empty").otherwise("no_match")).alias("status"),
+            h["section"].alias("section"),
             h["start"].alias("span_start"), h["end"].alias("span_end"), h["evidence"].alias("evidence"),
         ))
 
-    blocks = lambda t: F.when(t.rlike(needs), sections(t, ENDOSCOPY)).otherwise(F.array().cast("array<struct<section:string,start:int,end:int>>"))
+    blocks = lambda t: F.when(t.rlike(needs),
+        sections(t, ENDOSCOPY)).otherwise(F.array().cast("array<struct<section:string,start:int,end:int>>"))
     return let(t, lambda t: let(F.struct(t.alias("t"), blocks(t).alias("blocks")), look))
 
 
@@ -127,14 +140,19 @@ def bowel_preparation(t: Column) -> Column:
 
         def summed(s):
             tail = F.substring(c, s["end"] + 1, F.lit(30))
-            stated = F.coalesce(*[F.regexp_extract(tail, p, 1).try_cast("int") for p in (r"^\s*=\s*0?(\d|10)\b", r"^\s*=?\s*0?(\d|10)\s*/\s*9\b")])
-            return _hit(total(s), F.when(stated.isNotNull() & (stated != total(s)), "bbps_soma_3seg_arith_inc").otherwise("bbps_soma_3seg"), s)
+            stated = F.coalesce(*[F.regexp_extract(tail, p, 1).try_cast("int") for p in (r"^\s*=\s*0?(\d|10)\b",
+                        r"^\s*=?\s*0?(\d|10)\s*/\s*9\b")])
+            return _hit(total(s),
+                F.when(stated.isNotNull() & (stated != total(s)), "bbps_soma_3seg_arith_inc").otherwise("bbps_soma_3seg"), s)
 
-        named = lambda p: let(_first(spans_of(c, p)), lambda s: F.when(s.isNotNull(), _hit(total(s, p), "bbps_labeled_seg", s)))
+        named = lambda p: let(_first(spans_of(c, p)),
+            lambda s: F.when(s.isNotNull(), _hit(total(s, p), "bbps_labeled_seg", s)))
         nine = _first(F.filter(spans_of(c, OF_NINE), lambda s: _around(c, s, 60).rlike(BOSTON)))
-        one = lambda p, status: let(_first(spans_of(c, p)), lambda s: F.when(s.isNotNull() & part(s, 1, p).between(0, 9), _hit(part(s, 1, p), status, s)))
+        one = lambda p, status: let(_first(spans_of(c, p)),
+            lambda s: F.when(s.isNotNull() & part(s, 1, p).between(0, 9), _hit(part(s, 1, p), status, s)))
         found = F.coalesce(
-            let(three, lambda s: F.when(s.isNotNull(), summed(s))), *map(named, LABELLED), let(nine, lambda s: F.when(s.isNotNull(), _hit(part(s, 1, OF_NINE), "bbps_sobre_9", s))),
+            let(three, lambda s: F.when(s.isNotNull(), summed(s))), *map(named, LABELLED),
+            let(nine, lambda s: F.when(s.isNotNull(), _hit(part(s, 1, OF_NINE), "bbps_sobre_9", s))),
             one(NEAR_BOSTON, "bbps_total_near"), one(TOTAL, "bbps_total"),
         )
         return F.array_compact(F.array(F.when(inside | c.rlike(BOSTON), found)))
@@ -148,13 +166,17 @@ def esophagitis_grade(t: Column) -> Column:
     def scan(c, section):
         past = lambda s: _around(c, s, 60).rlike(HISTORY)
         other = lambda s: _around(c, s, 60).rlike(OTHER_SCALE)
-        letter = lambda s, p: F.upper(F.concat(F.regexp_extract(_cut(c, s), p, 1), F.regexp_extract(_cut(c, s), p, 2) if p == LA_EXPLICIT else F.lit("")))
+        letter = lambda s, p: F.upper(F.concat(F.regexp_extract(_cut(c, s), p, 1),
+                F.regexp_extract(_cut(c, s), p, 2) if p == LA_EXPLICIT else F.lit("")))
         none = F.lit(None).cast("string")
         if_any = lambda spans, hit: let(_first(spans), lambda s: F.when(s.isNotNull(), hit(s)))
-        several = if_any(spans_of(c, LA_SEVERAL), lambda s: _hit(none, F.when(past(s), "LA_historical").otherwise("LA_ambiguous"), s))
-        explicit = if_any(F.filter(spans_of(c, LA_EXPLICIT), lambda s: ~other(s)), lambda s: _hit(F.when(~past(s), letter(s, LA_EXPLICIT)), F.when(past(s), "LA_historical").otherwise("LA_explicit"), s))
+        several = if_any(spans_of(c, LA_SEVERAL),
+            lambda s: _hit(none, F.when(past(s), "LA_historical").otherwise("LA_ambiguous"), s))
+        explicit = if_any(F.filter(spans_of(c, LA_EXPLICIT), lambda s: ~other(s)),
+            lambda s: _hit(F.when(~past(s), letter(s, LA_EXPLICIT)), F.when(past(s), "LA_historical").otherwise("LA_explicit"), s))
         near = F.filter(spans_of(c, GRADE), lambda s: ~other(s) & _around(c, s, 100).rlike(r"\besofagite\b"))
-        sure = if_any(F.filter(near, lambda s: past(s) | _around(c, s, 100).rlike(EROSIVE)), lambda s: _hit(F.when(~past(s), letter(s, GRADE)), F.when(past(s), "LA_historical").otherwise("LA_implicit"), s))
+        sure = if_any(F.filter(near, lambda s: past(s) | _around(c, s, 100).rlike(EROSIVE)),
+            lambda s: _hit(F.when(~past(s), letter(s, GRADE)), F.when(past(s), "LA_historical").otherwise("LA_implicit"), s))
         absent = if_any(spans_of(c, NO_ESOPHAGITIS), lambda s: _hit("sem_esofagite", "LA_negative", s))
         bare = if_any(near, lambda s: _hit(letter(s, GRADE), "LA_implicit_bare", s))
         return F.array_compact(F.array(F.coalesce(several, explicit, sure, absent, bare)))
@@ -177,9 +199,11 @@ def hiatal_hernia(t: Column) -> Column:
             lo = F.greatest(s["start"] - 60, F.lit(0))
             return F.substring(c, lo + 1, s["end"] - lo).rlike(OLD_HERNIA)
 
-        named = F.transform(F.filter(spans_of(c, HERNIA), lambda s: ~old(s)), lambda s: F.when(denied(s), _hit("nao", "hh_negative", s, 2)).otherwise(_hit("sim", "hh_lemma", s, 1)))
+        named = F.transform(F.filter(spans_of(c, HERNIA), lambda s: ~old(s)),
+            lambda s: F.when(denied(s), _hit("nao", "hh_negative", s, 2)).otherwise(_hit("sim", "hh_lemma", s, 1)))
         cm = lambda s: to_double(F.concat(*[F.regexp_extract(_cut(c, s), ABOVE, i) for i in (1, 2, 3)]))
-        measured = F.transform(spans_of(c, ABOVE), lambda s: F.when(denied(s), _hit("nao", "hh_negative", s, 2)).when(cm(s) >= LEAST_CM, _hit("sim", "hh_geometric", s, 3)))
+        measured = F.transform(spans_of(c, ABOVE),
+            lambda s: F.when(denied(s), _hit("nao", "hh_negative", s, 2)).when(cm(s) >= LEAST_CM, _hit("sim", "hh_geometric", s, 3)))
         placed = F.transform(spans_of(c, IN_PLACE), lambda s: _hit("nao", "hh_negative", s, 2))
         wide = F.transform(spans_of(c, WIDENED), lambda s: _hit("nao", "hh_dilated_only", s, 4))
         return F.array_compact(F.concat(named, measured, placed, wide))

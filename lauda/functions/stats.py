@@ -19,7 +19,8 @@ def _tail(k: int, n: int, p: float) -> float:
     if p >= 1:
         return 1.0
     lp, lq, c = math.log(p), math.log1p(-p), math.lgamma(n + 1)
-    return min(1.0, math.fsum(math.exp(c - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * lp + (n - i) * lq) for i in range(k, n + 1)))
+    return min(1.0,
+        math.fsum(math.exp(c - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * lp + (n - i) * lq) for i in range(k, n + 1)))
 
 
 def _solve(f, target: float) -> float:

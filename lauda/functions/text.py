@@ -121,7 +121,9 @@ def sentence(t: Column, start: Column, length: Column) -> Column:
 def all_starts(t: Column, needle: Column) -> Column:
     """Starts of every (also overlapping) occurrence of a literal."""
     n = F.length(needle)
-    return let(t, lambda t: F.when(n > 0, F.filter(F.sequence(F.lit(0), F.greatest(F.length(t) - n, F.lit(0))), lambda i: F.substring(t, i + 1, n) == needle)))
+    return let(t,
+        lambda t: F.when(n > 0,
+            F.filter(F.sequence(F.lit(0), F.greatest(F.length(t) - n, F.lit(0))), lambda i: F.substring(t, i + 1, n) == needle)))
 
 
 def collapse(c: Column) -> Column:
@@ -131,7 +133,8 @@ def collapse(c: Column) -> Column:
 
 def occurrences(t: Column, needle: Column) -> Column:
     """Number of non-overlapping occurrences of a literal."""
-    return F.when(F.length(needle) > 0, ((F.length(t) - F.length(F.replace(t, needle, F.lit("")))) / F.length(needle)).cast("int")).otherwise(0)
+    return F.when(F.length(needle) > 0,
+        ((F.length(t) - F.length(F.replace(t, needle, F.lit("")))) / F.length(needle)).cast("int")).otherwise(0)
 
 
 def sections(t: Column, config: tuple = SECTIONS) -> Column:
@@ -154,33 +157,40 @@ def sections(t: Column, config: tuple = SECTIONS) -> Column:
             return F.struct(end.alias("at"), F.concat(acc["blocks"], F.array(block)).alias("blocks"))
 
         first = F.length(F.element_at(parts, 1))
-        opening = F.when(first > 0, F.array(F.struct(F.lit(START).alias("section"), F.lit(0).alias("start"), first.alias("end")))).otherwise(empty)
+        opening = F.when(first > 0,
+            F.array(F.struct(F.lit(START).alias("section"), F.lit(0).alias("start"), first.alias("end")))).otherwise(empty)
         walked = F.aggregate(F.sequence(F.lit(1), n), F.struct(first.alias("at"), opening.alias("blocks")), step)["blocks"]
         whole = F.array(F.struct(F.lit(FALLBACK).alias("section"), F.lit(0).alias("start"), x["n"].alias("end")))
         return F.when(n > 0, walked).otherwise(whole)
 
-    cut = F.struct(F.regexp_extract_all(t, F.lit(f"({header})"), F.lit(1)).alias("heads"), F.split(t, header, -1).alias("parts"), F.length(t).alias("n"))
+    cut = F.struct(F.regexp_extract_all(t, F.lit(f"({header})"), F.lit(1)).alias("heads"),
+        F.split(t, header, -1).alias("parts"), F.length(t).alias("n"))
     return let(cut, walk)
 
 
 def in_priority(blocks: Column, order: tuple[str, ...]) -> Column:
     """The first block by a priority of sections, then by position."""
     rank = lambda s: F.coalesce(*[F.when(s == k, F.lit(i)) for i, k in enumerate(order)], F.lit(len(order)))
-    keyed = F.transform(blocks, lambda b: F.struct(rank(b["section"]).alias("r"), b["start"].alias("start"), b["end"].alias("end"), b["section"].alias("section")))
+    keyed = F.transform(blocks,
+        lambda b: F.struct(rank(b["section"]).alias("r"), b["start"].alias("start"), b["end"].alias("end"),
+            b["section"].alias("section")))
     return F.array_min(keyed)
 
 
 def shingles(t: Column, k: int) -> Column:
     """Distinct runs of k words of a folded text; texts of fewer words have none."""
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(k)), " "))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)),
+        lambda i: F.array_join(F.slice(w, i, F.lit(k)), " "))
     cut = lambda w: F.when(F.size(w) >= k, F.array_distinct(runs(w))).otherwise(F.array().cast("array<string>"))
     return let(F.regexp_extract_all(t, F.lit("([a-z0-9]+)"), F.lit(1)), cut)
 
 
 # Numbers in words, longest phrase first.
 NUMBER_WORDS = (
-    ("nenhum", 0), ("zero", 0), ("quatorze", 14), ("catorze", 14), ("quinze", 15), ("quatro", 4), ("cinco", 5), ("treze", 13), ("doze", 12), ("onze", 11),
-    ("vinte", 20), ("trinta", 30), ("dois", 2), ("duas", 2), ("tres", 3), ("seis", 6), ("sete", 7), ("oito", 8), ("nove", 9), ("dez", 10), ("uma", 1), ("um", 1),
+    ("nenhum", 0), ("zero", 0), ("quatorze", 14), ("catorze", 14), ("quinze", 15), ("quatro", 4), ("cinco", 5), ("treze", 13),
+    ("doze", 12), ("onze", 11),
+    ("vinte", 20), ("trinta", 30), ("dois", 2), ("duas", 2), ("tres", 3), ("seis", 6), ("sete", 7), ("oito", 8), ("nove", 9),
+    ("dez", 10), ("uma", 1), ("um", 1),
 )
 
 
@@ -208,7 +218,8 @@ def interval_label(n: Column, unit: Column) -> Column:
     i = n.cast("int")
     u = F.lower(unit)
     days = F.when(u.startswith("semana"), i * 7).when(u.startswith("hora"), F.ceil(i / 24)).when(u.startswith("dia"), i)
-    name = F.when(days.isNotNull(), F.when(days == 1, "dia").otherwise("dias")).when(u.startswith("mes"), F.when(i == 1, "mes").otherwise("meses")).when(u.startswith("ano"), F.when(i == 1, "ano").otherwise("anos"))
+    name = F.when(days.isNotNull(), F.when(days == 1, "dia").otherwise("dias")).when(u.startswith("mes"),
+        F.when(i == 1, "mes").otherwise("meses")).when(u.startswith("ano"), F.when(i == 1, "ano").otherwise("anos"))
     return F.when(name.isNotNull(), F.concat_ws("_", F.coalesce(days, i).cast("string"), name))
 
 
@@ -232,13 +243,15 @@ def digit_of(g: Column) -> Column:
 def strongest(hits: Column) -> Column:
     """The record of the strongest tier of an array of (tier, record): words beat measures, of one tier the first counts."""
     rank = F.create_map(*[x for i, k in enumerate(TIERS) for x in (F.lit(k), F.lit(i))])
-    ranked = F.transform(hits, lambda h, i: F.struct(F.coalesce(rank[h["tier"]], F.lit(len(TIERS))).alias("r"), i.alias("i"), h["record"].alias("record")))
+    ranked = F.transform(hits, lambda h,
+        i: F.struct(F.coalesce(rank[h["tier"]], F.lit(len(TIERS))).alias("r"), i.alias("i"), h["record"].alias("record")))
     return F.array_min(F.transform(ranked, lambda x: F.struct(x["r"], x["i"], x["record"])))["record"]
 
 
 def evidence_fields(value: Column, evidence: Column, meta: dict[str, Column]) -> list[Column]:
     """Columns of an evidence record: value, evidence cut to 200 characters, other fields under meta_."""
-    return [value.alias("value"), F.substring(evidence, 1, 200).alias("evidence"), *[c.alias(f"meta_{k}") for k, c in meta.items()]]
+    return [value.alias("value"), F.substring(evidence, 1, 200).alias("evidence"),
+        *[c.alias(f"meta_{k}") for k, c in meta.items()]]
 
 
 def grounding_pattern(value: Column, unit: Column) -> Column:
@@ -246,13 +259,15 @@ def grounding_pattern(value: Column, unit: Column) -> Column:
     num = F.when(value.rlike(r"^\s*[+-]?\d+(\.\d*)?\s*$"), value.try_cast("double"))
     quoted = lambda c: F.regexp_replace(c, r"([.+*?^$()\[\]{}|\\%-])", r"\\$1")
     whole = num.cast("bigint").cast("string")
-    digits = F.when(num == F.floor(num), whole).when(num.isNotNull(), quoted(F.regexp_replace(F.regexp_replace(F.trim(value), "0+$", ""), r"\.$", "")))
+    digits = F.when(num == F.floor(num), whole).when(num.isNotNull(),
+        quoted(F.regexp_replace(F.regexp_replace(F.trim(value), "0+$", ""), r"\.$", "")))
     return F.concat(F.lit(r"(?i)\b"), digits, F.lit(r"\s*(?:[.,]\s*\d+)?\s*"), quoted(unit), F.lit(r"\b"))
 
 
 def anchored_percent(text: Column, value: Column) -> Column:
     """Does a text give this whole percentage for the proliferation marker? Shares are rounded half to even."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"ki\s*-?\s*67[^%]{0,80}?(\d{1,3}(?:[.,]\d+)?)\s*%"), F.lit(1))
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))),
+        F.lit(r"ki\s*-?\s*67[^%]{0,80}?(\d{1,3}(?:[.,]\d+)?)\s*%"), F.lit(1))
     return F.exists(found, lambda x: F.bround(F.replace(x, F.lit(","), F.lit(".")).try_cast("double"), 0) == value)
 
 

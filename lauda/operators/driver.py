@@ -77,13 +77,17 @@ def rule_result(detector: str, t: Column) -> Column:
     state = lambda v: F.when(v.isNull(), "no_match").otherwise("detected")
     rule = RULES.get(detector)
     if rule is None:
-        return let(DETECTORS[detector](t), lambda r: fields({k: r[k] for k in ("value", "evidence", "section", "span_start", "span_end", "status")}))
+        return let(DETECTORS[detector](t),
+            lambda r: fields({k: r[k] for k in ("value", "evidence", "section", "span_start", "span_end", "status")}))
     if isinstance(rule, Cascade):
-        return let(rule.column(t), lambda r: fields({"value": r["value"], "status": state(r["value"]), "evidence": r["evidence"], "span_start": r["span_start"], "span_end": r["span_start"] + F.length(r["evidence"])}))
+        return let(rule.column(t),
+            lambda r: fields({"value": r["value"], "status": state(r["value"]), "evidence": r["evidence"],
+                    "span_start": r["span_start"], "span_end": r["span_start"] + F.length(r["evidence"])}))
     return let(rule.column(t).cast("string"), lambda v: fields({"value": v, "status": state(v)}))
 
 
-def run_variable(df: DataFrame, v: Variable, key: str, text: str, carry: tuple[str, ...] = (), done: DataFrame | None = None, function: Callable | None = None) -> DataFrame:
+def run_variable(df: DataFrame, v: Variable, key: str, text: str, carry: tuple[str, ...] = (), done: DataFrame | None = None,
+    function: Callable | None = None) -> DataFrame:
     """(key, carried columns, variable, result fields) of one variable over a corpus.
 
     done: rows of an earlier run, whose keys are left out. NULL texts reach a function as ''. Repeated
@@ -92,7 +96,9 @@ def run_variable(df: DataFrame, v: Variable, key: str, text: str, carry: tuple[s
     todo = df if done is None else df.join(done.select(key).distinct(), key, "left_anti")
     keep = [key, *carry]
     if function is None and (v.detector in RULES or v.detector in DETECTORS):
-        r = todo.select(*keep, let(normalize(F.col(text)), lambda t: rule_result(v.detector, t)).alias("_r"))  # in a lambda the text is computed once, and the code stays small
+        r = todo.select(*keep,
+            let(normalize(F.col(text)),
+                lambda t: rule_result(v.detector, t)).alias("_r"))  # in a lambda the text is computed once, and the code stays small
         return r.select(*keep, F.lit(v.name).alias("variable"), "_r.*")
     schema = T.StructType([*[todo.schema[c] for c in keep], T.StructField("variable", T.StringType()), *RESULT])
     detector = function or v.detector
@@ -119,7 +125,8 @@ def run_contract(df: DataFrame, c: Contract, only: list[str] | None = None) -> D
     if unknown:
         raise KeyError(f"unknown variables: {', '.join(unknown)}")
     wanted = [v for v in c.variables if not only or v.name in only]
-    parts = [run_variable(df, v, c.corpus["id_column"], c.corpus["text_column"], tuple(c.corpus.get("strata_columns", ()))) for v in wanted]
+    parts = [run_variable(df, v, c.corpus["id_column"], c.corpus["text_column"],
+            tuple(c.corpus.get("strata_columns", ()))) for v in wanted]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -142,16 +149,19 @@ def run_canaries(spark: SparkSession, c: Contract) -> DataFrame:
     for v in c.variables:
         if not v.canaries:
             continue
-        rows = [(i, str(x.get("text") or ""), None if x.get("expected_value") is None else str(x["expected_value"])) for i, x in enumerate(v.canaries)]
+        rows = [(i, str(x.get("text") or ""), None if x.get("expected_value") is None else str(x["expected_value"])) for i,
+            x in enumerate(v.canaries)]
         df = spark.createDataFrame(rows, "canary int, text string, expected string")
         r = run_variable(df, v, "canary", "text", ("expected",))
         out = r if out is None else out.unionByName(r)
     if out is None:
-        return spark.createDataFrame([], "variable string, canary int, expected string, got string, status string, passed boolean, passed_as_number boolean")
+        return spark.createDataFrame([],
+            "variable string, canary int, expected string, got string, status string, passed boolean, passed_as_number boolean")
     ok = ~F.coalesce(F.col("status").startswith("ERROR"), F.lit(False))
     same = F.col("value").eqNullSafe(F.col("expected"))
     alike = canonical_value(F.col("value")).eqNullSafe(canonical_value(F.col("expected")))
-    return out.select("variable", "canary", "expected", F.col("value").alias("got"), "status", (ok & same).alias("passed"), (ok & alike).alias("passed_as_number"))
+    return out.select("variable", "canary", "expected", F.col("value").alias("got"), "status", (ok & same).alias("passed"),
+        (ok & alike).alias("passed_as_number"))
 
 
 _FIRST = re.compile(r"(\d+(?:[.,]\d+)?)\s*mm\b", re.ASCII)

@@ -9,7 +9,8 @@ from lauda.functions.text import let
 from lauda.operators.range_scan import with_last_before
 
 
-def nearest_before(df: DataFrame, keys: list[str], order: list[str], mark: Column, what: list[str], prefix: str = "near_") -> DataFrame:
+def nearest_before(df: DataFrame, keys: list[str], order: list[str], mark: Column, what: list[str],
+    prefix: str = "near_") -> DataFrame:
     """Each row beside the last earlier row of its group that `mark` holds for (an as-of join in one scan)."""
     x = with_last_before(df, keys, order, what, mark, "_n")
     return x.select(*df.columns, *[F.col("_n")[c].alias(prefix + c) for c in what])
@@ -23,12 +24,17 @@ def spans_of(t: Column, pattern: str) -> Column:
         def step(acc, i):
             start = acc["at"] + F.length(F.element_at(x["parts"], i))
             end = start + F.length(F.element_at(x["hits"], i))
-            return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("spans"))
+            return F.struct(end.alias("at"),
+                F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("spans"))
 
         n = F.size(x["hits"])
-        return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)["spans"]).otherwise(empty)
+        return F.when(n > 0,
+            F.aggregate(F.sequence(F.lit(1), n), F.struct(F.lit(0).alias("at"), empty.alias("spans")),
+                step)["spans"]).otherwise(empty)
 
-    return let(F.struct(F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1)).alias("hits"), F.split(t, pattern, -1).alias("parts")), walk)
+    return let(F.struct(F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1)).alias("hits"),
+            F.split(t, pattern, -1).alias("parts")),
+        walk)
 
 
 def outside(spans: Column, taken: Column) -> Column:
@@ -46,7 +52,8 @@ def similar_texts(left: DataFrame, right: DataFrame, lk: str, rk: str, threshold
     """
 
     def exploded(df, key):
-        return df.select(F.col(key).alias("k"), F.size("sh").alias("size"), F.explode(F.transform("sh", lambda s: F.xxhash64(s))).alias("h"))
+        return df.select(F.col(key).alias("k"), F.size("sh").alias("size"),
+            F.explode(F.transform("sh", lambda s: F.xxhash64(s))).alias("h"))
 
     le, re_ = exploded(left, lk), exploded(right, rk)
     df = le.select("h").unionAll(re_.select("h")).groupBy("h").agg(F.count("*").alias("df"))
@@ -57,8 +64,10 @@ def similar_texts(left: DataFrame, right: DataFrame, lk: str, rk: str, threshold
         return r.select("k", "size", F.explode(F.slice("o", F.lit(1), n)).alias("p")).select("k", "size", "p.h")
 
     a, b = prefix(le), prefix(re_)
-    pairs = a.select(F.col("k").alias(lk), F.col("size").alias("ln"), "h").join(b.select(F.col("k").alias(rk), F.col("size").alias("rn"), "h"), "h")
+    pairs = a.select(F.col("k").alias(lk), F.col("size").alias("ln"),
+        "h").join(b.select(F.col("k").alias(rk), F.col("size").alias("rn"), "h"), "h")
     pairs = pairs.where(F.least("ln", "rn") >= F.greatest("ln", "rn") * threshold - 1e-9).select(lk, rk).distinct()
     both = pairs.join(left.select(lk, F.col("sh").alias("_ls")), lk).join(right.select(rk, F.col("sh").alias("_rs")), rk)
     common = F.size(F.array_intersect("_ls", "_rs"))
-    return both.select(lk, rk, common.alias("n_common"), (common / (F.size("_ls") + F.size("_rs") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    return both.select(lk, rk, common.alias("n_common"),
+        (common / (F.size("_ls") + F.size("_rs") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)

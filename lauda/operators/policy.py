@@ -19,8 +19,10 @@ def policy_dimension(specs: DataFrame, aliases: DataFrame, settings: DataFrame)
     rows count once; of two targets of one alias the least counts. Variables without a setting have
     no default and no abstention statuses.
     """
-    spec = specs.groupBy("variable").agg(F.min("onto_type").alias("onto_type"), F.array_sort(F.collect_set("canonical")).alias("vals"), F.min("range_min").alias("lo"), F.max("range_max").alias("hi"))
-    one = aliases.where("alias IS NOT NULL AND canonical IS NOT NULL").groupBy("variable", "alias").agg(F.min("canonical").alias("canonical"))
+    spec = specs.groupBy("variable").agg(F.min("onto_type").alias("onto_type"),
+        F.array_sort(F.collect_set("canonical")).alias("vals"), F.min("range_min").alias("lo"), F.max("range_max").alias("hi"))
+    one = aliases.where("alias IS NOT NULL AND canonical IS NOT NULL").groupBy("variable",
+        "alias").agg(F.min("canonical").alias("canonical"))
     alias = one.groupBy("variable").agg(F.map_from_entries(F.collect_list(F.struct("alias", "canonical"))).alias("aliases"))
     return spec.join(alias, "variable", "left").join(settings, "variable", "left")
 
@@ -33,13 +35,16 @@ def apply_policy(value: Column, status: Column) -> Column:
     (no dimension row) is accepted by default, as text.
     """
     num = F.when(value.rlike(NUMERIC), value.try_cast("double"))
-    row = lambda r, n, why: F.struct(F.lit(r).alias("resolution"), n.cast("string").alias("normalized"), F.lit(why).alias("reason"))
+    row = lambda r, n, why: F.struct(F.lit(r).alias("resolution"), n.cast("string").alias("normalized"),
+        F.lit(why).alias("reason"))
     none = F.lit(None).cast("string")
     alias = F.try_element_at(F.coalesce("aliases", F.create_map().cast("map<string,string>")), value)
     numeric = F.col("onto_type").isin("integer", "float")
     return (
-        F.when(F.array_contains(F.coalesce("abstention_statuses", F.array().cast("array<string>")), status), row(UNSUPPORTED, none, "status"))
-        .when(value.isNull() & F.col("default_if_silent").isNotNull() & F.coalesce("implicit_negative", F.lit(False)), row(EXACT, F.col("default_if_silent"), "silence_mapped_to_default"))
+        F.when(F.array_contains(F.coalesce("abstention_statuses", F.array().cast("array<string>")), status),
+            row(UNSUPPORTED, none, "status"))
+        .when(value.isNull() & F.col("default_if_silent").isNotNull() & F.coalesce("implicit_negative", F.lit(False)),
+            row(EXACT, F.col("default_if_silent"), "silence_mapped_to_default"))
         .when(value.isNull() & F.col("default_if_silent").isNotNull(), row(INCOMPLETE, none, "silence_but_no_implicit_negative"))
         .when(value.isNull(), row(INCOMPLETE, none, "silence"))
         .when(alias.isNotNull(), row(SEMANTIC, alias, "alias"))
@@ -64,7 +69,8 @@ def verify_evidence(value: Column, evidence: Column, certainty: Column, text: Co
     inside = (start >= 0) & (end > start) & (end <= F.length(text))
     frag = F.substring(text, start + 1, end - start)
     meets = lambda a, b: a.contains(b) | b.contains(a)
-    row = lambda v, s, r, n: F.struct(F.lit(v).alias("verified"), s.alias("support"), F.lit(r).alias("reason"), n.cast("int").alias("occurrences"))
+    row = lambda v, s, r, n: F.struct(F.lit(v).alias("verified"), s.alias("support"), F.lit(r).alias("reason"),
+        n.cast("int").alias("occurrences"))
     none = F.lit("none")
     return (
         F.when(value.isNull() & (ev == ""), row(True, none, "silence", F.lit(0)))
@@ -73,12 +79,14 @@ def verify_evidence(value: Column, evidence: Column, certainty: Column, text: Co
         .when(inside & meets(frag, core), row(True, strong, "offset_exact", F.lit(1)))
         .when(inside & meets(collapse(frag), collapse(core)), row(True, strong, "offset_normalized", F.lit(1)))
         .when(text.contains(core), row(True, F.lit("weak"), "substring", occurrences(text, core)))
-        .when(text.contains(F.substring(core, 1, 20)), row(False, F.lit("weak_candidate"), "prefix", occurrences(text, F.substring(core, 1, 20))))
+        .when(text.contains(F.substring(core, 1, 20)),
+            row(False, F.lit("weak_candidate"), "prefix", occurrences(text, F.substring(core, 1, 20))))
         .otherwise(row(False, none, "evidence_not_in_text", F.lit(0)))
     )
 
 
-def mode_c(status: Column, certainty: Column, evidence_class: Column, scope_complete: Column, has_scope: Column, silence: Column, base: Column, verdict: Column) -> Column:
+def mode_c(status: Column, certainty: Column, evidence_class: Column, scope_complete: Column, has_scope: Column,
+    silence: Column, base: Column, verdict: Column) -> Column:
     """struct(resolution, normalized, reason): evidence-first resolution over a policy and an evidence verdict.
 
     `silence` and `base` are apply_policy of the silent and of the stated value.
@@ -89,12 +97,17 @@ def mode_c(status: Column, certainty: Column, evidence_class: Column, scope_comp
     semantic = F.when(base["resolution"] == EXACT, F.lit(SEMANTIC)).otherwise(base["resolution"])
     return (
         F.when(silent & ~has_scope, row(silence["resolution"], silence["normalized"], F.lit("silence_unaudited")))
-        .when(silent & F.coalesce(scope_complete, F.lit(False)), row(silence["resolution"], silence["normalized"], F.lit("silence_audited")))
+        .when(silent & F.coalesce(scope_complete, F.lit(False)),
+            row(silence["resolution"], silence["normalized"], F.lit("silence_audited")))
         .when(silent, row(F.lit(INCOMPLETE), none, F.lit("silence_without_scope")))
-        .when(~verdict["verified"], row(F.lit(ESCALATED), base["normalized"], F.concat(F.lit("evidence_failed:"), verdict["reason"])))
-        .when(ec.isin("literal", "lexical_alias") & (base["resolution"] == EXACT), row(base["resolution"], base["normalized"], F.concat(base["reason"], F.lit("+"), ec)))
-        .when(ec.isin("ontology_alias", "bound", "qualitative") & (base["resolution"] == EXACT), row(F.lit(SEMANTIC), base["normalized"], F.concat(base["reason"], F.lit("+"), ec)))
-        .when((ec != "") & (ec != "silence_default") & (F.lower(F.trim(certainty)) == "low"), row(F.lit(ESCALATED), base["normalized"], F.concat(F.lit("low_certainty+"), ec)))
+        .when(~verdict["verified"],
+            row(F.lit(ESCALATED), base["normalized"], F.concat(F.lit("evidence_failed:"), verdict["reason"])))
+        .when(ec.isin("literal", "lexical_alias") & (base["resolution"] == EXACT),
+            row(base["resolution"], base["normalized"], F.concat(base["reason"], F.lit("+"), ec)))
+        .when(ec.isin("ontology_alias", "bound", "qualitative") & (base["resolution"] == EXACT),
+            row(F.lit(SEMANTIC), base["normalized"], F.concat(base["reason"], F.lit("+"), ec)))
+        .when((ec != "") & (ec != "silence_default") & (F.lower(F.trim(certainty)) == "low"),
+            row(F.lit(ESCALATED), base["normalized"], F.concat(F.lit("low_certainty+"), ec)))
         .when(verdict["support"] == "weak", row(semantic, base["normalized"], F.concat(base["reason"], F.lit("+weak"))))
         .otherwise(row(base["resolution"], base["normalized"], base["reason"]))
     )
@@ -115,7 +128,8 @@ def compliant(value: Column) -> Column:
     num = F.when(value.rlike(NUMERIC), value.try_cast("double"))
     return (
         F.when(value.isNull(), False).when(F.col("onto_type") == "enum", F.array_contains("vals", value))
-        .when(F.col("onto_type").isin("integer", "float"), F.coalesce(num.between(F.col("lo"), F.col("hi")), F.lit(False))).otherwise(True)
+        .when(F.col("onto_type").isin("integer", "float"),
+            F.coalesce(num.between(F.col("lo"), F.col("hi")), F.lit(False))).otherwise(True)
     )
 
 
@@ -123,13 +137,15 @@ def two_readers(a: Column, b: Column, supported: Column) -> Column:
     """State of a cell read twice: agreement, textual support of the only answer, escalated, or no answer."""
     return (
         F.when(a.isNotNull() & b.isNotNull() & (a == b), "aceito_concordancia").when(a.isNotNull() & b.isNotNull(), "escalado")
-        .when(a.isNull() & b.isNull(), "sem_resposta").when(a.isNull() & supported, "aceito_suporte_textual").otherwise("escalado")
+        .when(a.isNull() & b.isNull(), "sem_resposta").when(a.isNull() & supported,
+            "aceito_suporte_textual").otherwise("escalado")
     )
 
 
 def canonical_value(c: Column) -> Column:
     """Comparable form: a number rounded to four places, else folded text."""
-    num = F.when(F.replace(c, F.lit(","), F.lit(".")).rlike(NUMERIC), F.round(F.replace(c, F.lit(","), F.lit(".")).try_cast("double"), 4))
+    num = F.when(F.replace(c, F.lit(","), F.lit(".")).rlike(NUMERIC),
+        F.round(F.replace(c, F.lit(","), F.lit(".")).try_cast("double"), 4))
     return F.coalesce(F.when(num.isNotNull(), F.format_string("%.4f", num)), F.lower(F.trim(c)))
 
 

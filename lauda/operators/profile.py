@@ -66,7 +66,8 @@ def _leaves(schema: T.StructType) -> list[tuple[str, T.StructField, str]]:
     return out
 
 
-def unpivot_values(df: DataFrame, load: Column, table: str, columns: list[str] | None = None, rules: dict[str, Column] | None = None) -> DataFrame:
+def unpivot_values(df: DataFrame, load: Column, table: str, columns: list[str] | None = None,
+    rules: dict[str, Column] | None = None) -> DataFrame:
     """(tbl, col, load, num, rest, txt, n, bad): how often each value of each column stands in each load.
 
     rules: by label, true in a row where the column's value breaks its rule; bad counts these rows and
@@ -79,10 +80,12 @@ def unpivot_values(df: DataFrame, load: Column, table: str, columns: list[str] |
             continue
         num, rest, txt = _value(field, path)
         bad = F.coalesce(rules[label], F.lit(False)).cast("long") if label in rules else F.lit(None).cast("long")
-        cells.append(F.struct(F.lit(label).alias("col"), num.alias("num"), rest.alias("rest"), txt.alias("txt"), bad.alias("bad")))
+        cells.append(F.struct(F.lit(label).alias("col"), num.alias("num"), rest.alias("rest"), txt.alias("txt"),
+                bad.alias("bad")))
     long = df.select(load.alias("load"), F.explode(F.array(*cells)).alias("v"))
     return (
-        long.groupBy(F.lit(table).alias("tbl"), F.col("v.col").alias("col"), "load", F.col("v.num").alias("num"), F.col("v.rest").alias("rest"), F.col("v.txt").alias("txt"))
+        long.groupBy(F.lit(table).alias("tbl"), F.col("v.col").alias("col"), "load", F.col("v.num").alias("num"),
+            F.col("v.rest").alias("rest"), F.col("v.txt").alias("txt"))
         .agg(F.count("*").alias("n"), F.sum("v.bad").alias("bad"))
     )
 
@@ -127,10 +130,13 @@ def profile_columns(counts: DataFrame) -> DataFrame:
         F.sum(F.when(null, F.col("n")).otherwise(0)).alias("nulls"),
         F.sum(F.when(null, 0).otherwise(1)).alias("n_distinct"), F.sum("bad").alias("violations"),
         F.min("num").alias("min_num"), F.max("num").alias("max_num"),
-        F.coalesce(F.min_by("txt", F.when(F.col("num").isNotNull(), F.struct("num", "rest"))), F.min(F.when(F.col("num").isNull(), F.col("txt")))).alias("min_txt"),
-        F.coalesce(F.max_by("txt", F.when(F.col("num").isNotNull(), F.struct("num", "rest"))), F.max(F.when(F.col("num").isNull(), F.col("txt")))).alias("max_txt"),
+        F.coalesce(F.min_by("txt", F.when(F.col("num").isNotNull(), F.struct("num", "rest"))),
+            F.min(F.when(F.col("num").isNull(), F.col("txt")))).alias("min_txt"),
+        F.coalesce(F.max_by("txt", F.when(F.col("num").isNotNull(), F.struct("num", "rest"))),
+            F.max(F.when(F.col("num").isNull(), F.col("txt")))).alias("max_txt"),
     )
-    values = range_sorted(counts.where(~null).drop("bad").withColumn("load", F.coalesce("load", F.lit(""))), ["tbl", "col", "num", "rest", "txt"], ["load"])
+    values = range_sorted(counts.where(~null).drop("bad").withColumn("load", F.coalesce("load", F.lit(""))),
+        ["tbl", "col", "num", "rest", "txt"], ["load"])
 
     def summarise(batches):
         total: dict = defaultdict(lambda: [0, 0])
@@ -168,7 +174,8 @@ def profile_columns(counts: DataFrame) -> DataFrame:
             if key not in cum:
                 cum[key] = np.array([starts[pid][key][x] for x in loads], float)
             num, rest, txt = g.num.to_numpy(float), g.rest.fillna(0.0).to_numpy(float), g.txt.fillna("").to_numpy()
-            new = np.r_[True, ((num[1:] != num[:-1]) & ~(np.isnan(num[1:]) & np.isnan(num[:-1]))) | (rest[1:] != rest[:-1]) | (txt[1:] != txt[:-1])]
+            new = np.r_[True,
+                ((num[1:] != num[:-1]) & ~(np.isnan(num[1:]) & np.isnan(num[:-1]))) | (rest[1:] != rest[:-1]) | (txt[1:] != txt[:-1])]
             u = np.cumsum(new) - 1
             uniq = np.flatnonzero(new)
             for lo in range(0, len(uniq), 20_000):
@@ -198,7 +205,8 @@ def profile_columns(counts: DataFrame) -> DataFrame:
     part = values.mapInPandas(curves, PARTIAL).groupBy("tbl", "col", "load").agg(
         F.max("ks").alias("ks"), *[F.max(q).alias(q) for q in ("q25", "q50", "q75", "q25s", "q50s", "q75s")]
     )
-    first = counts.sparkSession.createDataFrame(sorted(firsts) or [("", "", "")], "tbl string, col string, load string").withColumn("is_first", F.lit(True))
+    first = counts.sparkSession.createDataFrame(sorted(firsts) or [("", "", "")],
+        "tbl string, col string, load string").withColumn("is_first", F.lit(True))
     part = part.join(maybe_broadcast(first), ["tbl", "col", "load"], "left")
     joined = base.withColumn("load", F.coalesce("load", F.lit(""))).join(part, ["tbl", "col", "load"], "left")
     return joined.select(
@@ -232,7 +240,8 @@ def measure_faults() -> dict[str, Column]:
 
 def measure_cells(runs: DataFrame) -> DataFrame:
     """Measures of run rows, unpivoted to one cell per (row, field), each with its fault."""
-    cells = F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).cast("double").alias("v"), fault.alias("fault")) for k, fault in measure_faults().items()])
+    cells = F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).cast("double").alias("v"), fault.alias("fault")) for k,
+            fault in measure_faults().items()])
     return runs.select("manifest_row_id", "contract_id", "variable", "started_at", F.explode(cells).alias("c")).select(
         "manifest_row_id", "contract_id", "variable", "started_at", "c.*"
     )
@@ -251,8 +260,10 @@ def faulty_measures(runs: DataFrame) -> DataFrame:
     """
     cells = measure_cells(runs)
     faults = cells.where("fault").select("manifest_row_id", "field")
-    rates = cells.where((~F.col("fault")) & (F.col("field") != "n_filled")).dropna(subset=["contract_id", "variable", "started_at"])
-    rates = rates.withColumn("t", F.unix_micros("started_at")).select("field", "contract_id", "variable", "t", "manifest_row_id", "v")
+    rates = cells.where((~F.col("fault")) & (F.col("field") != "n_filled")).dropna(subset=["contract_id", "variable",
+            "started_at"])
+    rates = rates.withColumn("t", F.unix_micros("started_at")).select("field", "contract_id", "variable", "t",
+        "manifest_row_id", "v")
     keys = ["field", "contract_id", "variable"]
     ordered = range_sorted(rates, [*keys, "t"], ["manifest_row_id"])
 

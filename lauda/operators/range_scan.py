@@ -30,7 +30,8 @@ def range_sorted(df: DataFrame, keys: list[str], then: list[str] | None = None,
     Rows with equal keys share a partition; `then` only orders them inside it.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return reliable(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys, *(then or [])).withColumn(PID, F.spark_partition_id()))
+    return reliable(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys, *(then or [])).withColumn(PID,
+            F.spark_partition_id()))
 
 
 def numbered(batches: Iterator[pd.DataFrame]) -> tuple[int | None, Iterator[pd.DataFrame]]:
@@ -60,7 +61,8 @@ def _carried(s: DataFrame, keys: list[str], part: Column, kind: T.DataType, fold
     Only the first group of a partition can have begun before it, so the driver folds one row a partition.
     """
     k = F.struct(*keys)
-    ends = s.groupBy(PID, *keys).agg(part.alias("_m")).groupBy(PID).agg(F.min(k).alias("first"), F.max(k).alias("last"), F.max_by("_m", k).alias("m")).collect()
+    ends = s.groupBy(PID, *keys).agg(part.alias("_m")).groupBy(PID).agg(F.min(k).alias("first"), F.max(k).alias("last"),
+        F.max_by("_m", k).alias("m")).collect()
     rows, key, state = [], None, None
     for r in sorted(ends, key=lambda r: r[PID]):
         goes_on = key is not None and r["first"] == key
@@ -68,7 +70,8 @@ def _carried(s: DataFrame, keys: list[str], part: Column, kind: T.DataType, fold
             rows.append((r[PID], *r["first"], state))
         state = fold(state, r["m"]) if key is not None and r["last"] == key else r["m"]
         key = r["last"]
-    schema = T.StructType([T.StructField("_p", T.IntegerType()), *[T.StructField(f"_k{i}", s.schema[c].dataType) for i, c in enumerate(keys)], T.StructField("_carry", kind)])
+    schema = T.StructType([T.StructField("_p", T.IntegerType()),
+            *[T.StructField(f"_k{i}", s.schema[c].dataType) for i, c in enumerate(keys)], T.StructField("_carry", kind)])
     carry = s.sparkSession.createDataFrame(rows, schema)  # at most one row a partition
     same = F.col(PID) == F.col("_p")
     for i, c in enumerate(keys):
@@ -76,7 +79,8 @@ def _carried(s: DataFrame, keys: list[str], part: Column, kind: T.DataType, fold
     return s.join(F.broadcast(carry), same, "left").drop("_p", *[f"_k{i}" for i in range(len(keys))])
 
 
-def with_last_before(df: DataFrame, keys: list[str], order: list[str], what: list[str], mark: Column | None = None, name: str = "prev") -> DataFrame:
+def with_last_before(df: DataFrame, keys: list[str], order: list[str], what: list[str], mark: Column | None = None,
+    name: str = "prev") -> DataFrame:
     """Each row beside the struct `what` of the last earlier row of its group, of those that `mark` holds for.
 
     A window over (partition, group) on range-sorted rows, so a group of any size spreads over many

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 SLICES = 64
 
 
-def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: Column | int, salt: str, name: str = "rank") -> DataFrame:
+def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: Column | int, salt: str,
+    name: str = "rank") -> DataFrame:
     """The first k rows of every group in a total order, with their rank.
 
     `order` must be total inside a group (end it with a unique column); k may be a column of the
@@ -17,7 +18,8 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: Column
     kk = F.lit(k) if isinstance(k, int) else k
     cut = df.withColumn("_s", F.pmod(F.xxhash64(salt), F.lit(SLICES)))
     first = cut.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(*order))).where(F.col(name) <= kk)
-    return first.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= kk).drop("_s")
+    return first.withColumn(name,
+        F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= kk).drop("_s")
 
 
 def hash_order(seed: int, key: str) -> Column:

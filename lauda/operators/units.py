@@ -25,18 +25,25 @@ from lauda.session import maybe_broadcast, reliable
 
 # Spellings of units (accents and case folded) with dimension and size in mm, g or mL.
 UNITS = {
-    "mm": ("length", "1"), "milimetro": ("length", "1"), "milimetros": ("length", "1"), "millimeter": ("length", "1"), "millimeters": ("length", "1"),
+    "mm": ("length", "1"), "milimetro": ("length", "1"), "milimetros": ("length", "1"), "millimeter": ("length", "1"),
+    "millimeters": ("length", "1"),
     "cm": ("length", "10"), "cms": ("length", "10"), "centimetro": ("length", "10"), "centimetros": ("length", "10"),
     "dm": ("length", "100"), "m": ("length", "1000"), "metro": ("length", "1000"), "metros": ("length", "1000"),
-    "um": ("length", "0.001"), "μm": ("length", "0.001"), "micra": ("length", "0.001"), "micras": ("length", "0.001"), "micron": ("length", "0.001"),
+    "um": ("length", "0.001"), "μm": ("length", "0.001"), "micra": ("length", "0.001"), "micras": ("length", "0.001"),
+    "micron": ("length", "0.001"),
     "microns": ("length", "0.001"), "micrometro": ("length", "0.001"), "micrometros": ("length", "0.001"),
-    "pol": ("length", "25.4"), "polegada": ("length", "25.4"), "polegadas": ("length", "25.4"), "in": ("length", "25.4"), "inch": ("length", "25.4"), "inches": ("length", "25.4"),
+    "pol": ("length", "25.4"), "polegada": ("length", "25.4"), "polegadas": ("length", "25.4"), "in": ("length", "25.4"),
+    "inch": ("length", "25.4"), "inches": ("length", "25.4"),
     "g": ("mass", "1"), "gr": ("mass", "1"), "grs": ("mass", "1"), "grama": ("mass", "1"), "gramas": ("mass", "1"),
-    "kg": ("mass", "1000"), "kgs": ("mass", "1000"), "quilo": ("mass", "1000"), "quilos": ("mass", "1000"), "quilograma": ("mass", "1000"), "quilogramas": ("mass", "1000"),
-    "mg": ("mass", "0.001"), "miligrama": ("mass", "0.001"), "miligramas": ("mass", "0.001"), "ug": ("mass", "0.000001"), "μg": ("mass", "0.000001"), "mcg": ("mass", "0.000001"),
-    "ml": ("volume", "1"), "mililitro": ("volume", "1"), "mililitros": ("volume", "1"), "cc": ("volume", "1"), "cm3": ("volume", "1"),
+    "kg": ("mass", "1000"), "kgs": ("mass", "1000"), "quilo": ("mass", "1000"), "quilos": ("mass", "1000"),
+    "quilograma": ("mass", "1000"), "quilogramas": ("mass", "1000"),
+    "mg": ("mass", "0.001"), "miligrama": ("mass", "0.001"), "miligramas": ("mass", "0.001"), "ug": ("mass", "0.000001"),
+    "μg": ("mass", "0.000001"), "mcg": ("mass", "0.000001"),
+    "ml": ("volume", "1"), "mililitro": ("volume", "1"), "mililitros": ("volume", "1"), "cc": ("volume", "1"),
+    "cm3": ("volume", "1"),
     "l": ("volume", "1000"), "lt": ("volume", "1000"), "litro": ("volume", "1000"), "litros": ("volume", "1000"),
-    "dl": ("volume", "100"), "decilitro": ("volume", "100"), "decilitros": ("volume", "100"), "cl": ("volume", "10"), "centilitro": ("volume", "10"), "centilitros": ("volume", "10"),
+    "dl": ("volume", "100"), "decilitro": ("volume", "100"), "decilitros": ("volume", "100"), "cl": ("volume", "10"),
+    "centilitro": ("volume", "10"), "centilitros": ("volume", "10"),
     "ul": ("volume", "0.001"), "μl": ("volume", "0.001"), "microlitro": ("volume", "0.001"), "microlitros": ("volume", "0.001"),
     "%": ("share", "1"),
 }
@@ -115,7 +122,9 @@ def parse_cases(cases: DataFrame, specs: DataFrame) -> DataFrame:
     def parse(batches):
         for b in batches:
             rows = []
-            for c, s, v, t, value, text, unit in b[["case_no", "source", "variable", "t", "expected_value", "text", "unit"]].itertuples(index=False, name=None):
+            for c, s, v, t, value, text, unit in b[["case_no", "source", "variable", "t", "expected_value", "text",
+                    "unit"]].itertuples(index=False,
+                name=None):
                 n, fs, where = read_case(value, text, unit)
                 if n is not None:
                     millis = [int((n * f * 1000).to_integral_value("ROUND_HALF_UP")) for f in fs]
@@ -287,7 +296,8 @@ def unit_history(cases: DataFrame, specs: DataFrame, penalty: float = SHIFT_PENA
     spec_rows = specs.where(F.col("unit").isNotNull()).groupBy("variable").agg(F.min("unit").alias("unit")).collect()
     factors = {r["variable"]: levels_of(r["unit"]) for r in spec_rows if fold(r["unit"]) in UNITS}
     sure = F.when(F.size("millis") == 1, F.col("millis")[0])
-    usual = parsed.where(sure > 0).groupBy("variable").agg(F.avg(F.log10(sure / 1000)).alias("mu"), F.stddev(F.log10(sure / 1000)).alias("sd"))
+    usual = parsed.where(sure > 0).groupBy("variable").agg(F.avg(F.log10(sure / 1000)).alias("mu"),
+        F.stddev(F.log10(sure / 1000)).alias("sd"))
     stats = {r["variable"]: (r["mu"], max(r["sd"] or 0.0, 0.15)) for r in usual.collect()}  # one row per variable
     levels = {v: Levels(fs, *stats.get(v, (0.0, 10.0)), penalty) for v, fs in factors.items()}
     ordered = range_sorted(parsed, ["source", "variable", "t", "case_no"])
@@ -306,7 +316,8 @@ def unit_history(cases: DataFrame, specs: DataFrame, penalty: float = SHIFT_PENA
             ends.append((pid, len(ends), key, variable, m.ravel().tolist()))
         yield pd.DataFrame(ends, columns=["pid", "pos", "key", "variable", "m"])
 
-    ends = sorted(summaries(ordered, summarise, "pid int, pos int, key string, variable string, m array<double>"), key=lambda r: (r["pid"], r["pos"]))
+    ends = sorted(summaries(ordered, summarise, "pid int, pos int, key string, variable string, m array<double>"),
+        key=lambda r: (r["pid"], r["pos"]))
     fixed, last = fixed_states(ends, {v: len(fs) for v, fs in factors.items()}, penalty), {r["pid"]: r["key"] for r in ends}
 
     def trace(batches):
@@ -335,4 +346,5 @@ def foreign_units(cases: DataFrame, specs: DataFrame, penalty: float = SHIFT_PEN
     is no case. Where the text gives the number with several units, the search decides between them.
     """
     h = unit_history(cases, specs, penalty)
-    return h.where((F.abs(F.col("level_factor") - 1) > 1e-9) & F.col("factor").isNotNull()).select("case_no", F.col("milli").alias("value_milli"))
+    return h.where((F.abs(F.col("level_factor") - 1) > 1e-9) & F.col("factor").isNotNull()).select("case_no",
+        F.col("milli").alias("value_milli"))

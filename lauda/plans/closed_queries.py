@@ -44,7 +44,8 @@ def canary_run(spark, d):
 
 def detector_rows(spark, d):
     """Result rows of three variables of a contract over all reports, strata carried."""
-    r = R.run_contract(spread(table(spark, d, "run_pilot").select("pilot_id", "laudo", "clinica", "conjunto")), K.load_contract(CANARIES), ["resultado", "ki67", "margens"])
+    r = R.run_contract(spread(table(spark, d, "run_pilot").select("pilot_id", "laudo", "clinica", "conjunto")),
+        K.load_contract(CANARIES), ["resultado", "ki67", "margens"])
     return r.select("pilot_id", "clinica", "conjunto", "variable", "value", "status")
 
 
@@ -54,7 +55,8 @@ def detector_errors(spark, d):
     done = table(spark, d, "run_pilot").where("pilot_id % 10 = 0")  # an earlier run got so far
     late = R.run_variable(table(spark, d, "run_pilot"), c.variable("medida"), "pilot_id", "laudo", done=done)
     early = R.run_variable(done, c.variable("medida"), "pilot_id", "laudo")
-    return early.unionByName(late).groupBy("status").agg(F.count("*").alias("n"), F.count("value").alias("n_values"), F.count_distinct("value").alias("n_distinct"))
+    return early.unionByName(late).groupBy("status").agg(F.count("*").alias("n"), F.count("value").alias("n_values"),
+        F.count_distinct("value").alias("n_distinct"))
 
 
 def _texts(spark, d):
@@ -62,21 +64,25 @@ def _texts(spark, d):
 
 
 def _allowed(spark, d):
-    return table(spark, d, "ontology_spec").where("onto_type = 'enum'").groupBy("variable").agg(F.collect_set("canonical").alias("vals"))
+    return table(spark, d,
+        "ontology_spec").where("onto_type = 'enum'").groupBy("variable").agg(F.collect_set("canonical").alias("vals"))
 
 
 def verifier_outcomes(spark, d):
     """Stored answers of one model to the first 2,000 escalated cells of the run, after the checks on every answer."""
     verify = C.verifier("model", table(spark, d, "cross_verdict"), "verif-a", _texts(spark, d), _allowed(spark, d))
-    return verify(C.first_cells(table(spark, d, "evidence_record"), 2000)).groupBy("variable", F.regexp_replace("reason", ":.*", "").alias("reason"), "accepted").agg(F.count("*").alias("n"))
+    return verify(C.first_cells(table(spark, d, "evidence_record"), 2000)).groupBy("variable",
+        F.regexp_replace("reason", ":.*", "").alias("reason"), "accepted").agg(F.count("*").alias("n"))
 
 
 def verifier_kinds(spark, d):
     """Accepted and missing cells of all escalated ones, by verifier."""
     cells, v = C.first_cells(table(spark, d, "evidence_record"), None), table(spark, d, "cross_verdict")
-    parts = [C.verifier(k, v)(cells).select(F.lit(k).alias("verifier"), "accepted", "reason") for k in ("none", "stub", "consensus")]
+    parts = [C.verifier(k, v)(cells).select(F.lit(k).alias("verifier"), "accepted", "reason") for k in ("none", "stub",
+            "consensus")]
     x = reduce(lambda a, b: a.unionByName(b), parts)
-    return x.groupBy("verifier").agg(F.count("*").alias("n"), F.count_if("accepted").alias("accepted"), F.count_if(F.col("reason").startswith("cache_miss")).alias("missing"))
+    return x.groupBy("verifier").agg(F.count("*").alias("n"), F.count_if("accepted").alias("accepted"),
+        F.count_if(F.col("reason").startswith("cache_miss")).alias("missing"))
 
 
 def gate_files(spark, d):
@@ -85,7 +91,8 @@ def gate_files(spark, d):
     folder = W.shared_folder(spark, "gates")
     G.write_gates(items, folder)
     x = G.read_gates(spark, folder)
-    return x.select("item_id", "gate", "variable", "kind", "key", "n", "blocking", F.size(F.coalesce("examples", F.array().cast("array<string>"))).alias("n_examples"))
+    return x.select("item_id", "gate", "variable", "kind", "key", "n", "blocking",
+        F.size(F.coalesce("examples", F.array().cast("array<string>"))).alias("n_examples"))
 
 
 def gate_top(spark, d):
@@ -95,15 +102,19 @@ def gate_top(spark, d):
 
 def pair_keys(spark, d):
     """Every disagreement pair as the key of its item, and read back from it."""
-    p = G.disagreements(table(spark, d, "evidence_record")).select("l1", "l2").distinct().withColumn("key", G.pair_key(F.col("l1"), F.col("l2")))
-    return p.withColumn("p", G.parse_pair(F.col("key"))).select("key", F.col("p.l1").alias("l1"), F.col("p.l2").alias("l2"), ((F.col("p.l1") == F.col("l1")) & (F.col("p.l2") == F.col("l2"))).alias("whole"))
+    p = G.disagreements(table(spark, d, "evidence_record")).select("l1", "l2").distinct().withColumn("key",
+        G.pair_key(F.col("l1"), F.col("l2")))
+    return p.withColumn("p", G.parse_pair(F.col("key"))).select("key", F.col("p.l1").alias("l1"), F.col("p.l2").alias("l2"),
+        ((F.col("p.l1") == F.col("l1")) & (F.col("p.l2") == F.col("l2"))).alias("whole"))
 
 
 def _misses(spark, d):
     """Cells that only the second reader filled, with their evidence and the common unit of their variable."""
-    e = table(spark, d, "evidence_record").select("evidence_id", "variable", "clinica", clean_value(F.col("value")).alias("v"), clean_value(F.col("ia")).alias("ia"), normalize(F.col("evidence")).alias("T"))
+    e = table(spark, d, "evidence_record").select("evidence_id", "variable", "clinica",
+        clean_value(F.col("value")).alias("v"), clean_value(F.col("ia")).alias("ia"), normalize(F.col("evidence")).alias("T"))
     unit = table(spark, d, "ontology_spec").groupBy("variable").agg(F.min(normalize(F.col("unit"))).alias("unit"))
-    return e.where("v IS NULL AND ia IS NOT NULL").join(maybe_broadcast(unit), "variable", "left").withColumn("unit", F.when(F.col("unit") != "", F.col("unit")).otherwise("-"))
+    return e.where("v IS NULL AND ia IS NOT NULL").join(maybe_broadcast(unit), "variable", "left").withColumn("unit",
+        F.when(F.col("unit") != "", F.col("unit")).otherwise("-"))
 
 
 def family_cards(spark, d):
@@ -129,12 +140,15 @@ def rule_evaluation(spark, d):
 
 def audit_files(spark, d):
     """An audit sample written as JSON lines with its manifest, and both read back: what was drawn of how many."""
-    e = table(spark, d, "evidence_record").where("resolution LIKE 'abstained%' OR resolution = 'accepted_exact'").select("evidence_id", "variable", F.coalesce("clinica", F.lit("__missing__")).alias("clinica"), "resolution")
+    e = table(spark, d,
+        "evidence_record").where("resolution LIKE 'abstained%' OR resolution = 'accepted_exact'").select("evidence_id",
+        "variable", F.coalesce("clinica", F.lit("__missing__")).alias("clinica"), "resolution")
     folder = W.shared_folder(spark, "audit")
     W.write_audit(e, ["resolution", "clinica"], "evidence_id", 3, folder)
     sample, manifest = W.read_audit(spark, folder)
     n = sample.groupBy("resolution", "clinica").agg(F.count("*").alias("drawn"), F.min("evidence_id").alias("first"))
-    return n.join(manifest.select(F.explode("strata").alias("s")).select("s.*"), ["resolution", "clinica"]).select("resolution", "clinica", "drawn", "first", "available")
+    return n.join(manifest.select(F.explode("strata").alias("s")).select("s.*"),
+        ["resolution", "clinica"]).select("resolution", "clinica", "drawn", "first", "available")
 
 
 # Sections that these variables are expected in.
@@ -143,7 +157,8 @@ EXPECTED = {"bethesda": ["conclusao"], "resultado": ["conclusao"], "margens": ["
 
 def discovery_report(spark, d):
     """Misses, leading missed value, values outside their sections and silence of every variable."""
-    e = table(spark, d, "evidence_record").select("variable", clean_value(F.col("value")).alias("value"), clean_value(F.col("ia")).alias("ia"), "section", "resolution")
+    e = table(spark, d, "evidence_record").select("variable", clean_value(F.col("value")).alias("value"),
+        clean_value(F.col("ia")).alias("ia"), "section", "resolution")
     return O.discovery(e, EXPECTED)
 
 
@@ -151,7 +166,8 @@ def endoscopy_findings(spark, d):
     """Preparation score, esophagitis grade and hiatal hernia of every report, read section by section."""
     r = spread(table(spark, d, "run_pilot").select("pilot_id", "laudo"))
     parts = [R.run_variable(r, K.Variable(k.removesuffix("_por_secao"), k), "pilot_id", "laudo") for k in DETECTORS]
-    return reduce(lambda a, b: a.unionByName(b), parts).select("pilot_id", "variable", "value", "status", "section", "span_start", "span_end")
+    return reduce(lambda a, b: a.unionByName(b), parts).select("pilot_id", "variable", "value", "status", "section",
+        "span_start", "span_end")
 
 
 def tumour_sizes(spark, d):
@@ -163,54 +179,73 @@ def polyp_words(spark, d):
 
 
 def breast_flags(spark, d):
-    return table(spark, d, "run_pilot").select("pilot_id", V.receptor_flags(normalize(F.col("laudo"))).alias("f")).select("pilot_id", "f.*")
+    return table(spark, d, "run_pilot").select("pilot_id",
+        V.receptor_flags(normalize(F.col("laudo"))).alias("f")).select("pilot_id", "f.*")
 
 
 def invasion_records(spark, d):
     """Both kinds of invasion as records; a report without text mentions neither."""
-    cells = F.array(*[F.struct(F.lit(x.name).alias("variable"), V.invasion_record(F.col("T"), x).alias("r")) for x in (D.INV_LINFOV, D.INV_PERIN)])
-    r = table(spark, d, "run_pilot").select("pilot_id", normalize(F.col("laudo")).alias("T")).select("pilot_id", F.explode(cells).alias("c"))
-    return r.select("pilot_id", "c.variable", "c.r.value", "c.r.status", "c.r.certainty", F.col("c.r.evidence").isNotNull().alias("has_evidence"))
+    cells = F.array(*[F.struct(F.lit(x.name).alias("variable"),
+                V.invasion_record(F.col("T"), x).alias("r")) for x in (D.INV_LINFOV, D.INV_PERIN)])
+    r = table(spark, d, "run_pilot").select("pilot_id", normalize(F.col("laudo")).alias("T")).select("pilot_id",
+        F.explode(cells).alias("c"))
+    return r.select("pilot_id", "c.variable", "c.r.value", "c.r.status", "c.r.certainty",
+        F.col("c.r.evidence").isNotNull().alias("has_evidence"))
 
 
 def nottingham_guarded(spark, d):
     """Components of the grade, which an in-situ tumour doesn't have."""
     t = F.col("T")
-    r = table(spark, d, "run_pilot").select("pilot_id", normalize(F.col("laudo")).alias("T")).withColumn("behavior", V.behavior_class(D.TIPO_HIST.column(t)["value"]))
+    r = table(spark, d, "run_pilot").select("pilot_id", normalize(F.col("laudo")).alias("T")).withColumn("behavior",
+        V.behavior_class(D.TIPO_HIST.column(t)["value"]))
     return r.select("pilot_id", "behavior", *[V.outside_in_situ(F.col("behavior"), x.column(t)).alias(x.name) for x in D.SCORES])
 
 
 def evidence_support(spark, d):
     """Evidence of every cell that stands, whole or by its beginning, in the report of its case."""
-    e = table(spark, d, "evidence_record").select("variable", F.col("id_registro").alias("id_key"), "evidence").join(_texts(spark, d), "id_key", "left")
-    return e.groupBy("variable").agg(F.count("*").alias("n"), F.count_if(supported(F.col("evidence"), F.col("text"))).alias("n_supported"))
+    e = table(spark, d, "evidence_record").select("variable", F.col("id_registro").alias("id_key"),
+        "evidence").join(_texts(spark, d), "id_key", "left")
+    return e.groupBy("variable").agg(F.count("*").alias("n"),
+        F.count_if(supported(F.col("evidence"), F.col("text"))).alias("n_supported"))
 
 
 def marker_anchor(spark, d):
     """Second reader's proliferation percentages that the report itself gives."""
-    p = table(spark, d, "run_pilot").select("conjunto", "laudo", F.when(F.col("l2_ki67").rlike(r"^\d{1,3}$"), F.col("l2_ki67").try_cast("double")).alias("v")).where("v IS NOT NULL")
-    return p.groupBy("conjunto").agg(F.count("*").alias("n"), F.count_if(anchored_percent(F.col("laudo"), F.col("v"))).alias("n_anchored"))
+    p = table(spark, d, "run_pilot").select("conjunto", "laudo",
+        F.when(F.col("l2_ki67").rlike(r"^\d{1,3}$"), F.col("l2_ki67").try_cast("double")).alias("v")).where("v IS NOT NULL")
+    return p.groupBy("conjunto").agg(F.count("*").alias("n"),
+        F.count_if(anchored_percent(F.col("laudo"), F.col("v"))).alias("n_anchored"))
 
 
 def recount(spark, d):
     """Accepted and discordant answers of the pilot counted twice, by arm and pair by pair, compared per field and metric."""
-    first = pilot_summary(spark, d).groupBy("field").agg(F.sum("accepted").alias("accepted"), F.sum("discordant").alias("discordant"))
-    again = confusion(spark, d).groupBy("field").agg(F.sum("n").alias("accepted"), F.sum(F.when(F.col("value") != F.col("ref"), F.col("n")).otherwise(0)).alias("discordant"))
-    long = lambda x: x.select("field", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.coalesce(F.col(m), F.lit(0)).cast("long").alias("v")) for m in ("accepted", "discordant")])).alias("c")).select("field", "c.*")
+    first = pilot_summary(spark, d).groupBy("field").agg(F.sum("accepted").alias("accepted"),
+        F.sum("discordant").alias("discordant"))
+    again = confusion(spark, d).groupBy("field").agg(F.sum("n").alias("accepted"),
+        F.sum(F.when(F.col("value") != F.col("ref"), F.col("n")).otherwise(0)).alias("discordant"))
+    long = lambda x: x.select("field",
+        F.explode(F.array(*[F.struct(F.lit(m).alias("metric"),
+                F.coalesce(F.col(m), F.lit(0)).cast("long").alias("v")) for m in ("accepted", "discordant")])).alias("c")).select("field",
+        "c.*")
     j = long(first).alias("a").join(long(again).withColumnRenamed("v", "w").alias("b"), ["field", "metric"], "full")
     return j.select("field", "metric", "v", (F.coalesce("v", F.lit(0)) == F.coalesce("w", F.lit(0))).alias("equal"))
 
 
-_FUNCS = (canary_run, detector_rows, detector_errors, verifier_outcomes, verifier_kinds, gate_files, gate_top, pair_keys, family_cards, cluster_cards, grounded_misses, rule_evaluation, audit_files,
-          discovery_report, endoscopy_findings, tumour_sizes, polyp_words, breast_flags, invasion_records, nottingham_guarded, evidence_support, marker_anchor, recount)
+_FUNCS = (canary_run, detector_rows, detector_errors, verifier_outcomes, verifier_kinds, gate_files, gate_top, pair_keys,
+    family_cards, cluster_cards, grounded_misses, rule_evaluation, audit_files,
+          discovery_report, endoscopy_findings, tumour_sizes, polyp_words, breast_flags, invasion_records, nottingham_guarded,
+          evidence_support, marker_anchor, recount)
 QUERIES = {f.__name__: f for f in _FUNCS}
 
 _CL, _DIS = L._CL, L._DIS
 _T = lambda x: "(" + sql_normalize(x) + ")"
-_CANARY = [("resultado", 0, "NILM", "NILM"), ("resultado", 1, "Lesão de alto grau", "HSIL"), ("resultado", 2, "nada a notar", None), ("resultado", 3, "lsil", "HSIL"), ("ki67", 0, "Ki-67: positivo em 20%", "20.0"), ("ki67", 1, "ki-67 positivo em 10 a 21%", "15")]
+_CANARY = [("resultado", 0, "NILM", "NILM"), ("resultado", 1, "Lesão de alto grau", "HSIL"),
+    ("resultado", 2, "nada a notar", None), ("resultado", 3, "lsil", "HSIL"), ("ki67", 0, "Ki-67: positivo em 20%", "20.0"),
+    ("ki67", 1, "ki-67 positivo em 10 a 21%", "15")]
 _LIT = lambda x: "CAST(NULL AS VARCHAR)" if x is None else "'" + x + "'"
 _CANARY_ROWS = " UNION ALL ".join(
-    [f"SELECT '{v}' AS variable, {i} AS canary, {_LIT(e)} AS expected, CAST({D.RESULTADO.sql('T')[0] if v == 'resultado' else D.KI67.sql('T')} AS VARCHAR) AS got FROM (SELECT {sql_normalize(_LIT(t))} AS T)" for v, i, t, e in _CANARY]
+    [f"SELECT '{v}' AS variable, {i} AS canary, {_LIT(e)} AS expected, CAST({D.RESULTADO.sql('T')[0] if v == 'resultado' else D.KI67.sql('T')} AS VARCHAR) AS got FROM (SELECT {sql_normalize(_LIT(t))} AS T)" for v,
+        i, t, e in _CANARY]
 )
 _LATEST_TEXT = "tx AS (SELECT caso AS id_key, arg_max(laudo, pilot_id) FILTER (laudo IS NOT NULL) AS lt, max(pilot_id) AS m FROM run_pilot GROUP BY 1), texts AS (SELECT p.caso AS id_key, p.laudo AS text FROM run_pilot p JOIN tx ON tx.id_key = p.caso AND tx.m = p.pilot_id)"
 _FLAT = lambda x: f"lower(trim(regexp_replace(COALESCE({x}, ''), '\\s+', ' ', 'g')))"
@@ -234,13 +269,17 @@ _SCORES = ", ".join(f"CASE WHEN COALESCE(behavior = 'in_situ', FALSE) THEN NULL
 _IN = lambda xs: "(" + ", ".join(map(repr, xs)) + ")"
 _BEH = f"CASE WHEN tipo IN {_IN(D.INVASIVE)} THEN 'invasivo' WHEN tipo IN {_IN(D.IN_SITU)} THEN 'in_situ' WHEN tipo IN {_IN(D.BENIGN)} THEN 'benigno' END"
 _RE_EVIDENCE = "CASE " + " ".join(f"WHEN regexp_matches(T, '{r.pattern}') THEN left(regexp_extract(T, '{r.pattern}', 0), 80)" for r in D.RE.rules) + " END"
-_WORD_CASE = "CASE " + " ".join(f"WHEN regexp_matches(c, '{p}') THEN '{label}'" for p, label in D.SIZE_WORDS) + f" WHEN regexp_matches(w, '{D.SIZE_BOUND}') THEN CASE WHEN b <= 5 THEN 'qualitative_diminuto' WHEN b <= 10 THEN 'qualitative_subcm' ELSE 'qualitative_large' END END"
+_WORD_CASE = "CASE " + " ".join(f"WHEN regexp_matches(c, '{p}') THEN '{label}'" for p,
+    label in D.SIZE_WORDS) + f" WHEN regexp_matches(w, '{D.SIZE_BOUND}') THEN CASE WHEN b <= 5 THEN 'qualitative_diminuto' WHEN b <= 10 THEN 'qualitative_subcm' ELSE 'qualitative_large' END END"
 
 ORACLE = {
     "canary_run": f"""WITH g AS ({_CANARY_ROWS} UNION ALL SELECT 'medida', 1, '5', '5'), f AS (SELECT *, CASE WHEN variable = 'medida' THEN NULL WHEN got IS NULL THEN 'no_match' ELSE 'detected' END AS status, got IS NOT DISTINCT FROM expected AS passed,
       COALESCE(printf('%.4f', TRY_CAST(got AS DOUBLE)), lower(got)) IS NOT DISTINCT FROM COALESCE(printf('%.4f', TRY_CAST(expected AS DOUBLE)), lower(expected)) AS passed_as_number FROM g)
       SELECT * FROM f UNION ALL SELECT 'medida', 0, NULL, NULL, 'ERROR:ValueError', FALSE, FALSE UNION ALL SELECT 'ausente', 0, 'x', NULL, 'ERROR:AttributeError', FALSE, FALSE""",
-    "detector_rows": f"WITH r AS MATERIALIZED (SELECT pilot_id, clinica, conjunto, {sql_normalize('laudo')} AS T FROM run_pilot), v AS (" + " UNION ALL ".join(f"SELECT pilot_id, clinica, conjunto, '{n}' AS variable, CAST({q} AS VARCHAR) AS value FROM r" for n, q in (("resultado", D.RESULTADO.sql("T")[0]), ("ki67", D.KI67.sql("T")), ("margens", D.MARGENS.sql("T")[0]))) + ") SELECT *, CASE WHEN value IS NULL THEN 'no_match' ELSE 'detected' END AS status FROM v",
+    "detector_rows": f"WITH r AS MATERIALIZED (SELECT pilot_id, clinica, conjunto, {sql_normalize('laudo')} AS T FROM run_pilot), v AS (" + " UNION ALL ".join(f"SELECT pilot_id, clinica, conjunto, '{n}' AS variable, CAST({q} AS VARCHAR) AS value FROM r" for n,
+        q in (("resultado", D.RESULTADO.sql("T")[0]), ("ki67", D.KI67.sql("T")),
+            ("margens",
+                D.MARGENS.sql("T")[0]))) + ") SELECT *, CASE WHEN value IS NULL THEN 'no_match' ELSE 'detected' END AS status FROM v",
     "detector_errors": r"""WITH x AS (SELECT CASE WHEN NOT regexp_matches(COALESCE(laudo, ''), '\S') THEN 'ERROR:ValueError' END AS status, replace(NULLIF(regexp_extract(laudo, '(\d+(?:[.,]\d+)?)\s*mm\b', 1), ''), ',', '.') AS v FROM run_pilot)
       SELECT status, COUNT(*) AS n, COUNT(v) AS n_values, COUNT(DISTINCT v) AS n_distinct FROM x GROUP BY 1""",
     "verifier_outcomes": f"""WITH {_LATEST_TEXT}, {_STORED("WHERE model = 'verif-a'")}, {_ESC}, f AS (SELECT * FROM cells ORDER BY evidence_id LIMIT 2000), o AS (SELECT variable, list(DISTINCT canonical) AS vals FROM ontology_spec WHERE onto_type = 'enum' AND canonical IS NOT NULL GROUP BY 1),
@@ -285,7 +324,8 @@ ORACLE = {
       SELECT pilot_id, size FROM r LEFT JOIN f USING (pilot_id)""",
     "breast_flags": f"""WITH {_R}, x AS (SELECT pilot_id, T, {D.RE.sql('T')[0]} AS re, {D.RE_PCT.sql('T')} AS pct, {_RE_EVIDENCE} AS ev, {D.TIPO_IHQ.sql('T')[0]} AS tipo, {D.KI67.sql_evidence('T')} AS kev, {D.HER2_STATUS.sql('T')[0]} AS her2 FROM r)
       SELECT pilot_id, COALESCE(re = 'positivo' AND (COALESCE(pct BETWEEN 1 AND 10, FALSE) OR contains(ev, 'frac')), FALSE) AS erlow, COALESCE(tipo IN ('CDIS', 'CLIS') AND NOT regexp_matches(T, '{V.INVASIVE_TOO}'), FALSE) AS is_cdis_only, COALESCE(regexp_matches(kev, '{V.LOWER_BOUND}'), FALSE) AS ki67_is_lower_bound, COALESCE(her2 IN ('positivo', 'negativo'), FALSE) AS her2_resolved FROM x""",
-    "invasion_records": f"WITH {_R}, x AS (" + " UNION ALL ".join(f"SELECT pilot_id, '{q.name}' AS variable, {q.sql('T')[0]} AS value FROM r" for q in (D.INV_LINFOV, D.INV_PERIN)) + ") SELECT *, CASE WHEN value IS NULL THEN 'not_mentioned' ELSE 'detected' END AS status, CASE WHEN value IS NOT NULL THEN 'high' END AS certainty, value IS NOT NULL AS has_evidence FROM x",
+    "invasion_records": f"WITH {_R}, x AS (" + " UNION ALL ".join(f"SELECT pilot_id, '{q.name}' AS variable, {q.sql('T')[0]} AS value FROM r" for q in (D.INV_LINFOV,
+            D.INV_PERIN)) + ") SELECT *, CASE WHEN value IS NULL THEN 'not_mentioned' ELSE 'detected' END AS status, CASE WHEN value IS NOT NULL THEN 'high' END AS certainty, value IS NOT NULL AS has_evidence FROM x",
     "nottingham_guarded": f"WITH {_R}, x AS (SELECT pilot_id, T, {D.TIPO_HIST.sql('T')[0]} AS tipo FROM r), y AS (SELECT *, {_BEH} AS behavior FROM x) SELECT pilot_id, behavior, {_SCORES} FROM y",
     "evidence_support": f"""WITH {_LATEST_TEXT}, x AS (SELECT e.variable, lower(trim(COALESCE(e.evidence, ''))) AS e, lower(COALESCE(t.text, '')) AS s FROM evidence_record e LEFT JOIN texts t ON t.id_key = e.id_registro)
       SELECT variable, COUNT(*) AS n, COUNT(*) FILTER (trim(s) = '' OR (e <> '' AND (contains(s, e) OR contains(s, left(e, 40))))) AS n_supported FROM x GROUP BY 1""",

@@ -57,7 +57,8 @@ class Contract:
     def columns(self) -> list[str]:
         """Columns a scan needs: id, text, strata, extra and comparison columns, each once."""
         c = self.corpus
-        wanted = [c["id_column"], c["text_column"], *c.get("strata_columns", []), *c.get("extra_columns", []), *[v.comparison_column for v in self.variables if v.comparison_column]]
+        wanted = [c["id_column"], c["text_column"], *c.get("strata_columns", []), *c.get("extra_columns", []),
+            *[v.comparison_column for v in self.variables if v.comparison_column]]
         return list(dict.fromkeys(wanted))
 
     def summary(self) -> str:
@@ -84,10 +85,14 @@ def load_contract(text: str) -> Contract:
         det = v.get("detector") or {}
         det = {"function": det} if isinstance(det, str) else det
         variables.append(Variable(
-            v["name"], det.get("function", v["name"]), int(v.get("criticality", 5)), v.get("mode", "A"), det.get("interface", "struct"), det.get("value_field", "value"), det.get("status_field"), det.get("evidence_field"),
-            det.get("certainty_field"), v.get("comparison_column"), tuple(map(str, v.get("ontology_values", ()))), v.get("silence_policy") or {}, tuple(v.get("canaries") or ()),
+            v["name"], det.get("function", v["name"]), int(v.get("criticality", 5)), v.get("mode", "A"),
+            det.get("interface", "struct"), det.get("value_field", "value"), det.get("status_field"),
+            det.get("evidence_field"),
+            det.get("certainty_field"), v.get("comparison_column"), tuple(map(str, v.get("ontology_values", ()))),
+            v.get("silence_policy") or {}, tuple(v.get("canaries") or ()),
         ))
-    c = Contract(str(d["contract"].get("id")), str(d["contract"].get("version", "1.0.0")), dict(d["corpus"]), tuple(variables), dict(d.get("output") or {}), text)
+    c = Contract(str(d["contract"].get("id")), str(d["contract"].get("version", "1.0.0")), dict(d["corpus"]),
+        tuple(variables), dict(d.get("output") or {}), text)
     check_contract(c)
     return c
 
@@ -123,9 +128,13 @@ def load_registry(text: str) -> list[dict]:
         r = o.get("range") or ([o["min"], o["max"]] if "min" in o and "max" in o else None)
         kind = "float" if o.get("type") == "range" else o.get("type", "string")
         out.append({
-            "variable": name, "onto_type": kind, "vals": [str(x) for x in o.get("values") or []], "lo": float(r[0]) if r else None, "hi": float(r[1]) if r else None,
-            "aliases": {str(k): str(v) for k, v in (p.get("vocabulary_aliases") or {}).items()}, "default_if_silent": None if p.get("default_if_silent") is None else str(p["default_if_silent"]),
-            "implicit_negative": bool(p.get("allows_implicit_negative", False)), "abstention_statuses": [str(x) for x in p.get("abstention_statuses") or []], "taxonomy": [str(x) for x in p.get("taxonomy") or []],
+            "variable": name, "onto_type": kind, "vals": [str(x) for x in o.get("values") or []],
+            "lo": float(r[0]) if r else None, "hi": float(r[1]) if r else None,
+            "aliases": {str(k): str(v) for k, v in (p.get("vocabulary_aliases") or {}).items()},
+            "default_if_silent": None if p.get("default_if_silent") is None else str(p["default_if_silent"]),
+            "implicit_negative": bool(p.get("allows_implicit_negative", False)),
+            "abstention_statuses": [str(x) for x in p.get("abstention_statuses") or []],
+            "taxonomy": [str(x) for x in p.get("taxonomy") or []],
         })
     return out
 
@@ -156,8 +165,12 @@ def cross_check(variables: DataFrame, policies: DataFrame) -> DataFrame:
     x = variables.join(policies.withColumn("known", F.lit(True)), "variable", "left")
     same = F.array_sort(F.array_distinct(c("ontology"))) == F.array_sort(F.array_distinct(c("vals")))
     severity = (
-        F.when(c("known").isNull() & (c("criticality") >= 7), "error").when(c("known").isNull() & (c("criticality") >= 5), "warning")
-        .when((c("onto_type") == "enum") & (F.size("vals") == 0), "error").when((F.size("ontology") > 0) & c("known").isNotNull() & ~F.coalesce(same, F.lit(False)), "warning")
+        F.when(c("known").isNull() & (c("criticality") >= 7), "error").when(c("known").isNull() & (c("criticality") >= 5),
+            "warning")
+        .when((c("onto_type") == "enum") & (F.size("vals") == 0),
+            "error").when((F.size("ontology") > 0) & c("known").isNotNull() & ~F.coalesce(same, F.lit(False)), "warning")
     )
-    message = F.when(c("known").isNull(), "no policy").when((c("onto_type") == "enum") & (F.size("vals") == 0), "enum without values").otherwise("ontologies differ")
-    return x.withColumn("severity", severity).where("severity IS NOT NULL").select("variable", "severity", message.alias("message"))
+    message = F.when(c("known").isNull(), "no policy").when((c("onto_type") == "enum") & (F.size("vals") == 0),
+        "enum without values").otherwise("ontologies differ")
+    return x.withColumn("severity", severity).where("severity IS NOT NULL").select("variable", "severity",
+        message.alias("message"))

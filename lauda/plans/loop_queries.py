@@ -17,7 +17,8 @@ from lauda.plans.policy_queries import reader_cells
 from lauda.sources.tables import table
 
 # Taxonomy tags of the variables.
-TAXONOMY = (("bbps", ["NUM-C", "ORD-E"]), ("polipo_tamanho_max_mm", ["MEAS-N", "NUM-C"]), ("ki67_pct", ["NUM-C"]), ("bethesda", ["ORD-E"]), ("her2_score", ["ORD-E"]), ("resultado", ["CAT"]), ("adequab", ["CAT"]))
+TAXONOMY = (("bbps", ["NUM-C", "ORD-E"]), ("polipo_tamanho_max_mm", ["MEAS-N", "NUM-C"]), ("ki67_pct", ["NUM-C"]),
+    ("bethesda", ["ORD-E"]), ("her2_score", ["ORD-E"]), ("resultado", ["CAT"]), ("adequab", ["CAT"]))
 
 
 def _ev(spark, d):
@@ -27,7 +28,10 @@ def _ev(spark, d):
 def variable_summary(spark, d):
     """Rows, filled, fill rate and second reader's counts of every variable."""
     e = _ev(spark, d).select("variable", clean_value(F.col("value")).alias("a"), clean_value(F.col("ia")).alias("b"))
-    return e.groupBy("variable").agg(F.count("*").alias("n"), F.count("a").alias("n_filled"), F.bround(F.count("a") / F.count("*"), 4).alias("fill_rate"), F.count("b").alias("ia_fill"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("n_both"), F.count_if(F.col("a") == F.col("b")).alias("n_agree"))
+    return e.groupBy("variable").agg(F.count("*").alias("n"), F.count("a").alias("n_filled"),
+        F.bround(F.count("a") / F.count("*"), 4).alias("fill_rate"), F.count("b").alias("ia_fill"),
+        F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("n_both"),
+        F.count_if(F.col("a") == F.col("b")).alias("n_agree"))
 
 
 def status_distribution(spark, d):
@@ -52,7 +56,9 @@ def numeric_ranges(spark, d):
     c = e.groupBy("variable", "value_num").agg(F.count("*").alias("m"))
     total = c.groupBy("variable").agg(F.sum("m").alias("total"))
     r = prefix_sums(c, ["variable"], ["value_num"], "m").join(maybe_broadcast(total), "variable")
-    return r.groupBy("variable").agg(F.min("value_num").alias("lo"), F.max("value_num").alias("hi"), F.count("*").alias("n_distinct"), F.min(F.when(F.col("cum") > F.floor(F.col("total") / 2), F.col("value_num"))).alias("upper_median"))
+    return r.groupBy("variable").agg(F.min("value_num").alias("lo"), F.max("value_num").alias("hi"),
+        F.count("*").alias("n_distinct"),
+        F.min(F.when(F.col("cum") > F.floor(F.col("total") / 2), F.col("value_num"))).alias("upper_median"))
 
 
 def gate_escalated(spark, d):
@@ -76,15 +82,18 @@ def gate_strata(spark, d):
 
 def auto_adjudicate(spark, d):
     items = G.pairs_with_share(G.disagreements(_ev(spark, d)), "clinica")
-    members = table(spark, d, "ontology_spec").where("onto_type = 'enum'").groupBy("variable").agg(F.collect_set("canonical").alias("vals"))
+    members = table(spark, d,
+        "ontology_spec").where("onto_type = 'enum'").groupBy("variable").agg(F.collect_set("canonical").alias("vals"))
     return G.adjudicate(items, members, spark.createDataFrame(TAXONOMY, "variable string, tags array<string>"))
 
 
 def alias_patch_rerun(spark, d):
     """Disagreements left in each variable once the safe aliases are applied."""
     new = G.new_aliases(auto_adjudicate(spark, d), table(spark, d, "policy_alias"))
-    x = G.disagreements(_ev(spark, d)).join(maybe_broadcast(new.select("variable", F.col("alias").alias("l2"), "canonical")), ["variable", "l2"], "left")
-    return x.groupBy("variable").agg(F.count("*").alias("before"), F.count_if(F.coalesce("canonical", "l2") != F.col("l1")).alias("after"))
+    x = G.disagreements(_ev(spark, d)).join(maybe_broadcast(new.select("variable", F.col("alias").alias("l2"), "canonical")),
+        ["variable", "l2"], "left")
+    return x.groupBy("variable").agg(F.count("*").alias("before"),
+        F.count_if(F.coalesce("canonical", "l2") != F.col("l1")).alias("after"))
 
 
 def verdict_latest(spark, d):
@@ -100,39 +109,50 @@ def cascade_apply(spark, d):
 
 
 def silence_suspects(spark, d):
-    e = _ev(spark, d).groupBy("variable").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce(F.col("resolution").startswith("abstained"), F.lit(False)).cast("int")), 6).alias("share"))
+    e = _ev(spark, d).groupBy("variable").agg(F.count("*").alias("n"),
+        F.round(F.avg(F.coalesce(F.col("resolution").startswith("abstained"), F.lit(False)).cast("int")), 6).alias("share"))
     return e.withColumn("suspect", F.col("share") >= 0.3)
 
 
 def scope_leaks(spark, d):
     """Values found outside the sections a variable is expected in, by folded section."""
     s = F.regexp_replace(F.lower(F.trim("section")), "ã", "a")
-    e = _ev(spark, d).select("variable", clean_value(F.col("value")).alias("v"), s.alias("s")).where("v IS NOT NULL AND s IS NOT NULL AND s <> 'conclusao'")
+    e = _ev(spark, d).select("variable", clean_value(F.col("value")).alias("v"),
+        s.alias("s")).where("v IS NOT NULL AND s IS NOT NULL AND s <> 'conclusao'")
     return e.groupBy("variable", "s").agg(F.count("*").alias("n"))
 
 
 def miss_clusters(spark, d):
     """Cells that only the second reader filled, by its value: count, first example, share grounded in the evidence."""
-    e = _ev(spark, d).select("evidence_id", "variable", clean_value(F.col("value")).alias("v"), clean_value(F.col("ia")).alias("ia"), F.lower(F.coalesce("evidence", F.lit(""))).alias("t")).where("v IS NULL AND ia IS NOT NULL")
+    e = _ev(spark, d).select("evidence_id", "variable", clean_value(F.col("value")).alias("v"),
+        clean_value(F.col("ia")).alias("ia"),
+        F.lower(F.coalesce("evidence", F.lit(""))).alias("t")).where("v IS NULL AND ia IS NOT NULL")
     g = F.col("t").contains(F.lower("ia"))
-    return e.groupBy("variable", "ia").agg(F.count("*").alias("n"), F.min("evidence_id").alias("example"), F.round(F.avg(g.cast("int")), 6).alias("grounded"))
+    return e.groupBy("variable", "ia").agg(F.count("*").alias("n"), F.min("evidence_id").alias("example"),
+        F.round(F.avg(g.cast("int")), 6).alias("grounded"))
 
 
 def saturation(spark, d):
     c = F.col
     r = reader_cells(spark, d).where("ref IS NOT NULL AND l1 IS NOT NULL AND l2 IS NOT NULL")
-    r = r.select("field", (c("l1") == c("l2")).alias("agree"), ((c("l1") != c("l2")) & (c("l1") != c("ref"))).alias("l1_wrong"), ((c("l1") != c("l2")) & (c("l1") == c("ref"))).alias("l2_wrong"), ((c("l1") != c("l2")) & (c("l1") != c("ref")) & (c("l2") != c("ref"))).alias("ambiguous"))
+    r = r.select("field", (c("l1") == c("l2")).alias("agree"),
+        ((c("l1") != c("l2")) & (c("l1") != c("ref"))).alias("l1_wrong"),
+        ((c("l1") != c("l2")) & (c("l1") == c("ref"))).alias("l2_wrong"),
+        ((c("l1") != c("l2")) & (c("l1") != c("ref")) & (c("l2") != c("ref"))).alias("ambiguous"))
     return O.saturation(r, ["field"])
 
 
 def audit_sample(spark, d):
-    e = _ev(spark, d).where("resolution LIKE 'abstained%' OR resolution = 'accepted_exact'").select("evidence_id", "variable", "clinica", "resolution")
-    return S.stratified(e, ["resolution", "clinica"], "evidence_id", 3).select("evidence_id", "resolution", "clinica", F.col("pick").cast("int").alias("pick"))
+    e = _ev(spark, d).where("resolution LIKE 'abstained%' OR resolution = 'accepted_exact'").select("evidence_id", "variable",
+        "clinica", "resolution")
+    return S.stratified(e, ["resolution", "clinica"], "evidence_id", 3).select("evidence_id", "resolution", "clinica",
+        F.col("pick").cast("int").alias("pick"))
 
 
 def disagreement_sample(spark, d):
     """Both directions: readers that differ, and cells that only the second one filled."""
-    e = _ev(spark, d).select("evidence_id", "clinica", clean_value(F.col("value")).alias("a"), clean_value(F.col("ia")).alias("b"))
+    e = _ev(spark, d).select("evidence_id", "clinica", clean_value(F.col("value")).alias("a"),
+        clean_value(F.col("ia")).alias("b"))
     kind = F.when(F.col("a").isNull() & F.col("b").isNotNull(), "only_second").when(F.col("a") != F.col("b"), "differ")
     e = S.stratified(e.withColumn("kind", kind).where("kind IS NOT NULL"), ["kind", "clinica"], "evidence_id", 5)
     top = S.stratified(e.drop("pick"), ["kind"], "evidence_id", 40)
@@ -142,7 +162,8 @@ def disagreement_sample(spark, d):
 def proportional_sample(spark, d):
     p = table(spark, d, "run_pilot").select("pilot_id", "conjunto", "clinica")
     alloc = S.proportional(p.groupBy("conjunto").agg(F.count("*").alias("n")), 100)
-    return S.stratified(p.join(maybe_broadcast(alloc.select("conjunto", "alloc")), "conjunto"), ["conjunto"], "pilot_id", F.col("alloc")).select("pilot_id", "conjunto")
+    return S.stratified(p.join(maybe_broadcast(alloc.select("conjunto", "alloc")), "conjunto"), ["conjunto"], "pilot_id",
+        F.col("alloc")).select("pilot_id", "conjunto")
 
 
 def fixed_sample(spark, d):
@@ -168,7 +189,8 @@ def latest_runs(spark, d):
 
 
 def run_timeline(spark, d):
-    return O.timeline(table(spark, d, "run_variable")).select("contract_id", "variable", "run_id", F.unix_micros("started_at").alias("started_us"), "fill_rate")
+    return O.timeline(table(spark, d, "run_variable")).select("contract_id", "variable", "run_id",
+        F.unix_micros("started_at").alias("started_us"), "fill_rate")
 
 
 def last_known_fill(spark, d):
@@ -183,7 +205,8 @@ def runs_by_prefix(spark, d):
 
 def left_join_texts(spark, d):
     e = _ev(spark, d).select("evidence_id", "id_registro")
-    p = table(spark, d, "run_pilot").groupBy(F.col("caso").alias("id_registro")).agg(F.max("pilot_id").alias("pilot_id"), F.count("*").alias("versions"))
+    p = table(spark, d, "run_pilot").groupBy(F.col("caso").alias("id_registro")).agg(F.max("pilot_id").alias("pilot_id"),
+        F.count("*").alias("versions"))
     return e.join(p, "id_registro", "left").select("evidence_id", "pilot_id", "versions")
 
 
@@ -195,19 +218,23 @@ def semi_join_cases(spark, d):
 def resume_anti_join(spark, d):
     """Cells still to be verified: no verdict stands for their case and variable."""
     done = table(spark, d, "cross_verdict").select(F.col("id_key").alias("id_registro"), "variable").distinct()
-    return _ev(spark, d).select("evidence_id", "id_registro", "variable").join(done, ["id_registro", "variable"], "left_anti").select("evidence_id")
+    return _ev(spark, d).select("evidence_id", "id_registro", "variable").join(done, ["id_registro", "variable"],
+        "left_anti").select("evidence_id")
 
 
 def orphan_counts(spark, d):
     """Cases and verdicts without each other, per variable."""
     a = _ev(spark, d).select("variable", F.col("id_registro").alias("k")).distinct().withColumn("l", F.lit(1))
     b = table(spark, d, "cross_verdict").select("variable", F.col("id_key").alias("k")).distinct().withColumn("r", F.lit(1))
-    return a.join(b, ["variable", "k"], "full").groupBy("variable").agg(F.count_if(F.col("r").isNull()).alias("only_cells"), F.count_if(F.col("l").isNull()).alias("only_verdicts"), F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("both"))
+    return a.join(b, ["variable", "k"], "full").groupBy("variable").agg(F.count_if(F.col("r").isNull()).alias("only_cells"),
+        F.count_if(F.col("l").isNull()).alias("only_verdicts"),
+        F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("both"))
 
 
 def nearest_earlier_event(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
-    return J.nearest_before(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "click", ["event_id"]).select("event_id", "near_event_id")
+    return J.nearest_before(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "click",
+        ["event_id"]).select("event_id", "near_event_id")
 
 
 MEASURE, TAKEN = r"\d+ mm", r"\d+ x \d+ x \d+ mm"
@@ -217,7 +244,8 @@ def span_exclusion(spark, d):
     """Measures of a report outside its three-dimensional ones."""
     r = table(spark, d, "run_pilot").select("pilot_id", normalize(F.col("laudo")).alias("T"))
     one = J.outside(J.spans_of(F.col("T"), MEASURE), J.spans_of(F.col("T"), TAKEN))
-    return r.select("pilot_id", F.explode(one).alias("s")).select("pilot_id", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"))
+    return r.select("pilot_id", F.explode(one).alias("s")).select("pilot_id", F.col("s.start").alias("start_at"),
+        F.col("s.end").alias("end_at"))
 
 
 def development_overlap(spark, d):
@@ -225,12 +253,16 @@ def development_overlap(spark, d):
 
     Equal texts are one class; links are counted for its members and found once.
     """
-    p = table(spark, d, "run_pilot").select("pilot_id", F.coalesce("no_desenvolvimento", F.lit(False)).alias("dev"), normalize(F.col("laudo")).alias("T"))
+    p = table(spark, d, "run_pilot").select("pilot_id", F.coalesce("no_desenvolvimento", F.lit(False)).alias("dev"),
+        normalize(F.col("laudo")).alias("T"))
     p = p.where("length(T) > 0").withColumn("cls", F.sha2("T", 256))
-    texts = p.groupBy("cls").agg(F.first("T").alias("T"), F.bool_or("dev").alias("has_dev"), F.bool_or(~F.col("dev")).alias("has_test"), F.count_if("dev").alias("n_dev"))
+    texts = p.groupBy("cls").agg(F.first("T").alias("T"), F.bool_or("dev").alias("has_dev"),
+        F.bool_or(~F.col("dev")).alias("has_test"), F.count_if("dev").alias("n_dev"))
     sets = texts.select("cls", "has_dev", "has_test", "n_dev", shingles(F.col("T"), 5).alias("sh")).where("size(sh) > 0")
-    links = J.similar_texts(sets.where("has_test").select(F.col("cls").alias("a"), "sh"), sets.where("has_dev").select(F.col("cls").alias("b"), "sh"), "a", "b", 0.8)
-    per = links.join(sets.select(F.col("cls").alias("b"), "n_dev"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("n_dev").alias("n_links"), F.round(F.max("jaccard"), 6).alias("best"))
+    links = J.similar_texts(sets.where("has_test").select(F.col("cls").alias("a"), "sh"),
+        sets.where("has_dev").select(F.col("cls").alias("b"), "sh"), "a", "b", 0.8)
+    per = links.join(sets.select(F.col("cls").alias("b"), "n_dev"),
+        "b").groupBy(F.col("a").alias("cls")).agg(F.sum("n_dev").alias("n_links"), F.round(F.max("jaccard"), 6).alias("best"))
     return p.where("NOT dev").join(per, "cls").select("pilot_id", "n_links", "best")
 
 
@@ -251,12 +283,16 @@ def set_union_sizes(spark, d):
 def checkpoint_last_wins(spark, d):
     """The last record of every report and variable by its write time, then its id."""
     e = _ev(spark, d)
-    g = e.groupBy("id_registro", "variable").agg(F.max_by(F.struct("evidence_id", "resolution"), F.struct("written_at", "evidence_id")).alias("r"), F.count("*").alias("n"))
+    g = e.groupBy("id_registro",
+        "variable").agg(F.max_by(F.struct("evidence_id", "resolution"), F.struct("written_at", "evidence_id")).alias("r"),
+        F.count("*").alias("n"))
     return g.select("id_registro", "variable", "r.evidence_id", "r.resolution", "n")
 
 
 _SKIP = {"normalize", "shingles", "sql_normalize", "clean_value", "reader_cells", "table"}
-QUERIES = {k: f for k, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_") and k not in _SKIP}
+QUERIES = {k: f for k,
+    f in list(globals().items()) if callable(f) and getattr(f, "__module__",
+        "") == __name__ and not k.startswith("_") and k not in _SKIP}
 
 _CL = "CASE WHEN {0} IS NOT NULL AND trim({0}) NOT IN ('', 'NA', 'nan', 'NaN', 'None') THEN {0} END"
 _AB = f"ab AS (SELECT *, {_CL.format('value')} AS a, {_CL.format('ia')} AS b FROM evidence_record)"
@@ -272,7 +308,8 @@ _CONS = f"""{_LATEST}, cg AS (SELECT id_key, variable, COUNT(*) AS n_models, boo
  cons AS (SELECT id_key, variable, n_models, CASE WHEN ai AND nv = 1 AND bl = 0 THEN 'accepted_cross_verified' WHEN NOT oi THEN 'abstained_by_consensus' ELSE 'split' END AS state, CASE WHEN ai AND nv = 1 AND bl = 0 THEN v END AS value FROM cg)"""
 _RUN = "rr AS (SELECT * FROM run_variable QUALIFY row_number() OVER (PARTITION BY contract_id, variable, started_at, run_id ORDER BY manifest_row_id DESC) = 1)"
 _W = "OVER (PARTITION BY contract_id, variable ORDER BY started_at, run_id)"
-_CELLS3 = " UNION ALL ".join(f"SELECT '{v}' AS field, {_CL.format('ref_' + v)} AS ref, {_CL.format('l1_' + v)} AS l1, {_CL.format('l2_' + v)} AS l2 FROM run_pilot" for v in ("resultado", "adequab", "bethesda", "re", "rp", "her2", "ki67"))
+_CELLS3 = " UNION ALL ".join(f"SELECT '{v}' AS field, {_CL.format('ref_' + v)} AS ref, {_CL.format('l1_' + v)} AS l1, {_CL.format('l2_' + v)} AS l2 FROM run_pilot" for v in ("resultado",
+        "adequab", "bethesda", "re", "rp", "her2", "ki67"))
 _H = lambda seed, key: f"sha256(concat('{seed}|', {key}))"
 _SH = lambda t, k: f"SELECT {k}, list_distinct([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) AS sh FROM (SELECT {k}, regexp_extract_all({sql_normalize('text')}, '[a-z0-9]+') AS w FROM {t}) WHERE len(w) >= 5"
 _SPANS = lambda p: f"SELECT pilot_id, CAST(e - length(h) AS INTEGER) AS s, CAST(e AS INTEGER) AS e FROM (SELECT pilot_id, i, h, SUM(length(p) + length(h)) OVER (PARTITION BY pilot_id ORDER BY i) AS e FROM (SELECT pilot_id, unnest(hs) AS h, unnest(ps[1:len(hs)]) AS p, generate_subscripts(hs, 1) AS i FROM (SELECT pilot_id, regexp_extract_all(T, '{p}') AS hs, regexp_split_to_array(T, '{p}') AS ps FROM t)))"

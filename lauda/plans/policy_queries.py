@@ -10,17 +10,21 @@ from lauda.operators import policy as P
 from lauda.sources.tables import table
 
 # Silence settings of the variables.
-SETTINGS = (("polipo_presente", "nao", True, ["ambiguous"]), ("resultado", None, False, ["resultado_near"]), ("adequab", "satisfatoria", False, ["historical"]), ("bethesda", None, False, []))
+SETTINGS = (("polipo_presente", "nao", True, ["ambiguous"]), ("resultado", None, False, ["resultado_near"]),
+    ("adequab", "satisfatoria", False, ["historical"]), ("bethesda", None, False, []))
 SETTINGS_SCHEMA = "variable string, default_if_silent string, implicit_negative boolean, abstention_statuses array<string>"
 
 
 def policies(spark, d):
-    return P.policy_dimension(table(spark, d, "ontology_spec"), table(spark, d, "policy_alias"), spark.createDataFrame(SETTINGS, SETTINGS_SCHEMA))
+    return P.policy_dimension(table(spark, d, "ontology_spec"), table(spark, d, "policy_alias"),
+        spark.createDataFrame(SETTINGS, SETTINGS_SCHEMA))
 
 
 def _evidence(spark, d, *extra):
     e = table(spark, d, "evidence_record")
-    return P.with_policy(e.select("evidence_id", "variable", "clinica", P.clean_value(F.col("value")).alias("value"), "status", *extra), policies(spark, d))
+    return P.with_policy(e.select("evidence_id", "variable", "clinica", P.clean_value(F.col("value")).alias("value"),
+            "status", *extra),
+        policies(spark, d))
 
 
 def policy_resolution(spark, d):
@@ -55,9 +59,12 @@ def evidence_verdict(spark, d):
 
 def mode_c_resolution(spark, d):
     e = _with_text(spark, d)
-    e = e.withColumn("v", _verdict()).withColumn("base", P.apply_policy(F.col("value"), F.col("status"))).withColumn("silence", P.apply_policy(F.lit(None).cast("string"), F.lit(None).cast("string")))
+    e = e.withColumn("v", _verdict()).withColumn("base",
+        P.apply_policy(F.col("value"), F.col("status"))).withColumn("silence",
+        P.apply_policy(F.lit(None).cast("string"), F.lit(None).cast("string")))
     c = F.col
-    r = P.mode_c(c("status"), c("certainty"), c("evidence_class"), c("scope_meta.scope_complete"), c("scope_meta").isNotNull(), c("silence"), c("base"), c("v"))
+    r = P.mode_c(c("status"), c("certainty"), c("evidence_class"), c("scope_meta.scope_complete"),
+        c("scope_meta").isNotNull(), c("silence"), c("base"), c("v"))
     return e.select("evidence_id", r.alias("r")).select("evidence_id", "r.*")
 
 
@@ -68,7 +75,8 @@ def ontology_compliance(spark, d):
 
 def surface_agreement(spark, d):
     """Agreement of the two readers per variable: by number if every pair parses, else by text."""
-    e = table(spark, d, "evidence_record").select("variable", P.clean_value(F.col("value")).alias("a"), P.clean_value(F.col("ia")).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    e = table(spark, d, "evidence_record").select("variable", P.clean_value(F.col("value")).alias("a"),
+        P.clean_value(F.col("ia")).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     num = lambda c: F.when(F.col(c).rlike(P.NUMERIC), F.col(c).try_cast("double"))
     g = e.groupBy("variable").agg(
         F.count("*").alias("n_both"), F.bool_and(num("a").isNotNull() & num("b").isNotNull()).alias("numeric"),
@@ -84,15 +92,18 @@ FIELDS = ("resultado", "adequab", "bethesda", "re", "rp", "her2", "ki67")
 def reader_cells(spark, d):
     """Reader table, tall: one row per report and field, blanks as NULL."""
     p = table(spark, d, "run_pilot")
-    cells = [F.struct(F.lit(v).alias("field"), *[P.clean_value(F.col(f"{k}_{v}")).alias(k) for k in ("ref", "l1", "l2", "estado")]) for v in FIELDS]
-    return p.select("pilot_id", "caso", "conjunto", "braco", "clinica", normalize(F.col("laudo")).alias("T"), F.explode(F.array(*cells)).alias("c")).select("pilot_id", "caso", "conjunto", "braco", "clinica", "T", "c.*")
+    cells = [F.struct(F.lit(v).alias("field"),
+            *[P.clean_value(F.col(f"{k}_{v}")).alias(k) for k in ("ref", "l1", "l2", "estado")]) for v in FIELDS]
+    return p.select("pilot_id", "caso", "conjunto", "braco", "clinica", normalize(F.col("laudo")).alias("T"),
+        F.explode(F.array(*cells)).alias("c")).select("pilot_id", "caso", "conjunto", "braco", "clinica", "T", "c.*")
 
 
 def two_reader_states(spark, d):
     c = F.col
     pct = F.exists(F.regexp_extract_all(c("T"), F.lit(r"(\d{1,3}) ?%"), F.lit(1)), lambda x: x == c("l2"))
     state = P.two_readers(c("l1"), c("l2"), (c("field") == "ki67") & pct)
-    return reader_cells(spark, d).where("ref IS NOT NULL OR l1 IS NOT NULL OR l2 IS NOT NULL").groupBy("field", state.alias("state")).agg(F.count("*").alias("n"))
+    return reader_cells(spark, d).where("ref IS NOT NULL OR l1 IS NOT NULL OR l2 IS NOT NULL").groupBy("field",
+        state.alias("state")).agg(F.count("*").alias("n"))
 
 
 def pilot_summary(spark, d):
@@ -102,8 +113,11 @@ def pilot_summary(spark, d):
     value = F.coalesce("l1", "l2")
     accepted = F.coalesce(c("estado").startswith("aceito"), F.lit(False))
     bad = accepted & (value != c("ref"))
-    g = r.groupBy("conjunto", "braco", "field").agg(n.alias("n"), F.count_if(accepted).alias("accepted"), F.count_if(c("estado") == "escalado").alias("escalated"), F.count_if(bad).alias("discordant"))
-    return g.withColumn("pct", F.when(c("accepted") > 0, F.bround(100 * c("discordant") / c("accepted"), 1))).withColumn("coverage", F.bround(100 * c("accepted") / c("n"), 1))
+    g = r.groupBy("conjunto", "braco", "field").agg(n.alias("n"), F.count_if(accepted).alias("accepted"),
+        F.count_if(c("estado") == "escalado").alias("escalated"), F.count_if(bad).alias("discordant"))
+    return g.withColumn("pct",
+        F.when(c("accepted") > 0, F.bround(100 * c("discordant") / c("accepted"), 1))).withColumn("coverage",
+        F.bround(100 * c("accepted") / c("n"), 1))
 
 
 def confusion(spark, d):
@@ -115,7 +129,8 @@ def confusion(spark, d):
 def destinations(spark, d):
     """Where every annotated category went: equal, different, routed or nowhere."""
     c = F.col
-    dest = F.when(c("estado") == "escalado", "routed").when(c("estado").startswith("aceito"), F.when(F.coalesce("l1", "l2") == c("ref"), "equal").otherwise("different")).otherwise("none")
+    dest = F.when(c("estado") == "escalado", "routed").when(c("estado").startswith("aceito"),
+        F.when(F.coalesce("l1", "l2") == c("ref"), "equal").otherwise("different")).otherwise("none")
     r = reader_cells(spark, d).select("field", F.coalesce("ref", F.lit("NAO_INFORMA")).alias("ref"), dest.alias("dest"))
     return r.groupBy("field", "ref").pivot("dest", ["equal", "different", "routed", "none"]).count().na.fill(0)
 
@@ -125,7 +140,8 @@ def conditional_discordance(spark, d):
     c = F.col
     state = F.when(c("l1").isNull(), "silent").when(c("l1") == c("l2"), "agree").otherwise("disagree")
     r = reader_cells(spark, d).where("ref IS NOT NULL AND l2 IS NOT NULL")
-    return r.groupBy("conjunto", "field", state.alias("l1_state")).agg(F.count("*").alias("n"), F.count_if(c("l2") != c("ref")).alias("discordant"), F.count_if(c("l1") == c("ref")).alias("l1_right"))
+    return r.groupBy("conjunto", "field", state.alias("l1_state")).agg(F.count("*").alias("n"),
+        F.count_if(c("l2") != c("ref")).alias("discordant"), F.count_if(c("l1") == c("ref")).alias("l1_right"))
 
 
 def routed_fields(spark, d):
@@ -137,30 +153,38 @@ def routed_fields(spark, d):
 def class_recall(spark, d):
     """Support, recall and evidence support of each reference class, per reader."""
     r = reader_cells(spark, d).where("ref IS NOT NULL")
-    r = r.select("field", "ref", "T", F.explode(F.array(*[F.struct(F.lit(k).alias("reader"), F.col(k).alias("v")) for k in ("l1", "l2")])).alias("x"))
-    g = r.groupBy("field", "ref", "x.reader").agg(F.count("*").alias("support"), F.count_if(F.col("x.v") == F.col("ref")).alias("hits"))
+    r = r.select("field", "ref", "T",
+        F.explode(F.array(*[F.struct(F.lit(k).alias("reader"), F.col(k).alias("v")) for k in ("l1", "l2")])).alias("x"))
+    g = r.groupBy("field", "ref", "x.reader").agg(F.count("*").alias("support"),
+        F.count_if(F.col("x.v") == F.col("ref")).alias("hits"))
     return g.withColumn("recall", F.round(F.col("hits") / F.col("support"), 6))
 
 
 def reader_matrix(spark, d):
     """Agreement of first reader, second reader and accepted value with the reference, and between each other."""
     c = F.col
-    r = reader_cells(spark, d).where("ref IS NOT NULL").withColumn("acc", F.when(c("estado").startswith("aceito"), F.coalesce("l1", "l2")))
+    r = reader_cells(spark, d).where("ref IS NOT NULL").withColumn("acc",
+        F.when(c("estado").startswith("aceito"), F.coalesce("l1", "l2")))
     same = lambda a, b: F.round(F.avg(F.coalesce(c(a) == c(b), F.lit(False)).cast("int")), 6)
-    return r.groupBy("field").agg(F.count("*").alias("n"), same("l1", "ref").alias("a_g"), same("l2", "ref").alias("b_g"), same("acc", "ref").alias("c_g"), same("l1", "l2").alias("a_b"))
+    return r.groupBy("field").agg(F.count("*").alias("n"), same("l1", "ref").alias("a_g"), same("l2", "ref").alias("b_g"),
+        same("acc", "ref").alias("c_g"), same("l1", "l2").alias("a_b"))
 
 
 def concordance(spark, d):
     """Both, one or neither reader answered, and whether they agree; up to three examples of disagreement."""
     c = F.col
-    kind = F.when(c("l1").isNull() & c("l2").isNull(), "both_na").when(c("l2").isNull(), "l1_only").when(c("l1").isNull(), "l2_only").when(c("l1") == c("l2"), "agree").otherwise("disagree")
+    kind = F.when(c("l1").isNull() & c("l2").isNull(), "both_na").when(c("l2").isNull(), "l1_only").when(c("l1").isNull(),
+        "l2_only").when(c("l1") == c("l2"), "agree").otherwise("disagree")
     r = reader_cells(spark, d).withColumn("kind", kind)
     n = r.groupBy("field", "kind").agg(F.count("*").alias("n"))
     w = Window.partitionBy("field").orderBy("pilot_id")
     # three examples: a rank over the pre-ranked heads of hash slices, so that no task ranks a whole field
     s = Window.partitionBy("field", F.pmod(F.xxhash64("pilot_id"), F.lit(32))).orderBy("pilot_id")
-    ex = r.where("kind = 'disagree'").withColumn("k", F.row_number().over(s)).where("k <= 3").withColumn("k", F.row_number().over(w)).where("k <= 3")
-    ex = ex.groupBy("field").agg(F.array_join(F.transform(F.array_sort(F.collect_list("pilot_id")), lambda x: x.cast("string")), ",").alias("examples")).withColumn("kind", F.lit("disagree"))
+    ex = r.where("kind = 'disagree'").withColumn("k", F.row_number().over(s)).where("k <= 3").withColumn("k",
+        F.row_number().over(w)).where("k <= 3")
+    ex = ex.groupBy("field").agg(F.array_join(F.transform(F.array_sort(F.collect_list("pilot_id")), lambda x: x.cast("string")),
+            ",").alias("examples")).withColumn("kind",
+        F.lit("disagree"))
     return n.join(ex, ["field", "kind"], "left")
 
 
@@ -172,12 +196,14 @@ def numeric_differences(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    policy_resolution, policy_histogram, evidence_verdict, mode_c_resolution, ontology_compliance, surface_agreement, two_reader_states, pilot_summary, confusion, destinations,
+    policy_resolution, policy_histogram, evidence_verdict, mode_c_resolution, ontology_compliance, surface_agreement,
+    two_reader_states, pilot_summary, confusion, destinations,
     conditional_discordance, routed_fields, class_recall, reader_matrix, concordance, numeric_differences)}
 
 _CLEAN = "CASE WHEN {0} IS NOT NULL AND trim({0}) NOT IN ('', 'NA', 'nan', 'NaN', 'None') THEN {0} END"
 _NUM = r"CASE WHEN regexp_matches({0}, '^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$') THEN TRY_CAST(trim({0}) AS DOUBLE) END"
-_SET = ", ".join(f"('{v}', {'NULL' if x is None else repr(x)}, {b}, [{', '.join(map(repr, s))}]::VARCHAR[])" for v, x, b, s in SETTINGS)
+_SET = ", ".join(f"('{v}', {'NULL' if x is None else repr(x)}, {b}, [{', '.join(map(repr, s))}]::VARCHAR[])" for v, x, b,
+    s in SETTINGS)
 _POL = f"""
 pol AS (SELECT * FROM (SELECT variable, min(onto_type) AS onto_type, list(DISTINCT canonical) FILTER (canonical IS NOT NULL) AS vals, min(range_min) AS lo, max(range_max) AS hi FROM ontology_spec GROUP BY 1)
   LEFT JOIN (SELECT * FROM (VALUES {_SET}) s(variable, dflt, imp, abst)) USING (variable)),
@@ -190,13 +216,21 @@ ev AS (SELECT e.*, p.onto_type, p.vals, p.lo, p.hi, p.dflt, COALESCE(p.imp, FALS
 def _policy_sql(what: str, silent: bool = False) -> str:
     i = {"resolution": 0, "normalized": 1, "reason": 2}[what]
     val, none = "value", "NULL"
-    rows = [("dflt IS NOT NULL AND imp", ("'accepted_exact'", "dflt", "'silence_mapped_to_default'")), ("dflt IS NOT NULL", ("'abstained_source_incomplete'", none, "'silence_but_no_implicit_negative'")), ("TRUE", ("'abstained_source_incomplete'", none, "'silence'"))]
+    rows = [("dflt IS NOT NULL AND imp", ("'accepted_exact'", "dflt", "'silence_mapped_to_default'")),
+        ("dflt IS NOT NULL", ("'abstained_source_incomplete'", none, "'silence_but_no_implicit_negative'")),
+        ("TRUE", ("'abstained_source_incomplete'", none, "'silence'"))]
     if silent:
         return "CASE " + " ".join(f"WHEN {c} THEN {r[i]}" for c, r in rows) + " END"
-    rows = [("list_contains(abst, status)", ("'abstained_unsupported'", none, "'status'"))] + [(f"value IS NULL AND ({c})", r) for c, r in rows] + [
-        ("target IS NOT NULL", ("'accepted_semantic'", "target", "'alias'")), ("onto_type = 'enum' AND list_contains(vals, value)", ("'accepted_exact'", val, "'enum_match'")), ("onto_type = 'enum'", ("'escalated_case'", val, "'not_in_enum'")),
-        ("onto_type IN ('integer', 'float') AND num IS NULL", ("'escalated_case'", val, "'not_numeric'")), ("onto_type IN ('integer', 'float') AND (num < lo OR num > hi)", ("'escalated_case'", val, "'out_of_range'")),
-        ("onto_type IN ('integer', 'float')", ("'accepted_exact'", val, "'numeric_match'")), ("TRUE", ("'accepted_exact'", val, "'default'"))]
+    rows = [("list_contains(abst, status)", ("'abstained_unsupported'", none, "'status'"))] + [(f"value IS NULL AND ({c})",
+            r) for c,
+        r in rows] + [
+        ("target IS NOT NULL", ("'accepted_semantic'", "target", "'alias'")),
+        ("onto_type = 'enum' AND list_contains(vals, value)", ("'accepted_exact'", val, "'enum_match'")),
+        ("onto_type = 'enum'", ("'escalated_case'", val, "'not_in_enum'")),
+        ("onto_type IN ('integer', 'float') AND num IS NULL", ("'escalated_case'", val, "'not_numeric'")),
+        ("onto_type IN ('integer', 'float') AND (num < lo OR num > hi)", ("'escalated_case'", val, "'out_of_range'")),
+        ("onto_type IN ('integer', 'float')", ("'accepted_exact'", val, "'numeric_match'")),
+        ("TRUE", ("'accepted_exact'", val, "'default'"))]
     return "CASE " + " ".join(f"WHEN {c} THEN {r[i]}" for c, r in rows) + " END"
 
 
@@ -215,14 +249,21 @@ w AS MATERIALIZED (SELECT *, rule IN (1, 4, 5, 6) AS verified, CASE WHEN rule IN
   CAST(CASE WHEN rule IN (4, 5) THEN 1 WHEN rule = 6 THEN (length(T) - length(replace(T, core, ''))) // length(core) WHEN rule = 7 THEN (length(T) - length(replace(T, left(core, 20), ''))) // length(left(core, 20)) ELSE 0 END AS INTEGER) AS occurrences FROM v)"""
 _EC = "lower(trim(COALESCE(evidence_class, '')))"
 _C_ROWS = [
-    ("status = 'no_match' AND imp AND scope_meta IS NULL", ("sr", "sn", "'silence_unaudited'")), ("status = 'no_match' AND imp AND COALESCE(scope_meta.scope_complete, FALSE)", ("sr", "sn", "'silence_audited'")),
-    ("status = 'no_match' AND imp", ("'abstained_source_incomplete'", "NULL", "'silence_without_scope'")), ("NOT verified", ("'escalated_case'", "bn", "concat('evidence_failed:', vreason)")),
-    (f"{_EC} IN ('literal', 'lexical_alias') AND br = 'accepted_exact'", ("br", "bn", f"concat(bw, '+', {_EC})")), (f"{_EC} IN ('ontology_alias', 'bound', 'qualitative') AND br = 'accepted_exact'", ("'accepted_semantic'", "bn", f"concat(bw, '+', {_EC})")),
-    (f"{_EC} <> '' AND {_EC} <> 'silence_default' AND lower(trim(certainty)) = 'low'", ("'escalated_case'", "bn", f"concat('low_certainty+', {_EC})")),
-    ("support = 'weak'", ("CASE WHEN br = 'accepted_exact' THEN 'accepted_semantic' ELSE br END", "bn", "concat(bw, '+weak')")), ("TRUE", ("br", "bn", "bw"))]
+    ("status = 'no_match' AND imp AND scope_meta IS NULL", ("sr", "sn", "'silence_unaudited'")),
+    ("status = 'no_match' AND imp AND COALESCE(scope_meta.scope_complete, FALSE)", ("sr", "sn", "'silence_audited'")),
+    ("status = 'no_match' AND imp", ("'abstained_source_incomplete'", "NULL", "'silence_without_scope'")),
+    ("NOT verified", ("'escalated_case'", "bn", "concat('evidence_failed:', vreason)")),
+    (f"{_EC} IN ('literal', 'lexical_alias') AND br = 'accepted_exact'", ("br", "bn", f"concat(bw, '+', {_EC})")),
+    (f"{_EC} IN ('ontology_alias', 'bound', 'qualitative') AND br = 'accepted_exact'",
+        ("'accepted_semantic'", "bn", f"concat(bw, '+', {_EC})")),
+    (f"{_EC} <> '' AND {_EC} <> 'silence_default' AND lower(trim(certainty)) = 'low'",
+        ("'escalated_case'", "bn", f"concat('low_certainty+', {_EC})")),
+    ("support = 'weak'", ("CASE WHEN br = 'accepted_exact' THEN 'accepted_semantic' ELSE br END", "bn", "concat(bw, '+weak')")),
+    ("TRUE", ("br", "bn", "bw"))]
 _C = ["CASE " + " ".join(f"WHEN {c} THEN {r[i]}" for c, r in _C_ROWS) + " END" for i in range(3)]
 _CELLS = "cells AS MATERIALIZED (" + " UNION ALL ".join(
-    f"SELECT pilot_id, caso, conjunto, braco, clinica, laudo, '{v}' AS field, " + ", ".join(f"{_CLEAN.format(f'{k}_{v}')} AS {k}" for k in ("ref", "l1", "l2", "estado")) + " FROM run_pilot" for v in FIELDS) + ")"
+    f"SELECT pilot_id, caso, conjunto, braco, clinica, laudo, '{v}' AS field, " + ", ".join(f"{_CLEAN.format(f'{k}_{v}')} AS {k}" for k in ("ref",
+            "l1", "l2", "estado")) + " FROM run_pilot" for v in FIELDS) + ")"
 _PCT = f"list_contains(list_transform(regexp_extract_all({sql_normalize('laudo')}, '(\\d{{1,3}}) ?%', 1), lambda x: x), l2)"
 
 ORACLE = {

@@ -55,7 +55,8 @@ def prompt_fields(prompt: str) -> list[Field]:
         options = tuple(dict.fromkeys(_OPTION.findall(rest.split(" — ")[0].split("(")[0])))
         if number:
             r = _RANGE.search(rest)
-            out[name] = Field(name, "integer" if number[1] == "integer" else "number", (), *((float(r[1]), float(r[2])) if r else (None, None)))
+            out[name] = Field(name, "integer" if number[1] == "integer" else "number", (),
+                *((float(r[1]), float(r[2])) if r else (None, None)))
         elif options or re.search(r"\bnull\b|\btext\b|\bstring\b|\bcopy\b|;", rest):
             several = ";" in rest.split("(")[0]
             out[name] = Field(name, "text", () if several else options)
@@ -74,11 +75,14 @@ def parsed_answers(df: DataFrame, answer: str, fields: list[Field]) -> DataFrame
     """
     schema = T.StructType([*answer_schema(fields), T.StructField("_bad", T.StringType())])
     x = df.withColumn("_a", F.from_json(answer, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    value = {f.name: F.col("_a")[f.name] if f.kind != "text" else F.when(F.lower(F.col("_a")[f.name]) != "null", F.col("_a")[f.name]) for f in fields}
+    value = {f.name: F.col("_a")[f.name] if f.kind != "text" else F.when(F.lower(F.col("_a")[f.name]) != "null",
+            F.col("_a")[f.name]) for f in fields}
     checks = []
     for f in fields:
         v = value[f.name]
         bad = ~v.isin(*f.allowed) if f.allowed else ~v.between(f.low, f.high) if f.low is not None else F.lit(False)
         checks.append(F.when(F.coalesce(bad, F.lit(False)), F.lit(f.name)))
     parsed = F.struct(*[value[f.name].alias(f.name) for f in fields])
-    return x.select(*df.columns, parsed.alias("parsed"), (F.col(answer).isNotNull() & (F.col("_a").isNull() | F.col("_a._bad").isNotNull())).alias("malformed"), F.array_compact(F.array(*checks)).alias("outside"))
+    return x.select(*df.columns, parsed.alias("parsed"),
+        (F.col(answer).isNotNull() & (F.col("_a").isNull() | F.col("_a._bad").isNotNull())).alias("malformed"),
+        F.array_compact(F.array(*checks)).alias("outside"))

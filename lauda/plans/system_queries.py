@@ -34,7 +34,8 @@ CONTRACT = """
 
 def _variables(spark):
     c = K.load_contract(CONTRACT)
-    return spark.createDataFrame([(v.name, v.criticality, list(v.ontology)) for v in c.variables], "variable string, criticality int, ontology array<string>")
+    return spark.createDataFrame([(v.name, v.criticality, list(v.ontology)) for v in c.variables],
+        "variable string, criticality int, ontology array<string>")
 
 
 def contract_bands(spark, d):
@@ -52,14 +53,17 @@ def corpus_scan(spark, d):
     folder = W.shared_folder(spark, "corpus")
     W.write_csv(table(spark, d, "run_pilot"), folder)
     df = S.corpus_csv(spark, folder, c.columns())
-    return df.select(F.col("pilot_id").cast("long").alias("pilot_id"), F.sha2(F.coalesce("laudo", F.lit("")), 256).alias("sha"), "clinica", "conjunto", F.coalesce("l2_resultado", F.lit("")).alias("l2"))
+    return df.select(F.col("pilot_id").cast("long").alias("pilot_id"),
+        F.sha2(F.coalesce("laudo", F.lit("")), 256).alias("sha"), "clinica", "conjunto",
+        F.coalesce("l2_resultado", F.lit("")).alias("l2"))
 
 
 def text_csv_nulls(spark, d):
     """A CSV read as text only: spellings of not available are NULL."""
     folder = W.shared_folder(spark, "cases")
     W.write_csv(table(spark, d, "regression_case").select("case_no", "expected_value", "note"), folder)
-    return S.all_text_csv(spark, folder).select(F.col("case_no").cast("long").alias("case_no"), "expected_value", F.col("note").isNull().alias("no_note"))
+    return S.all_text_csv(spark, folder).select(F.col("case_no").cast("long").alias("case_no"), "expected_value",
+        F.col("note").isNull().alias("no_note"))
 
 
 VERDICT = "verdict_id long, id_key string, variable string, model string, accepted boolean, value string, cached_at timestamp"
@@ -77,7 +81,10 @@ def lines_last_wins(spark, d):
 
 def regression_load(spark, d):
     """The last version of every case as a fail-closed set, counted by kind."""
-    c = table(spark, d, "regression_case").groupBy("id").agg(F.max_by(F.struct("kind", "text", "expected_value", "expected_status", F.coalesce("reference_text", F.lit("")).alias("reference_text"), "source", "note"), "case_no").alias("r"))
+    c = table(spark, d,
+        "regression_case").groupBy("id").agg(F.max_by(F.struct("kind", "text", "expected_value", "expected_status",
+                F.coalesce("reference_text", F.lit("")).alias("reference_text"), "source", "note"),
+            "case_no").alias("r"))
     folder = W.shared_folder(spark, "cases")
     c.select("id", "r.*").where("trim(text) <> ''").write.json(folder)
     cases, _ = S.regression_set(spark, folder)
@@ -102,13 +109,16 @@ def results_by_variable(spark, d):
 def exact_ci(spark, d):
     """Discordance of the accepted answers with its exact interval."""
     s = pilot_summary(spark, d).withColumn("ci", interval_column("discordant", "accepted"))
-    return s.select("conjunto", "braco", "field", "accepted", "discordant", F.col("ci.low").alias("low"), F.col("ci.high").alias("high"))
+    return s.select("conjunto", "braco", "field", "accepted", "discordant", F.col("ci.low").alias("low"),
+        F.col("ci.high").alias("high"))
 
 
 def reader_answers(spark, d):
     """Second reader's raw answers parsed by schema; malformed ones count as such."""
-    v = table(spark, d, "cross_verdict").select("model", "raw", F.from_json("raw", "tokens bigint", {"mode": "PERMISSIVE"}).alias("r"))
-    return v.groupBy("model").agg(F.count("*").alias("n"), F.count("raw").alias("n_raw"), F.sum("r.tokens").alias("tokens"), F.max("r.tokens").alias("most"))
+    v = table(spark, d, "cross_verdict").select("model", "raw",
+        F.from_json("raw", "tokens bigint", {"mode": "PERMISSIVE"}).alias("r"))
+    return v.groupBy("model").agg(F.count("*").alias("n"), F.count("raw").alias("n_raw"), F.sum("r.tokens").alias("tokens"),
+        F.max("r.tokens").alias("most"))
 
 
 def identifier_lock(spark, d):
@@ -118,10 +128,13 @@ def identifier_lock(spark, d):
 
 
 def _cases(spark, d):
-    return table(spark, d, "regression_case").select("case_no", "kind", "variable", "source", clean_value(F.col("expected_value")).alias("expected_value"), normalize(F.col("text")).alias("T"), normalize(F.col("reference_text")).alias("R"))
+    return table(spark, d, "regression_case").select("case_no", "kind", "variable", "source",
+        clean_value(F.col("expected_value")).alias("expected_value"), normalize(F.col("text")).alias("T"),
+        normalize(F.col("reference_text")).alias("R"))
 
 
-RULES = (B.Proposal("mm_any", "tamanho", r"(\d+(?:[.,]\d+)?)\s*mm\b"), B.Proposal("mm_guarded", "tamanho", r"(\d+(?:[.,]\d+)?)\s*mm\b", forbidden="pinca|agulha|aparelho"))
+RULES = (B.Proposal("mm_any", "tamanho", r"(\d+(?:[.,]\d+)?)\s*mm\b"),
+    B.Proposal("mm_guarded", "tamanho", r"(\d+(?:[.,]\d+)?)\s*mm\b", forbidden="pinca|agulha|aparelho"))
 BASE = r"medindo (\d+(?:[.,]\d+)?)\s*mm\b"
 
 
@@ -140,11 +153,16 @@ def rule_impact(spark, d):
 
     A rule that changes nothing has no site_share.
     """
-    cells = [F.struct(F.lit(p.rule_id).alias("rule_id"), _baseline("T").alias("a"), B.overlay(F.col("T"), _baseline("T"), p).alias("b")) for p in RULES]
+    cells = [F.struct(F.lit(p.rule_id).alias("rule_id"), _baseline("T").alias("a"),
+            B.overlay(F.col("T"), _baseline("T"), p).alias("b")) for p in RULES]
     x = _cases(spark, d).select("variable", "source", F.explode(F.array(*cells)).alias("c")).select("variable", "source", "c.*")
-    per = x.groupBy("rule_id", "variable", "source").agg(F.count("*").alias("n"), F.count("a").alias("before"), F.count("b").alias("after"))
-    g = per.groupBy("rule_id", "variable").agg(F.sum("n").alias("n"), F.sum("before").alias("filled_before"), F.sum("after").alias("filled_after"), F.max(F.col("after") - F.col("before")).alias("most"), F.sum(F.col("after") - F.col("before")).alias("changed"))
-    return g.select("rule_id", "variable", "n", "filled_before", "filled_after", "changed", F.round(F.try_divide("most", "changed"), 6).alias("site_share"))
+    per = x.groupBy("rule_id", "variable", "source").agg(F.count("*").alias("n"), F.count("a").alias("before"),
+        F.count("b").alias("after"))
+    g = per.groupBy("rule_id", "variable").agg(F.sum("n").alias("n"), F.sum("before").alias("filled_before"),
+        F.sum("after").alias("filled_after"), F.max(F.col("after") - F.col("before")).alias("most"),
+        F.sum(F.col("after") - F.col("before")).alias("changed"))
+    return g.select("rule_id", "variable", "n", "filled_before", "filled_after", "changed",
+        F.round(F.try_divide("most", "changed"), 6).alias("site_share"))
 
 
 def skeleton_families(spark, d):
@@ -163,18 +181,26 @@ def hard_negatives(spark, d):
     words = F.array_distinct(F.regexp_extract_all(normalize(F.col("evidence")), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
     e = table(spark, d, "evidence_record").select("evidence_id", "variable", "resolution", F.explode(words).alias("word"))
     seed = e.where("resolution = 'escalated_case'").select("variable", "word").distinct()
-    x = e.where("resolution LIKE 'accepted%'").join(maybe_broadcast(seed), ["variable", "word"]).groupBy("evidence_id", "variable").agg(F.count("*").cast("int").alias("overlap"))
-    return top_per_group(x, ["variable"], [F.desc("overlap"), F.col("evidence_id")], 20, "evidence_id").select("evidence_id", "variable", "overlap")
+    x = e.where("resolution LIKE 'accepted%'").join(maybe_broadcast(seed), ["variable", "word"]).groupBy("evidence_id",
+        "variable").agg(F.count("*").cast("int").alias("overlap"))
+    return top_per_group(x, ["variable"], [F.desc("overlap"), F.col("evidence_id")], 20, "evidence_id").select("evidence_id",
+        "variable", "overlap")
 
 
 def cluster_tags(spark, d):
     """Support and grounding of the second reader's values that the first one missed, and whether the ontology knows them."""
-    e = table(spark, d, "evidence_record").select("variable", clean_value(F.col("value")).alias("v"), clean_value(F.col("ia")).alias("ia"), F.lower(F.coalesce("evidence", F.lit(""))).alias("t")).where("v IS NULL AND ia IS NOT NULL")
-    g = e.groupBy("variable", "ia").agg(F.count("*").alias("n"), F.avg(F.col("t").contains(F.lower("ia")).cast("int")).alias("rate"))
+    e = table(spark, d, "evidence_record").select("variable", clean_value(F.col("value")).alias("v"),
+        clean_value(F.col("ia")).alias("ia"),
+        F.lower(F.coalesce("evidence", F.lit(""))).alias("t")).where("v IS NULL AND ia IS NOT NULL")
+    g = e.groupBy("variable", "ia").agg(F.count("*").alias("n"),
+        F.avg(F.col("t").contains(F.lower("ia")).cast("int")).alias("rate"))
     x = g.join(maybe_broadcast(policies(spark, d).select("variable", "onto_type", "vals", "lo", "hi")), "variable", "left")
     num = F.when(F.col("ia").rlike(r"^\d+(\.\d+)?$"), F.col("ia").try_cast("double"))
-    known = F.when(F.col("onto_type") == "enum", F.when(F.array_contains("vals", F.col("ia")), "enum_member").otherwise("implausible")).when(F.col("onto_type").isNotNull(), F.when(num.between(F.col("lo"), F.col("hi")), "in_range").otherwise("implausible")).otherwise("unverified")
-    return x.select("variable", "ia", "n", B.support_tag(F.col("n")).alias("support"), B.grounding_tag(F.col("rate")).alias("grounding"), known.alias("plausibility"))
+    known = F.when(F.col("onto_type") == "enum",
+        F.when(F.array_contains("vals", F.col("ia")), "enum_member").otherwise("implausible")).when(F.col("onto_type").isNotNull(),
+        F.when(num.between(F.col("lo"), F.col("hi")), "in_range").otherwise("implausible")).otherwise("unverified")
+    return x.select("variable", "ia", "n", B.support_tag(F.col("n")).alias("support"),
+        B.grounding_tag(F.col("rate")).alias("grounding"), known.alias("plausibility"))
 
 
 def annotation_state(spark, d):
@@ -186,7 +212,8 @@ def annotation_state(spark, d):
 
 def annotation_progress(spark, d):
     docs = table(spark, d, "documents").select("doc_id")
-    return V.progress(V.review_state(docs, table(spark, d, "reading_label"), "doc_id", "nivel", ["rotulado_em", "label_id"]), "doc_id")
+    return V.progress(V.review_state(docs, table(spark, d, "reading_label"), "doc_id", "nivel", ["rotulado_em", "label_id"]),
+        "doc_id")
 
 
 def sanitized_rates(spark, d):
@@ -199,7 +226,8 @@ def drift_alerts(spark, d):
 
     Runs without a rate, contract, variable or start have no change; rows of one start are ordered by id.
     """
-    r = table(spark, d, "run_variable").select("contract_id", "variable", F.unix_micros("started_at").alias("t"), "manifest_row_id", "fill_rate").where("fill_rate IS NOT NULL AND NOT isnan(fill_rate)").dropna()
+    r = table(spark, d, "run_variable").select("contract_id", "variable", F.unix_micros("started_at").alias("t"),
+        "manifest_row_id", "fill_rate").where("fill_rate IS NOT NULL AND NOT isnan(fill_rate)").dropna()
     x = with_last_before(r, ["contract_id", "variable"], ["t", "manifest_row_id"], ["fill_rate"])
     x = x.where("prev IS NOT NULL").select("variable", drift_alert(F.col("fill_rate") - F.col("prev.fill_rate")).alias("alert"))
     return x.groupBy("variable", "alert").agg(F.count("*").alias("n"))
@@ -215,8 +243,10 @@ def streaming_windows(spark, d):
     return w.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-_FUNCS = (contract_bands, contract_check, corpus_scan, text_csv_nulls, lines_last_wins, regression_load, manifest_scan, results_by_variable, exact_ci, reader_answers, identifier_lock, regression_gate, rule_impact,
-          skeleton_families, hard_negatives, cluster_tags, annotation_state, annotation_progress, sanitized_rates, drift_alerts, streaming_resolution, streaming_windows)
+_FUNCS = (contract_bands, contract_check, corpus_scan, text_csv_nulls, lines_last_wins, regression_load, manifest_scan,
+    results_by_variable, exact_ci, reader_answers, identifier_lock, regression_gate, rule_impact,
+          skeleton_families, hard_negatives, cluster_tags, annotation_state, annotation_progress, sanitized_rates,
+          drift_alerts, streaming_resolution, streaming_windows)
 QUERIES = {f.__name__: f for f in _FUNCS}
 
 _VARS = "(VALUES " + ", ".join(f"('{v.name}', {v.criticality}, [{', '.join(map(repr, v.ontology))}]::VARCHAR[])" for v in K.load_contract(CONTRACT).variables) + ") v(variable, criticality, ontology)"
@@ -225,7 +255,8 @@ _CASES = f"""c AS MATERIALIZED (SELECT case_no, kind, source, variable, {_NULL.f
 _B = lambda t: f"TRY_CAST(replace(NULLIF(regexp_extract({t}, 'medindo (\\d+(?:[.,]\\d+)?)\\s*mm\\b', 1), ''), ',', '.') AS DOUBLE)"
 _P = lambda t, f: f"list_max(list_transform(flatten(list_transform({'list_filter(' if f else ''}string_split({t}, '. '){', lambda s: NOT regexp_matches(s, ' + repr(f) + '))' if f else ''}, lambda s: regexp_extract_all(s, '(\\d+(?:[.,]\\d+)?)\\s*mm\\b', 1))), lambda x: TRY_CAST(replace(x, ',', '.') AS DOUBLE)))"
 _RULED = " UNION ALL ".join(f"SELECT case_no, kind, source, variable, ev, '{p.rule_id}' AS rule_id, {_B('T')} AS a, {_B('R')} AS ar, COALESCE({_B('T')}, {_P('T', p.forbidden)}) AS b, COALESCE({_B('R')}, {_P('R', p.forbidden)}) AS br FROM c" for p in RULES)
-_TOK = "list_filter(list_transform(string_split(trim(regexp_replace(regexp_replace(T, concat('(\\d)(', u, ')\\b'), '\\1 \\2', 'g'), '[^a-z0-9/]+', ' ', 'g')), ' '), lambda w: CASE WHEN regexp_matches(w, '^\\d+$') THEN 'N' WHEN w = u THEN 'UNIT' " + " ".join(f"WHEN w IN {tuple(words)!r} THEN '{n}'" for words, n in B.CLASSES) + f" WHEN w IN {tuple(B.KEPT)!r} THEN w END), lambda w: w IS NOT NULL)"
+_TOK = "list_filter(list_transform(string_split(trim(regexp_replace(regexp_replace(T, concat('(\\d)(', u, ')\\b'), '\\1 \\2', 'g'), '[^a-z0-9/]+', ' ', 'g')), ' '), lambda w: CASE WHEN regexp_matches(w, '^\\d+$') THEN 'N' WHEN w = u THEN 'UNIT' " + " ".join(f"WHEN w IN {tuple(words)!r} THEN '{n}'" for words,
+    n in B.CLASSES) + f" WHEN w IN {tuple(B.KEPT)!r} THEN w END), lambda w: w IS NOT NULL)"
 
 ORACLE = {
     "contract_bands": f"SELECT variable, criticality, CASE WHEN criticality >= 7 THEN 'CRITICA' WHEN criticality >= 5 THEN 'ALTA' WHEN criticality >= 3 THEN 'MEDIA' ELSE 'BAIXA' END AS band FROM {_VARS}",

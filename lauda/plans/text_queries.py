@@ -18,7 +18,8 @@ def _docs(spark, d):
 
 def _reports(spark, d):
     """Reports with their normalised text T."""
-    return spread(table(spark, d, "run_pilot").select("pilot_id", "caso", "conjunto", "laudo")).select("pilot_id", "caso", "conjunto", "laudo", X.normalize(F.col("laudo")).alias("T"))
+    return spread(table(spark, d, "run_pilot").select("pilot_id", "caso", "conjunto", "laudo")).select("pilot_id", "caso",
+        "conjunto", "laudo", X.normalize(F.col("laudo")).alias("T"))
 
 
 SQL_REPORTS = f"(SELECT pilot_id, caso, conjunto, laudo, {X.sql_normalize('laudo')} AS T FROM run_pilot)"
@@ -54,7 +55,8 @@ def section_pick(spark, d):
 
 def evidence_window(spark, d):
     r = _reports(spark, d).withColumn("s", X.first_start(F.col("T"), r"medindo"))
-    return r.where("s IS NOT NULL").select("pilot_id", F.col("s").alias("start_at"), X.window(F.col("T"), F.col("s"), F.lit(7), 30).alias("evidence"))
+    return r.where("s IS NOT NULL").select("pilot_id", F.col("s").alias("start_at"),
+        X.window(F.col("T"), F.col("s"), F.lit(7), 30).alias("evidence"))
 
 
 def sentence_negation(spark, d):
@@ -79,13 +81,18 @@ def document_profile(spark, d):
     count = lambda p: F.size(F.regexp_extract_all(t, F.lit(f"({p})"), F.lit(1)))
     lines = F.size(F.split(t, "\n", -1))
     p = table(spark, d, "run_pilot").select(
-        "pilot_id", F.length(t).alias("char_count"), (F.length(t) > 5000).alias("long_report"), count(ENTITY).alias("entity_count"), count(r"\b[Bb]locos?\s*\d+").alias("specimen_count"),
-        (count(HEADER) >= 3).alias("cap_style"), (count(r"\|\|") >= 3).alias("table_like"), count(BULLET).alias("bullets"), lines.alias("lines"),
-        t.rlike(r"[^\n]{150,}").alias("long_paragraph"), F.size(F.regexp_extract_all(t, F.lit(r"(\S+)"), F.lit(1))).alias("tokens"),
+        "pilot_id", F.length(t).alias("char_count"), (F.length(t) > 5000).alias("long_report"),
+        count(ENTITY).alias("entity_count"), count(r"\b[Bb]locos?\s*\d+").alias("specimen_count"),
+        (count(HEADER) >= 3).alias("cap_style"), (count(r"\|\|") >= 3).alias("table_like"), count(BULLET).alias("bullets"),
+        lines.alias("lines"),
+        t.rlike(r"[^\n]{150,}").alias("long_paragraph"),
+        F.size(F.regexp_extract_all(t, F.lit(r"(\S+)"), F.lit(1))).alias("tokens"),
     )
     bullet = (F.col("bullets") >= 5) | (F.col("bullets") / F.greatest("lines", F.lit(1)) >= 0.05)
     narrative = ~(F.col("cap_style") | F.col("table_like") | bullet) & (F.col("long_paragraph") | ((F.col("char_count") >= 80) & (F.col("tokens") >= 15)))
-    return p.select("pilot_id", "char_count", "long_report", "entity_count", "specimen_count", (F.col("entity_count") >= 10).alias("long_multi_entity"), "cap_style", "table_like", bullet.alias("bullet_list"), narrative.alias("narrative"))
+    return p.select("pilot_id", "char_count", "long_report", "entity_count", "specimen_count",
+        (F.col("entity_count") >= 10).alias("long_multi_entity"), "cap_style", "table_like", bullet.alias("bullet_list"),
+        narrative.alias("narrative"))
 
 
 def count_words(spark, d):
@@ -93,8 +100,10 @@ def count_words(spark, d):
     t = F.col("T")
     m = F.regexp_extract(t, r"medindo ((?:\d+(?:[.,]\d+)?\s*x?\s*)+(?:mm|cm))", 1)
     return _reports(spark, d).select(
-        "pilot_id", X.number_of(F.regexp_extract(t, r"(\w+) fragmentos", 1)).alias("n_fragments"), F.when(m != "", X.measure_mm(m)).alias("mm"),
-        X.interval_label(F.regexp_extract(t, r"ha (\d+) (?:meses|semanas|anos|dias)", 1).try_cast("int"), F.regexp_extract(t, r"ha \d+ (meses|semanas|anos|dias)", 1)).alias("interval"),
+        "pilot_id", X.number_of(F.regexp_extract(t, r"(\w+) fragmentos", 1)).alias("n_fragments"),
+        F.when(m != "", X.measure_mm(m)).alias("mm"),
+        X.interval_label(F.regexp_extract(t, r"ha (\d+) (?:meses|semanas|anos|dias)", 1).try_cast("int"),
+            F.regexp_extract(t, r"ha \d+ (meses|semanas|anos|dias)", 1)).alias("interval"),
     )
 
 
@@ -107,7 +116,8 @@ def _detect(name):
         """
 
         def cell(x, t):
-            v, s = (x.column(t)["value"], x.column(t)["span_start"]) if isinstance(x, Cascade) else (x.column(t).cast("string"), F.lit(None).cast("int"))
+            v, s = (x.column(t)["value"], x.column(t)["span_start"]) if isinstance(x,
+                Cascade) else (x.column(t).cast("string"), F.lit(None).cast("int"))
             return F.struct(F.lit(x.name).alias("variable"), v.alias("value"), s.alias("span_start"))
 
         cells = F.flatten(F.transform(F.array("T"), lambda t: F.array(*[cell(x, t) for x in D.SETS[name]])))
@@ -119,11 +129,14 @@ def _detect(name):
 def breast_derived(spark, d):
     """Behaviour of the histological type, features of a fibrocystic pattern and molecular subtype of breast reports."""
     t, num = F.col("T"), F.regexp_extract("l1_ki67", r"^(\d{1,3})$", 1).try_cast("int")
-    r = spread(table(spark, d, "run_pilot").select("pilot_id", "laudo", "l1_re", "l1_rp", "l1_her2", "l1_ki67")).select("pilot_id", X.normalize(F.col("laudo")).alias("T"), "l1_re", "l1_rp", V.her2_of_score(F.col("l1_her2")).alias("h"), num.alias("k"))
+    r = spread(table(spark, d, "run_pilot").select("pilot_id", "laudo", "l1_re", "l1_rp", "l1_her2",
+            "l1_ki67")).select("pilot_id",
+        X.normalize(F.col("laudo")).alias("T"), "l1_re", "l1_rp", V.her2_of_score(F.col("l1_her2")).alias("h"), num.alias("k"))
     r = r.withColumn("tipo", X.let(t, lambda t: D.TIPO_HIST.column(t)["value"]))
     tipo = F.col("tipo")
     return r.select(
-        "pilot_id", "tipo", V.behavior_class(tipo).alias("behavior"), V.invasive_malignancy(tipo).alias("invasive"), V.malignancy_any(tipo).alias("malignant"), V.cystic_features(t).alias("cystic"),
+        "pilot_id", "tipo", V.behavior_class(tipo).alias("behavior"), V.invasive_malignancy(tipo).alias("invasive"),
+        V.malignancy_any(tipo).alias("malignant"), V.cystic_features(t).alias("cystic"),
         V.molecular_subtype(F.col("l1_re"), F.col("l1_rp"), F.col("h"), F.col("k")).alias("subtype"),
     )
 
@@ -164,8 +177,10 @@ _NEAR = lambda k: f"(SELECT max({k}.s) FROM {k} WHERE {k}.pilot_id = m.pilot_id
 _IN = lambda xs: "(" + ", ".join(map(repr, xs)) + ")"
 
 QUERIES = {
-    "normalize_text": normalize_text, "fold_variants": fold_variants, "cut_commentary": cut_commentary, "section_segments": section_segments, "section_pick": section_pick,
-    "evidence_window": evidence_window, "sentence_negation": sentence_negation, "evidence_occurrences": evidence_occurrences, "document_profile": document_profile, "count_words": count_words,
+    "normalize_text": normalize_text, "fold_variants": fold_variants, "cut_commentary": cut_commentary,
+    "section_segments": section_segments, "section_pick": section_pick,
+    "evidence_window": evidence_window, "sentence_negation": sentence_negation, "evidence_occurrences": evidence_occurrences,
+    "document_profile": document_profile, "count_words": count_words,
     **{f"detect_{k}": _detect(k) for k in D.SETS}, "breast_derived": breast_derived, "polyp_sizes": polyp_sizes,
 }
 

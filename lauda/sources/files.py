@@ -22,7 +22,8 @@ def corpus_csv(spark: SparkSession, path: str, columns: list[str], limit: int |
     if lacking:
         raise ValueError(f"{path} lacks {', '.join(lacking)}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    df = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', enforceSchema=False).select(*columns)
+    df = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"',
+        enforceSchema=False).select(*columns)
     return df.orderBy(key or columns[0]).limit(limit) if limit is not None else df
 
 
@@ -50,10 +51,13 @@ def regression_set(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
 
     Of a folder of files it is the SHA-256 of their own, in the order of their names.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path).select("path", F.sha2("content", 256).alias("sha")).orderBy("path").collect()  # one row a file
-    lines = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", CASE + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("r.*")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path).select("path",
+        F.sha2("content", 256).alias("sha")).orderBy("path").collect()  # one row a file
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", CASE + ", _corrupt string",
+            {"columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("r.*")
     bad = (
-        F.col("_corrupt").isNotNull() | F.col("id").isNull() | ~F.coalesce(F.col("kind"), F.lit("")).isin(*KINDS) | (F.trim(F.coalesce("text", F.lit(""))) == "")
+        F.col("_corrupt").isNotNull() | F.col("id").isNull() | ~F.coalesce(F.col("kind"),
+            F.lit("")).isin(*KINDS) | (F.trim(F.coalesce("text", F.lit(""))) == "")
         | ((F.col("kind") == "metamorphic_invariance") & F.col("reference_text").isNull())
     )
     n = lines.agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.count_distinct("id").alias("ids")).first()
@@ -68,10 +72,13 @@ MANIFEST = f"contract_id string, contract_version string, run_id string, started
 
 def manifests(spark: SparkSession, folder: str) -> DataFrame:
     """Every run manifest below a folder with its path; unreadable files are left out."""
-    df = spark.read.schema(MANIFEST + ", _corrupt string").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("columnNameOfCorruptRecord", "_corrupt").json(folder, multiLine=False)
-    return df.withColumn("run_dir", F.col("_metadata.file_path")).where("_corrupt IS NULL AND contract_id IS NOT NULL").drop("_corrupt")
+    df = spark.read.schema(MANIFEST + ", _corrupt string").option("recursiveFileLookup", True).option("pathGlobFilter",
+        "*.json").option("columnNameOfCorruptRecord", "_corrupt").json(folder, multiLine=False)
+    return df.withColumn("run_dir",
+        F.col("_metadata.file_path")).where("_corrupt IS NULL AND contract_id IS NOT NULL").drop("_corrupt")
 
 
 def manifest_variables(df: DataFrame) -> DataFrame:
     """One row per run and variable of the manifests."""
-    return df.select("contract_id", "run_id", "started_at", F.explode("variables").alias("v")).select("contract_id", "run_id", "started_at", F.col("v.name").alias("variable"), "v.n_total", "v.n_filled", "v.fill_rate")
+    return df.select("contract_id", "run_id", "started_at", F.explode("variables").alias("v")).select("contract_id", "run_id",
+        "started_at", F.col("v.name").alias("variable"), "v.n_total", "v.n_filled", "v.fill_rate")

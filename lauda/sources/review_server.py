@@ -16,7 +16,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 
 
-def export_sample(sample: DataFrame, path: str, texts: DataFrame | None = None, key: str = "id_registro", text: str = "text", most: int = 10_000) -> int:
+def export_sample(sample: DataFrame, path: str, texts: DataFrame | None = None, key: str = "id_registro", text: str = "text",
+    most: int = 10_000) -> int:
     """Write a sample as JSON lines for the server, with the full text of its cases; only their texts are read."""
     if texts is not None:
         wanted = texts.join(sample.select(key).distinct(), key, "left_semi").select(key, text)
@@ -82,7 +83,8 @@ class ReviewStore:
         open_ = [i for i, r in enumerate(self.records) if not r.get("human_label")]
         return {"total": len(self.records), "done": len(self.records) - len(open_), "first_pending": open_[0] if open_ else None}
 
-    def annotate(self, i: int, label: str | None, note: str | None = None, confidence: str = "high", seconds: float = 0.0) -> dict:
+    def annotate(self, i: int, label: str | None, note: str | None = None, confidence: str = "high",
+        seconds: float = 0.0) -> dict:
         """Set a record's label; None clears it."""
         with self.lock:
             self.record(i)
@@ -124,7 +126,8 @@ def handler(store: ReviewStore, page: str = "<!doctype html><title>review</title
             except ValueError:
                 return self._send(400, {"error": "bad JSON"})
             if self.path == "/api/annotate":
-                return self._try(lambda: store.annotate(int(d["index"]), str(d["human_label"]), d.get("human_note"), d.get("confidence", "high"), float(d.get("time_spent_s", 0))))
+                return self._try(lambda: store.annotate(int(d["index"]), str(d["human_label"]), d.get("human_note"),
+                        d.get("confidence", "high"), float(d.get("time_spent_s", 0))))
             if self.path == "/api/clear":
                 return self._try(lambda: store.annotate(int(d["index"]), None))
             return self._send(404, {"error": "not found"})

@@ -34,7 +34,8 @@ def append_lines(df: DataFrame, folder: str) -> None:
 
 def write_csv(df: DataFrame, folder: str) -> None:
     """CSV with a header; nested columns as JSON, quotes doubled."""
-    flat = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("struct", "map", "array") else F.col(f.name) for f in df.schema]
+    flat = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("struct", "map",
+            "array") else F.col(f.name) for f in df.schema]
     df.select(*flat).write.mode("overwrite").csv(folder, header=True, quote='"', escape='"', quoteAll=True, emptyValue="")
 
 
@@ -47,8 +48,12 @@ def compact(spark: SparkSession, lines: str, target: str, schema: str, keys: lis
 def run_manifest(runs: DataFrame) -> DataFrame:
     """One JSON document per run: hashes aside, the summaries of its variables."""
     v = F.struct(F.col("variable").alias("name"), "n_total", "n_filled", "fill_rate", "status_distribution", "agreement_surface")
-    g = runs.groupBy("contract_id", "run_id", "started_at").agg(F.first("contract_version").alias("contract_version"), F.max("completed_at").alias("completed_at"), F.array_sort(F.collect_list(v.dropFields("status_distribution"))).alias("_k"), F.collect_list(v).alias("variables"))
-    return g.select(F.to_json(F.struct("contract_id", "contract_version", "run_id", "started_at", "completed_at", "variables")).alias("value"), "contract_id")
+    g = runs.groupBy("contract_id", "run_id", "started_at").agg(F.first("contract_version").alias("contract_version"),
+        F.max("completed_at").alias("completed_at"),
+        F.array_sort(F.collect_list(v.dropFields("status_distribution"))).alias("_k"), F.collect_list(v).alias("variables"))
+    return g.select(F.to_json(F.struct("contract_id", "contract_version", "run_id", "started_at", "completed_at",
+                "variables")).alias("value"),
+        "contract_id")
 
 
 def write_manifests(runs: DataFrame, folder: str) -> None:
@@ -70,7 +75,8 @@ def markdown_table(df: DataFrame, title: str, limit: int = 50) -> str:
     rest = f"\nFirst {limit} rows.\n" if len(rows) > limit else ""
     rows = rows[:limit]
     head = "| " + " | ".join(df.columns) + " |\n|" + "-|" * len(df.columns)
-    return f"# {title}\n\n{head}\n" + "\n".join("| " + " | ".join("" if x is None else str(x).replace("|", "\\|") for x in r) + " |" for r in rows) + "\n" + rest
+    return f"# {title}\n\n{head}\n" + "\n".join("| " + " | ".join("" if x is None else str(x).replace("|",
+                "\\|") for x in r) + " |" for r in rows) + "\n" + rest
 
 
 def sparkline(values: list[float | None], width: int = 200, height: int = 30) -> str:
@@ -92,7 +98,8 @@ def sparkline(values: list[float | None], width: int = 200, height: int = 30) ->
 def bars(labels: list[str], values: list[float], width: int = 400, height: int = 120) -> str:
     """Inline SVG of bars with their labels as titles."""
     top, step = max(values, default=0) or 1, width / max(len(values), 1)
-    return f'<svg width="{width}" height="{height}">' + "".join(f'<rect x="{i * step:.1f}" y="{height - v * height / top:.1f}" width="{step * 0.8:.1f}" height="{v * height / top:.1f}"><title>{html.escape(str(k))}: {v:g}</title></rect>' for i, (k, v) in enumerate(zip(labels, values))) + "</svg>"
+    return f'<svg width="{width}" height="{height}">' + "".join(f'<rect x="{i * step:.1f}" y="{height - v * height / top:.1f}" width="{step * 0.8:.1f}" height="{v * height / top:.1f}"><title>{html.escape(str(k))}: {v:g}</title></rect>' for i,
+        (k, v) in enumerate(zip(labels, values))) + "</svg>"
 
 
 def dashboard(points: DataFrame, title: str, contract: str) -> str:
@@ -102,7 +109,8 @@ def dashboard(points: DataFrame, title: str, contract: str) -> str:
     for r in rows:
         v = r["fill_rate"]
         series.setdefault(r["variable"], []).append(None if v is None or v != v else v)
-    body = "".join(f"<tr><td>{html.escape(k)}</td><td>{sum(x is not None for x in v)} of {len(v)}</td><td>{sparkline(v)}</td></tr>" for k, v in series.items())
+    body = "".join(f"<tr><td>{html.escape(k)}</td><td>{sum(x is not None for x in v)} of {len(v)}</td><td>{sparkline(v)}</td></tr>" for k,
+        v in series.items())
     return f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table>{body}</table>"
 
 
@@ -119,7 +127,8 @@ def write_audit(rows: DataFrame, strata: list[str], key: str, n: int, folder: st
     stratified(rows, strata, key, n, seed).drop("pick").write.mode("overwrite").json(f"{folder}/sample")
     counts = rows.groupBy(*strata).agg(F.count("*").alias("available"))
     each = F.array_sort(F.collect_list(F.struct(*strata, "available")))
-    counts.agg(F.lit(seed).alias("seed"), F.lit(n).alias("per_stratum"), each.alias("strata"), F.sum("available").alias("rows")).write.mode("overwrite").json(f"{folder}/manifest")
+    counts.agg(F.lit(seed).alias("seed"), F.lit(n).alias("per_stratum"), each.alias("strata"),
+        F.sum("available").alias("rows")).write.mode("overwrite").json(f"{folder}/manifest")
 
 
 def read_audit(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -129,7 +138,9 @@ def read_audit(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def discovery_markdown(report: DataFrame) -> str:
     """The discovery report (observe.discovery): one line a variable, those with most misses first."""
-    return markdown_table(report.orderBy(F.desc("n_misses"), "variable").select("variable", "n", "n_misses", "top_value", "n_top", "n_leaks", "n_silent", "silence_suspect"), "Discovery", 1000)
+    return markdown_table(report.orderBy(F.desc("n_misses"), "variable").select("variable", "n", "n_misses", "top_value",
+            "n_top", "n_leaks", "n_silent", "silence_suspect"),
+        "Discovery", 1000)
 
 
 def drift_markdown(report: DataFrame) -> str:
@@ -144,7 +155,8 @@ def cards_markdown(cards: DataFrame, variable: str) -> str:
     rows = cards.where(F.col("variable") == variable).orderBy(lane, F.desc("n"), "family_id").limit(1001).collect()
     parts = [f"# Rule cards of {variable}\n"]
     for r in rows[:1000]:
-        parts.append(f"\n## {r['family_id']} ({r['lane']})\n\n" + "".join(f"- {k}: {'' if r[k] is None else r[k]}\n" for k in r.asDict() if k not in ("variable", "family_id", "lane")))
+        parts.append(f"\n## {r['family_id']} ({r['lane']})\n\n" + "".join(f"- {k}: {'' if r[k] is None else r[k]}\n" for k in r.asDict() if k not in ("variable",
+                    "family_id", "lane")))
     return "".join(parts) + ("\nNo cards.\n" if not rows else "\nFirst 1000 cards.\n" if len(rows) > 1000 else "")
 
 

@@ -22,7 +22,8 @@ def stream_table(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
 
 def run_to_end(stream: DataFrame, target: str, each, mode: str = "append") -> None:
     """Process all that is there in micro-batches, with a checkpoint to resume from."""
-    q = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", target + "-checkpoint").trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation",
+        target + "-checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
 
 
@@ -33,13 +34,16 @@ def resolve_stream(spark: SparkSession, path: str, policies: DataFrame, target:
     target of an earlier run only what has arrived since is read.
     """
     target = target or shared_folder(spark, "resolved")
-    s = stream_table(spark, path).select("evidence_id", "variable", clean_value(F.col("value")).alias("value"), "status").join(maybe_broadcast(policies), "variable", "left")
-    s = s.select("evidence_id", "variable", apply_policy(F.col("value"), F.col("status")).alias("r")).select("evidence_id", "variable", "r.*")
+    s = stream_table(spark, path).select("evidence_id", "variable", clean_value(F.col("value")).alias("value"),
+        "status").join(maybe_broadcast(policies), "variable", "left")
+    s = s.select("evidence_id", "variable", apply_policy(F.col("value"), F.col("status")).alias("r")).select("evidence_id",
+        "variable", "r.*")
     run_to_end(s, target, lambda b, i: b.write.mode("overwrite").parquet(f"{target}/batch={i}"))
     return spark.read.parquet(target).drop("batch")
 
 
-def windowed_counts(spark: SparkSession, path: str, size: str = "1 day", late: str | None = None, target: str | None = None) -> DataFrame:
+def windowed_counts(spark: SparkSession, path: str, size: str = "1 day", late: str | None = None,
+    target: str | None = None) -> DataFrame:
     """Events per window and type.
 
     Without `late` every micro-batch writes its own counts, keyed by its id, and they are added up when
@@ -49,7 +53,8 @@ def windowed_counts(spark: SparkSession, path: str, size: str = "1 day", late: s
     """
     target = target or shared_folder(spark, "windows")
     s = stream_table(spark, path).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    count = lambda x: x.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("day"), "event_type", "n")
+    count = lambda x: x.groupBy(F.window("ts", size),
+        "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("day"), "event_type", "n")
     write = lambda b, i: b.write.mode("overwrite").parquet(f"{target}/batch={i}")
     if late is None:
         run_to_end(s, target, lambda b, i: write(count(b), i))
@@ -57,4 +62,5 @@ def windowed_counts(spark: SparkSession, path: str, size: str = "1 day", late: s
     else:
         run_to_end(count(s.withWatermark("ts", late)), target, write, "update")
         total = F.max_by("n", "batch")
-    return spark.read.schema("day timestamp, event_type string, n long, batch int").parquet(target).groupBy("day", "event_type").agg(total.alias("n"))
+    return spark.read.schema("day timestamp, event_type string, n long, batch int").parquet(target).groupBy("day",
+        "event_type").agg(total.alias("n"))

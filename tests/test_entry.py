@@ -63,6 +63,7 @@ def test_flagship(spark):
 
 
 def test_core_never_imports_the_text_subpackage():
-    names = [".".join(p.relative_to(ROOT).with_suffix("").parts) for p in sorted(Path(ROOT, "lauda").rglob("*.py")) if "llm" not in p.parts]
+    names = [".".join(p.relative_to(ROOT).with_suffix("").parts) for p in sorted(Path(ROOT,
+                "lauda").rglob("*.py")) if "llm" not in p.parts]
     code = "import sys, importlib\nfor n in sys.argv[1:]: importlib.import_module(n.removesuffix('.__init__'))\nassert not any(x.startswith('lauda.llm') for x in sys.modules)"
     subprocess.run([sys.executable, "-c", code, *names], cwd=ROOT, check=True)

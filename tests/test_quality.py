@@ -16,7 +16,8 @@ def run(i, day, fill, agree=None, n=100, filled=None, contract="c", variable="x"
     t = None if day is None else dt.datetime(2024, 1, 1) + dt.timedelta(days=day)
     filled = filled if filled is not None else (None if fill is None else round(n * fill))
     agreed = agreed if agreed is not None else (None if agree is None else round(both * agree))
-    return (i, contract, variable, t, n, filled, fill, both if agree is not None else None, agreed, agree, "extra", "extra", "extra")
+    return (i, contract, variable, t, n, filled, fill, both if agree is not None else None, agreed, agree, "extra", "extra",
+        "extra")
 
 
 def found(spark, rows):
@@ -30,14 +31,18 @@ def test_jump_against_the_latest_passing_run(spark):
 
 def test_faults_of_counts_and_rates(spark):
     rows = [
-        run(1, 0, 0.5, filled=None), (2, "c", "y", dt.datetime(2024, 1, 1), 10, None, 0.5, None, None, None, "", "", ""), (3, "c", "z", dt.datetime(2024, 1, 1), 10, -1, 0.5, None, None, None, "", "", ""),
-        (4, "c", "w", dt.datetime(2024, 1, 1), 10, 5, float("nan"), 4, 2, None, "", "", ""), (5, "c", "u", dt.datetime(2024, 1, 1), 0, 0, None, 0, 0, None, "", "", ""), (6, "c", "q", dt.datetime(2024, 1, 1), 10, 5, 0.502, 4, 2, 0.5, "", "", ""),
+        run(1, 0, 0.5, filled=None), (2, "c", "y", dt.datetime(2024, 1, 1), 10, None, 0.5, None, None, None, "", "", ""),
+        (3, "c", "z", dt.datetime(2024, 1, 1), 10, -1, 0.5, None, None, None, "", "", ""),
+        (4, "c", "w", dt.datetime(2024, 1, 1), 10, 5, float("nan"), 4, 2, None, "", "", ""),
+        (5, "c", "u", dt.datetime(2024, 1, 1), 0, 0, None, 0, 0, None, "", "", ""),
+        (6, "c", "q", dt.datetime(2024, 1, 1), 10, 5, 0.502, 4, 2, 0.5, "", "", ""),
     ]
     assert found(spark, rows) == {(2, "n_filled"), (3, "n_filled"), (4, "fill_rate"), (4, "agreement_surface"), (6, "fill_rate")}
 
 
 def test_no_order_no_jump_and_empty(spark):
-    assert found(spark, [run(1, None, 0.1), run(2, 0, 0.9), run(3, 1, 0.1, contract=None), run(4, 2, 0.9, contract=None)]) == set()
+    assert found(spark,
+        [run(1, None, 0.1), run(2, 0, 0.9), run(3, 1, 0.1, contract=None), run(4, 2, 0.9, contract=None)]) == set()
     assert found(spark, []) == set()
 
 
@@ -58,7 +63,8 @@ def test_jump_scan_equals_brute_force_over_partitions(spark):
 
 def test_profile_equals_brute_force(spark):
     rng = random.Random(5)
-    rows = [(i, rng.choice([None, "", "a", "b", "c", "dd"]), rng.choice([None, float("nan"), *map(float, range(6))]), rng.choice(["2024-01", "2024-02", "2024-03"])) for i in range(500)]
+    rows = [(i, rng.choice([None, "", "a", "b", "c", "dd"]), rng.choice([None, float("nan"), *map(float, range(6))]),
+            rng.choice(["2024-01", "2024-02", "2024-03"])) for i in range(500)]
     df = spark.createDataFrame(rows, "id long, s string, x double, load_month string")
     got = {(r["col"], r["load"]): r for r in profile_columns(unpivot_values(df, F.col("load_month"), "t", ["s", "x"])).collect()}
     for col, k in (("s", 1), ("x", 2)):
@@ -89,9 +95,12 @@ def test_profile_of_nothing(spark):
 @pytest.mark.parametrize(
     "value, text, want",
     [
-        ("2", "pólipo de 2 centímetros.", (20000, "text")), ("2,0", "tumor dista 2 cm da margem.", (20000, "text")), ("5", "massa de 0,5 cm. Aparelho introduzido por 37 cm.", (5000, "converted")),
-        ("29", "neoplasia com 29 x 20.3 x 11.6MM", (29000, "text")), ("0.25", "0.25 polegada(s)", (6350, "text")), ("5558 micrômetros", "x", (5558, "value")), ("2 x 1,4 x 0,8 cm", "", (20000, "value")),
-        ("7", "pinça de 7 mm utilizada", None), ("", "2 cm", None), (None, "2 cm", None), ("???", "2 cm", None), ("1,5", None, None),
+        ("2", "pólipo de 2 centímetros.", (20000, "text")), ("2,0", "tumor dista 2 cm da margem.", (20000, "text")),
+        ("5", "massa de 0,5 cm. Aparelho introduzido por 37 cm.", (5000, "converted")),
+        ("29", "neoplasia com 29 x 20.3 x 11.6MM", (29000, "text")), ("0.25", "0.25 polegada(s)", (6350, "text")),
+        ("5558 micrômetros", "x", (5558, "value")), ("2 x 1,4 x 0,8 cm", "", (20000, "value")),
+        ("7", "pinça de 7 mm utilizada", None), ("", "2 cm", None), (None, "2 cm", None), ("???", "2 cm", None),
+        ("1,5", None, None),
     ],
 )
 def test_reading_of_one_case(value, text, want):
@@ -116,9 +125,12 @@ def cases(spark, rows):
 
 def test_foreign_units_and_level_shift(spark):
     specs = spark.createDataFrame([("v", "mm", None), ("w", None, "a")], SPECS)
-    rows = [(i, "A", "12", "mede 12 mm") for i in range(20)] + [(i, "A", "1.2", "mede 1.2 cm") for i in range(20, 40)] + [(40, "A", "1.2", None), (41, "A", "1.3", "mede 1.3 cm"), (42, None, None, "3 cm"), (43, "B", "3", "3 cm"), (44, "B", "3", "3 cm")]
+    rows = [(i, "A", "12", "mede 12 mm") for i in range(20)] + [(i, "A", "1.2", "mede 1.2 cm") for i in range(20, 40)] + [(40,
+            "A", "1.2", None),
+        (41, "A", "1.3", "mede 1.3 cm"), (42, None, None, "3 cm"), (43, "B", "3", "3 cm"), (44, "B", "3", "3 cm")]
     df = cases(spark, rows)
-    assert {tuple(r) for r in foreign_units(df, specs).collect()} == {(i, 12000) for i in range(20, 40)} | {(41, 13000), (43, 30000), (44, 30000)}
+    assert {tuple(r) for r in foreign_units(df, specs).collect()} == {(i, 12000) for i in range(20, 40)} | {(41, 13000),
+        (43, 30000), (44, 30000)}
     h = {r["case_no"]: r for r in unit_history(df, specs).collect()}
     assert h[40]["stated"] is None and h[40]["level_factor"] == 10.0  # its history tells the unit
     assert h[20]["segment_change"] and not h[21]["segment_change"]
@@ -133,17 +145,20 @@ def test_history_is_the_same_for_any_partitioning(spark):
     got = []
     for n in ("1", "7"):
         spark.conf.set("spark.sql.shuffle.partitions", n)
-        got.append({r["case_no"]: (r["level_factor"], r["segment_change"]) for r in unit_history(cases(spark, rows), specs).collect()})
+        got.append({r["case_no"]: (r["level_factor"], r["segment_change"]) for r in unit_history(cases(spark, rows),
+                    specs).collect()})
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got[0] == got[1]
 
 
 def test_factors_of_any_size_and_zero(spark):
     specs = spark.createDataFrame([("v", "cm", None), ("w", "kg", None), ("z", "g", None)], SPECS)
-    rows = [(i, "A", f"{5 + i} cm", None) for i in range(9)] + [(9, "A", "500 micra", None), (10, "A", "0 mm", None), (11, "A", "0", "0 mm"), (12, "A", "0", None)]
+    rows = [(i, "A", f"{5 + i} cm", None) for i in range(9)] + [(9, "A", "500 micra", None), (10, "A", "0 mm", None),
+        (11, "A", "0", "0 mm"), (12, "A", "0", None)]
     got = {tuple(r) for r in foreign_units(cases(spark, rows), specs).collect()}
     assert got == {(9, 50), (10, 0), (11, 0)}
-    rows = [(i, "A", f"{1 + i} kg", None) for i in range(9)] + [(9, "A", "700000 mg", None), (10, "A", "3 mcg", None), (11, "A", "0 mg", None)]
+    rows = [(i, "A", f"{1 + i} kg", None) for i in range(9)] + [(9, "A", "700000 mg", None), (10, "A", "3 mcg", None),
+        (11, "A", "0 mg", None)]
     df = cases(spark, rows).withColumn("variable", F.lit("w"))
     assert {tuple(r) for r in foreign_units(df, specs).collect()} == {(9, 700), (10, 0), (11, 0)}
 
@@ -152,7 +167,8 @@ def test_search_decides_between_units_of_the_text(spark):
     """The same number with two units: the neighbours' level wins; without penalties the choice is another."""
     specs = spark.createDataFrame([("v", "mm", None)], SPECS)
     both = "margem de 3 mm, tumor de 3 cm"
-    rows = [(i, "A", "3", "mede 3 mm") for i in range(8)] + [(8, "A", "3", both)] + [(i, "B", "3", "mede 3 cm") for i in range(9, 17)] + [(17, "B", "3", both)]
+    rows = [(i, "A", "3", "mede 3 mm") for i in range(8)] + [(8, "A", "3", both)] + [(i, "B", "3",
+            "mede 3 cm") for i in range(9, 17)] + [(17, "B", "3", both)]
     got = {tuple(r) for r in foreign_units(cases(spark, rows), specs).collect()}
     assert got == {(i, 30000) for i in [*range(9, 18)]}  # 8 stays in millimetres, 17 is in centimetres
     assert {tuple(r) for r in foreign_units(cases(spark, rows), specs, penalty=0.0).collect()} != got
@@ -175,7 +191,8 @@ def test_paths_are_those_of_the_whole_search():
     for c in costs[1:]:
         m = (m[:, :, None] + shift[None]).min(axis=1) + c[None]
     assert np.allclose(joined(min_plus(costs[:77]), min_plus(costs[77:])), m)
-    rows = pd.DataFrame({"case_no": range(200), "source": "A", "variable": "v", "num": nums, "factors": stated, "millis": [[int(1000 * f) for f in fs] for fs in stated], "stated": None})
+    rows = pd.DataFrame({"case_no": range(200), "source": "A", "variable": "v", "num": nums, "factors": stated,
+            "millis": [[int(1000 * f) for f in fs] for fs in stated], "stated": None})
     t = Tracer(levels, None)
     got = pd.concat([d for i in range(0, 200, 30) for d in t.add(rows.iloc[i : i + 30])] + list(t.end(None)), ignore_index=True)
     at = [levels.at[f] for f in got.level_factor]
@@ -187,11 +204,14 @@ def test_numbers_beyond_a_double_stay_apart(spark):
     from decimal import Decimal
 
     big = [2**60 + i for i in (0, 1, 2, 3)] + [-(2**60) - i for i in (0, 1)] + [7, None]
-    dec = [Decimal("12345678901234567890.000001"), Decimal("12345678901234567890.000002"), Decimal("1.5"), Decimal("1.5"), None, None, None, None]
-    df = spark.createDataFrame([(b, d, "a" if i % 2 else "b") for i, (b, d) in enumerate(zip(big, dec))], "b long, d decimal(38,6), m string")
+    dec = [Decimal("12345678901234567890.000001"), Decimal("12345678901234567890.000002"), Decimal("1.5"), Decimal("1.5"),
+        None, None, None, None]
+    df = spark.createDataFrame([(b, d, "a" if i % 2 else "b") for i, (b, d) in enumerate(zip(big, dec))],
+        "b long, d decimal(38,6), m string")
     got = {(r["col"], r["load"]): r for r in profile_columns(unpivot_values(df, F.lit("x"), "t", ["b", "d"])).collect()}
     b, d = got[("b", "x")], got[("d", "x")]
-    assert (b["n_distinct"], b["nulls"], b["min_txt"], b["max_txt"], b["q75_txt"]) == (7, 1, str(-(2**60) - 1), str(2**60 + 3), str(2**60 + 2))
+    assert (b["n_distinct"], b["nulls"], b["min_txt"], b["max_txt"], b["q75_txt"]) == (7, 1, str(-(2**60) - 1),
+        str(2**60 + 3), str(2**60 + 2))
     assert b["q50_txt"] == str(2**60) or (b["q50_num"] == float(2**60) and b["q50_txt"] is None)
     assert (d["n_distinct"], d["max_txt"], d["min_num"]) == (3, "12345678901234567890.000002", 1.5)
     two = {(r["col"], r["load"]): r for r in profile_columns(unpivot_values(df, F.col("m"), "t", ["b"])).collect()}
