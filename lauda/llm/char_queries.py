@@ -28,9 +28,12 @@ def p6_found(spark, d):
 def _forms(spark, d):
     counts = language_counts(spark, d, evidence=True)
     pilot, evidence = table(spark, d, "run_pilot"), table(spark, d, "evidence_record")
-    a = with_consistent_form(pilot, "pilot_id", "laudo", counts).select(F.lit("run_pilot").alias("src"), F.col("pilot_id").alias("row_id"), "form", "stands_in")
-    b = with_consistent_form(evidence, "evidence_id", "evidence", counts).select(F.lit("evidence_record").alias("src"), F.col("evidence_id").alias("row_id"), "form", "stands_in")
-    garbled = restored_texts(pilot, "pilot_id", "laudo", counts).select(F.lit("run_pilot").alias("src"), F.col("pilot_id").alias("row_id"), "restored")
+    a = with_consistent_form(pilot, "pilot_id", "laudo", counts).select(F.lit("run_pilot").alias("src"),
+        F.col("pilot_id").alias("row_id"), "form", "stands_in")
+    b = with_consistent_form(evidence, "evidence_id", "evidence", counts).select(F.lit("evidence_record").alias("src"),
+        F.col("evidence_id").alias("row_id"), "form", "stands_in")
+    garbled = restored_texts(pilot, "pilot_id", "laudo", counts).select(F.lit("run_pilot").alias("src"),
+        F.col("pilot_id").alias("row_id"), "restored")
     return a.unionByName(b), garbled, pilot, evidence
 
 
@@ -42,11 +45,14 @@ def p2_found(spark, d):
 def p2_forms(spark, d):
     """Every text of both tables in its consistent form; garbled reports are restored first."""
     forms, garbled, pilot, evidence = _forms(spark, d)
-    texts = pilot.select(F.lit("run_pilot").alias("src"), F.col("pilot_id").alias("row_id"), F.col("laudo").alias("text")).unionByName(
-        evidence.select(F.lit("evidence_record").alias("src"), F.col("evidence_id").alias("row_id"), F.col("evidence").alias("text"))
+    texts = pilot.select(F.lit("run_pilot").alias("src"), F.col("pilot_id").alias("row_id"),
+        F.col("laudo").alias("text")).unionByName(
+        evidence.select(F.lit("evidence_record").alias("src"), F.col("evidence_id").alias("row_id"),
+            F.col("evidence").alias("text"))
     )
     changed = forms.where("stands_in").select("src", "row_id", "form").join(garbled, ["src", "row_id"], "full")
-    return texts.join(changed, ["src", "row_id"], "left").select("src", "row_id", F.coalesce("restored", "form", "text").alias("form"))
+    return texts.join(changed, ["src", "row_id"], "left").select("src", "row_id",
+        F.coalesce("restored", "form", "text").alias("form"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p6_found": p6_found, "p6_restored": p6_restored}

@@ -80,7 +80,8 @@ class CharModel:
         """log P(c | a, b)."""
         x = self._t.get(a + b + c)
         if x is None:
-            x = self._t[a + b + c] = math.log((self.tri.get(a + b + c, 0) + 4 * math.exp(self.bigram(b, c))) / (self.ctx2.get(a + b, 0) + 4))
+            x = self._t[a + b + c] = math.log((self.tri.get(a + b + c,
+                        0) + 4 * math.exp(self.bigram(b, c))) / (self.ctx2.get(a + b, 0) + 4))
         return x
 
     def word(self, w: str) -> float:

@@ -16,7 +16,8 @@ LOOKALIKES = dict(
 # Second reading of a look-alike that has two.
 SECOND = {"ν": "n", "υ": "y", "у": "u", "η": "h", "г": "g", "к": "x", "в": "B"}
 #: Decomposition tags of forms that stand for a plain character of the same look.
-FORMS = {"<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>", "<vertical>", "<small>", "<circle>", "<square>", "<compat>"}
+FORMS = {"<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>", "<vertical>", "<small>",
+    "<circle>", "<square>", "<compat>"}
 #: Characters with a compatibility form that are ordinary in these texts.
 ORDINARY = frozenset("ªºµ±≥≤–—•…´¨¸¯°²³¹¼½¾™")
 #: Java class of everything that may stand in for a plain character; used to keep clean rows in the JVM.

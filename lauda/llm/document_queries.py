@@ -42,7 +42,8 @@ def p9_familiar(spark, d):
     return familiar_words(table(spark, d, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_offsets": p7_offsets, "p8_found": p8_found, "p8_items": p8_items, "p9_levels": p9_levels, "p9_grades": p9_grades, "p9_familiar": p9_familiar}
+QUERIES = {"p7_ids": p7_ids, "p7_offsets": p7_offsets, "p8_found": p8_found, "p8_items": p8_items, "p9_levels": p9_levels,
+    "p9_grades": p9_grades, "p9_familiar": p9_familiar}
 
 _RUNS = """SELECT {k}, array_to_string(w[i:i + 11], ' ') AS r FROM (SELECT {k}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {k}, regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}]+') AS w FROM {t}) WHERE len(w) >= 12)"""
 _LEAKS = f"SELECT DISTINCT doc_id, item_id FROM ({_RUNS.format(k='doc_id', t='documents')}) JOIN (SELECT DISTINCT item_id, r FROM ({_RUNS.format(k='item_id', t='eval_item')})) USING (r)"

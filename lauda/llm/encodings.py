@@ -32,7 +32,8 @@ from lauda.session import reliable
 LETTERS = "áàâãäçéèêëíìîïóòôõöúùûüñÁÀÂÃÄÇÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÑºª°µ±²³·–—•…“”‘’«»§®©×¿¡½¼¾≥≤αβγδκλμ"
 ENCODED = ("utf-8", "cp1252", "cp850", "mac_roman", "cp1250")
 DECODED = (
-    "cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "cp1258", "cp850", "cp437", "cp852", "cp858", "cp860", "cp865", "cp866", "koi8_r", "mac_roman", "mac_latin2",
+    "cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "cp1258", "cp850", "cp437", "cp852", "cp858",
+    "cp860", "cp865", "cp866", "koi8_r", "mac_roman", "mac_latin2",
     "iso8859-2", "iso8859-4", "iso8859-5", "iso8859-7", "iso8859-9", "iso8859-10", "iso8859-13", "iso8859-15",
 )
 #: Least gain in log probability of a restored word, and share of a restored lost letter.
@@ -397,7 +398,8 @@ def learn(contexts: list, tables: dict[str, dict[str, str]], lm: CharModel, roun
 RESTORED = "restored string, swap string, lost int"
 
 
-def restored_texts(texts: DataFrame, key: str, column: str, counts: dict[int, int], tables: dict | None = None, rounds: int = ROUNDS) -> DataFrame:
+def restored_texts(texts: DataFrame, key: str, column: str, counts: dict[int, int], tables: dict | None = None,
+    rounds: int = ROUNDS) -> DataFrame:
     """(key, restored, swap, lost) of every row with garbled text.
 
     swap names the swap of the row ('?...' for one that was learned without a code page), or 'lost' where

@@ -210,12 +210,15 @@ def _by_join(documents: DataFrame, items: DataFrame, hot: int = HOT) -> DataFram
     documents, items = documents.select("doc_id", "text"), items.select("item_id", "text")
     mine = _windows(items, "item_id")
     theirs = reliable(_windows(documents, "doc_id").join(mine.select("w").distinct(), "w", "left_semi"))
-    heavy = maybe_broadcast(theirs.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("w", F.lit(SALTS).alias("parts")))
+    heavy = maybe_broadcast(theirs.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("w",
+            F.lit(SALTS).alias("parts")))
     n = F.coalesce("parts", F.lit(1))
     left = theirs.join(heavy, "w", "left").select("doc_id", "w", "g", F.pmod(F.xxhash64("doc_id"), n).alias("part"))
-    right = mine.join(heavy, "w", "left").select("item_id", "w", "g", F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)).alias("part"))
+    right = mine.join(heavy, "w", "left").select("item_id", "w", "g",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)).alias("part"))
     pairs = left.join(right, ["w", "g", "part"]).select("doc_id", "item_id").distinct()
-    both = pairs.join(documents.select("doc_id", F.col("text").alias("doc_text")), "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id")
+    both = pairs.join(documents.select("doc_id", F.col("text").alias("doc_text")),
+        "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id")
 
     def verify(batches):
         hashes = WordHashes()

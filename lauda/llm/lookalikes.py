@@ -60,7 +60,8 @@ def consistent_form(text: str | None, lm: CharModel) -> str | None:
     out, at = [], 0
     for m in _WORD.finditer(t):
         if _HAS.search(m[0]):
-            w = best_reading("".join(out)[-2:] + t[at : m.start()] if at < m.start() else t[: m.start()], m[0], t[m.end() : m.end() + 2], lm)
+            w = best_reading("".join(out)[-2:] + t[at : m.start()] if at < m.start() else t[: m.start()], m[0],
+                t[m.end() : m.end() + 2], lm)
             out += [t[at : m.start()], w]
             at = m.end()
     return "".join(out) + t[at:]

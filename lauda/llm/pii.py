@@ -37,7 +37,8 @@ ROUNDS = 30
 #: Assumed reliability of each labeler, what the assumption is worth in shares of the labeler's votes (so that
 #: it is worth the same at every size), and the weight of the votes' posterior in the classifier.
 RELIABLE = {
-    "cue": 0.7, "gaz": 0.7, "shape": 0.8, "after": 0.6, "org": 0.97, "eponym": 0.97, "form": 0.9, "ctx": 0.85, "tail": 0.9, "length": 0.9, "mark": 0.9, "use": 0.97,
+    "cue": 0.7, "gaz": 0.7, "shape": 0.8, "after": 0.6, "org": 0.97, "eponym": 0.97, "form": 0.9, "ctx": 0.85, "tail": 0.9,
+    "length": 0.9, "mark": 0.9, "use": 0.97,
 }
 ASSUMED, PRIOR_WEIGHT = 0.1, 0.5
 
@@ -100,7 +101,8 @@ for _c in range(0x20, 0x250):
         _FOLD[_c] = _d
     elif len(chr(_c).lower()) == 1:
         _FOLD[_c] = chr(_c).lower()
-_SLOW = re.compile("[^\x00-\x7f" + "".join(chr(c) for c in range(0xA1, 0x180) if c != 0xAD) + "–—•≥≤…“”‘’�αβκμ]|&(?:[a-zA-Z]{2,8}|#\\d{2,5});")
+_SLOW = re.compile("[^\x00-\x7f" + "".join(chr(c) for c in range(0xA1,
+            0x180) if c != 0xAD) + "–—•≥≤…“”‘’�αβκμ]|&(?:[a-zA-Z]{2,8}|#\\d{2,5});")
 _ENTITY = re.compile(r"&(?:[a-zA-Z]{2,8}|#\d{2,5});")
 
 
@@ -226,8 +228,10 @@ def candidates(a: Aligned) -> list[tuple[str, int, int, dict, str, str]]:
         left, host = t[max(0, i - 24) : i], AT_SIGN.split(t[i:j])[-1]
         votes = {
             "shape": "email" if re.search(r"[a-z]", host) and re.search(_DOT, host) else "none",
-            "gaz": "email" if GIVEN & set(re.split(r"[\W_\d]+", t[i:j])) or any(t.startswith(g, i) for g in GIVEN if len(g) > 3) else None,
-            "ctx": "email" if CUES["email"].search(left) else "none" if re.search(r"(?:leitura|aumento|objetiva)\s*$", t[max(0, i - 12) : i + 8].split("@")[0]) else None,
+            "gaz": "email" if GIVEN & set(re.split(r"[\W_\d]+", t[i:j])) or any(t.startswith(g,
+                    i) for g in GIVEN if len(g) > 3) else None,
+            "ctx": "email" if CUES["email"].search(left) else "none" if re.search(r"(?:leitura|aumento|objetiva)\s*$",
+                t[max(0, i - 12) : i + 8].split("@")[0]) else None,
         }
         out.append(("email", i, j, votes, left, t[j : j + 16]))
         taken.append((i, j))
@@ -242,7 +246,8 @@ def candidates(a: Aligned) -> list[tuple[str, int, int, dict, str, str]]:
             "use": "none" if re.search(r"coleta|interna|sutura|fratura|acesso", body) else None,
             "gaz": "street_address" if named[:1].isupper() else None,
             "ctx": "street_address" if CUES["street_address"].search(left) else None,
-            "tail": "street_address" if re.match(r"\s*(?:[,;-]\s*(?:vila|ap|casa|bloco|bairro|zona|centro|jardim|sala|conj)|ate sexta)", t[j : j + 24]) else None,
+            "tail": "street_address" if re.match(r"\s*(?:[,;-]\s*(?:vila|ap|casa|bloco|bairro|zona|centro|jardim|sala|conj)|ate sexta)",
+                t[j : j + 24]) else None,
         }
         out.append(("address", i, j, votes, left, t[j : j + 16]))
         taken.append((i, j))
@@ -262,8 +267,10 @@ def candidates(a: Aligned) -> list[tuple[str, int, int, dict, str, str]]:
         votes = {
             "shape": shape[0] if len(shape) == 1 else None,
             "ctx": cue[0] if cue else None,
-            "length": "identity_number" if len(digits) == 15 else "none" if len(digits) in (12, 13) and not body.startswith("+") and "x" not in body else None,
-            "mark": "identity_number" if TAX_FORMAT.fullmatch(body) else "phone" if re.match(r"\+|\(\d\d\)|0xx", body) else "none" if re.search(r" x ", body) else None,
+            "length": "identity_number" if len(digits) == 15 else "none" if len(digits) in (12,
+                13) and not body.startswith("+") and "x" not in body else None,
+            "mark": "identity_number" if TAX_FORMAT.fullmatch(body) else "phone" if re.match(r"\+|\(\d\d\)|0xx",
+                body) else "none" if re.search(r" x ", body) else None,
         }
         out.append(("number", i, i + len(body), votes, left, t[j : j + 16]))
         taken.append((i, j))
@@ -289,7 +296,8 @@ def candidates(a: Aligned) -> list[tuple[str, int, int, dict, str, str]]:
         votes = {
             "cue": "name" if starts[i] and not WEAK_CUE.fullmatch(starts[i]) else None,
             "gaz": "name" if given else None,
-            "shape": "name" if 2 <= len(words) <= 5 and all(x[:1].isupper() for x in re.findall(_W, raw) if x.lower() not in PARTICLES) else "none" if not given and raw.islower() else None,
+            "shape": "name" if 2 <= len(words) <= 5 and all(x[:1].isupper() for x in re.findall(_W,
+                    raw) if x.lower() not in PARTICLES) else "none" if not given and raw.islower() else None,
             "after": "name" if AFTER_NAME.match(t, j) else None,
             "org": "none" if ORG.search(left) else None,
             "eponym": "none" if EPONYM.search(left) or NO_PERSON.search(left) else None,
@@ -306,14 +314,16 @@ def _after_type(a: Aligned, i: int, j: int) -> tuple[int, int]:
     return k, min(k + 1, j)
 
 
-CLASSES = {"name": ["none", "name"], "email": ["none", "email"], "address": ["none", "street_address"], "number": ["none", "phone", "identity_number"]}
+CLASSES = {"name": ["none", "name"], "email": ["none", "email"], "address": ["none", "street_address"],
+    "number": ["none", "phone", "identity_number"]}
 
 
 def features(kind: str, body: str, left: str, right: str) -> list[str]:
     """Hashed features of a span: its neighbours and its shape."""
     lw, rw = re.findall(r"\w+|[^\w\s]", left)[-2:], re.findall(r"\w+|[^\w\s]", right)[:1]
     shape = re.sub(r"[a-z]+", "a", re.sub(r"\d", "9", body))[:24]
-    raw = [("l", lw[-1] if lw else ""), ("ll", " ".join(lw)), ("r", rw[0] if rw else ""), ("s", shape if kind != "name" else str(min(5, shape.count(" "))))]
+    raw = [("l", lw[-1] if lw else ""), ("ll", " ".join(lw)), ("r", rw[0] if rw else ""),
+        ("s", shape if kind != "name" else str(min(5, shape.count(" "))))]
     return [f"{k}{zlib.crc32(v.encode()) % BUCKETS}" for k, v in raw]
 
 
@@ -356,7 +366,8 @@ def reliabilities(patterns: list, rounds: int = ROUNDS) -> dict[tuple[str, str],
         votes = [dict(x.split("=") for x in v.split(",") if x) for v, _ in rows]
         n = np.array([c for _, c in rows], float)
         labelers = sorted({x for v in votes for x in v})
-        cast = np.array([[classes.index(v[x]) if x in v else k for x in labelers] for v in votes]).reshape(len(rows), len(labelers))
+        cast = np.array([[classes.index(v[x]) if x in v else k for x in labelers] for v in votes]).reshape(len(rows),
+            len(labelers))
         assumed, kinds = [], np.arange(k + 1)
         for x in labelers:
             r = RELIABLE.get(x, 0.8)
@@ -404,7 +415,8 @@ class SpanClassifier:
         w = self.cache.get((kind, feat))
         if w is None:
             slot = feat.rstrip("0123456789")
-            w = {c: math.log((self.by.get((kind, feat, c), 0.0) + 0.5) / (self.slot.get((kind, slot, c), 0.0) + 25)) for c in CLASSES[kind]}
+            w = {c: math.log((self.by.get((kind, feat, c), 0.0) + 0.5) / (self.slot.get((kind, slot, c),
+                        0.0) + 25)) for c in CLASSES[kind]}
             self.cache[(kind, feat)] = w  # at most types x slots x buckets
         return w
 
@@ -419,7 +431,8 @@ class SpanClassifier:
 def classified(cand: DataFrame) -> DataFrame:
     """Candidate spans (type, votes, feats and any other columns) with their `kind`, none included."""
     spark = cand.sparkSession
-    posterior = reliabilities(cand.groupBy("type", "votes").agg(F.count("*").alias("n")).collect())  # bounded by the vote patterns
+    posterior = reliabilities(cand.groupBy("type",
+            "votes").agg(F.count("*").alias("n")).collect())  # bounded by the vote patterns
     shared = spark.sparkContext.broadcast(posterior)
 
     def soft(batches):
@@ -431,7 +444,8 @@ def classified(cand: DataFrame) -> DataFrame:
                         total[(kind, f, c)] += w
         yield pd.DataFrame([(*k, v) for k, v in total.items()], columns=["type", "feat", "cls", "w"])
 
-    sums = cand.mapInPandas(soft, "type string, feat string, cls string, w double").groupBy("type", "feat", "cls").agg(F.sum("w").alias("w"))
+    sums = cand.mapInPandas(soft, "type string, feat string, cls string, w double").groupBy("type", "feat",
+        "cls").agg(F.sum("w").alias("w"))
     model = spark.sparkContext.broadcast(SpanClassifier(posterior, sums.collect()))  # at most types x slots x buckets x classes
     schema = T.StructType([*cand.schema, T.StructField("kind", T.StringType())])
 
@@ -449,12 +463,14 @@ def found_items(reports: DataFrame, counts: dict[int, int]) -> DataFrame:
     are no items, a repeated report gives its items under each of its ids, texts are read whole.
     """
     items = classified(reliable(spans(reports, counts))).where("kind <> 'none'")
-    return items.select("pilot_id", "kind", F.col("start_pos").cast("long").alias("start_pos"), F.col("end_pos").cast("long").alias("end_pos"))
+    return items.select("pilot_id", "kind", F.col("start_pos").cast("long").alias("start_pos"),
+        F.col("end_pos").cast("long").alias("end_pos"))
 
 
 def redacted(reports: DataFrame, items: DataFrame) -> DataFrame:
     """Reports with every item replaced by the placeholder of its type, all else as stored."""
-    per = items.groupBy("pilot_id").agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos", "kind"))).alias("items"))  # the items of one report
+    per = items.groupBy("pilot_id").agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos",
+                "kind"))).alias("items"))  # the items of one report
 
     def replace(batches):
         for b in batches:
@@ -468,6 +484,8 @@ def redacted(reports: DataFrame, items: DataFrame) -> DataFrame:
                             at = x["end_pos"]
                     text = "".join(parts) + text[at:]
                 out.append(text)
-            yield pd.DataFrame({"pilot_id": b.pilot_id, "redacted": out, "n_items": [0 if i is None else len(i) for i in b["items"]]})
+            yield pd.DataFrame({"pilot_id": b.pilot_id, "redacted": out,
+                    "n_items": [0 if i is None else len(i) for i in b["items"]]})
 
-    return reports.select("pilot_id", "laudo").join(per, "pilot_id", "left").mapInPandas(replace, "pilot_id long, redacted string, n_items int")
+    return reports.select("pilot_id", "laudo").join(per, "pilot_id", "left").mapInPandas(replace,
+        "pilot_id long, redacted string, n_items int")

@@ -101,7 +101,8 @@ def document_frequencies(documents: DataFrame) -> DataFrame:
                     c = Counter()
         yield rows(c)
 
-    return documents.select("text").mapInPandas(count, "language string, word string, df long").groupBy("language", "word").agg(F.sum("df").alias("df"))
+    return documents.select("text").mapInPandas(count, "language string, word string, df long").groupBy("language",
+        "word").agg(F.sum("df").alias("df"))
 
 
 def familiar_words(documents: DataFrame) -> DataFrame:
@@ -125,7 +126,8 @@ def measures(documents: DataFrame) -> DataFrame:
     NULL, empty and wordless texts have 0 words and NULL measures.
     """
     rows = familiar_words(documents).collect()  # at most FAMILIAR words a language
-    shared = documents.sparkSession.sparkContext.broadcast({k: {r["word"]: bisect_left(LISTS, r["r"]) for r in rows if r["language"] == k} for k in LANGUAGES})
+    shared = documents.sparkSession.sparkContext.broadcast({k: {r["word"]: bisect_left(LISTS,
+                r["r"]) for r in rows if r["language"] == k} for k in LANGUAGES})
 
     def apply(batches):
         for b in batches:
@@ -180,7 +182,9 @@ def ridge(n: float, mean: np.ndarray, cov: np.ndarray, y: float, cross: np.ndarr
 
 def fit(measured: DataFrame, labels: DataFrame) -> tuple[float, np.ndarray] | None:
     """(intercept, weights of the terms) fitted to all labelled rows, of any number; None without any."""
-    rows = measured.where("n_words > 0").join(labels.where("nivel IS NOT NULL").select("doc_id", F.col("nivel").cast("double").alias("y")), "doc_id")
+    rows = measured.where("n_words > 0").join(labels.where("nivel IS NOT NULL").select("doc_id",
+            F.col("nivel").cast("double").alias("y")),
+        "doc_id")
     x = [F.lit(1.0), *_terms(), F.col("y")]
     n = len(x)
 
@@ -192,7 +196,8 @@ def fit(measured: DataFrame, labels: DataFrame) -> tuple[float, np.ndarray] | No
         yield pd.DataFrame({"i": range(n * n), "v": total.ravel()})
 
     # one row per pair of terms and partition, combined before the driver sees them
-    sums = rows.select(*[v.alias(f"x{i}") for i, v in enumerate(x)]).mapInPandas(products, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    sums = rows.select(*[v.alias(f"x{i}") for i, v in enumerate(x)]).mapInPandas(products,
+        "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     m = np.zeros(n * n)
     for r in sums:
         m[r["i"]] = r["v"]
@@ -221,4 +226,5 @@ def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     else:
         level = sum((F.lit(float(c)) * t for c, t in zip(fitted[1], _terms())), F.lit(fitted[0]))
     level = F.when(F.col("n_words") > 0, F.least(F.lit(5.0), F.greatest(F.lit(1.0), level)))
-    return m.select("doc_id", "language", "n_words", F.round(u, 6).alias("unfamiliar"), F.round("asl", 4).alias("asl"), F.round(grade, 4).alias("grade"), F.round(level, 3).alias("level"))
+    return m.select("doc_id", "language", "n_words", F.round(u, 6).alias("unfamiliar"), F.round("asl", 4).alias("asl"),
+        F.round(grade, 4).alias("grade"), F.round(level, 3).alias("level"))

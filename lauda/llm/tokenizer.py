@@ -175,12 +175,14 @@ def encoded(documents: DataFrame, path: str | None = None, offsets: bool = False
                 part = b.iloc[lo : lo + 500]
                 texts = [t if isinstance(t, str) else None for t in part.text]
                 got = encode_batch([t or "" for t in texts], merger, offsets)
-                d = pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "ids": [g[0] if t else EMPTY_IDS for t, g in zip(texts, got)]})
+                d = pd.DataFrame({"doc_id": part.doc_id.to_numpy(),
+                        "ids": [g[0] if t else EMPTY_IDS for t, g in zip(texts, got)]})
                 if offsets:
                     d["offsets"] = [g[1] if t else EMPTY_IDS for t, g in zip(texts, got)]
                 yield d
 
-    return documents.select("doc_id", "text").mapInPandas(apply, "doc_id long, ids array<int>" + (", offsets array<int>" if offsets else ""))
+    return documents.select("doc_id", "text").mapInPandas(apply,
+        "doc_id long, ids array<int>" + (", offsets array<int>" if offsets else ""))
 
 
 def decode(ids: list[int], path: str | None = None) -> str:

@@ -36,8 +36,10 @@ RANK = 0.1
 # aliases. Endings, numbers, grades and durations aren't listed: the edits and rule_spellings() cover them.
 SYNONYMS = {
     "bethesda": {
-        "I": "nao diagnostico; insatisfatorio", "II": "benigno", "III": "aus; flus; aus/flus; atipia de significado indeterminado; atipias de significado indeterminado",
-        "IV": "suspeito para neoplasia folicular; neoplasia folicular", "V": "suspeito para malignidade; suspeito de malignidade", "VI": "maligno",
+        "I": "nao diagnostico; insatisfatorio", "II": "benigno",
+        "III": "aus; flus; aus/flus; atipia de significado indeterminado; atipias de significado indeterminado",
+        "IV": "suspeito para neoplasia folicular; neoplasia folicular",
+        "V": "suspeito para malignidade; suspeito de malignidade", "VI": "maligno",
     },
     "resultado": {
         "negativo_para_malignidade": "nilm; ausencia de malignidade; neg. p/ malignidade; negativo p/ malignidade; negativo p/ lesao intraepitelial ou malignidade; negativo para lesao intraepitelial ou malignidade",
@@ -92,8 +94,10 @@ SYNONYMS = {
     },
 }
 # Numbers in words, and adjectives of periods in months.
-WORDS = {1: "um", 2: "dois", 3: "tres", 4: "quatro", 5: "cinco", 6: "seis", 7: "sete", 8: "oito", 9: "nove", 10: "dez", 12: "doze", 18: "dezoito", 24: "vinte e quatro"}
-PERIODS = {1: "mensal", 2: "bimestral", 3: "trimestral", 6: "semestral", 12: "anual", 24: "bienal", 36: "trienal", 60: "quinquenal", 120: "decenal"}
+WORDS = {1: "um", 2: "dois", 3: "tres", 4: "quatro", 5: "cinco", 6: "seis", 7: "sete", 8: "oito", 9: "nove", 10: "dez",
+    12: "doze", 18: "dezoito", 24: "vinte e quatro"}
+PERIODS = {1: "mensal", 2: "bimestral", 3: "trimestral", 6: "semestral", 12: "anual", 24: "bienal", 36: "trienal",
+    60: "quinquenal", 120: "decenal"}
 ROMAN = {"I": 1, "II": 2, "III": 3, "IV": 4, "V": 5, "VI": 6}
 
 
@@ -102,24 +106,30 @@ def rule_spellings(variable: str, canonical: str) -> set[str]:
     out, name = set(), variable.split("_")[0]
     if canonical in ROMAN:
         for n in (canonical.lower(), str(ROMAN[canonical])):
-            out |= {n, *(f"{x} {n}" for x in ("cat.", "cat", "categoria", "classe", "grupo", variable, variable[0])), f"{variable[0]}{n}"}
+            out |= {n, *(f"{x} {n}" for x in ("cat.", "cat", "categoria", "classe", "grupo", variable, variable[0])),
+                f"{variable[0]}{n}"}
     if m := re.fullmatch(r"([0-3])\+?", canonical):
         n = int(m[1])
         plus, word = "+" * n, ("nenhuma", "uma", "duas", "tres")[n]
         grades = {m[1], f"{n}+", plus} - {""}
-        out |= grades | {f"+{n}", f"{n}/3+", f"{n}+/3+", f"{plus}/3+", f"{word} cruz" if n == 1 else f"{word} cruzes"} | ({"zero"} if not n else set())
-        out |= {f"{x}{sep}{g}" for g in (grades | {"zero"} if not n else grades) for x in ("score", "escore", name) for sep in (" ", ": ", " (")}
+        out |= grades | {f"+{n}", f"{n}/3+", f"{n}+/3+", f"{plus}/3+",
+            f"{word} cruz" if n == 1 else f"{word} cruzes"} | ({"zero"} if not n else set())
+        out |= {f"{x}{sep}{g}" for g in (grades | {"zero"} if not n else grades) for x in ("score", "escore",
+                name) for sep in (" ", ": ", " (")}
     if canonical in ("positivo", "negativo"):
         sign, what = ("+", ("reagente", "presente")) if canonical == "positivo" else ("-", ("nao reagente", "ausente"))
         out |= {canonical[:3], f"{name}{sign}", f"{name} {sign}", *what, f"receptor {canonical}", f"expressao {what[1]}"}
     if m := re.fullmatch(r"(\d+)_(mes|meses|ano|anos)", canonical):
         months = int(m[1]) * (12 if m[2].startswith("ano") else 1)
-        spans = [(months, ("meses" if months > 1 else "mes", "m"))] + ([(months // 12, ("anos" if months > 12 else "ano", "a"))] if months % 12 == 0 else [])
+        spans = [(months,
+                ("meses" if months > 1 else "mes", "m"))] + ([(months // 12,
+                    ("anos" if months > 12 else "ano", "a"))] if months % 12 == 0 else [])
         for n, (unit, short) in spans:
             for k in {str(n), WORDS.get(n, str(n))}:
                 out |= {f"{pre}{k} {unit}" for pre in ("", "em ", "a cada ", "apos ")}
             out |= {f"{n}{short}", f"{n} {short}"}
-        out |= {f"{d} dias" for d in ({30 * months} if months % 12 else {30 * months, 365 * months // 12})} | ({f"{4 * months} semanas"} if months < 12 else {f"{52 * months // 12} semanas"})
+        out |= {f"{d} dias" for d in ({30 * months} if months % 12 else {30 * months,
+                    365 * months // 12})} | ({f"{4 * months} semanas"} if months < 12 else {f"{52 * months // 12} semanas"})
         out |= {PERIODS[months]} if months in PERIODS else set()
     return out
 
@@ -241,7 +251,8 @@ class Dictionary:
                 got = next(iter(exact)) if len(exact) == 1 else NONE
             else:
                 near = {e for x in deletes(form) for e in self.index.get((variable, x), ())} if len(form) >= 3 else ()
-                got = decide([(w, c) for e in near for w, c in score(form, e, self.exact[(variable, e)])], self.frequency[variable])
+                got = decide([(w, c) for e in near for w, c in score(form, e, self.exact[(variable, e)])],
+                    self.frequency[variable])
             if len(self.cache) < 500_000:
                 self.cache[(variable, form)] = got
         return got
@@ -257,15 +268,18 @@ def score(form: str, entry: str, canonicals) -> list[tuple[float, str]]:
 def spellings(ontology: DataFrame, aliases: DataFrame) -> DataFrame:
     """(variable, form, canonical) of canonical entries, registry aliases and known synonyms, without repeats."""
     enum = ontology.where("onto_type = 'enum' AND canonical IS NOT NULL").select("variable", "canonical").distinct()
-    alias = aliases.where("alias IS NOT NULL AND trim(alias) <> ''").select("variable", F.col("alias").alias("spelling"), "canonical")
+    alias = aliases.where("alias IS NOT NULL AND trim(alias) <> ''").select("variable", F.col("alias").alias("spelling"),
+        "canonical")
     alias = alias.join(enum, ["variable", "canonical"], "left_semi")
-    raw = enum.select("variable", F.lit(None).cast("string").alias("spelling"), "canonical").unionByName(alias.select("variable", "spelling", "canonical"))
+    raw = enum.select("variable", F.lit(None).cast("string").alias("spelling"),
+        "canonical").unionByName(alias.select("variable", "spelling", "canonical"))
 
     def forms(batches):
         for b in batches:
             out = set()
             for v, spelling, c in zip(b.variable, b.spelling, b.canonical):
-                own = [spelling] if isinstance(spelling, str) else [c, *rule_spellings(v, c), *SYNONYMS.get(v, {}).get(c, "").split(";")]
+                own = [spelling] if isinstance(spelling, str) else [c, *rule_spellings(v, c),
+                    *SYNONYMS.get(v, {}).get(c, "").split(";")]
                 out |= {(v, form, c) for form in map(keep_sign, own) if form}
             yield pd.DataFrame(sorted(out), columns=["variable", "form", "canonical"])
 
@@ -282,7 +296,8 @@ def to_canonical(verdicts: DataFrame, ontology: DataFrame, aliases: DataFrame, m
     """
     enum = ontology.where("onto_type = 'enum' AND canonical IS NOT NULL").select("variable", "canonical").distinct()
     typed = verdicts.where("value IS NOT NULL AND trim(value) <> ''").select("verdict_id", "variable", "value")
-    counted = typed.join(maybe_broadcast(enum.withColumnRenamed("canonical", "value")), ["variable", "value"], "left_semi").groupBy("variable", F.col("value").alias("canonical")).count()
+    counted = typed.join(maybe_broadcast(enum.withColumnRenamed("canonical", "value")), ["variable", "value"],
+        "left_semi").groupBy("variable", F.col("value").alias("canonical")).count()
     words = spellings(ontology, aliases)
     rows, entries = collect_bounded(words, max_spellings), collect_bounded(enum, max_spellings)
     if rows is None or entries is None:
@@ -295,7 +310,8 @@ def to_canonical(verdicts: DataFrame, ontology: DataFrame, aliases: DataFrame, m
         words, freq, known = shared.value
         d, variables = Dictionary(words, freq), {v for v, _ in known}
         for b in batches:
-            out = [(i, d.lookup(v, x)) for i, v, x in zip(b.verdict_id, b.variable, b.value) if v in variables and (v, x) not in known and x.strip()]
+            out = [(i, d.lookup(v, x)) for i, v,
+                x in zip(b.verdict_id, b.variable, b.value) if v in variables and (v, x) not in known and x.strip()]
             yield pd.DataFrame(out, columns=["verdict_id", "canonical"])
 
     return typed.mapInPandas(apply, "verdict_id long, canonical string")
@@ -335,7 +351,8 @@ def _by_join(typed: DataFrame, enum: DataFrame, words: DataFrame, counted: DataF
                 out.append(f)
             yield b.assign(form=out)[["verdict_id", "variable", "form"]]
 
-    rows = reliable(rows.select("verdict_id", "variable", "value").mapInPandas(formed, "verdict_id long, variable string, form string"))
+    rows = reliable(rows.select("verdict_id", "variable", "value").mapInPandas(formed,
+            "verdict_id long, variable string, form string"))
     left = _cuts(rows.select("variable", "form").distinct(), "form", ["variable", "form"])
     right = _cuts(words.withColumnRenamed("form", "entry"), "entry", ["variable", "entry", "canonical"])
     pairs = left.join(right, ["variable", "cut"]).select("variable", "form", "entry", "canonical").distinct()
@@ -348,10 +365,14 @@ def _by_join(typed: DataFrame, enum: DataFrame, words: DataFrame, counted: DataF
 
     scored = pairs.mapInPandas(near, "variable string, form string, canonical string, w double, exact boolean")
     best = scored.groupBy("variable", "form", "canonical").agg(F.min("w").alias("w"), F.bool_or("exact").alias("exact"))
-    best = best.join(counted, ["variable", "canonical"], "left").withColumn("w", F.round(F.col("w") - RANK * F.log10(1 + F.coalesce("count", F.lit(0))), 9))
+    best = best.join(counted, ["variable", "canonical"], "left").withColumn("w",
+        F.round(F.col("w") - RANK * F.log10(1 + F.coalesce("count", F.lit(0))), 9))
     # a spelling of its own beats every other; of one form there are as many rows as entries within two edits
     by = Window.partitionBy("variable", "form").orderBy(F.desc("exact"), "w", "canonical")
-    best = best.withColumn("r", F.row_number().over(by)).withColumn("n_exact", F.count_if("exact").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("next", F.lead("w").over(by)).where("r = 1")
+    best = best.withColumn("r", F.row_number().over(by)).withColumn("n_exact",
+        F.count_if("exact").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("next",
+        F.lead("w").over(by)).where("r = 1")
     none = F.when(F.col("exact"), F.col("n_exact") > 1).otherwise(F.col("next") - F.col("w") < LEAD)
     best = best.select("variable", "form", F.when(none, NONE).otherwise(F.col("canonical")).alias("canonical"))
-    return rows.join(best, ["variable", "form"], "left").select("verdict_id", F.coalesce("canonical", F.lit(NONE)).alias("canonical"))
+    return rows.join(best, ["variable", "form"], "left").select("verdict_id",
+        F.coalesce("canonical", F.lit(NONE)).alias("canonical"))

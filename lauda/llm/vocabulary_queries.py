@@ -15,7 +15,8 @@ def p4_found(spark, d):
 def p4_misses(spark, d):
     """How often each unmatched value stands in each variable."""
     v = table(spark, d, "cross_verdict")
-    return p4_found(spark, d).where(F.col("canonical") == NONE).join(v, "verdict_id").groupBy("variable", "value").agg(F.count("*").alias("n"))
+    return p4_found(spark, d).where(F.col("canonical") == NONE).join(v, "verdict_id").groupBy("variable",
+        "value").agg(F.count("*").alias("n"))
 
 
 QUERIES = {"p4_found": p4_found, "p4_misses": p4_misses}

@@ -40,8 +40,10 @@ def lm(counts):
 @pytest.mark.parametrize(
     "text, want",
     [
-        ("Ｂｏｓｔｏｎ ９．", "Boston 9."), ("lesão", "lesão"), ("resse﻿cado bi­o​psia", "ressecado biopsia"), ("em fundo　limpo", "em fundo limpo"), ("ﬂexura ﬁna", "flexura fina"), ("Ⅲ", "III"),
-        ("4 µm ± 1 º ª ≥ – •\r\n&atilde;", "4 µm ± 1 º ª ≥ – •\r\n&atilde;"), ("antibiótico", "antibiótico"), ("FAMІ́LIA", "FAMÍLIA"), ("", ""),
+        ("Ｂｏｓｔｏｎ ９．", "Boston 9."), ("lesão", "lesão"), ("resse﻿cado bi­o​psia", "ressecado biopsia"),
+        ("em fundo　limpo", "em fundo limpo"), ("ﬂexura ﬁna", "flexura fina"), ("Ⅲ", "III"),
+        ("4 µm ± 1 º ª ≥ – •\r\n&atilde;", "4 µm ± 1 º ª ≥ – •\r\n&atilde;"), ("antibiótico", "antibiótico"),
+        ("FAMІ́LIA", "FAMÍLIA"), ("", ""),
     ],
 )
 def test_simple_form(text, want):
@@ -51,7 +53,8 @@ def test_simple_form(text, want):
 @pytest.mark.parametrize(
     "text, want",
     [
-        ("cоnѕеrvаdа em mаrgеm", "conservada em margem"), ("Categoria ΙΙΙ do sistema", "Categoria III do sistema"), ("para β-catenina preservada", "para β-catenina preservada"), ("cadeia κ com padrão", "cadeia κ com padrão"),
+        ("cоnѕеrvаdа em mаrgеm", "conservada em margem"), ("Categoria ΙΙΙ do sistema", "Categoria III do sistema"),
+        ("para β-catenina preservada", "para β-catenina preservada"), ("cadeia κ com padrão", "cadeia κ com padrão"),
         ("seguiυ a rotina", "seguiu a rotina"), ("Сontrole interno", "Controle interno"),
     ],
 )
@@ -60,7 +63,8 @@ def test_lattice_search(lm, text, want):
 
 
 def test_forms_of_rows(spark, counts):
-    rows = [(1, None, 9), (2, "", 9), (3, BASE, 9), (4, "em fundo limpo " * 5000, 9), (5, "α-actina", 9), (6, "em fundo", 9), (6, "em fundo", 9)]
+    rows = [(1, None, 9), (2, "", 9), (3, BASE, 9), (4, "em fundo limpo " * 5000, 9), (5, "α-actina", 9), (6, "em fundo", 9),
+        (6, "em fundo", 9)]
     df = spark.createDataFrame(rows, "id long, text string, form long")
     got = sorted((r["id"], r["stands_in"]) for r in with_consistent_form(df, "id", "text", counts).collect())
     assert [x for x in got if x[1]] == [(4, True), (6, True), (6, True)]
@@ -74,7 +78,9 @@ def garble(s, enc, dec):
     return X._decode(s.encode(enc, "replace"), dec)
 
 
-@pytest.mark.parametrize("enc, dec", [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "cp850"), ("utf-8", "cp1250"), ("cp1252", "cp850"), ("cp1252", "mac_roman")])
+@pytest.mark.parametrize("enc, dec",
+    [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "cp850"), ("utf-8", "cp1250"), ("cp1252", "cp850"),
+        ("cp1252", "mac_roman")])
 def test_swaps_are_found_and_reversed(lm, enc, dec):
     r = X.Restorer(X.swap_tables(), lm)
     text = BASE.replace("β-", "").replace("κ ", "")
@@ -86,7 +92,8 @@ def test_swaps_are_found_and_reversed(lm, enc, dec):
 def test_restored_rows(spark, counts):
     part = BASE[:200] + garble(BASE[200:], "cp1252", "cp850")
     lost = BASE.encode("latin-1", "replace").decode("utf-8", "replace")
-    rows = [(1, BASE), (2, part), (3, garble(garble(BASE, "utf-8", "cp1252"), "utf-8", "cp1252")), (4, lost), (5, None), (6, ""), (7, BASE.upper()), (8, "so­und text ​"), (9, part)]
+    rows = [(1, BASE), (2, part), (3, garble(garble(BASE, "utf-8", "cp1252"), "utf-8", "cp1252")), (4, lost), (5, None),
+        (6, ""), (7, BASE.upper()), (8, "so­und text ​"), (9, part)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "pilot_id long, laudo string, restored string")
     got = {r["pilot_id"]: r for r in X.restored_texts(df, "pilot_id", "laudo", counts).collect()}
     assert set(got) == {2, 3, 4, 9}
@@ -95,7 +102,8 @@ def test_restored_rows(spark, counts):
 
 
 def contexts(source, symbol, beside):
-    return [{"source": source, "symbol": symbol, "side": side, "other": x, "n": n} for n, left, right in beside for side, x in (("l", left), ("r", right)) if x]
+    return [{"source": source, "symbol": symbol, "side": side, "other": x, "n": n} for n, left, right in beside for side,
+        x in (("l", left), ("r", right)) if x]
 
 
 def test_letters_of_one_source_differ(spark):
@@ -114,10 +122,13 @@ def test_a_code_page_fades(lm):
         assert X.learn(contexts("s", "¤", [(n, "n", "o"), (n, "s", "o")]), {"s": {"¤": "κ"}}, lm)["s"]["¤"] == want
 
 
-@pytest.mark.parametrize("enc, dec, out", [("cp1252", "cp1251", ("cp1251",)), ("cp1252", "iso8859-13", ("iso8859-13", "cp1257")), ("utf-8", "cp866", ("cp866",))])
+@pytest.mark.parametrize("enc, dec, out",
+    [("cp1252", "cp1251", ("cp1251",)), ("cp1252", "iso8859-13", ("iso8859-13", "cp1257")), ("utf-8", "cp866", ("cp866",))])
 def test_swaps_without_a_code_page_are_learned(spark, enc, dec, out):
     """Pages held out of the list: nine in ten garbled words come back, and only with expectation-maximisation."""
-    reports = X.sound(spark.read.parquet("/root/testdata/sf0.01/run_pilot.parquet").where("laudo <> ''").select("pilot_id", "laudo"), "laudo")
+    reports = X.sound(spark.read.parquet("/root/testdata/sf0.01/run_pilot.parquet").where("laudo <> ''").select("pilot_id",
+            "laudo"),
+        "laudo")
     counts = collect_model(count_trigrams(reports, "laudo"))
     before = {r["pilot_id"]: r["laudo"] for r in reports.orderBy("pilot_id").limit(300).collect()}
     bad = {i: garble(t, enc, dec) for i, t in before.items() if "?" not in t.encode(enc, "replace").decode(enc)}
@@ -126,7 +137,8 @@ def test_swaps_without_a_code_page_are_learned(spark, enc, dec, out):
     share = []
     for rounds in (X.ROUNDS, 0):
         after = {r["pilot_id"]: r["restored"] for r in X.restored_texts(df, "pilot_id", "laudo", counts, held, rounds).collect()}
-        words = [(w, x) for i, t in bad.items() for w, g, x in zip(before[i].split(" "), t.split(" "), after.get(i, t).split(" ")) if w != g]
+        words = [(w, x) for i, t in bad.items() for w, g,
+            x in zip(before[i].split(" "), t.split(" "), after.get(i, t).split(" ")) if w != g]
         share.append(sum(w == x for w, x in words) / len(words))
     assert share[0] >= 0.9 and share[1] < 0.2
 
@@ -149,7 +161,8 @@ def test_candidates_and_offsets():
     text = "Pcte Lúcia de Gravajão, encaminhada. e-mail: lucia ponto grava (arroba) posto7 ponto example; Tel.: (11)9 6355 4106. Mora em Tv. Sete Moinhos, 699 - Vila Serena. CPF nº 101 052 775 57, RG 84649254-X SSP."
     got = items_of(text)
     assert ("name", "Lúcia de Gravajão") in got and ("email", "lucia ponto grava (arroba) posto7 ponto example") in got
-    assert ("number", "(11)9 6355 4106") in got and ("number", "101 052 775 57") in got and ("address", "Tv. Sete Moinhos, 699 - Vila Serena") in got
+    assert ("number", "(11)9 6355 4106") in got and ("number", "101 052 775 57") in got and ("address",
+        "Tv. Sete Moinhos, 699 - Vila Serena") in got
     dirty = "Ｐａｃｉｅｎｔｅ: l⁠úcia felgu&atilde;o."
     (kind, span), *_ = items_of(dirty)
     assert (kind, span) == ("name", "l⁠úcia felgu&atilde;o")
@@ -160,11 +173,15 @@ def test_found_and_redacted(spark, counts):
     rows, want = [], set()
     for i in range(60):
         n, parts = names[i % 5], []
-        for lead, item, kind in (("Paciente: ", n, "name"), (". CPF ", f"1{i:02d}.204.300-{i:02d}", "identity_number"), (". Tel.: ", f"(11) 9{i:04d}-3344", "phone"), (". Mora em ", f"Rua das Palmeiras, {i + 10}", "street_address"), (". Contato ", f"beatriz{i}@posto.example", "email")):
+        for lead, item, kind in (("Paciente: ", n, "name"), (". CPF ", f"1{i:02d}.204.300-{i:02d}", "identity_number"),
+            (". Tel.: ", f"(11) 9{i:04d}-3344", "phone"), (". Mora em ", f"Rua das Palmeiras, {i + 10}", "street_address"),
+            (". Contato ", f"beatriz{i}@posto.example", "email")):
             parts.append(lead)
             want.add((i, kind, len("".join(parts))))
             parts.append(item)
-        rows.append((i, "".join(parts) + ". Frasco identificado como protocolo 4479-7733; rua de coleta interna 3. Exame registrado sob o nº 2024020794417; leitura @ 40x. Dados do paciente removidos: [NOME], [CPF]. Hospital Santa Beatriz.", "x"))
+        rows.append((i,
+                "".join(parts) + ". Frasco identificado como protocolo 4479-7733; rua de coleta interna 3. Exame registrado sob o nº 2024020794417; leitura @ 40x. Dados do paciente removidos: [NOME], [CPF]. Hospital Santa Beatriz.",
+                "x"))
     rows += [(100, None, "x"), (101, "", "x"), (102, BASE, "x"), (103, BASE * 300, "x")]
     df = spark.createDataFrame(rows, "pilot_id long, laudo string, kind string")
     found = pii.found_items(df, counts)
@@ -189,8 +206,10 @@ def test_context_corrects_contradicting_labelers(spark):
     rng, rows = random.Random(6), []
     for i in range(3000):
         true = rng.random() < 0.45
-        votes = {k: true if rng.random() < p else not true for k, p in (("cue", 0.9), ("after", 0.9), ("gaz", 0.5), ("shape", 0.5), ("form", 0.5)) if rng.random() < 0.95}
-        word = rng.choice(["paciente", "mae", "por"] if true else ["hospital", "escala", "indice"]) if rng.random() < 0.9 else "de"
+        votes = {k: true if rng.random() < p else not true for k,
+            p in (("cue", 0.9), ("after", 0.9), ("gaz", 0.5), ("shape", 0.5), ("form", 0.5)) if rng.random() < 0.95}
+        word = rng.choice(["paciente", "mae", "por"] if true else ["hospital", "escala",
+                "indice"]) if rng.random() < 0.9 else "de"
         v = ",".join(f"{k}={'name' if x else 'none'}" for k, x in sorted(votes.items()))
         rows.append((i, "name", v, [f"l{hash_of(word)}", "ll1", "r1", "s1"], true))
     df = spark.createDataFrame(rows, "id long, type string, votes string, feats array<string>, is_name boolean")
@@ -210,7 +229,9 @@ def hash_of(word):
 
 def test_labelers_against_an_item_are_votes(spark, counts):
     """A given name in an institution or a method is a candidate that the vote and the context reject."""
-    rows = [(i, f"Paciente: Lucia Moreira Prado. Encaminhada pelo Hospital Maria Aparecida. {BASE}") for i in range(40)] + [(100 + i, f"Escore de Antonio Prado. Mae: Rosa Telmira Fontes. {BASE}") for i in range(40)]
+    rows = [(i,
+            f"Paciente: Lucia Moreira Prado. Encaminhada pelo Hospital Maria Aparecida. {BASE}") for i in range(40)] + [(100 + i,
+            f"Escore de Antonio Prado. Mae: Rosa Telmira Fontes. {BASE}") for i in range(40)]
     df = spark.createDataFrame(rows, "pilot_id long, laudo string")
     assert any("org=none" in ",".join(f"{k}={v}" for k, v in x[3].items()) for x in pii.candidates(pii.Aligned(rows[0][1], None)))
     got = {(r["pilot_id"] // 100, rows_text(rows, r)) for r in pii.found_items(df, counts).collect()}
@@ -227,9 +248,13 @@ def rows_text(rows, r):
 @pytest.mark.parametrize(
     "variable, value, want",
     [
-        ("bethesda", "categroia II", "II"), ("bethesda", "VII", "(none)"), ("bethesda", "BETHESDA 0", "(none)"), ("re_status", "RE-", "negativo"), ("re_status", "RE+", "positivo"), ("re_status", "positivo/negativo", "(none)"),
-        ("adequab", "isatisfatoria", "insatisfatoria"), ("her2_score", "+++/3+", "3+"), ("her2_score", "1+/2+", "(none)"), ("intervalo_controle", "7 anos", "(none)"), ("intervalo_controle", "24 meeses", "2_anos"),
-        ("tipo_histologico", 'resultado: "Ca ducatl inv." (ver laudo)', "carcinoma_ductal_invasivo"), ("tipo_histologico", "carcinoma", "(none)"), ("margens", "não comprometidas", "livres"), ("resultado", "LSIL x HSIL", "(none)"), ("resultado", "???", "(none)"),
+        ("bethesda", "categroia II", "II"), ("bethesda", "VII", "(none)"), ("bethesda", "BETHESDA 0", "(none)"),
+        ("re_status", "RE-", "negativo"), ("re_status", "RE+", "positivo"), ("re_status", "positivo/negativo", "(none)"),
+        ("adequab", "isatisfatoria", "insatisfatoria"), ("her2_score", "+++/3+", "3+"), ("her2_score", "1+/2+", "(none)"),
+        ("intervalo_controle", "7 anos", "(none)"), ("intervalo_controle", "24 meeses", "2_anos"),
+        ("tipo_histologico", 'resultado: "Ca ducatl inv." (ver laudo)', "carcinoma_ductal_invasivo"),
+        ("tipo_histologico", "carcinoma", "(none)"), ("margens", "não comprometidas", "livres"),
+        ("resultado", "LSIL x HSIL", "(none)"), ("resultado", "???", "(none)"),
         ("segmento", "flexura hpáática", "flexura_hepatica"), ("segmento", "cólon", "(none)"),
     ],
 )
@@ -240,14 +265,16 @@ def test_mapping(dictionary, variable, value, want):
 @pytest.fixture(scope="module")
 def ontology(spark):
     rows = [(v, "enum", c) for v, by in V.SYNONYMS.items() for c in by] + [("ki67", "integer", None)]
-    rows += [(v, "enum", c) for v in ("re_status", "rp_status") for c in ("positivo", "negativo")] + [("her2_score", "enum", c) for c in ("0", "1+", "2+", "3+")]
+    rows += [(v, "enum", c) for v in ("re_status", "rp_status") for c in ("positivo", "negativo")] + [("her2_score", "enum",
+            c) for c in ("0", "1+", "2+", "3+")]
     rows += [("intervalo_controle", "enum", c) for c in ("3_meses", "6_meses", "1_ano", "2_anos", "3_anos", "5_anos", "10_anos")]
     return spark.createDataFrame(rows, "variable string, onto_type string, canonical string")
 
 
 @pytest.fixture(scope="module")
 def aliases(spark):
-    return spark.createDataFrame([("bethesda", "AUS", "III"), ("bethesda", "AUS", "III"), ("bethesda", None, "I")], "variable string, alias string, canonical string")
+    return spark.createDataFrame([("bethesda", "AUS", "III"), ("bethesda", "AUS", "III"), ("bethesda", None, "I")],
+        "variable string, alias string, canonical string")
 
 
 @pytest.fixture(scope="module")
@@ -256,7 +283,9 @@ def dictionary(ontology, aliases):
 
 
 def test_rows_and_the_join_way(spark, ontology, aliases):
-    rows = [(1, "bethesda", "II"), (2, "bethesda", " II "), (3, "bethesda", None), (4, "bethesda", "  "), (5, "ki67", "30%"), (6, None, "x"), (7, "margens", "Livre"), (8, "margens", "Livre"), (9, "segmento", "z" * 500), (10, "segmento", "coolon_descendente"), (11, "re_status", "RP-")]
+    rows = [(1, "bethesda", "II"), (2, "bethesda", " II "), (3, "bethesda", None), (4, "bethesda", "  "), (5, "ki67", "30%"),
+        (6, None, "x"), (7, "margens", "Livre"), (8, "margens", "Livre"), (9, "segmento", "z" * 500),
+        (10, "segmento", "coolon_descendente"), (11, "re_status", "RP-")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "verdict_id long, variable string, value string, canonical string")
     want = {2: "II", 7: "livres", 8: "livres", 9: "(none)", 10: "colon_descendente", 11: "(none)"}
     assert {r[0]: r[1] for r in V.to_canonical(df, ontology, aliases).collect()} == want
@@ -267,16 +296,20 @@ def test_rows_and_the_join_way(spark, ontology, aliases):
 
 def test_frequency_decides_alike_on_both_ways(spark):
     """Two entries at one distance: the frequent one is meant; without a lead none is; an exact spelling of two entries is none."""
-    entries = spark.createDataFrame([("v", "enum", c) for c in ("barato", "batato", "cinza", "tinza", "norte", "north")], "variable string, onto_type string, canonical string")
-    alias = spark.createDataFrame([("v", "norta", "norte"), ("v", "norta", "north")], "variable string, alias string, canonical string")
-    rows = [(i, "v", "barato") for i in range(1000)] + [(2001, "v", "bavato"), (2002, "v", "bazato"), (2003, "v", "rinza"), (2004, "v", "norta"), (2005, "v", "nort"), (2006, "v", "\u2003"), (2007, "v", "ba")]
+    entries = spark.createDataFrame([("v", "enum", c) for c in ("barato", "batato", "cinza", "tinza", "norte", "north")],
+        "variable string, onto_type string, canonical string")
+    alias = spark.createDataFrame([("v", "norta", "norte"), ("v", "norta", "north")],
+        "variable string, alias string, canonical string")
+    rows = [(i, "v", "barato") for i in range(1000)] + [(2001, "v", "bavato"), (2002, "v", "bazato"), (2003, "v", "rinza"),
+        (2004, "v", "norta"), (2005, "v", "nort"), (2006, "v", "\u2003"), (2007, "v", "ba")]
     df = spark.createDataFrame(rows, "verdict_id long, variable string, value string")
     got = [{r[0]: r[1] for r in V.to_canonical(df, entries, alias, n).collect()} for n in (V.MAX_SPELLINGS, 2)]
     assert got[0] == got[1] and got[0][2001] == got[0][2002] == "barato" and got[0][2003] == got[0][2004] == V.NONE and 2006 not in got[0]
 
 
 def test_join_way_equals_the_dictionary_on_the_tables(spark, tables):
-    t = {n: spark.read.parquet(f"{tables.replace('0.001', '0.01')}/{n}.parquet") for n in ("cross_verdict", "ontology_spec", "policy_alias")}
+    t = {n: spark.read.parquet(f"{tables.replace('0.001', '0.01')}/{n}.parquet") for n in ("cross_verdict", "ontology_spec",
+            "policy_alias")}
     got = [sorted(map(tuple, V.to_canonical(*t.values(), n).collect())) for n in (V.MAX_SPELLINGS, 0)]
     assert got[0] == got[1] and len(got[0]) > 300
 
@@ -299,11 +332,14 @@ def test_ids_equal_the_public_library(spark):
     ranks = K.load_ranks(K.TOKENIZERS + "/byte_bpe_50k.tiktoken")
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rng = random.Random(4)
-    parts = ["'", "s", "ll", " ", "  ", "\n", "\t", " ", "á", "1", "²", "!", "…", "​", "日本", "x", "'VE", "\0", "\x1c", "<|endoftext|>", "é", "🏥", "　", "Ⅲ"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["", BASE, "a" * 30_000 + " " * 3000 + "é" * 2000]
+    parts = ["'", "s", "ll", " ", "  ", "\n", "\t", " ", "á", "1", "²", "!", "…", "​", "日本", "x", "'VE", "\0", "\x1c",
+        "<|endoftext|>", "é", "🏥", "　", "Ⅲ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["", BASE,
+        "a" * 30_000 + " " * 3000 + "é" * 2000]
     got = K.encode_batch(texts, K.Merger(ranks))
     assert [g[0] for g in got] == [enc.encode_ordinary(t) for t in texts]
-    df = spark.createDataFrame([(1, BASE, [7]), (2, "", [7]), (3, None, [7]), (3, None, [7])], "doc_id long, text string, ids array<int>")
+    df = spark.createDataFrame([(1, BASE, [7]), (2, "", [7]), (3, None, [7]), (3, None, [7])],
+        "doc_id long, text string, ids array<int>")
     rows = {r["doc_id"]: r for r in K.encoded(df, offsets=True).collect()}
     assert rows[2]["ids"] == [] and rows[3]["ids"] == [] and rows[3]["offsets"] == [] and K.decode(rows[1]["ids"]) == BASE
     assert K.encoded(df).count() == 4 and K.encoded(df.where("false")).count() == 0
@@ -315,7 +351,9 @@ def test_offsets_are_those_of_each_token():
     ranks = K.load_ranks(K.TOKENIZERS + "/byte_bpe_50k.tiktoken")
     back = {v: k for k, v in ranks.items()}
     rng = random.Random(8)
-    texts = ["".join(rng.choice("aeé漢😀 \n'sdrvelT19ãçß—") for _ in range(rng.randrange(1, 60))) for _ in range(300)] + ["don't I'll we've 's's ''re", "é" * 200, "\0'\0s", "'"]
+    texts = ["".join(rng.choice("aeé漢😀 \n'sdrvelT19ãçß—") for _ in range(rng.randrange(1,
+                60))) for _ in range(300)] + ["don't I'll we've 's's ''re",
+        "é" * 200, "\0'\0s", "'"]
     for t, (ids, offsets) in zip(texts, K.encode_batch(texts, K.Merger(ranks))):
         owner = [i for i, c in enumerate(t) for _ in c.encode()]
         at, want = 0, []
@@ -333,14 +371,17 @@ def leak_brute(docs, items):
     for d, t in docs:
         w = L.words(t)
         runs = {tuple(w[i : i + L.RUN]) for i in range(len(w) - L.RUN + 1)}
-        out |= {(d, i) for i, x in items for j in [L.words(x)] if any(tuple(j[k : k + L.RUN]) in runs for k in range(len(j) - L.RUN + 1))}
+        out |= {(d, i) for i,
+            x in items for j in [L.words(x)] if any(tuple(j[k : k + L.RUN]) in runs for k in range(len(j) - L.RUN + 1))}
     return out
 
 
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(9)
     vocab = [f"w{i}" for i in range(25)] + ["Ação", "acao", "É"]
-    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([5, 11, 12, 20, 60, 130])))) for i in range(30)] + [(90, None), (91, ""), (92, "um dois")]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([5, 11, 12, 20, 60, 130])))) for i in range(30)] + [(90,
+            None),
+        (91, ""), (92, "um dois")]
     docs = []
     for d in range(120):
         w = [rng.choice(vocab) for _ in range(rng.choice([0, 8, 40, 300]))]
@@ -364,7 +405,8 @@ def test_signatures_of_equal_windows_are_equal():
     w = [f"w{rng.randrange(9)}" for _ in range(60)]
     h = L.WordHashes()(w)
     sig, s = L.signatures(h), L.grams(h, L.SHINGLE)
-    assert sig.shape == (L.SIGNATURE, 60 - L.RUN + 1) and all(sig[0, i] == s[i : i + L.RUN - L.SHINGLE + 1].min() for i in range(sig.shape[1]))
+    assert sig.shape == (L.SIGNATURE,
+        60 - L.RUN + 1) and all(sig[0, i] == s[i : i + L.RUN - L.SHINGLE + 1].min() for i in range(sig.shape[1]))
     alone = L.signatures(h[7 : 7 + L.RUN])
     assert (alone[:, 0] == sig[:, 7]).all() and all((L.keys(alone, r)[0] == L.keys(sig, r)[7]) for r in range(1, L.SIGNATURE + 1))
     assert [L.rows_of(L.size_class(n)) for n in (12, 23, 24, 48, 960)] == [1, 1, 2, 3, 3]
@@ -375,9 +417,11 @@ def test_signatures_of_equal_windows_are_equal():
 
 def test_levels(spark):
     easy, hard = "O exame dura pouco. Beba água. Venha com alguém.", "A heterogeneidade interinstitucional observada após regra determinística sugere que determinantes epistemológicos condicionam parcialmente inferências contrafactuais subsequentes acerca da estabilidade"
-    docs = [(i, easy if i % 2 else hard, "x") for i in range(200)] + [(900, None, "x"), (901, "", "x"), (902, "123 456", "x"), (903, easy * 3000, "x"), (903, easy * 3000, "x")]
+    docs = [(i, easy if i % 2 else hard, "x") for i in range(200)] + [(900, None, "x"), (901, "", "x"), (902, "123 456", "x"),
+        (903, easy * 3000, "x"), (903, easy * 3000, "x")]
     dd = spark.createDataFrame(docs, "doc_id long, text string, level string")
-    ll = spark.createDataFrame([(i, 1 if i % 2 else 5, "x") for i in range(200)] + [(3, None, "x"), (77777, 3, "x")], "doc_id long, nivel int, text string")
+    ll = spark.createDataFrame([(i, 1 if i % 2 else 5, "x") for i in range(200)] + [(3, None, "x"), (77777, 3, "x")],
+        "doc_id long, nivel int, text string")
     got = {r["doc_id"]: r for r in R.reading_levels(dd, ll).collect()}
     assert got[1]["level"] < 1.5 and got[2]["level"] > 4.5 and got[903]["level"] < 2.5
     assert got[900]["level"] is None and got[901]["n_words"] == 0 and got[902]["level"] is None
