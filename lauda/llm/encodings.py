@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lauda.llm.charlm import CharModel
-from lauda.llm.chars import LOOKALIKES, simple_form
+from lauda.llm.chars import LOOKALIKES, plain, simple_form
 from lauda.session import reliable
 
 # The letters and signs beyond ASCII of ordinary texts in Portuguese, Spanish and English.
@@ -48,6 +48,8 @@ RARE = -6.9
 #: A source without a code page is learned from so many occurrences of so many symbols at least, and a
 #: symbol of it from so many, if its letter leads by so much in log probability.
 LEAST, LEAST_SYMBOLS, SEEN, LEAD = 30, 4, 3, 2.0
+#: Words of a row that a swap without a code page must explain: one odd word is no sign of one.
+WORDS = 3
 LOST = "�"
 #: Java class of characters that don't stand in ordinary text: candidates of garbling.
 SUSPECT = (
@@ -133,6 +135,12 @@ class Cipher:
         yield s[at:]
 
 
+def plain_readings(token: str) -> tuple[str, str]:
+    """A word with all look-alikes plain, and with those that aren't Greek (α-actin keeps its name)."""
+    t = simple_form(token)
+    return "".join(LOOKALIKES.get(c, c) for c in t), "".join(c if "Ͱ" <= c <= "Ͽ" else LOOKALIKES.get(c, c) for c in t)
+
+
 class Restorer:
     """Chooses the swap of a row and restores it word by word."""
 
@@ -148,7 +156,7 @@ class Restorer:
             g = {}
             if ODD.search(token):
                 # a word that reads well once look-alikes and invisible characters are plain isn't garbled
-                base = max(self.lm.word(token), self.lm.word("".join(LOOKALIKES.get(c, c) for c in simple_form(token))))
+                base = max(self.lm.word(token), *map(self.lm.word, plain_readings(token)))
                 for k, c in self.ciphers.items():
                     w = c.apply(token)
                     if w != token:
@@ -158,11 +166,14 @@ class Restorer:
         return g
 
     def swap_of(self, text: str) -> tuple[str | None, float]:
-        total: Counter = Counter()
+        total, words = Counter(), Counter()
         for t in _TOKEN.findall(text):
             for k, (gain, _) in self.gains(t).items():
                 if gain > GAIN:
                     total[k] += gain
+                    words[k] += 1
+        for k in [k for k, n in words.items() if k.startswith("?") and n < WORDS]:
+            del total[k]
         return max(total.items(), key=lambda x: (x[1], x[0])) if total else (None, 0.0)
 
     def lost_letters(self, left: str, n: int, right: str) -> str | None:
@@ -241,7 +252,7 @@ def unknown_source(words: list[str]) -> tuple[str, re.Pattern] | None:
     single characters. Ordinary letters alone aren't symbols of an unknown swap.
     """
     runs = [r for w in words for r in _RUN.findall(w)]
-    script = Counter(unicodedata.name(c, "CONTROL").split()[0] for r in runs for c in r if c not in LETTERS)
+    script = Counter(unicodedata.name(c, "CONTROL").split()[0] for r in runs for c in r if c not in LETTERS and plain(c).strip())
     if not script:
         return None
     name, even = max(script, key=lambda k: (script[k], k)), [r for r in runs if len(r) % 2 == 0]
@@ -266,7 +277,7 @@ def _sourced(r: Restorer, text: str):
     known = [t for t in odd if swap is not None and r.gains(t).get(swap, (0, t))[0] > GAIN]
     if swap is not None and 2 * len(known) >= len(odd):
         return swap, known, r.ciphers[swap].symbols
-    rest = [t for t in odd if not reads_well("".join(LOOKALIKES.get(c, c) for c in simple_form(t)), r.lm)]
+    rest = [t for t in odd if not any(reads_well(w, r.lm) for w in plain_readings(t))]
     source = unknown_source(rest)
     return source and (source[0], rest, source[1])
 
@@ -346,7 +357,7 @@ def learn(contexts: list, tables: dict[str, dict[str, str]], lm: CharModel, roun
         table = tables.get(source)
         symbols = sorted(set(table or ()) | {r["symbol"] for r in rows if table is None or r["symbol"] in table})
         if table is None:
-            symbols = [x for x in symbols if not set(x) <= set(LETTERS)]
+            symbols = [x for x in symbols if not set(x) <= set(LETTERS) and all(plain(c).strip() for c in x)]
         at = {x: i for i, x in enumerate(symbols)}
         start, fixed = np.zeros((len(symbols), len(letters))), np.zeros((len(symbols), len(letters)))
         pairs, count = np.zeros((len(symbols), len(symbols))), np.zeros(len(symbols))
