@@ -428,3 +428,25 @@ def test_reports_and_small_operators(spark):
     assert value(spark, values_equal(F.col("a"), F.col("b")), a="5", b="5.0") and value(spark,
         values_equal(F.col("a"), F.lit(None).cast("string")), a="5") is False
     assert K.policy_of([{"variable": "v"}], "x") is None and len(K.registry_hash("x")) == 64
+
+
+def test_a_stream_goes_on_after_a_crash(spark, tmp_path):
+    """A batch that fails after it has written is run again under its id and replaces itself."""
+    from lauda.streaming import live
+
+    source, target = str(tmp_path / "rows.parquet"), str(tmp_path / "out")
+    for k in range(3):
+        spark.createDataFrame([(k, i) for i in range(5)], "k int, i int").coalesce(1).write.mode("append").parquet(source)
+    calls = []
+
+    def each(b, i):
+        b.write.mode("overwrite").parquet(f"{target}/batch={i}")
+        calls.append(i)
+        if calls == [0, 1]:
+            raise RuntimeError("executor lost")
+
+    with pytest.raises(Exception, match="executor lost"):
+        live.run_to_end(live.stream_table(spark, source, 1), target, each)
+    live.run_to_end(live.stream_table(spark, source, 1), target, each)
+    assert calls == [0, 1, 1, 2]
+    assert sorted((r["k"], r["i"]) for r in spark.read.parquet(target).collect()) == [(k, i) for k in range(3) for i in range(5)]
