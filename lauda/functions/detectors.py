@@ -5,7 +5,7 @@ Fixed values: the patterns and their order are the extraction semantics and are
 
 from __future__ import annotations
 
-from lauda.functions.rules import Cascade, Extract, MultiLabel, Number, Rule
+from lauda.functions.rules import Cascade, Extract, Mapped, MultiLabel, Number, Rule
 
 R = Rule
 NEG = r"(?:nao (?:se )?(?:observ|evidenci|identific|visualiz|detect)\w*|ausencia de|ausentes?|sem|negativ[oa] para|livres? de)"
@@ -165,20 +165,44 @@ KI67 = Number("ki67_pct", (
     (r"(\d{1,3})\s*%\s+(?:para|de)\s+ki-?\s?67", "one"),
 ))
 # Breast anatomical pathology
+# the worst margin counts; what stands behind another structure's heading belongs to that
+_MARGINS, _ELSEWHERE = r"marg(?:ens?|em)\s+cirurgica[s]?\s*(?:\([^)]*\))?\s*:\s*.{0,115}?", r"linfon|mamilo|pele|areola|\d+\)|\d+\.\d+\)"
 MARGENS = Cascade("margens", (
-    R(r"margens?.{0,40}(?:comprometid|acometid|positiv)", "comprometidas", unless=r"nao\s+\w{0,12}\s*$"),
-    R(r"margens?.{0,40}(?:exigu|proxim|tangenc)", "exiguas"),
-    R(r"margens?.{0,40}(?:livres?|negativ|nao comprometid)|em margem \w+, nao se observa comprometimento", "livres"),
-), anchors=("marge",))
+    R(_MARGINS + "(?:comprometid|infiltrad)", "comprometidas", without=_ELSEWHERE + r"|\bnao\b"),
+    R(r"margem\s+\w+\s*:\s*comprometid\w*", "comprometidas"),
+    R(r"marg\w*\s+(?:cirurgica[s]?\s+)?(?:\w+\s+){0,4}comprometid", "comprometidas", without=r"linfon|mamilo|pele|areola|\bnao\b"),
+    R(r"compromete\w*\s+(?:as?\s+)?marg", "comprometidas"),
+    R(r"marg.{0,120}?encontra[\s-]se\s+comprometid\w*", "comprometidas"),
+    R(r"margens?.{0,40}(?:comprometid|acometid|positiv)", "comprometidas", unless=r"nao\s+\w{0,12}\s*$", without=_ELSEWHERE + r"|\bnao\b"),  # our own
+    R(r"marg.{0,40}tangenciad", "exiguas"),
+    R(_MARGINS + "(?:exigu|tangenciad)", "exiguas", without=_ELSEWHERE),
+    R(r"margem\s+\w+\s*:\s*exigu\w*", "exiguas"),
+    R(r"marg.{0,120}?encontra[\s-]se\s+exigu\w*", "exiguas"),
+    R(r"margem\s+(?:cirurgica\s+)?mais\s+proxima", "exiguas", unless=r"livres?\s+(?:de\s+)?(?:comprometimento|neoplasi)", reach=80),
+    R(r"marg.{0,120}?\bexigu\w*", "exiguas"),
+    R(r"marge(?:m|ns)\s+(?:\w+\s+){0,2}(?:proxim|tangenc)", "exiguas", without=r"\bmais\b"),  # our own
+    R(_MARGINS + "(?:livre|respeitad)", "livres", without=_ELSEWHERE),
+    R(r"margem\s+\w+\s*:\s*livre", "livres"),
+    R(r"marg.{0,120}?encontra[\s-]se\s+livres?", "livres"),
+    R(r"margens?\s+(?:cirurgicas?\s+)?livres?\b", "livres"),
+    R(r"margens?\b.{0,80}livres?", "livres"),
+    R(r"margens?.{0,40}(?:negativ|nao comprometid)|em margem \w+, nao se observa comprometimento", "livres"),  # our own
+), anchors=("marg",))
 PROCEDIMENTO = Cascade("procedimento", (
     R(r"mastectomia\s+radical", "mastectomia_radical"), R("mastectomia", "mastectomia"), R("quadrantectomia", "quadrantectomia"),
     R(r"setorectomia|resseccao\s+segmentar|tumorectomia|nodulectomia|excisional", "excisional"), R("mamotomia", "mamotomia"),
     R(r"(?:biopsia|bx)\s+(?:por\s+)?agulha|core\s+biopsy", "biopsia_agulha"),
 ))
-GRAU_NOTT = Cascade("grau_nott",
-    tuple(R(rf"(?:nottingham|grau histologico|grau combinado).{{0,30}}?(?:grau\s+)?\b(?:{i}|{c})\b", str(i)) for i,
-        c in ((3, "iii"), (2, "ii"), (1, "i"))),
-    anchors=("nottingham", "grau histologico", "grau combinado"))
+_GRADES, _SCALE = (("i", "1"), ("ii", "2"), ("iii", "3"), ("1", "1"), ("2", "2"), ("3", "3")), r"(?:nottingham|mbr|bloom\s+richardson|richardson)"
+GRAU_NOTT = Mapped("grau_nott", (
+    (r"novo\s+grau\s+histologico\s+final\s*:\s*grau\s+(i{1,3}|[1-3])\s+(?:de\s+)?" + _SCALE, _GRADES),
+    (r"grau\s+(?:histologico\s*:\s*)?grau\s+(i{1,3}|[1-3])\s+(?:de\s+)?" + _SCALE, _GRADES),
+    (r"grau\s+(i{1,3}|[1-3])\s+(?:de\s+)?" + _SCALE, _GRADES),
+    (r"grau\s+(i{1,3}|[1-3])\s+mbr\b", _GRADES),
+    (r"\d\s*\+\s*\d\s*\+\s*\d\s*=\s*(\d+)", (("3", "1"), ("4", "1"), ("5", "1"), ("6", "2"), ("7", "2"), ("8", "3"), ("9", "3"))),
+    # our own, for phrasings that none of the above reads
+    (r"(?:nottingham|grau histologico|grau combinado).{0,30}?(?:grau\s+)?\b(i{1,3}|[1-3])\b", _GRADES),
+))
 INV_LINFOV = Cascade("inv_linfov",
     (R(rf"{NEG}\s+(?:\w+\s+){{0,3}}inva(?:sao|soes)\s+(?:angio)?linf|invasao\s+(?:angio)?linf\w*\s*:?\s*(?:ausente|nao)", "nao"),
         R(r"invasao\s+(?:angio)?linf", "sim")),

@@ -19,12 +19,13 @@ from lauda.functions.text import first_start
 
 @dataclass(frozen=True)
 class Rule:
-    """A label for texts that hold a pattern; unless `unless` stands in the `reach` characters before its first match."""
+    """A label for texts that hold a pattern; unless `unless` stands in the `reach` characters before its first match, or `without` inside it."""
 
     pattern: str
     label: str
     unless: str | None = None
     reach: int = 40
+    without: str | None = None
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,8 @@ class Cascade:
             start = F.regexp_instr(t, F.lit(r.pattern)) - 1
             lo = F.greatest(start - r.reach, F.lit(0))
             hit = hit & ~F.substring(t, lo + 1, start - lo).rlike(r.unless)
+        if r.without:
+            hit = hit & ~F.regexp_extract(t, r.pattern, 0).rlike(r.without)
         return hit
 
     def column(self, t: Column) -> Column:
@@ -66,6 +69,8 @@ class Cascade:
             if r.unless:
                 lo = f"greatest({at} - {r.reach}, 0)"
                 cond += f" AND NOT regexp_matches(substring({t}, {lo} + 1, {at} - {lo}), '{r.unless}')"
+            if r.without:
+                cond += f" AND NOT regexp_matches(regexp_extract({t}, '{r.pattern}', 0), '{r.without}')"
             value.append(f"WHEN {cond} THEN '{r.label}'")
             start.append(f"WHEN {cond} THEN {at}")
         default = f"'{self.default}'" if self.default is not None else "NULL"
@@ -140,3 +145,24 @@ class Extract:
 
     def sql(self, t: str) -> str:
         return f"NULLIF(trim(regexp_replace(trim(regexp_extract({t}, '{self.pattern}', 1)), '(?s){self.cut}', '')), '')"
+
+
+@dataclass(frozen=True)
+class Mapped:
+    """The label of what the first pattern's group holds; a pattern whose group has no label leaves it to the next."""
+
+    name: str
+    rules: tuple[tuple[str, tuple[tuple[str, str], ...]], ...]
+
+    def column(self, t: Column) -> Column:
+        def one(p, labels):
+            g, out = F.regexp_extract(t, p, 1), F.lit(None).cast("string")
+            for k, v in labels:
+                out = F.when(g == k, v).otherwise(out)
+            return out
+
+        return F.coalesce(*[one(p, labels) for p, labels in self.rules])
+
+    def sql(self, t: str) -> str:
+        case = lambda p, labels: f"CASE regexp_extract({t}, '{p}', 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels) + " END"
+        return "COALESCE(" + ", ".join(case(p, labels) for p, labels in self.rules) + ")"

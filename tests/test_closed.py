@@ -450,3 +450,24 @@ def test_a_stream_goes_on_after_a_crash(spark, tmp_path):
     live.run_to_end(live.stream_table(spark, source, 1), target, each)
     assert calls == [0, 1, 1, 2]
     assert sorted((r["k"], r["i"]) for r in spark.read.parquet(target).collect()) == [(k, i) for k in range(3) for i in range(5)]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("margens cirurgicas: livres de neoplasia", "livres"), ("margens cirurgicas (tinta): comprometidas", "comprometidas"), ("margens cirurgicas: livres. 2) pele: comprometida", "livres"),
+        ("margem anterior: livre; margem posterior: exigua", "exiguas"), ("margem anterior: livre; margem lateral: comprometida", "comprometidas"), ("neoplasia compromete a margem profunda", "comprometidas"),
+        ("margens livres, a margem cirurgica mais proxima dista 2 mm", "exiguas"), ("margens livres de neoplasia; margem mais proxima: 2 mm", "livres"), ("margem profunda encontra-se exigua", "exiguas"), ("margens cirurgicas nao comprometidas", "livres"),
+        ("margem superior tangenciada", "exiguas"), ("linfonodos comprometidos", None), ("", None),
+    ],
+)
+def test_worst_margin_counts(spark, text, want):
+    assert value(spark, D.MARGENS.column(F.col("t"))["value"], t=text) == want
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [("grau histologico: grau ii de nottingham", "2"), ("grau 1 mbr. novo grau histologico final: grau 3 mbr", "3"), ("escore 3+2+1=6", "2"), ("3 + 3 + 3 = 9", "3"), ("1+1+1=12", None), ("nottingham grau iii", "3"), ("grau nuclear 2", None), ("", None)],
+)
+def test_histological_grade(spark, text, want):
+    assert value(spark, D.GRAU_NOTT.column(F.col("t")), t=text) == want
