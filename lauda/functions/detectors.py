@@ -5,7 +5,7 @@ Fixed values: the patterns and their order are the extraction semantics and are
 
 from __future__ import annotations
 
-from lauda.functions.rules import Cascade, Extract, Mapped, MultiLabel, Number, Rule
+from lauda.functions.rules import Cascade, Extract, Mapped, MultiLabel, Number, Repaired, Rule
 
 R = Rule
 NEG = r"(?:nao (?:se )?(?:observ|evidenci|identific|visualiz|detect)\w*|ausencia de|ausentes?|sem|negativ[oa] para|livres? de)"
@@ -226,12 +226,12 @@ PELE = Cascade("pele",
     (R(r"(?:comprometimento|infiltracao) da pele|pele (?:comprometida|infiltrada)", "sim"), R(r"pele (?:livre|sem|nao)", "nao")),
     anchors=("pele",))
 REF_IHQ = Cascade("ref_ihq", (R(r"imuno-?histoquim|imunomarcac|ihq\b", "sim"),), default="nao")
-PT = Cascade("pT",
-    tuple(R(rf"\by?pt\s*{x}\b", f"pT{x}") for x in ("1mi", "1a", "1b", "1c", "is", "4a", "4b", "4c", "4d", "0", "1", "2", "3", "4")),
-    anchors=("pt",))
-PN = Cascade("pN",
-    tuple(R(rf"\by?pn\s*{x}\b", f"pN{x}") for x in ("1mi", "1a", "1b", "1c", "2a", "2b", "3a", "3b", "3c", "0", "1", "2", "3", "x")),
-    anchors=("pn",))
+_STAGED, _NODES = r"(?:estadiamento[^:]*:\s*(?:y?pt\S+\s*;?\s*)?)", r"(y?pn(?:[0-3])(?:[a-c])?(?:\s*\([^)]*\))?|y?pnx)"
+PT = Repaired("pT", ((r"(?:estadiamento[^:]*:\s*)?(y?pt(?:is|[0-4])(?:mi|[a-d])?(?:\([^)]*\))?)", "^x^", ""),))
+# a letter o for the digit, and a missing p within the line of the stage, are mended
+PN = Repaired("pN", (
+    (_STAGED + _NODES, "^x^", ""), (r"\b" + _NODES, "^x^", ""), (r"\b(y?pno(?:\s*\([^)]*\))?)", r"^(y?pn)o\s*", r"\10 "), (_STAGED + r"(y?n[0-3x])(?:[a-c])?(?:\s*\([^)]*\))?", r"^(y?)n", r"\1pn"),
+))
 # Endoscopy
 BBPS = Number("bbps", ((r"(?:boston|bbps)\b[^.]{0,30}?[\s:=(-]0?(\d)\b", "one"), (r"\b(\d)\s*/\s*9\b", "one")), 0, 9)
 LA_GRAU = Cascade("la_grau", tuple(

@@ -166,3 +166,18 @@ class Mapped:
     def sql(self, t: str) -> str:
         case = lambda p, labels: f"CASE regexp_extract({t}, '{p}', 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels) + " END"
         return "COALESCE(" + ", ".join(case(p, labels) for p, labels in self.rules) + ")"
+
+
+@dataclass(frozen=True)
+class Repaired:
+    """The text of the first pattern's group, trimmed, with a replacement that mends how it was written."""
+
+    name: str
+    rules: tuple[tuple[str, str, str], ...]  # (pattern, find, replacement with \\1)
+
+    def column(self, t: Column) -> Column:
+        x = lambda p: F.trim(F.regexp_extract(t, p, 1))
+        return F.coalesce(*[F.when(x(p) != "", F.trim(F.regexp_replace(x(p), find, to.replace("\\", "$")))) for p, find, to in self.rules])
+
+    def sql(self, t: str) -> str:
+        return "COALESCE(" + ", ".join(f"trim(regexp_replace(NULLIF(trim(regexp_extract({t}, '{p}', 1)), ''), '{find}', '{to}'))" for p, find, to in self.rules) + ")"

@@ -471,3 +471,12 @@ def test_worst_margin_counts(spark, text, want):
 )
 def test_histological_grade(spark, text, want):
     assert value(spark, D.GRAU_NOTT.column(F.col("t")), t=text) == want
+
+
+@pytest.mark.parametrize(
+    "rule, text, want",
+    [("PT", "estadiamento: ypt1c(m); pn0", "ypt1c(m)"), ("PT", "ptis", "ptis"), ("PT", "nada", None), ("PN", "estadiamento: pt2; pn1a (sn)", "pn1a (sn)"), ("PN", "pn0", "pn0"), ("PN", "pno(ls)", "pn0 (ls)"), ("PN", "ypno", "ypn0"),
+     ("PN", "estadiamento: pt2 n0 mx", "pn0"), ("PN", "estadiamento: ypt1c; yn1", "ypn1"), ("PN", "n0", None), ("PN", "", None)],
+)
+def test_stage(spark, rule, text, want):
+    assert (value(spark, getattr(D, rule).column(F.col("t")), t=text) or "").strip() == (want or "")
