@@ -298,15 +298,17 @@ INFILTRADO = Cascade("infiltrado_linfocitico", (
     R(r"infiltrado\s+(?:inflamatorio\s+)?linfocit\w*\s*:?\s*(?:intens|acentuad|proeminent|exuberant)", "intenso"),
     R(r"infiltrado\s+(?:inflamatorio\s+)?linfocit", "presente"),
 ), anchors=("infiltrado",))
-LN_EXAM = Number("ln_exam",
-    ((r"(\d{1,2})\s+linfonodos?\s+(?:examinad|dissecad|isolad|identificad|avaliad)", "one"),
-        (r"linfonodos?\s*:?\s*\d{1,2}\s*/\s*(\d{1,2})\b", "one"), (r"\b\d{1,2}\s*/\s*(\d{1,2})\s+linfonodos?", "one")),
-    0, 60)
-LN_POS = Number("ln_pos",
-    ((r"linfonodos?\s*:?\s*(\d{1,2})\s*/\s*\d{1,2}\b", "one"), (r"\b(\d{1,2})\s*/\s*\d{1,2}\s+linfonodos?", "one"),
-        (r"metastases?\s+em\s+(\d{1,2})\b", "one"),
-        (r"linfonodos?\s+(?:livres?|negativ|sem\s+metastase)|ausencia\s+de\s+metastases?", 0)),
-    0, 60)
+LN_EXAM = Number("ln_exam", (
+    (r"linfon.dos?\s+(?:examinados?|isolados?)\s*:\s*(\d+)", "one"), (r"\d+\s*(?:/|de|em)\s*(\d+)\s+linfon", "one"),
+    # our own, for phrasings that none of the above reads
+    (r"(\d{1,2})\s+linfonodos?\s+(?:examinad|dissecad|isolad|identificad|avaliad)", "one"), (r"linfonodos?\s*:?\s*\d{1,2}\s*/\s*(\d{1,2})\b", "one"),
+), 0, 60)
+LN_POS = Number("ln_pos", (
+    (r"linfon.dos?\s+(?:comprometidos?|positivos?|metastaticos?)\s*:\s*(\d+)", "one"), (r"macrometastases?\s*(?:\([^)]*\))?\s*:\s*(\d+)", "one"),
+    (r"(?:linfon|axilar|sentinela|isolados?).{0,190}?comprometidos?\s*:\s*(\d+)", "one"), (r"(\d+)\s*(?:/|de|em)\s*\d+\s+linfon", "one"),
+    # our own, for phrasings that none of the above reads
+    (r"linfonodos?\s*:?\s*(\d{1,2})\s*/\s*\d{1,2}\b", "one"), (r"metastases?\s+em\s+(\d{1,2})\b", "one"), (r"linfonodos?\s+(?:livres?|negativ|sem\s+metastase)|ausencia\s+de\s+metastases?", 0),
+), 0, 60)
 SCORES = tuple(Number(n, ((rf"{w}.{{0,60}}?(?:escore|grau)?\s*:?\s*([123])\b", "one"),), 1, 3) for n,
     w in (("esc_tubular", r"formacao\s+(?:de\s+)?tubul\w*"), ("esc_nuclear", r"(?:grau\s+nuclear|pleomorfismo\s+nuclear)"),
         ("esc_mitotico", r"(?:indice\s+mitotico|mitoses)")))

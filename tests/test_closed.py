@@ -480,3 +480,11 @@ def test_histological_grade(spark, text, want):
 )
 def test_stage(spark, rule, text, want):
     assert (value(spark, getattr(D, rule).column(F.col("t")), t=text) or "").strip() == (want or "")
+
+
+@pytest.mark.parametrize(
+    "text, exam, pos",
+    [("linfonodos examinados: 17. linfonodos comprometidos: 3", 17, 3), ("2/15 linfonodos", 15, 2), ("axila: isolados 12, comprometidos: 1", None, 1), ("macrometastases (>2mm): 4", None, 4), ("linfonodos livres", None, 0), ("linfonodos: 1/9", 9, 1), ("", None, None)],
+)
+def test_lymph_nodes(spark, text, exam, pos):
+    assert (value(spark, D.LN_EXAM.column(F.col("t")), t=text), value(spark, D.LN_POS.column(F.col("t")), t=text)) == (exam, pos)
