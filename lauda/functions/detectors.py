@@ -258,18 +258,51 @@ INTERVALO = Cascade("followup_interval", tuple(
 ), default="nao_recomendado")
 
 # Breast: histological type and further structured fields
+_LOBULAR = r"carcinoma\s+(?:mamario\s+)?lobular\s+(?:invasivo|infiltrante)"
+_DUCTAL = r"carcinoma\s+(?:mamario\s+)?(?:ductal\s+)?(?:invasivo|infiltrante)\s+(?:da\s+mama|em\s+mama|de\s+mama|do\s+tipo\s+nao)|tipo\s+nao\s+especial"
+_IN_SITU = r'carcinoma\s+ductal\s*"?in\s*situ"?|\bcdis\b|carcinoma\s+intraductal|carcinoma\s+intraducto\b|carcinoma\s*"?in\s*situ"?'
+_INVADES = "invasiv|infiltrant|microinvasiv|microinvasao"
+_DENIED = rf"(?:ausencia\s+de|sem\s+|nao\s+(?:ha|foram?\s+(?:identificad|evidenciad|observad))).{{0,36}}?(?:{_INVADES})"
 TIPO_HIST = Cascade("tipo_hist", (
     R(r"carcinoma\s+metaplasico", "metaplasico"),
-    R(r"misto\s+(?:tipo\s+)?ductal\s+e\s+lobular|carcinoma\s+(?:invasivo|mamario).{0,30}misto", "misto"),
-    R(r"carcinoma\s+(?:mamario\s+)?lobular\s+(?:invasiv|infiltrant)", "CLI"),
-    R(r"micropapilar", "micropapilar"), R(r"carcinoma\s+papilar\s+(?:encapsulado\s+)?invasiv", "papilar"),
-    R(r"(?:carcinoma|tipo)\s+mucinos", "mucinoso"), R(r"carcinoma\s+tubular", "tubular"),
+    R(_LOBULAR, "misto", also=_DUCTAL),
+    R(_LOBULAR, "CLI"),
+    R(r"carcinoma\s+papilar\s+(?:encapsulado\s+)?invasiv", "papilar"),
+    R(r"(?:carcinoma\s+)?micropapilar\s+invasiv", "micropapilar"),
+    R(r"tipo\s+(?:carcinoma\s+)?micropapilar", "micropapilar"),
+    R(r"(?:padrao|componente)\s+micropapilar", "micropapilar", also="carcinoma|neoplasia"),
+    R(r"carcinoma\s+mucinos[oa]", "mucinoso"),
+    R(r"diferenciacao\s+mucinos[oa]", "mucinoso", unless=r"areas\s+de|parcial"),
+    R(r"tipo\s+mucinos[oa]", "mucinoso"),
+    R(r"padrao\s+misto\s+(?:tipo\s+)?ductal\s+e\s+lobular", "misto"),
+    R(r"carcinoma\s+(?:invasivo|mamario).{0,30}misto", "misto"),
+    R(r"carcinoma\s+tubular", "tubular"),
     R(r"carcinoma\s+medular", "medular"),
-    R(r"carcinoma\s+(?:mamario\s+)?(?:ductal\s+)?(?:microinvasiv|invasiv|infiltrant)|tipo\s+nao\s+especial", "CDI_SOE"),
-    R(r"carcinoma\s+(?:ductal\s+)?.?in\s*situ|\bcdis\b|carcinoma\s+intraductal", "CDIS", unless=r"ausencia\s+de|sem\s|nao\s"),
-    R(r"carcinoma\s+lobular\s*.?in\s*situ|\bclis\b", "CLIS"), R("adenocarcinoma", "outro_maligno"),
-    R(r"tumor\s+(?:phyllodes|filodes|filoide)|lipoma|papiloma\s+intraduct", "outro_benigno"),
-    R("fibroadenoma", "fibroadenoma"), R(r"fibrocistic", "fibrocistico"),
+    R(r"carcinoma\s+(?:ductal\s+)?microinvasiv", "CDI_SOE"),
+    R(r"carcinoma\s+ductal\s+(?:invasivo|infiltrante)", "CDI_SOE"),
+    R(r"carcinoma\s+(?:mamario\s+)?(?:invasivo|infiltrante)\s+(?:da\s+mama|em\s+mama|de\s+mama)", "CDI_SOE"),
+    R(r"carcinoma\s+(?:mamario\s+)?invasivo[^,]*tipo\s+nao\s+especial", "CDI_SOE"),
+    R(r"tipo\s+nao\s+especial", "CDI_SOE"),
+    R(r"carcinoma\s+mamario\s+(?:ductal\s+)?invasiv", "CDI_SOE"),
+    R(r"carcinoma\s+mamario\s+ductal\s+infiltrant", "CDI_SOE"),
+    R(r"cdi[^s]", "CDI_SOE"),
+    R(_IN_SITU, "CDIS", absent=_INVADES, ignoring=_DENIED),
+    R(_IN_SITU, "CDI_SOE"),
+    R(r'carcinoma\s+lobular\s*"?in\s*situ"?|clis', "CLIS", absent=_INVADES, ignoring=_DENIED),
+    R(r"carcinoma\s+(?:de\s+ductos\s+mamarios\s+)?metastatico", "CDI_SOE"),
+    R(r"carcinoma\s+(?:invasiv|infiltrant)", "CDI_SOE"),
+    R("adenocarcinoma", "outro_maligno"),
+    R(r"tumor\s+(?:phyllodes|filodes)", "outro_benigno"),
+    R("lipoma", "outro_benigno"),
+    R(r"papiloma\s+intraduct", "outro_benigno"),
+    R(r"proliferacao\s+(?:intraductal\s+)?papilar", "outro_benigno"),
+    R(r"fibroadenoma\b", "fibroadenoma"),
+    R("fibrocistic", "fibrocistico"),
+    R(".", "fibrocistico", features=(
+        r"\bcistos?\b|\bmicrocistos?\b", "adenose", r"hiperplasia\s+(?:ductal|lobular|fibroadenomatoide)", r"ectasia\s+ductal", r"metaplasia\s+apocrina",
+        r"fibrose\s+(?:estromal|reacional|intersticial|interlobular)", r"alterac.o\s+(?:de\s+)?celulas\s+colunares", r"alterac.es?\s+involutiv",
+    )),
+    R(r"necrose\s+adiposa|adenose|hiperplasia|ectasia\s+ductal|tecido\s+mamario\s+(?:sem|com|apresentando)\s+|metaplasia\s+apocrina|cistos?\b|fibrose\s+estromal|ducto[s]?\s+dilatad|alterac.es?\s+involutiv", "outro_benigno"),
 ))
 TIPO_IHQ = Cascade("tipo_hist_ihq", (
     R(r"lobular\s+(?:invasiv|infiltrant)", "CLI"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,13 +19,21 @@ from lauda.functions.text import first_start
 
 @dataclass(frozen=True)
 class Rule:
-    """A label for texts that hold a pattern; unless `unless` stands in the `reach` characters before its first match, or `without` inside it."""
+    """A label for texts that hold a pattern; unless `unless` stands in the `reach` characters before its first match, or `without` inside it.
+
+    `also` must stand somewhere too; `absent` must not, once what `ignoring` matches is taken out; of
+    `features` at least two must.
+    """
 
     pattern: str
     label: str
     unless: str | None = None
     reach: int = 40
     without: str | None = None
+    also: str | None = None
+    absent: str | None = None
+    ignoring: str = "^x^"
+    features: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -46,6 +54,12 @@ class Cascade:
             hit = hit & ~F.substring(t, lo + 1, start - lo).rlike(r.unless)
         if r.without:
             hit = hit & ~F.regexp_extract(t, r.pattern, 0).rlike(r.without)
+        if r.also:
+            hit = hit & t.rlike(r.also)
+        if r.absent:
+            hit = hit & ~F.regexp_replace(t, r.ignoring, "").rlike(r.absent)
+        if r.features:
+            hit = hit & (reduce(add, [t.rlike(p).cast("int") for p in r.features]) >= 2)
         return hit
 
     def column(self, t: Column) -> Column:
@@ -71,6 +85,12 @@ class Cascade:
                 cond += f" AND NOT regexp_matches(substring({t}, {lo} + 1, {at} - {lo}), '{r.unless}')"
             if r.without:
                 cond += f" AND NOT regexp_matches(regexp_extract({t}, '{r.pattern}', 0), '{r.without}')"
+            if r.also:
+                cond += f" AND regexp_matches({t}, '{r.also}')"
+            if r.absent:
+                cond += f" AND NOT regexp_matches(regexp_replace({t}, '{r.ignoring}', '', 'g'), '{r.absent}')"
+            if r.features:
+                cond += " AND (" + " + ".join(f"CAST(regexp_matches({t}, '{p}') AS INTEGER)" for p in r.features) + ") >= 2"
             value.append(f"WHEN {cond} THEN '{r.label}'")
             start.append(f"WHEN {cond} THEN {at}")
         default = f"'{self.default}'" if self.default is not None else "NULL"

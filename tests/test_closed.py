@@ -488,3 +488,15 @@ def test_stage(spark, rule, text, want):
 )
 def test_lymph_nodes(spark, text, exam, pos):
     assert (value(spark, D.LN_EXAM.column(F.col("t")), t=text), value(spark, D.LN_POS.column(F.col("t")), t=text)) == (exam, pos)
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("carcinoma lobular invasivo e carcinoma ductal invasivo da mama", "misto"), ("carcinoma lobular infiltrante", "CLI"), ("neoplasia com componente micropapilar", "micropapilar"), ("componente micropapilar", None),
+        ("areas de diferenciacao mucinosa em carcinoma invasivo", "CDI_SOE"), ("carcinoma ductal in situ", "CDIS"), ("carcinoma ductal in situ, ausencia de carcinoma invasivo", "CDIS"), ("cdis com microinvasao", "CDI_SOE"), ("carcinoma lobular in situ", "CLIS"),
+        ("adenocarcinoma", "outro_maligno"), ("fibroadenoma", "fibroadenoma"), ("cistos e adenose", "fibrocistico"), ("adenose", "outro_benigno"), ("tumor phyllodes com fibroadenoma", "outro_benigno"), ("", None),
+    ],
+)
+def test_histological_type(spark, text, want):
+    assert value(spark, D.TIPO_HIST.column(F.col("t"))["value"], t=text) == want
