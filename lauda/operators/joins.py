@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lauda.functions.text import let
 from lauda.operators.range_scan import with_last_before
+from lauda.operators.run_marks import marked, near_pairs, run_counts
 
 
 def nearest_before(df: DataFrame, keys: list[str], order: list[str], mark: Column, what: list[str],
@@ -45,29 +46,21 @@ def outside(spans: Column, taken: Column) -> Column:
 def similar_texts(left: DataFrame, right: DataFrame, lk: str, rk: str, threshold: float) -> DataFrame:
     """(lk, rk, n_common, jaccard) of pairs whose shingle sets reach a Jaccard similarity.
 
-    left, right: (key, sh array of distinct shingles), one row per class of equal texts. Prefix
-    filter: shingles are ordered by how many sets hold them; a pair that reaches the threshold shares
-    one of the first ones of both, so a stock phrase brings no pairs together. Verified exactly; no
-    link is lost.
+    left, right: (key, sh array of distinct shingles), one row per class of equal texts. Candidates come from a
+    prefix filter and parity bits (`run_marks`), so neither a stock phrase nor a shared rare one brings sets
+    together; verified exactly, no link is lost.
     """
+    hashed = lambda df, key: df.select(key, F.transform("sh", lambda s: F.xxhash64(s)).alias("_h"))
+    counts = run_counts(hashed(right, rk), "_h")
+    pairs = near_pairs(marked(hashed(left, lk), "_h", threshold, counts), marked(hashed(right, rk), "_h", threshold, counts),
+        threshold)
+    return verified(pairs, left, right, lk, rk, threshold)
 
-    def exploded(df, key):
-        return df.select(F.col(key).alias("k"), F.size("sh").alias("size"),
-            F.explode(F.transform("sh", lambda s: F.xxhash64(s))).alias("h"))
 
-    le, re_ = exploded(left, lk), exploded(right, rk)
-    df = le.select("h").unionAll(re_.select("h")).groupBy("h").agg(F.count("*").alias("df"))
-
-    def prefix(e):
-        r = e.join(df, "h").groupBy("k", "size").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
-        n = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1
-        return r.select("k", "size", F.explode(F.slice("o", F.lit(1), n)).alias("p")).select("k", "size", "p.h")
-
-    a, b = prefix(le), prefix(re_)
-    pairs = a.select(F.col("k").alias(lk), F.col("size").alias("ln"),
-        "h").join(b.select(F.col("k").alias(rk), F.col("size").alias("rn"), "h"), "h")
-    pairs = pairs.where(F.least("ln", "rn") >= F.greatest("ln", "rn") * threshold - 1e-9).select(lk, rk).distinct()
-    both = pairs.join(left.select(lk, F.col("sh").alias("_ls")), lk).join(right.select(rk, F.col("sh").alias("_rs")), rk)
+def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, lk: str, rk: str, threshold: float) -> DataFrame:
+    """pairs that reach the Jaccard similarity of their shingle sets, with n_common and jaccard."""
+    both = pairs.join(left.select(lk, F.col("sh").alias("_ls")).hint("merge"), lk).join(right.select(rk,
+        F.col("sh").alias("_rs")).hint("merge"), rk)  # sets are many times their packed size: none is broadcast
     common = F.size(F.array_intersect("_ls", "_rs"))
-    return both.select(lk, rk, common.alias("n_common"),
+    return both.select(*pairs.columns, common.alias("n_common"),
         (common / (F.size("_ls") + F.size("_rs") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lauda.session import maybe_broadcast
+from lauda.session import collect_bounded, maybe_broadcast, reliable, spread
 from lauda.functions.text import normalize, shingles, sql_normalize
 from lauda.operators import cascade as C
 from lauda.operators import gates as G
 from lauda.operators import joins as J
 from lauda.operators import observe as O
+from lauda.operators import run_marks as M
 from lauda.operators import sampling as S
 from lauda.operators.policy import clean_value
 from lauda.operators.range_scan import prefix_sums
@@ -248,22 +249,28 @@ def span_exclusion(spark, d):
         F.col("s.end").alias("end_at"))
 
 
-def development_overlap(spark, d):
+def development_overlap(spark, d, most=20_000):
     """Test reports whose five-word shingles are those of a development report, by 0.8 or more: best and number of links.
 
-    Equal texts are one class; links are counted for its members and found once.
+    Equal texts are one class; links are counted for its members and found once. The texts are read once for their
+    marks and once more for the candidates, up to `most` of which are looked up by a broadcast. Every other join is a
+    merge: by the files' sizes the optimizer takes the texts for a few MB and would broadcast them from the driver.
     """
-    p = table(spark, d, "run_pilot").select("pilot_id", F.coalesce("no_desenvolvimento", F.lit(False)).alias("dev"),
-        normalize(F.col("laudo")).alias("T"))
-    p = p.where("length(T) > 0").withColumn("cls", F.sha2("T", 256))
-    texts = p.groupBy("cls").agg(F.first("T").alias("T"), F.bool_or("dev").alias("has_dev"),
-        F.bool_or(~F.col("dev")).alias("has_test"), F.count_if("dev").alias("n_dev"))
-    sets = texts.select("cls", "has_dev", "has_test", "n_dev", shingles(F.col("T"), 5).alias("sh")).where("size(sh) > 0")
-    links = J.similar_texts(sets.where("has_test").select(F.col("cls").alias("a"), "sh"),
-        sets.where("has_dev").select(F.col("cls").alias("b"), "sh"), "a", "b", 0.8)
-    per = links.join(sets.select(F.col("cls").alias("b"), "n_dev"),
-        "b").groupBy(F.col("a").alias("cls")).agg(F.sum("n_dev").alias("n_links"), F.round(F.max("jaccard"), 6).alias("best"))
-    return p.where("NOT dev").join(per, "cls").select("pilot_id", "n_links", "best")
+    r = table(spark, d, "run_pilot").select("pilot_id", F.coalesce("no_desenvolvimento", F.lit(False)).alias("dev"), "laudo")
+    p = spread(r).select("pilot_id", "dev", normalize(F.col("laudo")).alias("T"))
+    x = reliable(M.marked(p, "T", 0.8, M.run_counts(p.where("dev"), "T", 5), 5))
+    classes = x.groupBy("cls").agg(F.min("pilot_id").alias("id"), F.count_if("dev").alias("n_dev"),
+        F.bool_or(~F.col("dev")).alias("has_test"), F.first(F.struct("size", "bits0", "bits1", "keys")).alias("m"))
+    pairs = reliable(M.near_pairs(classes.where("has_test").select(F.col("id").alias("a"), "m.*"),
+        classes.where("n_dev > 0").select(F.col("id").alias("b"), "n_dev", "m.*"), 0.8))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("pilot_id")).distinct()
+    few = collect_bounded(ids, most)
+    looked_up = ids.hint("merge") if few is None else F.broadcast(spark.createDataFrame(few, ids.schema))
+    sets = r.join(looked_up, "pilot_id").select("pilot_id", shingles(normalize(F.col("laudo")), 5).alias("sh"))
+    links = J.verified(pairs, sets.withColumnRenamed("pilot_id", "a"), sets.withColumnRenamed("pilot_id", "b"), "a", "b", 0.8)
+    per = links.groupBy("a").agg(F.sum("n_dev").alias("n_links"), F.round(F.max("jaccard"), 6).alias("best"))
+    per = per.join(x.select(F.col("pilot_id").alias("a"), "cls").hint("merge"), "a")
+    return x.where("NOT dev").join(per.hint("merge"), "cls").select("pilot_id", "n_links", "best")
 
 
 def set_difference(spark, d):
